@@ -3,22 +3,96 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from echolake.llm import decontaminate, packing, warc
+from echolake.llm import chat, decontaminate, langid, lm_scoring, mtree, near_dedup, packing, quality, toxicity, warc
 from echolake.llm.base import table
 
+TARGET_SOURCE = "src1"  # the target domain of op3
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
 
 def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), F.col("source") == TARGET_SOURCE)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], conversations.schema)
+    return chat.read_back(chat.expand(conversations.union(control)))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
 
+def op8_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_langid_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components_of(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+
+
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, {1 + 10 * (i // 8)}, 10))::UBIGINT >> {35 - 5 * (i % 8)}) & 31 AS INTEGER) + 1, 1)" for i in range(32)
+)
+
+_SQL = {
+    "op1_warc_revisit": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+             f AS (SELECT page_id, h, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS original FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_DIGITS} AS payload_digest,
+               CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
+        FROM f""",
+    "op5_prefix_targets": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
+             s AS (SELECT *, 24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;'))
+                          + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS n FROM c),
+             r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS reached,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end FROM s)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(reached) FILTER (role = 'assistant' OR from_end = 1) AS BIGINT) AS formatted_chars
+        FROM r GROUP BY conv_id""",
+    "op8_mtree_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
