@@ -276,7 +276,13 @@ def components_of(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHO
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates, that of the smallest id; rows that repeat an id count as one."""
+    """One row of ``docs`` for each group of near duplicates: that of the smallest id, and of its repeats the smallest text."""
     gone = materialize(components_of(docs, **options).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-again")
+    if again.isEmpty():
+        return left
+    # ids that occur once, which are nearly all, are not shuffled for the sake of the others
+    whole = F.struct("text", *[c for c in docs.columns if c != "text"])
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole).alias("row"))
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns]))

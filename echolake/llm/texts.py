@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,17 @@ def score_texts(docs: DataFrame, model, columns: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, model, accept: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose scores ``accept`` takes."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(accept(held.value.score([t.as_py() or "" for t in b.column(at)])), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def measured(docs: DataFrame, ids: DataFrame, measure: Callable[[list[str]], list], kind: str, extra: list[str]) -> DataFrame:
     """``doc_id``, ``extra`` (columns of ``ids``) and ``features`` of the documents in ``ids``, a bounded sample.
 
