@@ -6,8 +6,9 @@ document at most, and these (a number and a length each) are what is packed.
 
 Packing.  Pieces are dealt evenly by a hash to groups of bounded size.  Each group runs best-fit decreasing and
 certifies its number of sequences against lower bounds from dual feasible functions.  A group whose number meets its
-bound is done.  A group with a gap keeps its well-filled sequences and gives the documents of the others back; those of
-all groups are dealt anew, and best-fit decreasing runs again, until nothing is given back or one group held them all.
+bound is done.  A group with a gap gives the documents of its emptiest sequences back, four for each sequence over
+the bound and four more; those of all groups are dealt anew and best-fit decreasing runs again.  The last round, in one
+group if little is left, keeps all it packs.
 
 Defined cases: a null or empty text is the end id alone; repeated rows, ids included, are packed each; an empty table
 gives no rows; a text of any length is cut into as many pieces as it needs; extra columns are ignored.
@@ -33,9 +34,9 @@ from echolake.llm.base import materialize
 CAPACITY = 2048
 END = 0
 GROUP = 65_536  # most pieces that one task packs
-LEAST_GROUPS = 48  # even small inputs start in so many groups
+LEAST_GROUPS = 8  # even small inputs are packed in so many groups
 ONE_GROUP = 256  # so few pieces that are left go to one last group
-TIGHT = 4  # tokens that a sequence of an uncertified group may lack and still stay closed
+ROUNDS = 4
 
 #: Words that each Python worker remembers the ids of; the rest is encoded again.
 CACHE = 400_000
@@ -178,7 +179,10 @@ def _round(items: DataFrame, groups: int, number: int, capacity: int, last: bool
         bins, places, free = best_fit_decreasing(sizes, capacity)
         bound = lower_bound(sizes, capacity)
         ids = (number << 52) + (int(pdf["group"].iloc[0]) << 24) + bins
-        held = np.ones(len(sizes), dtype=bool) if last or len(free) <= bound else free[bins] <= TIGHT
+        held = np.ones(len(sizes), dtype=bool)
+        if not last and len(free) > bound:
+            emptiest = np.argsort(-free, kind="stable")[: 4 * (len(free) - bound) + 4]
+            held = ~np.isin(bins, emptiest)
         ids = pd.array(np.where(held, ids, 0), dtype="Int64")
         ids[~held] = pd.NA
         return pd.DataFrame({"row": pdf["row"], "length": sizes, "sequence_id": ids, "place": places, "sequences": len(free), "bound": bound})
@@ -186,24 +190,23 @@ def _round(items: DataFrame, groups: int, number: int, capacity: int, last: bool
     return items.withColumn("group", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(groups))).groupBy("group").applyInPandas(run, _PLACED)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, least_groups: int = LEAST_GROUPS) -> DataFrame:
-    """``row``, ``sequence_id``, ``place`` of every (row, length) in ``items``, and the bound that its group certified."""
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, least_groups: int = LEAST_GROUPS, rounds: int = ROUNDS) -> DataFrame:
+    """``row``, ``sequence_id``, ``place`` of every (row, length) in ``items``, and what its group used and certified."""
     items = items.select("row", "length")
-    done, left, number, before = None, items.count(), 0, None
-    groups = max(least_groups, -(-left // group)) if left else 1
-    while True:
-        last = groups == 1 or number >= 12 or (before is not None and left > 0.97 * before)
+    done, left = None, items.count()
+    for number in range(rounds):
+        groups = 1 if number and left <= ONE_GROUP else max(least_groups, -(-left // group))
+        last = groups == 1 or number == rounds - 1
         placed = materialize(_round(items, groups, number, capacity, last), f"packing{number}")
         kept = placed.where("sequence_id is not null")
         done = kept if done is None else done.unionByName(kept)
         if last:
-            return done
-        items, before = placed.where("sequence_id is null").select("row", "length"), left
+            break
+        items = placed.where("sequence_id is null").select("row", "length")
         left = items.count()
         if not left:
-            return done
-        number += 1
-        groups = 1 if left <= ONE_GROUP else max(-(-left // group), least_groups // 3)
+            break
+    return done
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, **options) -> DataFrame:
