@@ -193,19 +193,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", **optio
     """``docs`` without contaminated rows (``document``), or with every hit span cut out of its text (``span``)."""
     if mode not in ("document", "span"):
         raise ValueError(f"mode is document or span, not {mode!r}")
-    columns = docs.columns
-    others = [c for c in columns if c != "text"]
-    found = scan(docs, benchmark, others, with_text=True, **options).select(*others, "text", "n_words", "hits")
-    at = found.columns
+    columns, place = docs.columns, docs.columns.index("text")
+    # numbered names, so that no column of docs clashes with what scan adds
+    plain = docs.toDF(*["text" if k == place else f"c{k}" for k in range(len(columns))])
+    found = scan(plain, benchmark, [c for c in plain.columns if c != "text"], with_text=True, **options)
+    found = found.select(*plain.columns, "n_words", "hits")
 
     def run(batches):
         for b in batches:
-            n_words, hits = b.column(at.index("n_words")).to_pylist(), b.column(at.index("hits")).to_pylist()
+            n_words, hits = b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist()
             if mode == "document":
                 b = b.filter(pa.array([not (n_hit := _bits(h)) or SHARE * n_hit < n for h, n in zip(hits, n_words)], pa.bool_()))
-                texts = b.column(at.index("text"))
+                texts = b.column(place)
             else:
-                texts = pa.array([t if h is None else cut_spans(t, h) for t, h in zip(b.column(at.index("text")).to_pylist(), hits)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(at.index(c)) for c in columns], names=columns)
+                texts = pa.array([t if h is None else cut_spans(t, h) for t, h in zip(b.column(place).to_pylist(), hits)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if k == place else b.column(k) for k in range(len(columns))], names=columns)
 
     return found.mapInArrow(run, docs.schema)

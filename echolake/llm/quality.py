@@ -165,7 +165,7 @@ class Quality:
 
 def _matrix(df: DataFrame) -> np.ndarray:
     rows = df.select("features").toArrow().column(0).to_pylist()
-    return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+    return np.array(rows, dtype=np.float64).reshape(len(rows), len(rows[0]) if rows else 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, modulus: int = 3, sample: int = SAMPLE) -> Quality:
