@@ -64,6 +64,9 @@ _DIGITS = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, {1 + 10 * (i // 8)}, 10))::UBIGINT >> {35 - 5 * (i % 8)}) & 31 AS INTEGER) + 1, 1)" for i in range(32)
 )
 
+_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 _SQL = {
     "op1_warc_revisit": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -72,6 +75,20 @@ _SQL = {
                CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
         FROM f""",
+    "op4_decontaminate": f"""
+        WITH dw AS (SELECT doc_id, {_ALNUM.format(t="coalesce(text, '')")} AS w FROM documents),
+             bw AS (SELECT item_id, {_ALNUM.format(t="text")} AS w FROM benchmark WHERE text IS NOT NULL),
+             win AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS x
+                     FROM (SELECT item_id, w, least(13, len(w)) AS n FROM bw WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS t(i)),
+             pos AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS x
+                     FROM (SELECT doc_id, w, n FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n), unnest(range(1, len(w) - n + 2)) AS t(i)),
+             hit AS (SELECT DISTINCT doc_id, i, n, item_id FROM pos JOIN win USING (n, x)),
+             h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+             it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+                    FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op5_prefix_targets": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
@@ -85,6 +102,16 @@ _SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(reached) FILTER (role = 'assistant' OR from_end = 1) AS BIGINT) AS formatted_chars
         FROM r GROUP BY conv_id""",
+    "op10_lsh_forest": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format(t="coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')))
+                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+             u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+             l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id
+                   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, e.b FROM r JOIN e ON r.c = e.a)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM s JOIN r ON r.id = doc_id GROUP BY doc_id, s""",
     "op8_mtree_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
              s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
