@@ -28,6 +28,7 @@ from echolake.llm.texts import measured, sample_ids
 SAMPLE = 6_000
 BITS = 15
 CELLS = 1 << BITS
+CHUNK = 1 << 20  # characters hashed at once
 UNKNOWN = "und"
 
 
@@ -36,6 +37,15 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def _hashed(one: np.ndarray, n: int) -> np.ndarray:
+    """Counts of the n-grams that begin at the first ``n`` places."""
+    two = one[:-1] * np.uint32(0x01000193) + one[1:]
+    three = two[:-1] * np.uint32(0x01000193) + one[2:]
+    one, two, three = one[:n], two[:n], three[:n]
+    mixed = np.concatenate([(one + np.uint32(7)) * np.uint32(0x9E3779B1), (two ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B), (three ^ (three >> np.uint32(15))) * np.uint32(0xC2B2AE35)])
+    return np.bincount(mixed >> np.uint32(32 - BITS), minlength=CELLS)
+
+
 def counts(text: str) -> np.ndarray | None:
     """How often each hashed n-gram occurs; None for a text without letters."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
@@ -50,11 +60,10 @@ def counts(text: str) -> np.ndarray | None:
     keep[1:] |= letter[:-1]  # one space after a word
     keep[0] = True
     one = padded[keep]
-    two = one[:-1] * np.uint32(0x01000193) + one[1:]
-    three = two[:-1] * np.uint32(0x01000193) + one[2:]
-    shift = np.uint32(32 - BITS)
-    mixed = np.concatenate([(one + np.uint32(7)) * np.uint32(0x9E3779B1), (two ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B), (three ^ (three >> np.uint32(15))) * np.uint32(0xC2B2AE35)]) >> shift
-    return np.bincount(mixed, minlength=CELLS)
+    total = _hashed(one[: CHUNK + 2], CHUNK)
+    for i in range(CHUNK, len(one), CHUNK):  # n-grams are counted where they begin, so pieces overlap by two
+        total += _hashed(one[i : i + CHUNK + 2], CHUNK)
+    return total
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:

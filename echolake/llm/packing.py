@@ -38,8 +38,8 @@ LEAST_GROUPS = 8  # even small inputs are packed in so many groups
 ONE_GROUP = 256  # so few pieces that are left go to one last group
 ROUNDS = 4
 
-#: Words that each Python worker remembers the ids of; the rest is encoded again.
-CACHE = 400_000
+#: Words that each Python worker remembers the ids of, and how long they may be; others are encoded each time.
+CACHE, CACHED_CHARS = 400_000, 64
 
 _WHITE = ("  ", " \n", " \t", " \r")
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0԰-\U0010ffff]")
@@ -87,7 +87,7 @@ class Encoder:
             for i, ids in enumerate(out):
                 if ids is None:
                     out[i] = ids = self.part(" " + rest[i])
-                    if len(self.cache) < CACHE:
+                    if len(self.cache) < CACHE and len(rest[i]) <= CACHED_CHARS:
                         self.cache[rest[i]] = ids
         return (self.part(first) if first else b"") + b"".join(out)
 

@@ -31,7 +31,7 @@ from echolake.llm.texts import measured, sample_ids, score_texts
 SAMPLE = 10_000
 TERMS = 20_000  # most lexicon terms
 PREFIXES = range(3, 8)
-CACHE = 300_000  # tokens that a worker remembers the marks of
+CACHE, CACHED_CHARS = 300_000, 64  # tokens that a worker remembers the marks of, and how long they may be
 
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur youre du dich dir dein deine deinen deiner ihr euch euer tu toi ton ta tes vous votre vos te ti tú tus usted ustedes vosotros vuestro".split())
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”‘’…–—"
@@ -66,7 +66,7 @@ class Lexicon:
         elif _LONG.search(word):
             once = re.sub(r"(.)\1+", r"\1", word)
             marks |= LONG | HIDDEN * (once in self.words and not marks & WORD)
-        if len(self.cache) < CACHE:
+        if len(self.cache) < CACHE and len(token) <= CACHED_CHARS:
             self.cache[token] = marks
         return marks
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from echolake.llm.base import fresh_path, materialize
 
 CRLF = "\r\n"
+PER_FILE = 10_000  # most records of an archive: one is read back as a whole
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -102,7 +103,7 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:0
 
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip", **options) -> None:
     """Write the resolved records of ``pages`` as archives under ``path``."""
-    records(pages, **options).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+    records(pages, **options).write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 class Record(NamedTuple):
