@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._stored_at = path
+    return got
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what :func:`materialize` wrote for tables that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._stored_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -52,6 +62,40 @@ def delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+_BLOOM_BITS = 1 << 26  # at most: 8 MB, whatever the number of ids; more ids only let more rows through
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``ids`` (with ``keep`` false: those for which it surely is not).
+
+    ``ids`` has one column of integers.  A Bloom filter of bounded size is built from it and broadcast, so that a join
+    with ``ids`` that follows shuffles few rows that it would drop.  Null is not among ids.
+    """
+    name = ids.columns[0]
+    wanted = 16 * max(1, ids.count())
+    bits = min(_BLOOM_BITS, 1 << max(10, (wanted - 1).bit_length()))
+
+    def places(c: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(4)]
+
+    set_bits = ids.where(F.col(name).isNotNull()).select(F.explode(F.array(*places(F.col(name).cast("long")))).alias("p"))
+    filled = set_bits.groupBy(F.shiftright("p", 3).cast("int").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).alias("v")).toArrow()
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    table[filled.column(0).to_numpy()] = filled.column(1).to_numpy().astype(np.uint8)
+    held, columns = df.sparkSession.sparkContext.broadcast(table), df.columns
+
+    def run(batches):
+        for b in batches:
+            inside = np.array(b.column(len(columns)).is_valid())
+            for k in range(1, 5):
+                p = b.column(len(columns) + k).to_numpy()
+                inside &= (held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
+            yield pa.RecordBatch.from_arrays(b.columns[: len(columns)], names=columns).filter(pa.array(inside if keep else ~inside))
+
+    c = F.col(column).cast("long")
+    return df.select("*", c.alias("_c"), *[x.alias(f"_p{k}") for k, x in enumerate(places(c))]).mapInArrow(run, df.schema)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import materialize
+from echolake.llm.base import discard, materialize, maybe_in
 
 SHINGLE = 4
 THRESHOLD = 80  # per cent
@@ -244,15 +244,18 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     few = materialize(_contracted(links), f"{label}-links")
     edges = materialize(few.union(few.select("b", "a")).toDF("id", "other").distinct(), f"{label}-edges")
     labels = materialize(edges.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("component")), label)
+    discard(few)
     while True:
         near = edges.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
         lower = materialize(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component")), label)
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
         # a component's smallest id is a node, so every label is found
         after = materialize(lower.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")), label)
+        discard(labels, lower)
+        labels = after
         if after.where("component != old").isEmpty():
-            return after.select("id", "component")
-        labels = after.select("id", "component")
+            discard(edges)
+            return after
 
 
 def components_of(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -261,16 +264,20 @@ def components_of(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHO
     drawn = materialize(sketches(docs, size), "near-sketches")
     classes = materialize(drawn.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")).where("rep is not null"), "near-classes")
     pairs = materialize(candidates(classes), "near-candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(docs.where("text is not null").withColumnRenamed("doc_id", "id").join(ids, "id"), "near-texts")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    # only texts that may be needed are shuffled to where the ids are
+    wanted = maybe_in(docs.where("text is not null").withColumnRenamed("doc_id", "id"), "id", ids)
+    texts = materialize(wanted.join(ids, "id"), "near-texts")
     early = materialize(confirmed(pairs.where(F.col("tree") < EARLY), texts, size, threshold), "near-links")
     first = components(early, "near-first")
     sides = [first.select(F.col("id").alias(s), F.col("component").alias(f"component_{s}")) for s in ("a", "b")]
+    discard(early)
     late = pairs.where(F.col("tree") >= EARLY).join(sides[0], "a", "left").join(sides[1], "b", "left")
     late = late.where(~F.coalesce("component_a", "a").eqNullSafe(F.coalesce("component_b", "b"))).select("a", "b")
     more = materialize(confirmed(late, texts, size, threshold), "near-links")
-    last = components(first.where("id != component").toDF("a", "b").union(more), "near-last")
-    known = materialize(classes.select("print", "rep").join(last.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component")), "near-known")
+    last = components(first.where("id != component").select("id", "component").toDF("a", "b").union(more), "near-last")
+    known = materialize(classes.select("print", "rep").join(last.select(F.col("id").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component")), "near-known")
+    discard(classes, pairs, ids, texts, first, more, last)
     out = drawn.select("doc_id", "n_shingles", "print").join(known, "print", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()))
 
@@ -278,7 +285,9 @@ def components_of(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHO
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates: that of the smallest id, and of its repeats the smallest text."""
     gone = materialize(components_of(docs, **options).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # most rows are surely not among the gone and need no shuffle
+    doubtful = maybe_in(docs, "doc_id", gone).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = maybe_in(docs, "doc_id", gone, keep=False).union(doubtful)
     again = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-again")
     if again.isEmpty():
         return left
