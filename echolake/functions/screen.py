@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The phrases that mark an injection, and what a URL looks like.
+# The phrases that mark an injection, what a URL looks like, and the reasons that are given.
 INJECTION_PHRASES = (
     "ignore previous",
     "ignore all instructions",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echolake.operators.metrics import percentiles, rank_scaled
 
+# The thresholds that are compared.
 THRESHOLDS = (0.80, 0.85, 0.88, 0.90, 0.92, 0.95, 0.98)
 
 
