@@ -48,6 +48,19 @@ def mean_pool(hidden: Column, mask: Column) -> Column:
     return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
 
 
+@F.pandas_udf(T.DoubleType())
+def cosine_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    """:func:`cosine` in Arrow batches, for volume: higher-order functions are interpreted element by element."""
+    out = np.full(len(a), np.nan)
+    sizes = np.array([-1 if x is None or y is None or len(x) != len(y) else len(x) for x, y in zip(a, b)])
+    for n in set(sizes.tolist()) - {-1}:
+        at = np.flatnonzero(sizes == n)
+        x, y = (np.stack(s.iloc[at].to_list()).astype(np.float64) if n else np.zeros((len(at), 0)) for s in (a, b))
+        norms = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)) + EPSILON
+        out[at] = np.clip((x * y).sum(1) / norms, -1, 1)
+    return pd.Series(out).astype(object).where(sizes >= 0, None)
+
+
 @F.pandas_udf(T.StringType())
 def encode_vector(v: pd.Series) -> pd.Series:
     """Base64 of the little-endian 32-bit floats."""

@@ -11,7 +11,7 @@ from echolake.functions.keys import lookup_key
 from echolake.functions.requests import classify, upstream_status
 from echolake.functions.screen import screen_input, screen_output
 from echolake.functions.sse import content, fill_eligible, has_done, replay, usage
-from echolake.functions.vectors import cosine
+from echolake.functions.vectors import cosine_batch
 from echolake.operators import evaluation, retrieval
 from echolake.operators.cache_table import live, rebuild
 
@@ -71,6 +71,6 @@ def maintain(entries: DataFrame, embed, now: int, config: Config) -> DataFrame:
 def evaluate_pairs(pairs: DataFrame, embed, thresholds=evaluation.THRESHOLDS, setting: str = "default") -> DataFrame:
     """Match quality at every threshold, without and with the entity veto, for labelled pairs of sentences."""
     scored = pairs.withColumns({"a": embed(F.col("sentence1")), "b": embed(F.col("sentence2"))})
-    scored = scored.withColumn("similarity", cosine(F.col("a"), F.col("b"))).withColumn("differs", entity_mismatch(entity_tokens(F.col("sentence1")), entity_tokens(F.col("sentence2"))))
+    scored = scored.withColumn("similarity", cosine_batch(F.col("a"), F.col("b"))).withColumn("differs", entity_mismatch(entity_tokens(F.col("sentence1")), entity_tokens(F.col("sentence2"))))
     both = scored.select("is_match", "similarity", "differs", F.explode(F.array(F.lit(False), F.lit(True))).alias("veto"))
     return evaluation.sweep(both, thresholds, ["veto"], vetoed=F.col("veto") & F.col("differs")).withColumn("setting", F.lit(setting))

@@ -532,7 +532,7 @@ def eval_pairs(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     a = e.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(40)))).select((F.col("vec_id") + F.col("step")).alias("vec_id"), F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"), F.col("label").alias("a_label"))
     both = a.join(e, "vec_id")
-    return both.select((F.col("a_label") == F.col("label")).alias("is_match"), F.round(vectors.cosine(F.col("a"), F.col("embedding")), 6).alias("similarity"), ((F.col("a_id") + F.col("vec_id")) % 7 == 0).alias("differs"))
+    return both.select((F.col("a_label") == F.col("label")).alias("is_match"), F.round(vectors.cosine_batch(F.col("a"), F.col("embedding")), 6).alias("similarity"), ((F.col("a_id") + F.col("vec_id")) % 7 == 0).alias("differs"))
 
 
 def _sweep_sql(veto: str, extra: str = "") -> str:

@@ -68,6 +68,9 @@ def test_vectors(spark):
     assert one(spark, vectors.l2(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(np.linalg.norm(np.subtract(a, b)))
     assert one(spark, vectors.cosine(F.col("a"), F.col("b")), a=a, b=b[:3]) is None
     assert np.linalg.norm(one(spark, vectors.normalise(F.col("a")), a=a)) == pytest.approx(1)
+    pairs = spark.createDataFrame([(a, b), (a, a), (a, b[:3]), (None, b), ([0.0], [1.0]), ([], [])], "a array<double>, b array<double>")
+    both = pairs.select(vectors.cosine("a", "b").alias("x"), vectors.cosine_batch("a", "b").alias("y")).collect()
+    assert [r["y"] for r in both] == pytest.approx([r["x"] for r in both])
     hidden = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "h array<array<double>>, m array<int>")
     got = hidden.select(vectors.mean_pool(F.col("h"), F.col("m")).alias("mean"), vectors.cls_pool(F.col("h")).alias("cls")).first()
     assert got["mean"] == [2.0, 3.0] and got["cls"] == [1.0, 2.0]
