@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -62,6 +64,32 @@ def delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows that a task turns into Python objects at once.
+SLICE = 512
+
+
+def slices(batches):
+    """Arrow batches in pieces of at most SLICE rows, without copying: texts as Python objects are held for one piece."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
+def tidy(run):
+    """``run`` for mapInArrow, which gives memory back to the system when a task ends: workers live on between tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 _BLOOM_BITS = 1 << 26  # at most: 8 MB, whatever the number of ids; more ids only let more rows through
 
 
@@ -93,7 +121,7 @@ def maybe_in(df: DataFrame, column: str, ids: DataFrame, keep: bool = True) -> D
             yield pa.RecordBatch.from_arrays(b.columns[: len(columns)], names=columns).filter(pa.array(inside if keep else ~inside))
 
     c = F.col(column).cast("long")
-    return df.select("*", c.alias("_c"), *[x.alias(f"_p{k}") for k, x in enumerate(places(c))]).mapInArrow(run, df.schema)
+    return df.select("*", c.alias("_c"), *[x.alias(f"_p{k}") for k, x in enumerate(places(c))]).mapInArrow(tidy(run), df.schema)
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echolake.llm.base import delete, fresh_path
+from echolake.llm.base import delete, fresh_path, slices, tidy
 
 SIZE = 13
 BLOCK_BYTES = 32 << 20
@@ -104,13 +104,14 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
 _STATE = "n_words long, hits binary, items array<long>"
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str | None]], size: int) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[int, str | None]], size: int, finish=None, schema=None) -> DataFrame:
+    """``docs`` with the hits of one block added to its state; ``finish`` makes the rows of ``schema`` from a batch of that."""
     block = docs.sparkSession.sparkContext.broadcast(NgramSet(items, size))
     at = {c: i for i, c in enumerate(docs.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = block.value
-        for b in batches:
+        for b in slices(batches):
             n_words, hits, found = [], [], []
             for text, old, had in zip(b.column(at["text"]), b.column(at["hits"]).to_pylist(), b.column(at["items"]).to_pylist()):
                 ws = words(text.as_py())
@@ -122,28 +123,29 @@ def _pass(docs: DataFrame, items: list[tuple[int, str | None]], size: int) -> Da
                 hits.append(None if hit is None else np.packbits(hit).tobytes())
                 found.append(sorted(items | set(had or ())))
             new = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, pa.binary()), "items": pa.array(found, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for c, i in at.items()], names=list(at))
+            got = pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for c, i in at.items()], names=list(at))
+            yield finish(got) if finish else got
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), schema or docs.schema)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = SIZE, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
-    """``keep`` columns of every row of ``docs`` plus ``n_words``, ``hits`` (a bitmap over its words, null: none hit) and
-    ``items`` (sorted ids of the items that occur).  ``with_text`` also keeps ``text``."""
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], finish, schema, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows that ``finish`` makes from Arrow batches with the ``keep`` columns of ``docs`` in that order, then ``text``, ``n_words``,
+    ``hits`` (a bitmap over the words, null: none hit) and ``items`` (sorted ids of the items that occur)."""
     spark = docs.sparkSession
     state = {f.name: f.dataType for f in T._parse_datatype_string(_STATE).fields}
     got = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("text").cast("string").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in state.items()])
-    blocks, last = _blocks(benchmark, block_bytes), None
-    for k, items in enumerate(blocks):
-        if k:  # cut the plan, so that one block at a time is in memory
+    last, waiting = None, None
+    for items in _blocks(benchmark, block_bytes):
+        if waiting is not None:  # write what is there, so that one block at a time is in memory
             path = fresh_path(spark, "decontaminate")
-            got.write.parquet(path)
+            _pass(got, waiting, size).write.parquet(path)
             got = spark.read.schema(got.schema).parquet(path)
             if last:
                 delete(spark, last)
             last = path
-        got = _pass(got, items, size)
-    return got.select(*[F.col(f"k_{c}").alias(c) for c in keep], *(["text"] if with_text else []), *state)
+        waiting = items
+    return _pass(got, waiting, size, finish, schema)
 
 
 def _bits(hits: bytes | None) -> int:
@@ -152,25 +154,24 @@ def _bits(hits: bytes | None) -> int:
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document: counts, the digest of the occurring items, and the verdict."""
-    found = scan(docs, benchmark, ["doc_id"], **options)
-
-    def run(batches):
-        for b in batches:
-            items = b.column(3).to_pylist()
-            n_words, n_hit = b.column(1).to_pylist(), [_bits(h) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()),
-                    pa.array([h > 0 and SHARE * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return found.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        items = b.column(4).to_pylist()
+        n_words, n_hit = b.column(2).to_pylist(), [_bits(h) for h in b.column(3).to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column(0),
+                b.column(2),
+                pa.array(n_hit, pa.int64()),
+                pa.array([len(x) for x in items], pa.int64()),
+                pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()),
+                pa.array([h > 0 and SHARE * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
+            ],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
+
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"], finish, schema, **options)
 
 
 def cut_spans(text: str, hits: bytes) -> str:
@@ -196,17 +197,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", **optio
     columns, place = docs.columns, docs.columns.index("text")
     # numbered names, so that no column of docs clashes with what scan adds
     plain = docs.toDF(*["text" if k == place else f"c{k}" for k in range(len(columns))])
-    found = scan(plain, benchmark, [c for c in plain.columns if c != "text"], with_text=True, **options)
-    found = found.select(*plain.columns, "n_words", "hits")
-
-    def run(batches):
-        for b in batches:
-            n_words, hits = b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist()
-            if mode == "document":
-                b = b.filter(pa.array([not (n_hit := _bits(h)) or SHARE * n_hit < n for h, n in zip(hits, n_words)], pa.bool_()))
-                texts = b.column(place)
-            else:
-                texts = pa.array([t if h is None else cut_spans(t, h) for t, h in zip(b.column(place).to_pylist(), hits)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if k == place else b.column(k) for k in range(len(columns))], names=columns)
-
-    return found.mapInArrow(run, docs.schema)
+    others = [c for c in plain.columns if c != "text"]
+    order = [len(others) if k == place else others.index(f"c{k}") for k in range(len(columns))]
+
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        n_words, hits = b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist()
+        if mode == "document":
+            b = b.filter(pa.array([not (n_hit := _bits(h)) or SHARE * n_hit < n for h, n in zip(hits, n_words)], pa.bool_()))
+            texts = b.column(len(others))
+        else:
+            texts = pa.array([t if h is None else cut_spans(t, h) for t, h in zip(b.column(len(others)).to_pylist(), hits)], pa.string())
+        return pa.RecordBatch.from_arrays([texts if k == place else b.column(order[k]) for k in range(len(columns))], names=columns)
+
+    return scan(plain, benchmark, others, finish, docs.schema, **options)

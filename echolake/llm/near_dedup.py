@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import discard, materialize, maybe_in
+from echolake.llm.base import discard, materialize, maybe_in, slices, tidy
 
 SHINGLE = 4
 THRESHOLD = 80  # per cent
@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, the fingerprint of the whole set (null if it is empty) and the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, prints, signs = [], [], []
             for text in b.column(1):
                 s = shingle_hashes(text.as_py(), size)
@@ -114,21 +114,21 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "print", "sign"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, print binary, sign binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, print binary, sign binary")
 
 
 def _orders(classes: DataFrame) -> DataFrame:
     """A row per class and order: the values in that order as big-endian bytes, so that bytes sort as values do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             signs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=">u2").reshape(-1, HASHES)
             for t, order in enumerate(_ORDERS):
                 keys = np.ascontiguousarray(signs[:, order])
                 held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEPTH), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, dtype=np.int32)), held, b.column(0)], names=["tree", "key", "rep"])
 
-    return classes.select("rep", "sign").mapInArrow(run, "tree int, key binary, rep long")
+    return classes.select("rep", "sign").mapInArrow(tidy(run), "tree int, key binary, rep long")
 
 
 def region_pairs(keys: list[bytes], lo: int, hi: int, depth: int) -> Iterator[tuple[int, int]]:
@@ -182,7 +182,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             yield found(len(tree), np.array([0, len(tree)]))
 
     ordered = _orders(classes).repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return ordered.mapInArrow(run, "a long, b long, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
+    return ordered.mapInArrow(tidy(run), "a long, b long, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
 
 
 def shingle_set(text: str, size: int = SHINGLE) -> set:
@@ -195,7 +195,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for a, z, ta, tz in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 if z != last:
@@ -208,7 +208,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, threshold
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _contracted(links: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _contracted(links: DataFrame) -> DataFrame:
                 up.clear()
         yield stars()
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import materialize
+from echolake.llm.base import materialize, slices, tidy
 
 CAPACITY = 2048
 END = 0
@@ -39,7 +39,7 @@ ONE_GROUP = 256  # so few pieces that are left go to one last group
 ROUNDS = 4
 
 #: Words that each Python worker remembers the ids of, and how long they may be; others are encoded each time.
-CACHE, CACHED_CHARS = 400_000, 64
+CACHE, CACHED_CHARS = 200_000, 32
 
 _WHITE = ("  ", " \n", " \t", " \r")
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0԰-\U0010ffff]")
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _loaded.get(path) or _loaded.setdefault(path, Encoder(path))
-        for b in batches:
+        for b in slices(batches):
             out = []
             for row, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 ids = encode(text.as_py() or "") + tail
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6, names=["row", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(run, "row long, doc_id long, piece long, start long, length long, ids_crc32 long")
+    got = rows.mapInArrow(tidy(run), "row long, doc_id long, piece long, start long, length long, ids_crc32 long")
     return got.withColumn("full_id", F.when(F.col("length") == capacity, -1 - F.monotonically_increasing_id()))
 
 

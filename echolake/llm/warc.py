@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import fresh_path, materialize
+from echolake.llm.base import fresh_path, materialize, tidy
 
 CRLF = "\r\n"
 PER_FILE = 10_000  # most records of an archive: one is read back as a whole
@@ -160,7 +160,7 @@ def read_archives(spark, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _READ.split(", ")])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, _READ)
+    return files.mapInArrow(tidy(run), _READ)
 
 
 def resolve(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
