@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import fold
-from echolake.llm.texts import measured, sample_ids
+from echolake.llm.base import discard, fold, materialize, slices, tidy
+from echolake.llm.texts import sample_ids
 
 SAMPLE = 6_000
 BITS = 15
@@ -66,24 +66,43 @@ def counts(text: str) -> np.ndarray | None:
     return total
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Documents with letters, and in how many of them each cell occurs; counted over all rows of ``docs``."""
+_PASS = "cell int, n long, doc_id long, lang string, counts binary"
+
+
+def corpus_pass(docs: DataFrame, ids: DataFrame) -> tuple[int, np.ndarray, list[tuple[int, str, np.ndarray]]]:
+    """Documents with letters, in how many of them each cell occurs, and (id, language, cells and counts) of the sample.
+
+    One scan of ``docs`` gives both; frequencies are of all its rows, added up in each task before they are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(CELLS, dtype=np.int64)
-        for b in batches:
-            for text in b.column(0):
+        schema = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = [x.split()[0] for x in _PASS.split(", ")]
+        for b in slices(batches):
+            out = []
+            for doc_id, text, lang in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 c = counts(text.as_py() or "")
                 if c is not None:
                     n += 1
                     df += c > 0
+                    if lang is not None:
+                        cells = np.flatnonzero(c)
+                        out.append((None, None, doc_id, lang, np.stack([cells, np.minimum(c[cells], 2**31 - 1)]).astype("<i4").tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema)], names=names)
         cells = np.append(np.flatnonzero(df), CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.append(df, n)[cells], pa.int64())], names=["cell", "n"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        none = [pa.nulls(len(cells), t) for t in schema[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.append(df, n)[cells], pa.int64()), *none], names=names)
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left").select("doc_id", "text", "lang")
+    both = materialize(rows.mapInArrow(tidy(run), _PASS), "languages")
+    found = both.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sample = both.where("cell is null").select("doc_id", "lang", "counts").dropDuplicates(["doc_id"]).toArrow().to_pylist()
+    discard(both)
     all_cells = np.zeros(CELLS + 1, dtype=np.int64)
     all_cells[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return int(all_cells[CELLS]), all_cells[:CELLS]
+    return int(all_cells[CELLS]), all_cells[:CELLS], [(r["doc_id"], r["lang"], np.frombuffer(r["counts"], dtype="<i4").reshape(2, -1)) for r in sample]
 
 
 class Ftrl:
@@ -130,28 +149,17 @@ class Languages:
         return self.names[k], float(p[k])
 
 
-def _pack(cs: np.ndarray | None) -> bytes:
-    if cs is None:
-        return b""
-    cells = np.flatnonzero(cs)
-    return np.stack([cells, np.minimum(cs[cells], 2**31 - 1)]).astype("<i4").tobytes()
-
-
 def train(docs: DataFrame, held_out_fold: int = 2, modulus: int = 4, sample: int = SAMPLE, epochs: int = 3) -> Languages:
-    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = docs.where(fold(F.col("doc_id"), modulus) != held_out_fold)
-    n, df = document_frequencies(rows)
+    # of rows that share an id, the smallest language counts
+    ids = sample_ids(rows.select("doc_id", "lang"), F.col("lang").isNotNull(), sample, 31).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    n, df, texts = corpus_pass(rows.drop("lang"), ids)
     idf = np.log((1 + n) / (1 + df)) + 1
-    ids = sample_ids(rows.select("doc_id", "lang"), F.col("lang").isNotNull(), sample, 31)
-    got = measured(docs.drop("lang"), ids, lambda ts: [_pack(counts(t)) for t in ts], "binary", ["lang"]).toArrow()
-    order = np.argsort([(d * 2654435761) % 2**32 for d in got.column("doc_id").to_pylist()], kind="stable") if len(got) else []
-    names, examples = sorted(set(got.column("lang").to_pylist())), []
-    for i in order:
-        pair = np.frombuffer(got.column("features")[i].as_buffer(), dtype="<i4").reshape(2, -1)
-        if pair.size:
-            x = pair[1] * idf[pair[0]]
-            examples.append((pair[0], x / np.linalg.norm(x), names.index(got.column("lang")[i].as_py())))
-    names = names if examples else []
+    names, examples = sorted({lang for _, lang, _ in texts}), []
+    for _, lang, (cells, c) in sorted(texts, key=lambda t: (t[0] * 2654435761 % 2**32, t[0])):
+        x = c * idf[cells]
+        examples.append((cells, x / np.linalg.norm(x), names.index(lang)))
     if len(names) < 2:
         return Languages(names)
     model = Ftrl(len(names))
@@ -173,9 +181,9 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [model.value.predict(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    return rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)

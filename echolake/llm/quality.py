@@ -22,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import fold
-from echolake.llm.texts import measured, sample_ids, score_texts
+from echolake.llm.base import discard, fold
+from echolake.llm.texts import measured, sample_ids, sample_texts, score_texts
 
 SAMPLE = 8_000
 
@@ -163,17 +163,19 @@ class Quality:
         return _sigmoid(self.net.forward(self.net.scaled(np.array([features(t) for t in texts])))[1])
 
 
-def _matrix(df: DataFrame) -> np.ndarray:
-    rows = df.select("features").toArrow().column(0).to_pylist()
-    return np.array(rows, dtype=np.float64).reshape(len(rows), len(rows[0]) if rows else 0)
-
-
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, modulus: int = 3, sample: int = SAMPLE) -> Quality:
     learn = fold(F.col("doc_id"), modulus) != held_out_fold
-    sure = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    positive = measured(docs, sample_ids(sure.select("doc_id"), learn, sample, 11), lambda ts: [features(t) for t in ts], "array<float>", [])
-    unlabelled = measured(docs, sample_ids(docs.select("doc_id"), learn, sample, 12).distinct(), lambda ts: [features(t) for t in ts], "array<float>", [])
-    return Quality.learn(_matrix(positive), _matrix(unlabelled))
+    sure = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    positive = sample_ids(sure, learn, sample, 11).select("doc_id", F.lit(1).alias("positive"), F.lit(0).alias("unlabelled"))
+    unlabelled = sample_ids(docs.select("doc_id"), learn, sample, 12).select("doc_id", F.lit(0).alias("positive"), F.lit(1).alias("unlabelled"))
+    ids = positive.union(unlabelled).groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
+    texts = sample_texts(docs, ids, "quality-sample")
+    got = measured(texts, lambda doc_id, p, u, text: features(text), ["doc_id", "positive", "unlabelled"]).toArrow().to_pylist()
+    discard(texts)
+    got.sort(key=lambda r: r["doc_id"])
+    x = np.array([r["features"] for r in got], dtype=np.float64).reshape(len(got), -1 if got else 0)
+    side = lambda name: x[np.array([r[name] == 1 for r in got], dtype=bool)]
+    return Quality.learn(side("positive"), side("unlabelled"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import sampled
+from echolake.llm.base import materialize, sampled, slices, tidy
 
 
 def score_texts(docs: DataFrame, model, columns: list[str]) -> DataFrame:
@@ -21,13 +21,13 @@ def score_texts(docs: DataFrame, model, columns: list[str]) -> DataFrame:
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             scores = held.value.score([t.as_py() or "" for t in b.column(n)])
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores, pa.float64())], names=[*columns, "score"])
 
     rows = docs.select(*columns, F.col("text").cast("string").alias("_text"))
     schema = docs.select(*columns).withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def filter_texts(docs: DataFrame, model, accept: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -35,28 +35,30 @@ def filter_texts(docs: DataFrame, model, accept: Callable[[np.ndarray], np.ndarr
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(accept(held.value.score([t.as_py() or "" for t in b.column(at)])), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
-def measured(docs: DataFrame, ids: DataFrame, measure: Callable[[list[str]], list], kind: str, extra: list[str]) -> DataFrame:
-    """``doc_id``, ``extra`` (columns of ``ids``) and ``features`` of the documents in ``ids``, a bounded sample.
+def sample_texts(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``ids`` (a bounded sample) with the ``text`` of each, stored: the corpus is scanned once, however often the sample is
+    read.  The broadcast side has the sample's size; rows that share an id count once."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return materialize(rows.dropDuplicates(["doc_id"]), label)
 
-    The broadcast side has the sample's size.  Rows that share an id count once.
-    """
-    names = ["doc_id", *extra]
+
+def measured(sample: DataFrame, measure: Callable[..., list], columns: list[str]) -> DataFrame:
+    """``columns`` of a stored sample and ``features``, the list that ``measure(*values of columns, text)`` gives."""
+    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.list_(pa.float32()) if kind == "array<float>" else pa.binary()
-        for b in batches:
-            found = measure([t.as_py() or "" for t in b.column(len(names))])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, out)], names=[*names, "features"])
-
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(ids), "doc_id").select(*names, "_text")
-    schema = ids.select(*names).withColumn("features", F.lit(None).cast(kind)).schema
-    return rows.mapInArrow(run, schema).dropDuplicates(["doc_id"])
+        for b in slices(batches):
+            rows = zip(*[c.to_pylist() for c in b.columns])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([measure(*r[:n], r[n] or "") for r in rows], pa.list_(pa.float32()))], names=[*columns, "features"])
+
+    schema = sample.select(*columns).withColumn("features", F.lit(None).cast("array<float>")).schema
+    return sample.select(*columns, "text").mapInArrow(tidy(run), schema)
 
 
 def sample_ids(docs: DataFrame, keep: Column, n: int, seed: int) -> DataFrame:

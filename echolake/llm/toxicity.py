@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import fold
-from echolake.llm.texts import measured, sample_ids, score_texts
+from echolake.llm.base import discard, fold, slices, tidy
+from echolake.llm.texts import measured, sample_ids, sample_texts, score_texts
 
 SAMPLE = 10_000
 TERMS = 20_000  # most lexicon terms
 PREFIXES = range(3, 8)
-CACHE, CACHED_CHARS = 300_000, 64  # tokens that a worker remembers the marks of, and how long they may be
+CACHE, CACHED_CHARS = 100_000, 32  # tokens that a worker remembers the marks of, and how long they may be
 
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur youre du dich dir dein deine deinen deiner ihr euch euer tu toi ton ta tes vous votre vos te ti tú tus usted ustedes vosotros vuestro".split())
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”‘’…–—"
@@ -107,12 +107,12 @@ class Lexicon:
         ]
 
 
-def lexicon_counts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of each word and prefix, in how many sampled documents of either half it occurs, and in how many toxic ones."""
+def lexicon_counts(sample: DataFrame) -> DataFrame:
+    """Of each word and prefix, in how many documents of either half of a sample it occurs, and in how many toxic ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter() for _ in range(4)]
-        for b in batches:
+        for b in slices(batches):
             for half, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 seen = {w for t in (text.as_py() or "").split() if (w := t.strip(_EDGE).lower())}
                 terms = {t for w in seen if len(w) < 40 for t in _terms(w)}
@@ -124,8 +124,7 @@ def lexicon_counts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             part = terms[i : i + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[t] for t in part], pa.int64()) for c in counts)], names=["term", "n0", "t0", "n1", "t1"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("half", "toxic", F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(run, "term string, n0 long, t0 long, n1 long, t1 long")
+    got = sample.select("half", "toxic", "text").mapInArrow(tidy(run), "term string, n0 long, t0 long, n1 long, t1 long")
     return got.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")])
 
 
@@ -223,17 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, modulus: i
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sample_ids(known, fold(F.col("doc_id"), modulus) != held_out_fold, sample, 21).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(2)).cast("int"))
     ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)  # bounded by sample
-    counts = lexicon_counts(docs, ids).where("t0 + t1 >= 3 and t0 + t1 >= 0.6 * (n0 + n1)").orderBy(F.desc(F.col("t0") + F.col("t1")), "term").limit(TERMS)
+    texts = sample_texts(docs, ids, "toxicity-sample")
+    counts = lexicon_counts(texts).where("t0 + t1 >= 3 and t0 + t1 >= 0.6 * (n0 + n1)").orderBy(F.desc(F.col("t0") + F.col("t1")), "term").limit(TERMS)
     counts = [tuple(r) for r in counts.collect()]
     toxic = ids.where("toxic = 1").count()
     lexicons = [Lexicon(_chosen(counts, toxic / 2, (1,))), Lexicon(_chosen(counts, toxic / 2, (0,)))]
-
-    def measure(half):
-        return lambda ts: [lexicons[half].features(t) for t in ts]
-
-    rows = []
-    for half in (0, 1):
-        rows += measured(docs, ids.where(F.col("half") == half), measure(half), "array<float>", ["toxic"]).select("doc_id", "toxic", "features").toArrow().to_pylist()
+    rows = measured(texts, lambda doc_id, toxic, half, text: lexicons[half].features(text), ["doc_id", "toxic", "half"]).toArrow().to_pylist()
+    discard(texts)
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
     x, y = np.array([r["features"] for r in rows], dtype=np.float64), np.array([r["toxic"] for r in rows], dtype=np.float64)
     rate = float(y.mean()) if len(y) else 0.0
