@@ -12,29 +12,32 @@ from echolake.functions.vectors import cosine
 SEMANTIC = 0.95
 
 
-def _overlapping(requests: DataFrame, on: list[str], extra: list[str], longest: float, condition: Column) -> DataFrame:
+def _overlapping(requests: DataFrame, on: list[str], extra: list[str], width: float, condition: Column) -> DataFrame:
     """Pairs of a request and an earlier one still in flight that agree in ``on``.
 
-    No request lasts longer than ``longest``, so an earlier one lies in the same time slice of that width or the one
-    before: an equi-join on slices, with the exact condition after it.
+    An equi-join on time slices of ``width`` seconds, with the exact condition after it: an earlier request is in every
+    slice from its start to its end, or to the last start of all, so that a flight of any length meets all that begin in it.
     """
     columns = ["request_id", "started", "ended", *extra]
-    late = requests.select(*on, *[F.col(c).alias(f"b_{c}") for c in columns]).withColumn("slice", F.floor(F.col("b_started") / longest))
-    early = requests.select(*on, *[F.col(c).alias(f"a_{c}") for c in columns]).withColumn("slice", F.explode(F.array(F.floor(F.col("a_started") / longest), F.floor(F.col("a_started") / longest) + 1)))
+    late = requests.select(*on, *[F.col(c).alias(f"b_{c}") for c in columns]).withColumn("slice", F.floor(F.col("b_started") / width))
+    early = requests.select(*on, *[F.col(c).alias(f"a_{c}") for c in columns]).where(F.col("a_started") < F.col("a_ended"))
+    early = early.crossJoin(F.broadcast(requests.agg(F.max("started").alias("last"))))
+    slices = F.sequence(F.floor(F.col("a_started") / width), F.floor(F.least("a_ended", "last") / width))
+    early = early.withColumn("slice", F.explode(slices)).drop("last")
     order = (F.col("a_started") < F.col("b_started")) & (F.col("b_started") < F.col("a_ended"))
     return late.join(early, [*on, "slice"]).where(order & condition)
 
 
-def merge_exact(requests: DataFrame, longest: float) -> DataFrame:
+def merge_exact(requests: DataFrame, width: float) -> DataFrame:
     """request_id and the earliest request with the same key in whose flight it began.
 
     ``requests`` has request_id, key, started and ended (seconds).
     """
-    pairs = _overlapping(requests, ["key"], [], longest, F.lit(True))
+    pairs = _overlapping(requests, ["key"], [], width, F.lit(True))
     return pairs.groupBy(F.col("b_request_id").alias("request_id")).agg(F.min_by("a_request_id", F.struct("a_started", "a_request_id")).alias("leader_id"))
 
 
-def merge_semantic(requests: DataFrame, longest: float, threshold: float = SEMANTIC, veto: bool = True) -> DataFrame:
+def merge_semantic(requests: DataFrame, width: float, threshold: float = SEMANTIC, veto: bool = True) -> DataFrame:
     """As :func:`merge_exact` for similar texts of one namespace; the leader is the earliest, which settles ties.
 
     ``requests`` also has namespace, text and embedding.
@@ -43,14 +46,14 @@ def merge_semantic(requests: DataFrame, longest: float, threshold: float = SEMAN
     condition = cosine(F.col("a_embedding"), F.col("b_embedding")) >= threshold
     if veto:
         condition = condition & ~entity_mismatch(F.col("a_entities"), F.col("b_entities"))
-    pairs = _overlapping(rows, ["namespace"], ["embedding", "entities"], longest, condition)
+    pairs = _overlapping(rows, ["namespace"], ["embedding", "entities"], width, condition)
     return pairs.groupBy(F.col("b_request_id").alias("request_id")).agg(F.min_by("a_request_id", F.struct("a_started", "a_request_id")).alias("leader_id"))
 
 
-def merge(requests: DataFrame, longest: float, threshold: float = SEMANTIC) -> DataFrame:
+def merge(requests: DataFrame, width: float, threshold: float = SEMANTIC) -> DataFrame:
     """The exact leader where there is one, else the semantic one; null for requests that lead themselves."""
-    exact = merge_exact(requests, longest).withColumnRenamed("leader_id", "exact")
-    semantic = merge_semantic(requests, longest, threshold).withColumnRenamed("leader_id", "semantic")
+    exact = merge_exact(requests, width).withColumnRenamed("leader_id", "exact")
+    semantic = merge_semantic(requests, width, threshold).withColumnRenamed("leader_id", "semantic")
     both = requests.select("request_id").join(exact, "request_id", "left").join(semantic, "request_id", "left")
     return both.select("request_id", F.coalesce("exact", "semantic").alias("leader_id"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("semantic").isNotNull(), "semantic").alias("merged_by"))
 

@@ -80,6 +80,12 @@ def test_merging(spark):
     assert got == {1: (None, None), 2: (1, "exact"), 3: (1, "semantic"), 4: (None, None), 5: (None, None)}
 
 
+def test_merging_of_long_flights(spark):
+    rows = [(1, "k", 0.0, 1000.0), (2, "k", 35.0, 36.0), (3, "k", 999.0, 999.5), (4, "k", 1000.0, 1001.0), (5, "j", 5.0, float("inf")), (6, "j", 900.0, 800.0), (7, "j", 950.0, None)]
+    df = spark.createDataFrame(rows, "request_id long, key string, started double, ended double")
+    assert {r["request_id"]: r["leader_id"] for r in merging.merge_exact(df, 15.0).collect()} == {2: 1, 3: 1, 6: 5, 7: 5}
+
+
 def test_confusion_by_hand(spark):
     df = spark.createDataFrame([(0.9, True, False), (0.9, False, False), (0.9, True, True), (0.1, True, False), (0.1, False, False)], "similarity double, is_match boolean, differs boolean")
     r = evaluation.sweep(df, (0.5,), vetoed=F.col("differs")).first()
