@@ -9,6 +9,12 @@ region gives all its pairs; a larger one is split by the next value, as often as
 how crowded the region is; and neighbours in the sorted order, whose common prefix is the longest there is, are
 always candidates.  A region of n rows thus gives O(n) candidates and no row is left without one.
 
+Crowded regions.  What lies in a region of more than SMALL rows is compared until nothing is open: wherever such a region
+still has rows of several components, first all of its rows meet the one with the most links, so that a text with many
+copies that are not alike among themselves costs a comparison a copy; then, where components still differ, the rows outside
+the region's largest component meet all others, in blocks of about BLOCK rows.  That last step takes the square only of
+the rows outside, and returns no more links than rows in a pair of blocks.
+
 Links.  Candidates are confirmed on the full sets of words.  Those of the first ``EARLY`` orders are confirmed first and
 their components found; of the others only candidates between different components remain, so a large group of near
 copies costs a few comparisons a row.  Components are found by label propagation with pointer jumping over stored
@@ -41,6 +47,7 @@ LEAST_DEPTH = 3
 DEPTH = 8
 SMALL = 4
 EARLY = 4
+BLOCK = 128
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -185,6 +192,91 @@ def candidates(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(tidy(run), "a long, b long, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """``area`` (a region, by a hash of its order and values) and ``rep`` of all rows in regions of more than SMALL rows;
+    rows of a few smaller ones may be among them."""
+    rows = _orders(classes).select(F.xxhash64("tree", F.substring("key", 1, 2 * LEAST_DEPTH)).alias("area"), "rep")
+    areas = materialize(rows.groupBy("area").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("area"), "near-areas")
+    held = materialize(maybe_in(rows, "area", areas), "near-crowded")
+    discard(areas)
+    return held
+
+
+def still_open(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of :func:`crowded` whose region has several components, with their component; of the region, its
+    largest component ``main``, the rows ``m`` in it and the rows ``u`` outside."""
+    at = held.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("area", "rep", F.coalesce("component", "rep").alias("component"))
+    at = materialize(at, "near-placed")
+    parts = at.groupBy("area", "component").agg(F.count("*").alias("n"))
+    spread = parts.groupBy("area").agg(F.max(F.struct("n", "component")).alias("p"), F.sum("n").alias("n")).where("n > p.n")
+    several = materialize(spread.select("area", F.col("p.component").alias("main"), F.col("p.n").alias("m"), (F.col("n") - F.col("p.n")).alias("u")), "near-several")
+    rows = materialize(maybe_in(at, "area", several.select("area")).join(several, "area"), "near-open")
+    discard(at, several)
+    return rows
+
+
+def pivot_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a < b) of an open region's row with the most links and each row of another component."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    ranked = rows.join(degree, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    pivots = ranked.groupBy("area").agg(F.max(F.struct("degree", "rep", "component")).alias("p"))
+    pairs = rows.join(pivots, "area").where(F.col("component") != F.col("p.component"))
+    return pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+
+
+def block_pairs(rows: DataFrame, texts: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Pairs (a < b) that are alike and join components, from comparing the rows of an open region.
+
+    Those outside the largest component and those in it are dealt to blocks apart; a row goes to every pair of blocks that
+    has its own, save for pairs of blocks of the largest component, which is linked already.
+    """
+
+    def links(group: list[tuple]) -> list[tuple]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        # by size, so that rows too small for the larger ones end the inner loop
+        drawn = sorted(((len(s), rep, c, own, s) for rep, c, own, text in group if len(s := shingle_hashes(text, size))), key=lambda r: r[:4])
+        whole, out = len({r[3] for r in drawn}) < 2, []
+        for k, (n, rep, c, own, s) in enumerate(drawn):
+            for m, other, d, theirs, t in reversed(drawn[:k]):
+                if 100 * m < threshold * n:
+                    break
+                if (whole or own != theirs) and rep != other and root(c) != root(d):
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= threshold * (n + m - both):
+                        up[root(c)] = root(d)
+                        out.append((min(rep, other), max(rep, other)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, []
+        for b in slices(batches):
+            out = []
+            for area, i, j, *row in zip(*[c.to_pylist() for c in b.columns]):
+                if (area, i, j) != last:
+                    out += links(group)
+                    last, group = (area, i, j), []
+                group.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 2)], names=["a", "b"])
+        out = links(group)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 2)], names=["a", "b"])
+
+    outside, inside, is_main = F.ceil(F.col("u") / block), F.ceil(F.col("m") / block), F.col("component") == F.col("main")
+    place, until = F.when(is_main, outside + F.pmod(F.xxhash64("rep"), inside)), F.when(is_main, outside - 1)
+    own = rows.withColumn("own", place.otherwise(F.pmod(F.xxhash64("rep"), outside)))
+    own = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), until.otherwise(outside + inside - 1))))
+    # a block meets itself in a group of its own, so that a group of two blocks has only their cross pairs
+    own = own.select("area", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "component", "own")
+    full = own.join(texts.withColumnRenamed("id", "rep"), "rep").select("area", "i", "j", "rep", "component", "own", "text")
+    dealt = full.repartition("area", "i", "j").sortWithinPartitions("area", "i", "j")
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
+
+
 def shingle_set(text: str, size: int = SHINGLE) -> set:
     w = text.encode().translate(_LOWER).split()
     return set(zip(*(w[j:] for j in range(size)))) if len(w) >= size else {tuple(w)} if w else set()
@@ -258,26 +350,38 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return after
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """Links with the components of ``labels``."""
+    return labels.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def components_of(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drawn = materialize(sketches(docs, size), "near-sketches")
     classes = materialize(drawn.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")).where("rep is not null"), "near-classes")
     pairs = materialize(candidates(classes), "near-candidates")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    held = crowded(classes)
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(held.select("rep")).distinct(), "near-ids")
     # only texts that may be needed are shuffled to where the ids are
     wanted = maybe_in(docs.where("text is not null").withColumnRenamed("doc_id", "id"), "id", ids)
     texts = materialize(wanted.join(ids, "id"), "near-texts")
     early = materialize(confirmed(pairs.where(F.col("tree") < EARLY), texts, size, threshold), "near-links")
     first = components(early, "near-first")
     sides = [first.select(F.col("id").alias(s), F.col("component").alias(f"component_{s}")) for s in ("a", "b")]
-    discard(early)
     late = pairs.where(F.col("tree") >= EARLY).join(sides[0], "a", "left").join(sides[1], "b", "left")
     late = late.where(~F.coalesce("component_a", "a").eqNullSafe(F.coalesce("component_b", "b"))).select("a", "b")
     more = materialize(confirmed(late, texts, size, threshold), "near-links")
-    last = components(first.where("id != component").select("id", "component").toDF("a", "b").union(more), "near-last")
+    last = components(_stars(first).union(more), "near-last")
+    for pairs_of in (lambda rows: pivot_pairs(rows, early.union(more)), lambda rows: block_pairs(rows, texts, size, threshold)):
+        rows = still_open(held, last)
+        if not rows.isEmpty():
+            found = materialize(confirmed(pairs_of(rows), texts, size, threshold), "near-links")
+            before, last = last, components(_stars(last).union(found), "near-last")
+            discard(found, before)
+        discard(rows)
     known = materialize(classes.select("print", "rep").join(last.select(F.col("id").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component")), "near-known")
-    discard(classes, pairs, ids, texts, first, more, last)
+    discard(classes, pairs, held, ids, texts, early, first, more, last)
     out = drawn.select("doc_id", "n_shingles", "print").join(known, "print", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()))
 

@@ -181,3 +181,34 @@ def test_maybe_in(spark):
     assert len(inside) + len(outside) == 1000 and {r["id"] for r in inside} >= {i for i in range(0, 1000, 7) if i % 10}
     assert len(inside) < 200 and None not in {r["id"] for r in inside}
     assert maybe_in(df, "id", ids.limit(0)).count() == 0
+
+
+def star(leaves, at=0, seed=11):
+    """A text of 400 shingles and its ``leaves`` copies with ten words changed: each is like the text, none like another."""
+    rng = random.Random(seed)
+    hub = [f"h{i}" for i in range(403)]
+    rows = [(at + leaves, " ".join(hub))]
+    for k in range(leaves):
+        c = list(hub)
+        for i in rng.sample(range(100), 10):
+            c[4 * i + 1] = f"e{k}x{i}"
+        rows.append((at + k, " ".join(c)))
+    return rows
+
+
+def test_a_text_with_many_different_copies(spark):
+    rows = star(1000)
+    sets = [shingles(t) for _, t in rows[:40]]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(0.8 <= like(sets[0], s) < 0.85 for s in sets[1:])
+    assert all(like(a, b) < 0.8 for a, b in itertools.combinations(sets[1:], 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in near_dedup.components_of(df).collect()} == {0}
+
+
+def test_block_pairs_against_brute_force(spark):
+    rows = star(60) + [(1000 + i, " ".join(f"u{i}w{j}" for j in range(400))) for i in range(20)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    held = texts.select(F.lit(1).cast("long").alias("area"), F.col("id").alias("rep"), F.when(F.col("id") < 30, 0).otherwise(F.col("id")).alias("component"), F.lit(0).cast("long").alias("main"), F.lit(30).cast("long").alias("m"), F.lit(len(rows) - 30).cast("long").alias("u"))
+    links = {(r["a"], r["b"]) for r in near_dedup.block_pairs(held, texts, block=16).collect()}
+    assert {(k, 60) for k in range(30, 60)} < links <= {(k, 60) for k in range(60)}
