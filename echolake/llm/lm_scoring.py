@@ -2,9 +2,9 @@
 
 Both are interpolated bigram models of the same order, smoothing and vocabulary; the vocabulary is the ``VOCABULARY``
 most frequent words of the target texts, any other word is one unknown word.  Counts are taken over all documents:
-those of the target condition for the target model, all others for the background.  Bigrams are counted in ``CELLS``
-hashed cells, a model size that does not grow with the corpus, so both models can be broadcast; what is gathered to
-fill the cells does grow with it, a row per task and filled cell.  The score is the mean over a document's tokens of
+those of the target condition for the target model, all others for the background.  Bigrams are counted exactly, in a
+stored table that grows with the corpus.  Those of the highest counts, at most ``FREQUENT``, are broadcast with the word
+counts; occurrences of all others are joined to the table, so that every token has its own count.  The score is the mean over a document's tokens of
 the target model's loss minus the background model's: the lower, the more it is like the target.
 
 Defined cases: a null or word-less text has no tokens and a null score; a target without texts gives an empty
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import slices, tidy
+from echolake.llm.base import materialize, slices, tidy
 
 VOCABULARY = 50_000
-BITS = 20
-CELLS = 1 << BITS
+FREQUENT = 2_000_000  # bigrams that are broadcast; others are joined
 BIGRAM, UNIGRAM = 0.7, 0.9  # weights of the bigram estimate, and of the unigram one against the uniform one
 FLUSH = 500_000  # distinct words after which a task passes its counts on
+PENDING = 4_000_000  # bigrams that a task gathers before it passes their counts on
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -65,23 +65,37 @@ def token_ids(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
 
 
 def _cells(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    h = (before * np.uint64(0x9E3779B97F4A7C15) + now + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+    """A key of its own for every bigram."""
+    return (before << np.uint64(32) | now).astype(np.int64)
+
+
+class Bigrams:
+    """The counts of one side in the stored table, looked up by key."""
+
+    def __init__(self, counts: DataFrame, side: str):
+        self.counts, self.side = counts, side
+
+    def __getitem__(self, key: int) -> int:
+        return sum(r[self.side] for r in self.counts.where(F.col("key") == int(key)).select(self.side).collect())
 
 
 class Model:
-    """Counts of one side: of words (0 is unknown), of words as contexts (the last one is a text's start), and of bigram cells."""
+    """Counts of one side: of words (0 is unknown), of words as contexts (the last one is a text's start), and of bigrams."""
 
-    def __init__(self, unigrams: np.ndarray, contexts: np.ndarray, bigrams: np.ndarray):
-        self.unigrams = unigrams.astype(np.float32)
-        self.contexts, self.bigrams = contexts.astype(np.float32), bigrams.astype(np.float32)
+    def __init__(self, unigrams: np.ndarray, contexts: np.ndarray, bigrams: Bigrams | None):
+        self.unigrams, self.contexts, self.bigrams = unigrams.astype(np.float64), contexts.astype(np.float64), bigrams
         self.total, self.kinds = float(unigrams.sum()), len(unigrams)
 
-    def losses(self, now: np.ndarray, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    def words_only(self) -> Model:
+        """The part of bounded size."""
+        return Model(self.unigrams, self.contexts, None)
+
+    def losses(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The loss of each bigram, which occurs ``counts`` times on this side."""
+        before, now = keys >> 32, keys & 0xFFFFFFFF
         p1 = UNIGRAM * self.unigrams[now] / max(self.total, 1) + (1 - UNIGRAM) / self.kinds
         c = self.contexts[before]
-        p2 = np.minimum(self.bigrams[cells], c) / np.maximum(c, 1)
-        return -np.log(np.where(c > 0, BIGRAM * p2 + (1 - BIGRAM) * p1, p1))
+        return -np.log(np.where(c > 0, BIGRAM * counts / np.maximum(c, 1) + (1 - BIGRAM) * p1, p1))
 
 
 def _steps(ids: np.ndarray, start: int) -> np.ndarray:
@@ -96,50 +110,97 @@ def train(docs: DataFrame, target: Column, size: int = VOCABULARY) -> tuple[dict
     held, start = spark.sparkContext.broadcast(ids), len(ids) + 1
     kinds = start + 1
 
+    def counted(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for side in (0, 1):
+            if parts := [x for k, x in held if k == side]:
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield from batched(keys, [n, np.zeros_like(n)] if side == 0 else [np.zeros_like(n), n])
+
+    def batched(keys: np.ndarray, n) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (keys, *n)], names=["key", "good", "back"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 2 * kinds + CELLS), dtype=np.int64)  # words, contexts, cells
+        tables = np.zeros((2, 2 * kinds), dtype=np.int64)  # words, contexts
+        pending, size = [], 0
         for b in slices(batches):
             for is_target, text in zip(b.column(0).to_pylist(), b.column(1)):
                 now = token_ids(text.as_py(), held.value)
                 if len(now):
-                    before, t = _steps(now, start), tables[int(not is_target)]
-                    np.add.at(t, np.concatenate([now.astype(np.int64), before.astype(np.int64) + kinds, _cells(before, now) + 2 * kinds]), 1)
-        for k in (0, 1):
-            at = np.flatnonzero(tables[k])
-            for i in range(0, len(at), 100_000):
-                part = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, dtype=np.int8)), pa.array(part.astype(np.int32)), pa.array(tables[k][part])], names=["side", "slot", "n"])
-
-    found = rows.mapInArrow(tidy(run), "side byte, slot int, n long").groupBy("side", "slot").agg(F.sum("n").alias("n"))
-    got = found.toArrow()  # at most 2 * (2 * vocabulary + cells) rows
-    tables = np.zeros((2, 2 * kinds + CELLS), dtype=np.int64)
-    tables[got.column("side").to_numpy(), got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    models = [Model(t[: kinds - 1], t[kinds : 2 * kinds], t[2 * kinds :]) for t in tables]
+                    before, side = _steps(now, start), int(not is_target)
+                    np.add.at(tables[side], np.concatenate([now.astype(np.int64), before.astype(np.int64) + kinds]), 1)
+                    pending.append((side, _cells(before, now)))
+                    size += len(now)
+                    if size >= PENDING:
+                        yield from counted(pending)
+                        pending, size = [], 0
+        yield from counted(pending)
+        at = np.flatnonzero(tables.any(0))
+        yield from batched(-1 - at, tables[:, at])  # keys of words and contexts are negative
+
+    found = rows.mapInArrow(tidy(run), "key long, good long, back long").groupBy("key").agg(F.sum("good").alias("good"), F.sum("back").alias("back"))
+    counts = materialize(found, "lm-counts")
+    got = counts.where("key < 0").toArrow()  # at most 2 * vocabulary rows
+    tables = np.zeros((2, 2 * kinds), dtype=np.int64)
+    for k, side in enumerate(("good", "back")):
+        tables[k, -1 - got.column("key").to_numpy()] = got.column(side).to_numpy()
+    models = [Model(t[: kinds - 1], t[kinds:], Bigrams(counts, side)) for t, side in zip(tables, ("good", "back"))]
     return ids, models[0], models[1]
 
 
-def score(docs: DataFrame, target: Column, columns: list[str] | None = None, size: int = VOCABULARY) -> DataFrame:
+def _frequent(bigrams: DataFrame, most: int) -> int:
+    """The least count such that at most ``most`` bigrams have it or a higher one."""
+    seen, least = 0, None
+    for r in bigrams.groupBy((F.col("good") + F.col("back")).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect():
+        seen += r["rows"]
+        if seen > most:
+            break
+        least = r["n"]
+    return (1 << 62) if least is None else least
+
+
+def score(docs: DataFrame, target: Column, columns: list[str] | None = None, size: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """``columns`` (default: doc_id), n_tokens, both cross-entropies in nats a token, and their difference as ``score``."""
     columns = columns or ["doc_id"]
     ids, good, back = train(docs, target, size)
-    held, n = docs.sparkSession.sparkContext.broadcast((ids, good, back)), len(columns)
-    names = [*columns, "n_tokens", "target_loss", "background_loss", "score"]
+    spark, n = docs.sparkSession, len(columns)
+    bigrams = good.bigrams.counts.where("key >= 0")
+    least = F.lit(_frequent(bigrams, frequent))
+    total = F.col("good") + F.col("back")
+    top = bigrams.where(total >= least).toArrow().sort_by("key")
+    keys = top.column("key").to_numpy()
+    good, back = good.words_only(), back.words_only()
+    known = [m.losses(keys, top.column(c).to_numpy()) for m, c in ((good, "good"), (back, "back"))]
+    held, words_held = spark.sparkContext.broadcast((ids, keys, *known)), spark.sparkContext.broadcast((good, back))
+    names = [*columns, "_row", "n_tokens", "_good", "_back", "_rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, good, back = held.value
+        ids, keys, a, z = held.value
         for b in slices(batches):
             out = []
-            for text in b.column(n):
+            for text in b.column(n + 1):
                 now = token_ids(text.as_py(), ids)
                 if not len(now):
-                    out.append((0, None, None, None))
+                    out.append((0, 0.0, 0.0, []))
                     continue
-                before = _steps(now, len(ids) + 1)
-                cells, now, before = _cells(before, now), now.astype(np.int64), before.astype(np.int64)
-                a, z = (float(m.losses(now, before, cells).mean(dtype=np.float64)) for m in (good, back))
-                out.append((len(now), a, z, a - z))
-            made = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), *[pa.float64()] * 3])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=names)
-
-    schema = docs.select(*columns, F.lit(0).cast("long").alias("n_tokens"), *[F.lit(None).cast("double").alias(c) for c in names[-3:]]).schema
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(tidy(run), schema)
+                mine = _cells(_steps(now, len(ids) + 1), now)
+                at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+                there = keys[at] == mine if len(keys) else np.zeros(len(mine), dtype=bool)
+                at = at[there]
+                out.append((len(now), float(a[at].sum()), float(z[at].sum()), mine[~there]))
+            made = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())])]
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], *made], names=names)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, *counts = [c.to_numpy() for c in b.columns]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(m.losses(k, c)) for m, c in zip(words_held.value, counts)]], names=["key", "a", "z"])
+
+    schema = docs.select(*columns, *[F.lit(0).cast("long").alias(c) for c in names[n : n + 2]], *[F.lit(0.0).alias(c) for c in names[n + 2 : n + 4]], F.lit(None).cast("array<long>").alias("_rest")).schema
+    rows = docs.select(*columns, F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("_text"))
+    parts = materialize(rows.mapInArrow(tidy(run), schema), "lm-parts")  # stored, so that _row stays
+    others = bigrams.where(total < least).select("key", "good", "back").mapInArrow(tidy(rare), "key long, a double, z double")
+    sums = parts.select("_row", F.explode("_rest").alias("key")).join(others, "key").groupBy("_row").agg(F.sum("a").alias("_a"), F.sum("z").alias("_z"))
+    both = parts.drop("_rest").join(sums, "_row", "left")
+    mean = {c: F.when(F.col("n_tokens") > 0, (F.col(x) + F.coalesce(y, F.lit(0.0))) / F.col("n_tokens")) for c, x, y in (("target_loss", "_good", "_a"), ("background_loss", "_back", "_z"))}
+    return both.select(*columns, "n_tokens", *[e.alias(c) for c, e in mean.items()]).withColumn("score", F.col("target_loss") - F.col("background_loss"))

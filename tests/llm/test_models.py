@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,3 +158,26 @@ def test_counts_are_of_all_documents(spark):
     x, y, start = ids[b"x"], ids[b"y"], len(ids) + 1
     cell = lm_scoring._cells(np.array([x], dtype=np.uint64), np.array([y], dtype=np.uint64))
     assert good.bigrams[cell[0]] == 30 and back.contexts[start] == 70
+
+
+@pytest.mark.parametrize("frequent", [0, 40, 10**6])
+def test_losses_are_of_exact_bigram_counts(spark, frequent):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(1200)}" for _ in range(4000)), "", "t" if i % 2 else "b", "") for i in range(100)]
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(rows, DOCS), F.col("source") == "t", frequent=frequent).collect()}
+    texts = {i: t.split() for i, t, *_ in rows}
+    kinds = len({w for i, t in texts.items() if i % 2 for w in t}) + 1
+    for column, side in (("target_loss", 1), ("background_loss", 0)):
+        one, two, first = Counter(), Counter(), Counter()
+        for i, t in texts.items():
+            if i % 2 == side:
+                one.update(t)
+                two.update(zip(["", *t], t))
+                first.update(["", *t[:-1]])
+        total = sum(one.values())
+        for i in (0, 1):
+            loss = 0.0
+            for b, w in zip(["", *texts[i]], texts[i]):
+                p = 0.9 * one[w] / total + 0.1 / kinds
+                loss -= math.log(0.7 * two[b, w] / first[b] + 0.3 * p if first[b] else p)
+            assert got[i][column] == pytest.approx(loss / 4000, rel=1e-9)
