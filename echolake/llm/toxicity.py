@@ -93,7 +93,7 @@ class Lexicon:
             math.log1p(count[1]),
             len(hits) / n,
             close,
-            float(len({tokens[i] for i in hits[:5000]})),
+            float(len({tokens[i] for i in hits})),
             count[2] / n,
             near / n,
             near / max(len(hits), 1),

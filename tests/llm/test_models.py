@@ -104,6 +104,11 @@ def test_marks_of_hidden_words():
     assert not lexicon.mark("plain") and lexicon.mark("LOUD") == toxicity.CAPITALS and lexicon.mark("you") == toxicity.SECOND
 
 
+def test_distinct_hits_are_of_the_whole_text():
+    lexicon = toxicity.Lexicon(["=idiot", "=moron"])
+    assert lexicon.features("idiot " * 6000 + "moron")[6] == 2
+
+
 LANGUAGES = {"en": "the and of to that with", "de": "der und die nicht mit schön", "fr": "le et été les dans où"}
 
 
