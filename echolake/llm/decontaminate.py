@@ -9,8 +9,8 @@ hits is verified on the full word sequence.
 The benchmark side is broadcast only in blocks of at most ``block_bytes`` of text: a larger benchmark takes several
 passes over the documents, each of which adds its hits to a bitmap per document, so results do not depend on the size.
 
-Defined cases: a null or word-less text has no words, no hits and is clean; null item texts add nothing; repeated items
-count once per item id; repeated documents are judged row by row; empty tables give empty or all-clean results; extra
+Defined cases: a null or word-less text has no words, no hits and is clean; null item texts add nothing; items with
+a null id hit as others do and count as one item, which the digest leaves out; repeated items count once per item id; repeated documents are judged row by row; empty tables give empty or all-clean results; extra
 columns are ignored by :func:`scan` and kept by :func:`clean`.
 """
 
@@ -93,7 +93,7 @@ class NgramSet:
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
     """The items in blocks of about ``block_bytes``; only one block is held by the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(total / block_bytes) or 1
     for k in range(n):
@@ -121,7 +121,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str | None]], size: int, finis
                     hit = was if hit is None else hit | was
                 n_words.append(len(ws))
                 hits.append(None if hit is None else np.packbits(hit).tobytes())
-                found.append(sorted(items | set(had or ())))
+                found.append(sorted(items | set(had or ()), key=lambda x: (x is None, x or 0)))
             new = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, pa.binary()), "items": pa.array(found, pa.list_(pa.int64()))}
             got = pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for c, i in at.items()], names=list(at))
             yield finish(got) if finish else got
@@ -164,7 +164,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                 b.column(2),
                 pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()),
+                pa.array([hashlib.sha256(",".join(sorted(str(i) for i in x if i is not None)).encode()).hexdigest() for x in items], pa.string()),
                 pa.array([h > 0 and SHARE * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
             ],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],

@@ -154,3 +154,14 @@ def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(d, none).first()["contaminated"] is False
     assert decontaminate.report(d.limit(0), none).count() == 0
+
+
+def test_items_without_an_id(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(None, passage), (None, "some other words"), (7, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, passage), (2, "some other words"), (3, "clean")], "doc_id long, text string")
+    for block in (10, 1 << 20):
+        got = {r["doc_id"]: r for r in decontaminate.report(docs, items, block_bytes=block).collect()}
+        assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(20, 2, True), (3, 1, True), (0, 0, False)]
+        assert [got[i]["items_sha256"] for i in (1, 2)] == [hashlib.sha256(s).hexdigest() for s in (b"7", b"")]
+        assert [r["doc_id"] for r in decontaminate.clean(docs, items, block_bytes=block).collect()] == [3]
