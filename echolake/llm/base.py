@@ -90,26 +90,45 @@ def tidy(run):
     return wrapped
 
 
-_BLOOM_BITS = 1 << 26  # at most: 8 MB, whatever the number of ids; more ids only let more rows through
+_BLOOM_BITS = 1 << 28  # at most: 32 MB, enough for 16 million ids at 16 bits each; more ids only let more rows through
+_BLOOM_CHUNK = 1 << 16  # bits that one row of the aggregate holds
 
 
-def maybe_in(df: DataFrame, column: str, ids: DataFrame, keep: bool = True) -> DataFrame:
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, keep: bool = True, most_bits: int = _BLOOM_BITS) -> DataFrame:
     """The rows of ``df`` whose ``column`` may be among ``ids`` (with ``keep`` false: those for which it surely is not).
 
-    ``ids`` has one column of integers.  A Bloom filter of bounded size is built from it and broadcast, so that a join
-    with ``ids`` that follows shuffles few rows that it would drop.  Null is not among ids.
+    ``ids`` has one column of integers.  A Bloom filter is sized by their number, built in chunks by the executors and
+    broadcast, so that a join with ``ids`` that follows shuffles few rows that it would drop.  It has ``most_bits`` at most;
+    with more ids than that holds the same rows come out of the join, after a larger shuffle.  Null is not among ids.
     """
     name = ids.columns[0]
     wanted = 16 * max(1, ids.count())
-    bits = min(_BLOOM_BITS, 1 << max(10, (wanted - 1).bit_length()))
+    bits = min(most_bits, 1 << max(10, (wanted - 1).bit_length()))
+    chunk = min(bits, _BLOOM_CHUNK)
 
     def places(c: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(4)]
 
-    set_bits = ids.where(F.col(name).isNotNull()).select(F.explode(F.array(*places(F.col(name).cast("long")))).alias("p"))
-    filled = set_bits.groupBy(F.shiftright("p", 3).cast("int").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).alias("v")).toArrow()
+    def fill(batches):
+        last, held = None, np.zeros(chunk // 8, dtype=np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for k in np.unique(at).tolist():
+                if k != last:
+                    if last is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["chunk", "bits"])
+                    last, held = k, np.zeros(chunk // 8, dtype=np.uint8)
+                p = b.column(1).to_numpy()[at == k]
+                np.bitwise_or.at(held, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    bit = F.explode(F.array(*places(F.col(name).cast("long"))))
+    set_bits = ids.where(F.col(name).isNotNull()).select(bit.alias("p")).select(F.expr(f"p div {chunk}").alias("chunk"), F.expr(f"int(p % {chunk})").alias("p"))
+    filled = set_bits.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tidy(fill), "chunk long, bits binary").toArrow()
     table = np.zeros(bits // 8, dtype=np.uint8)
-    table[filled.column(0).to_numpy()] = filled.column(1).to_numpy().astype(np.uint8)
+    for k, v in zip(filled.column(0).to_pylist(), filled.column(1).to_pylist()):
+        table[k * (chunk // 8) : (k + 1) * (chunk // 8)] = np.frombuffer(v, dtype=np.uint8)
     held, columns = df.sparkSession.sparkContext.broadcast(table), df.columns
 
     def run(batches):

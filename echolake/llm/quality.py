@@ -8,8 +8,9 @@ The training sample is bounded: at most ``SAMPLE`` positives and ``SAMPLE`` unla
 hashes of their ids.  Every document is scored on its whole text.
 
 Defined cases: null and empty texts get the score of a text without words; without a positive or an unlabelled document
-every score is 0.5; a document with conflicting labels is no trusted positive; rows that share an id are scored each;
-extra columns are ignored; empty tables give no rows.
+every score is 0.5; a document with conflicting labels is no trusted positive; rows that share an id are scored each, and
+of a sampled id with several texts the smallest is learnt from; texts of any length are measured whole; extra columns are
+ignored; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -43,9 +43,9 @@ def filter_texts(docs: DataFrame, model, accept: Callable[[np.ndarray], np.ndarr
 
 def sample_texts(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
     """``ids`` (a bounded sample) with the ``text`` of each, stored: the corpus is scanned once, however often the sample is
-    read.  The broadcast side has the sample's size; rows that share an id count once."""
+    read.  The broadcast side has the sample's size; of rows that share an id the smallest text counts."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    return materialize(rows.dropDuplicates(["doc_id"]), label)
+    return materialize(rows.groupBy(*ids.columns).agg(F.min("text").alias("text")), label)
 
 
 def measured(sample: DataFrame, measure: Callable[..., list], columns: list[str]) -> DataFrame:

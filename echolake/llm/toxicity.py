@@ -10,7 +10,8 @@ document is scored on its whole text.
 
 Defined cases: null and empty texts get the score of a text without words; without labels of both kinds every score is
 the share of toxic labels (0 if there is none); a document with conflicting labels counts as toxic; rows that share an
-id are scored each; extra columns are ignored; empty tables give no rows.
+id are scored each, and of a labelled id with several texts the smallest is learnt from; texts and words of any length
+are read whole; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def lexicon_counts(sample: DataFrame) -> DataFrame:
         for b in slices(batches):
             for half, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 seen = {w for t in (text.as_py() or "").split() if (w := t.strip(_EDGE).lower())}
-                terms = {t for w in seen if len(w) < 40 for t in _terms(w)}
+                terms = {t for w in seen for t in _terms(w)}
                 counts[2 * half].update(terms)
                 if toxic:
                     counts[2 * half + 1].update(terms)
@@ -233,11 +234,16 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, modulus: i
     x, y = np.array([r["features"] for r in rows], dtype=np.float64), np.array([r["toxic"] for r in rows], dtype=np.float64)
     rate = float(y.mean()) if len(y) else 0.0
     final = Lexicon(_chosen(counts, toxic, (0, 1)))
-    if not 0 < y.sum() < len(y) or len(y) < 20:
+    if not 0 < y.sum() < len(y):
         return Toxicity(final, None, None, rate)
-    test = np.arange(len(y)) % 4 == 0
-    trees = Trees().fit(x[~test], y[~test])
-    knots = isotonic(trees.raw(x[test]), y[test])
+    # of each kind every fourth calibrates; where that leaves a side without one of the kinds, all rows do both
+    place = np.empty(len(y), dtype=np.int64)
+    for kind in (0, 1):
+        place[y == kind] = np.arange(np.count_nonzero(y == kind))
+    test = place % 4 == 3
+    both = all(0 < y[side].sum() < np.count_nonzero(side) for side in (test, ~test))
+    trees = Trees().fit(x[~test], y[~test]) if both else Trees().fit(x, y)
+    knots = isotonic(trees.raw(x[test]), y[test]) if both else isotonic(trees.raw(x), y)
     return Toxicity(final, trees, knots, rate)
 
 
