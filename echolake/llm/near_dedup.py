@@ -11,20 +11,26 @@ always candidates.  A region of n rows thus gives O(n) candidates and no row is
 
 Crowded regions.  What lies in a region of more than SMALL rows is compared until nothing is open: wherever such a region
 still has rows of several components, first all of its rows meet the one with the most links, so that a text with many
-copies that are not alike among themselves costs a comparison a copy; then, where components still differ, the rows outside
-the region's largest component meet all others, in blocks of about BLOCK rows.  That last step takes the square only of
-the rows outside, and returns no more links than rows in a pair of blocks.
+copies that are not alike among themselves costs a comparison a copy.  The rows of regions that are still open then meet
+in an exact join by prefix filter: shingles are ordered by how rare they are among these rows, and two sets can only be
+similar enough if the rare ends of both share a shingle at places that leave enough behind.  Of templated pages, which
+share most shingles and are yet not alike, these ends hold what is a page's own, so they hardly meet.  That join is an
+equi-join on shingles with sizes and places as conditions; it needs no region's rows together and drops no pair.
 
 Links.  Candidates are confirmed on the full sets of words.  Those of the first ``EARLY`` orders are confirmed first and
 their components found; of the others only candidates between different components remain, so a large group of near
 copies costs a few comparisons a row.  Components are found by label propagation with pointer jumping over stored
 tables; no links or labels come to the driver.
 
-The chance that two documents of similarity 0.8 share no region of depth ``LEAST_DEPTH`` in any order is under 1e-6.
+What can be missed: a pair that shares no region of depth ``LEAST_DEPTH`` in any of the orders.  For two documents of
+similarity 0.8 the chance is (1 - 0.8^3)^20, under 1e-6.  Two that share a region always end in one component if they are
+alike: a small region compares all its pairs, a crowded one is compared until it is one component or the exact join has
+found all pairs of its rows.
 
 Defined cases: documents without words have an empty set, link with nothing and are their own component; so are those
-without an id, whose component is null and which are kept; rows that share an id are one node; an empty table gives no
-rows; extra columns are ignored by :func:`components_of` and kept by :func:`deduplicate`.
+without an id, whose component is null and which are kept; rows that share an id are one node, whose texts' components are
+one; texts of any length are read whole; an empty table gives no rows; extra columns are ignored by :func:`components_of`
+and kept by :func:`deduplicate`, which keeps one row of a repeated id, that of the smallest text.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolake.llm.base import discard, materialize, maybe_in, slices, tidy
@@ -47,7 +53,7 @@ LEAST_DEPTH = 3
 DEPTH = 8
 SMALL = 4
 EARLY = 4
-BLOCK = 128
+CELLS = 1 << 20  # of the shingle counts that order the exact join
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -224,57 +230,65 @@ def pivot_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
 
 
-def block_pairs(rows: DataFrame, texts: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Pairs (a < b) that are alike and join components, from comparing the rows of an open region.
+def needed(n: int | np.ndarray | Column, m: int | np.ndarray | Column, threshold: int):
+    """Shingles that sets of ``n`` and ``m`` must share, times (100 + threshold)."""
+    return threshold * (n + m)
 
-    Those outside the largest component and those in it are dealt to blocks apart; a row goes to every pair of blocks that
-    has its own, save for pairs of blocks of the largest component, which is linked already.
-    """
 
-    def links(group: list[tuple]) -> list[tuple]:
-        up: dict[int, int] = {}
+def rare_ends(texts: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """``shingle``, ``rep``, ``component``, ``n`` (of the set), ``place`` and ``least`` (the smaller set of a pair has it there) for
+    the rarest shingles of every row of (rep, component, text): as many as a similar set must share one of.
 
-        def root(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
+    The order is by counts in CELLS hashed cells, which are broadcast, and then by hash.  Cells that several shingles share
+    only make the order less apt; any order that is the same for all rows is right.
+    """
 
-        # by size, so that rows too small for the larger ones end the inner loop
-        drawn = sorted(((len(s), rep, c, own, s) for rep, c, own, text in group if len(s := shingle_hashes(text, size))), key=lambda r: r[:4])
-        whole, out = len({r[3] for r in drawn}) < 2, []
-        for k, (n, rep, c, own, s) in enumerate(drawn):
-            for m, other, d, theirs, t in reversed(drawn[:k]):
-                if 100 * m < threshold * n:
-                    break
-                if (whole or own != theirs) and rep != other and root(c) != root(d):
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= threshold * (n + m - both):
-                        up[root(c)] = root(d)
-                        out.append((min(rep, other), max(rep, other)))
-        return out
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, dtype=np.int64)
+        for b in slices(batches):
+            for text in b.column(0):
+                cells += np.bincount(shingle_hashes(text.as_py(), size) >> np.uint64(44), minlength=CELLS)
+        at = np.flatnonzero(cells)
+        for i in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(cells[at[i : i + 50_000]])], names=["cell", "n"])
+
+    found = texts.select("text").mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(CELLS, dtype=np.int64)
+    cells[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, group = None, []
         for b in slices(batches):
-            out = []
-            for area, i, j, *row in zip(*[c.to_pylist() for c in b.columns]):
-                if (area, i, j) != last:
-                    out += links(group)
-                    last, group = (area, i, j), []
-                group.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 2)], names=["a", "b"])
-        out = links(group)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 2)], names=["a", "b"])
-
-    outside, inside, is_main = F.ceil(F.col("u") / block), F.ceil(F.col("m") / block), F.col("component") == F.col("main")
-    place, until = F.when(is_main, outside + F.pmod(F.xxhash64("rep"), inside)), F.when(is_main, outside - 1)
-    own = rows.withColumn("own", place.otherwise(F.pmod(F.xxhash64("rep"), outside)))
-    own = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), until.otherwise(outside + inside - 1))))
-    # a block meets itself in a group of its own, so that a group of two blocks has only their cross pairs
-    own = own.select("area", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "component", "own")
-    full = own.join(texts.withColumnRenamed("id", "rep"), "rep").select("area", "i", "j", "rep", "component", "own", "text")
-    dealt = full.repartition("area", "i", "j").sortWithinPartitions("area", "i", "j")
-    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
+            for rep, component, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                h = shingle_hashes(text.as_py(), size)
+                n = len(h)
+                if not n:
+                    continue
+                end = n - -(-threshold * n // 100) + 1
+                least = n - -(-needed(n, n, threshold) // (100 + threshold)) + 1
+                h = h[np.lexsort((h, held.value[h >> np.uint64(44)]))[:end]]
+                k, place = len(h), np.arange(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *(pa.array(np.full(k, x, dtype=np.int64)) for x in (rep, component, n)), pa.array(place), pa.array(place < least)], names=["shingle", "rep", "component", "n", "place", "least"])
+
+    return texts.select("rep", "component", "text").mapInArrow(tidy(run), "shingle long, rep long, component long, n long, place long, least boolean")
+
+
+def prefix_pairs(rows: DataFrame, texts: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a < b) of rows of open regions, of different components, that include all whose sets are similar enough."""
+    open_rows = rows.select("rep", "component").distinct()
+    full = materialize(open_rows.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "component", "text"), "near-full")
+    ends = materialize(rare_ends(full, size, threshold), "near-ends")
+    discard(full)
+    # the smaller set (of equal ones that of the smaller id) has the shared shingle among its very rarest
+    x, y = ends.where("least").drop("least").alias("x"), ends.drop("least").alias("y")
+    enough = F.col("x.n") * 100 >= F.col("y.n") * threshold
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+    behind = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (100 + threshold) >= needed(F.col("x.n"), F.col("y.n"), threshold)
+    apart = F.col("x.component") != F.col("y.component")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & smaller & enough & behind)
+    pairs = materialize(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "near-met")
+    discard(ends)
+    return pairs
 
 
 def shingle_set(text: str, size: int = SHINGLE) -> set:
@@ -355,6 +369,13 @@ def _stars(labels: DataFrame) -> DataFrame:
     return labels.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
+def _one_id(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of all texts that one id has; most tables have no such id."""
+    several = drawn.where("doc_id is not null and print is not null").groupBy("doc_id").agg(F.min("print").alias("least"), F.max("print").alias("most")).where("least != most").select("doc_id")
+    texts = drawn.where("print is not null").join(several, "doc_id").select("doc_id", "print").distinct()
+    return texts.join(classes.select("print", "rep"), "print").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def components_of(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -372,23 +393,28 @@ def components_of(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHO
     late = pairs.where(F.col("tree") >= EARLY).join(sides[0], "a", "left").join(sides[1], "b", "left")
     late = late.where(~F.coalesce("component_a", "a").eqNullSafe(F.coalesce("component_b", "b"))).select("a", "b")
     more = materialize(confirmed(late, texts, size, threshold), "near-links")
-    last = components(_stars(first).union(more), "near-last")
-    for pairs_of in (lambda rows: pivot_pairs(rows, early.union(more)), lambda rows: block_pairs(rows, texts, size, threshold)):
+    last = components(_stars(first).union(more).union(_one_id(drawn, classes)), "near-last")
+    for pairs_of in (lambda rows: materialize(pivot_pairs(rows, early.union(more)), "near-pivots"), lambda rows: prefix_pairs(rows, texts, size, threshold)):
         rows = still_open(held, last)
         if not rows.isEmpty():
-            found = materialize(confirmed(pairs_of(rows), texts, size, threshold), "near-links")
+            met = pairs_of(rows)
+            found = materialize(confirmed(met, texts, size, threshold), "near-links")
             before, last = last, components(_stars(last).union(found), "near-last")
-            discard(found, before)
+            discard(met, found, before)
         discard(rows)
     known = materialize(classes.select("print", "rep").join(last.select(F.col("id").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component")), "near-known")
     discard(classes, pairs, held, ids, texts, early, first, more, last)
     out = drawn.select("doc_id", "n_shingles", "print").join(known, "print", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()))
+    out = materialize(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull())), "near-components")
+    discard(drawn, known)
+    return out
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates: that of the smallest id, and of its repeats the smallest text."""
-    gone = materialize(components_of(docs, **options).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    judged = components_of(docs, **options)
+    gone = materialize(judged.where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    discard(judged)
     # most rows are surely not among the gone and need no shuffle
     doubtful = maybe_in(docs, "doc_id", gone).join(gone, "doc_id", "left_anti").select(*docs.columns)
     left = maybe_in(docs, "doc_id", gone, keep=False).union(doubtful)
@@ -396,6 +422,6 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     if again.isEmpty():
         return left
     # ids that occur once, which are nearly all, are not shuffled for the sake of the others
-    whole = F.struct("text", *[c for c in docs.columns if c != "text"])
-    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole).alias("row"))
+    place = F.struct("text", *[c for c, t in left.dtypes if c != "text" and "map<" not in t and t != "variant"])
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*left.columns), place).alias("row"))
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns]))

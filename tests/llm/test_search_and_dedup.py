@@ -12,16 +12,13 @@ from echolake.llm import mtree, near_dedup
 from echolake.llm.base import maybe_in
 
 
-def top(rows, k=10, modulus=100):
-    vs = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    queries: dict = {}
-    for i, v in vs:
-        if i % modulus == 0:
-            queries[i] = min(queries.get(i, (len(v), v)), (len(v), v))
+def top(rows, k=10, modulus=100, kind=np.float32):
+    vs = [(i, [int(np.floor(1024 * float(kind(x)))) for x in v]) for i, v in rows if i is not None and v is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, (_, v) in queries.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vs if i != q and len(w) == len(v))[:k]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    for a, (q, v) in enumerate(vs):
+        if q % modulus == 0:
+            scored = sorted((-sum(x * y for x, y in zip(v, w)), i) for b, (i, w) in enumerate(vs) if a != b and len(w) == len(v))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
 
@@ -35,6 +32,26 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in got.collect()) == top(rows)
 
 
+@pytest.mark.parametrize("rows", [[(0, [1.0, 1.0]), (1, [70000.0, 1.0]), (2, [2.0, 2.0])], [(i, [float(i) * 3e3, 2.0**19 + i / 8, -1.0 / 3]) for i in range(120)], [(0, [1.0, 0.0]), (1, [-1e300, 5.0]), (2, [0.5, 1e16]), (3, [3.0, 0.0])], [(0, [1e-3, 0.0]), (100, [0.0, 1e-3]), (2, [1e-3, 1e15])]])
+def test_large_components(spark, rows):
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, block=16, query_block=2, least_blocks=2)
+    assert sorted(tuple(r) for r in got.collect()) == top(rows, k=2, kind=float)
+
+
+def test_a_score_that_no_long_holds_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e10, 0.0]), (1, [1e12, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds a long"):
+        mtree.top_k(df).collect()
+
+
+def test_clustered_blocks_are_spared(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6)) * 50
+    rows = [(i, (centres[i % 12] + rng.normal(size=6) * 0.1).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in mtree.top_k(df, block=200, least_blocks=12).collect()) == top(rows)
+
+
 def test_few_vectors(spark):
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert mtree.top_k(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")).count() == 0
@@ -206,9 +223,69 @@ def test_a_text_with_many_different_copies(spark):
     assert {r["component_id"] for r in near_dedup.components_of(df).collect()} == {0}
 
 
-def test_block_pairs_against_brute_force(spark):
-    rows = star(60) + [(1000 + i, " ".join(f"u{i}w{j}" for j in range(400))) for i in range(20)]
+def links_of(rows, threshold=80):
+    sets = {i: shingles(t) for i, t in rows}
+    return {(i, j) for (i, a), (j, b) in itertools.combinations(sorted(sets.items()), 2) if a and 100 * len(a & b) >= threshold * len(a | b)}
+
+
+def crowd(n, seed=3, shared=170, own=34, pairs=0):
+    """Pages that share a template and are not alike (similarity about 0.7), and ``pairs`` of near copies among them."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(shared)]
+    rows = []
+    for i in range(n):
+        mine = [f"p{i}x{j}" for j in range(own + rng.randrange(-4, 5))]
+        rows.append((2 * i, " ".join(template + mine)))
+        if i < pairs:
+            mine[rng.randrange(len(mine))] = f"q{i}"
+            rows.append((2 * i + 1, " ".join(template + mine)))
+    return rows
+
+
+def test_prefix_pairs_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = star(30) + crowd(60, pairs=20) + [(5000 + i, t) for i, t in corpus(4)[:150]] + [(9000 + i, " ".join(rng.choice("abc") for _ in range(rng.randrange(4, 30)))) for i in range(80)]
+    rows = [(i + 10**4 * k, t) for k, (i, t) in enumerate(rows) if shingles(t)]
     texts = spark.createDataFrame(rows, "id long, text string")
-    held = texts.select(F.lit(1).cast("long").alias("area"), F.col("id").alias("rep"), F.when(F.col("id") < 30, 0).otherwise(F.col("id")).alias("component"), F.lit(0).cast("long").alias("main"), F.lit(30).cast("long").alias("m"), F.lit(len(rows) - 30).cast("long").alias("u"))
-    links = {(r["a"], r["b"]) for r in near_dedup.block_pairs(held, texts, block=16).collect()}
-    assert {(k, 60) for k in range(30, 60)} < links <= {(k, 60) for k in range(60)}
+    held = texts.select(F.col("id").alias("rep"), F.col("id").alias("component"))
+    met = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(held, texts).collect()}
+    wanted = links_of(rows)
+    assert len(wanted) > 100 and met >= wanted
+    one = held.withColumn("component", F.lit(0).cast("long"))
+    assert near_dedup.prefix_pairs(one, texts).count() == 0
+
+
+def test_a_crowd_of_templated_pages(spark):
+    rows = crowd(900, pairs=250)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([(r["doc_id"], r["component_id"]) for r in near_dedup.components_of(df).collect()])
+    assert got == sorted((i, i - i % 2) for i, _ in rows)
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.create_map(F.lit("k"), F.col("text")))
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.components_of(df).collect()} == {(3, 3), (5, 3), (7, 3), (8, 8)}
+    kept = near_dedup.deduplicate(spark.createDataFrame([(8, c), (8, "z y"), (9, "z y x w")], "doc_id long, text string").withColumn("extra", F.create_map(F.lit("k"), F.col("text"))))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(8, min(c, "z y")), (9, "z y x w")])
+
+
+def test_long_texts(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(130_000)]
+    other = list(words)
+    for i in range(0, 130_000, 1000):
+        other[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "x" * 300_000), (4, " ".join(words[:100_000]))]
+    got = {r["doc_id"]: r for r in near_dedup.components_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[1]["n_shingles"] == len(shingles(rows[0][1]))
+
+
+@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 11])
+def test_the_filter_only_saves_work(spark, most_bits):
+    df = spark.createDataFrame([(i,) for i in range(5000)], "id long")
+    ids = spark.createDataFrame([(i,) for i in range(0, 5000, 2)], "x long")
+    inside = {r["id"] for r in maybe_in(df, "id", ids, most_bits=most_bits).collect()}
+    assert inside >= set(range(0, 5000, 2))
+    assert {r["id"] for r in maybe_in(df, "id", ids, keep=False, most_bits=most_bits).collect()} == set(range(5000)) - inside
