@@ -6,21 +6,23 @@ UTF-8 bytes, where every byte over 0x7F belongs to a word, so one ``bytes.transl
 of a whole text.  Words that no item has become 0, and only runs without a 0 are hashed and looked up; a lookup that
 hits is verified on the full word sequence.
 
-The benchmark side is broadcast only in blocks of at most ``block_bytes`` of text: a larger benchmark takes several
-passes over the documents, each of which adds its hits to a bitmap per document, so results do not depend on the size.
+The benchmark side is broadcast only in blocks whose built set takes at most ``MEMORY`` bytes by count of its words and
+windows: sorted hashes, and where in the block's word numbers each window begins.  One block is the rule.  A larger
+benchmark takes a pass a block over the documents, which are then stored once with row numbers; a pass writes what it
+hits, and only rows that may have a hit are joined with that, so results do not depend on the number of blocks.
 
 Defined cases: a null or word-less text has no words, no hits and is clean; null item texts add nothing; items with
-a null id hit as others do and count as one item, which the digest leaves out; repeated items count once per item id; repeated documents are judged row by row; empty tables give empty or all-clean results; extra
-columns are ignored by :func:`scan` and kept by :func:`clean`.
+a null id hit as others do and count as one item, which the digest leaves out; repeated items count once per item id;
+repeated documents are judged row by row; texts of any length are read whole, and an item is never cut; empty tables give
+empty or all-clean results; extra columns are ignored by :func:`scan` and kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echolake.llm.base import delete, fresh_path, slices, tidy
+from echolake.llm.base import materialize, maybe_in, slices, tidy
 
 SIZE = 13
-BLOCK_BYTES = 32 << 20
+MEMORY = 384 << 20  # bytes of a block's set, in each worker
+PER_WORD, PER_WINDOW = 160, 24  # bytes of a distinct word (text, number, entry), and of a window with its word
 SHARE = 20  # contaminated: hit words are at least one in SHARE
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -45,19 +48,45 @@ def words(text: str | None) -> list[bytes]:
 
 
 class NgramSet:
-    """The windows of one benchmark block: ids by word, and by window length the hashes and the exact windows."""
-
-    def __init__(self, items: list[tuple[int, str | None]], size: int):
-        self.ids: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for item_id, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            n = min(size, len(seq))
-            if n:
-                held = self.windows.setdefault(n, {})
-                for i in range(len(seq) - n + 1):
-                    held.setdefault(tuple(seq[i : i + n]), set()).add(item_id)
-        self.hashes = {n: np.unique(self._hash(np.array(list(held), dtype=np.uint64).T)) for n, held in self.windows.items()}
+    """The windows of one benchmark block: numbers of words, all items' words as numbers, and by window length the sorted hashes
+    of the windows with their places among those numbers."""
+
+    def __init__(self, size: int):
+        self.window, self.ids, self.items, self.parts = size, {}, [], []
+        self.words = 0
+
+    def add(self, item_id: int | None, text: str | None) -> None:
+        if ws := words(text):
+            self.items.append(item_id)
+            self.parts.append(np.fromiter((self.ids.setdefault(w, len(self.ids) + 1) for w in ws), dtype=np.uint32, count=len(ws)))
+            self.words += len(ws)
+
+    def size(self) -> int:
+        """About how many bytes this takes in memory."""
+        return PER_WORD * len(self.ids) + PER_WINDOW * self.words
+
+    def sealed(self) -> NgramSet:
+        lengths = np.array([len(p) for p in self.parts], dtype=np.int64)
+        self.ends = np.cumsum(lengths)
+        self.sequence = np.concatenate([*self.parts, np.empty(0, dtype=np.uint32)])
+        del self.parts
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        per = np.minimum(lengths, self.window)
+        for n in np.unique(per).tolist():
+            mine = np.flatnonzero(per == n)
+            many = lengths[mine] - n + 1
+            first = np.repeat(self.ends[mine] - lengths[mine] - np.cumsum(many) + many, many)
+            at, item = first + np.arange(len(first)), np.repeat(mine, many)
+            h = self._hash([self.sequence[at + j].astype(np.uint64) for j in range(n)])
+            order = np.lexsort((item, h))
+            h, at, item = h[order], at[order], item[order]
+            # of equal windows of an item one is enough
+            again = np.zeros(len(h), dtype=bool)
+            again[1:] = (h[1:] == h[:-1]) & (item[1:] == item[:-1])
+            for j in range(n):
+                again[1:] &= self.sequence[at[1:] + j] == self.sequence[at[:-1] + j]
+            self.windows[n] = (h[~again], at[~again])
+        return self
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
@@ -75,77 +104,115 @@ class NgramSet:
         ids = np.fromiter(map(self.ids.get, ws, repeat(0)), dtype=np.uint64, count=len(ws))
         known = np.zeros(len(ws) + 1, dtype=np.int64)
         np.cumsum(ids != 0, out=known[1:])
-        for n, held in self.windows.items():
+        for n, (hashes, places) in self.windows.items():
             at = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(at):
                 continue
             h = self._hash([ids[at + j] for j in range(n)])
-            near = np.minimum(np.searchsorted(self.hashes[n], h), len(self.hashes[n]) - 1)
-            for i in at[self.hashes[n][near] == h].tolist():
-                found = held.get(tuple(ids[i : i + n].tolist()))
-                if found:
-                    items |= found
+            near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            there = hashes[near] == h
+            at, h, near = at[there], h[there], near[there]
+            for i, lo, hi in zip(at.tolist(), near.tolist(), np.searchsorted(hashes, h, side="right").tolist()):
+                begins = places[lo:hi]
+                for j in range(n):
+                    begins = begins[self.sequence[begins + j] == ids[i + j]]
+                if len(begins):
+                    items.update(self.items[k] for k in np.unique(np.searchsorted(self.ends, begins, side="right")).tolist())
                     if hit is None:
                         hit = np.zeros(len(ws), dtype=bool)
                     hit[i : i + n] = True
         return hit, items
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of about ``block_bytes``; only one block is held by the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(total / block_bytes) or 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+def blocks(items: Iterator[tuple[int | None, str | None]], size: int, memory: int) -> Iterator[NgramSet]:
+    """The items in sets of at most about ``memory`` bytes (a single item may take more); one is built at a time."""
+    held = NgramSet(size)
+    for item_id, text in items:
+        held.add(item_id, text)
+        if held.size() > memory:
+            yield held.sealed()
+            held = NgramSet(size)
+    yield held.sealed()
+
+
+_HITS = "n_words long, hits binary, items array<long>"
+
+
+def _hits(b: pa.RecordBatch, text: int, grams: NgramSet) -> list[pa.Array]:
+    """The columns of _HITS for a batch whose texts are column ``text``."""
+    n_words, hits, found = [], [], []
+    for t in b.column(text):
+        ws = words(t.as_py())
+        hit, items = grams.find(ws)
+        n_words.append(len(ws))
+        hits.append(None if hit is None else np.packbits(hit).tobytes())
+        found.append(sorted(items, key=lambda x: (x is None, x or 0)))
+    return [pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+
+
+def _several(docs: DataFrame, sets: Iterator[NgramSet]) -> DataFrame:
+    """``docs`` with the columns of _HITS from all of ``sets``, by a pass for each."""
+    spark, columns = docs.sparkSession, docs.columns
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    found = None
+    for grams in sets:
+        held = spark.sparkContext.broadcast(grams)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                got = pa.RecordBatch.from_arrays([b.column(0), *_hits(b, 1, held.value)[1:]], names=["_row", "hits", "items"])
+                yield got.filter(got.column(1).is_valid())
+
+        part = materialize(rows.select("_row", "text").mapInArrow(tidy(run), "_row long, hits binary, items array<long>"), "decontaminate-hits")
+        found = part if found is None else found.union(part)
+        held.unpersist()
+    # a list has an entry a block at most
+    each = materialize(found.groupBy("_row").agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "decontaminate-rows")
+    ids = each.select("_row")
+    none = maybe_in(rows, "_row", ids, keep=False).withColumns({"hits": F.lit(None).cast("array<binary>"), "items": F.lit(None).cast("array<long>")})
+    some = maybe_in(rows, "_row", ids).join(each, "_row", "left").select(*none.columns)
+    at = len(columns) + 1
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n_words, hits = [len(words(t.as_py())) for t in b.column(columns.index("text"))], []
+            for held in b.column(at).to_pylist():
+                whole = None
+                for h in held or ():
+                    bits = np.frombuffer(h, dtype=np.uint8)
+                    whole = bits if whole is None else whole | bits
+                hits.append(None if whole is None else whole.tobytes())
+            items = [sorted(x or (), key=lambda i: (i is None, i or 0)) for x in b.column(at + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: at - 1], pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=[*columns, "n_words", "hits", "items"])
 
+    return none.union(some).mapInArrow(tidy(merge), _with_hits(docs))
 
-_STATE = "n_words long, hits binary, items array<long>"
 
+def _with_hits(docs: DataFrame) -> T.StructType:
+    return T.StructType([*docs.schema.fields, *T._parse_datatype_string(_HITS).fields])
 
-def _pass(docs: DataFrame, items: list[tuple[int, str | None]], size: int, finish=None, schema=None) -> DataFrame:
-    """``docs`` with the hits of one block added to its state; ``finish`` makes the rows of ``schema`` from a batch of that."""
-    block = docs.sparkSession.sparkContext.broadcast(NgramSet(items, size))
-    at = {c: i for i, c in enumerate(docs.columns)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = block.value
-        for b in slices(batches):
-            n_words, hits, found = [], [], []
-            for text, old, had in zip(b.column(at["text"]), b.column(at["hits"]).to_pylist(), b.column(at["items"]).to_pylist()):
-                ws = words(text.as_py())
-                hit, items = grams.find(ws)
-                if old is not None:
-                    was = np.unpackbits(np.frombuffer(old, dtype=np.uint8), count=len(ws)).astype(bool)
-                    hit = was if hit is None else hit | was
-                n_words.append(len(ws))
-                hits.append(None if hit is None else np.packbits(hit).tobytes())
-                found.append(sorted(items | set(had or ()), key=lambda x: (x is None, x or 0)))
-            new = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, pa.binary()), "items": pa.array(found, pa.list_(pa.int64()))}
-            got = pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for c, i in at.items()], names=list(at))
-            yield finish(got) if finish else got
-
-    return docs.mapInArrow(tidy(run), schema or docs.schema)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], finish, schema, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], finish, schema, size: int = SIZE, memory: int = MEMORY) -> DataFrame:
     """Rows that ``finish`` makes from Arrow batches with the ``keep`` columns of ``docs`` in that order, then ``text``, ``n_words``,
     ``hits`` (a bitmap over the words, null: none hit) and ``items`` (sorted ids of the items that occur)."""
-    spark = docs.sparkSession
-    state = {f.name: f.dataType for f in T._parse_datatype_string(_STATE).fields}
-    got = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("text").cast("string").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in state.items()])
-    last, waiting = None, None
-    for items in _blocks(benchmark, block_bytes):
-        if waiting is not None:  # write what is there, so that one block at a time is in memory
-            path = fresh_path(spark, "decontaminate")
-            _pass(got, waiting, size).write.parquet(path)
-            got = spark.read.schema(got.schema).parquet(path)
-            if last:
-                delete(spark, last)
-            last = path
-        waiting = items
-    return _pass(got, waiting, size, finish, schema)
+    texts = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sets = blocks(((r["item_id"], r["text"]) for r in items.toLocalIterator()), size, memory)
+    first, second = next(sets), next(sets, None)
+    names = [*texts.columns, "n_words", "hits", "items"]
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(first)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                yield finish(pa.RecordBatch.from_arrays([*b.columns, *_hits(b, len(keep), held.value)], names=names))
+
+        return texts.mapInArrow(tidy(run), schema)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(finish, batches)
+
+    return _several(texts, chain([first, second], sets)).mapInArrow(tidy(finished), schema)
 
 
 def _bits(hits: bytes | None) -> int:

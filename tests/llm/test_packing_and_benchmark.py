@@ -72,7 +72,7 @@ def test_pack_documents(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(900))), 0, "x") for i in range(150)]
     rows += [(500, None, 0, ""), (501, "", 0, ""), (7, rows[7][1], 0, ""), (None, "no id", 0, ""), (502, "word " * 9000, 0, "")]
-    got = packing.pack_documents(spark.createDataFrame(rows, DOCS), packing.tokenizer_path(), least_groups=3).collect()
+    got = packing.pack_documents(spark.createDataFrame(rows, DOCS), packing.tokenizer_path(), group=60).collect()
     wanted = []
     for doc_id, text, *_ in rows:
         ids = [*full_ids(text or ""), 0]
@@ -90,7 +90,30 @@ def test_pack_documents(spark):
             at += length
         assert at <= 2048
     lengths = np.array([r["length"] for r in got])
-    assert packing.lower_bound(lengths, 2048) <= len(by) <= packing.lower_bound(lengths, 2048) + 2  # one for each group but one
+    assert packing.lower_bound(lengths, 2048) <= len(by) <= packing.lower_bound(lengths, 2048) + 1
+
+
+@pytest.mark.parametrize("n", [1, 5, 9, 40])
+def test_small_inputs_share_a_sequence(spark, n):
+    docs = spark.createDataFrame([(i, "three short words") for i in range(n)], "doc_id long, text string")
+    assert packing.pack_documents(docs, packing.tokenizer_path()).select("sequence_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("group", [50, 400, 10**6])
+def test_groups_exchange_until_the_whole_is_certified(spark, group):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([rng.randrange(1, 200), rng.randrange(1, 2049)])) for i in range(1500)]
+    items = spark.createDataFrame(rows, "row long, length long")
+    got = packing.pack(items, group=group, rounds=12).join(items, "row").collect()
+    assert sorted(r["row"] for r in got) == [i for i, _ in rows]
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["place"], r["length"]))
+    for held in by.values():
+        ends = list(itertools.accumulate(n for _, n in sorted(held)))
+        assert [p for p, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    bound = packing.certificate(items)
+    assert bound == packing.lower_bound(np.array([n for _, n in rows]), 2048) and bound <= len(by) <= bound + (4 if group == 50 else 2)
 
 
 def test_pack_nothing(spark):
@@ -130,12 +153,12 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_report(spark, block):
+@pytest.mark.parametrize("memory", [1 << 20, 3000])
+def test_report(spark, memory):
     docs, items = cases()
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hits", F.lit(3))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("n_words", F.lit("x"))
-    assert sorted([tuple(r) for r in decontaminate.report(d, b, block_bytes=block).collect()], key=str) == brute_force(docs, items)
+    assert sorted([tuple(r) for r in decontaminate.report(d, b, memory=memory).collect()], key=str) == brute_force(docs, items)
 
 
 def test_clean_documents_and_spans(spark):
@@ -156,12 +179,34 @@ def test_nothing_to_find(spark):
     assert decontaminate.report(d.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("memory", [1 << 28, 4000])
+def test_long_texts_and_repeated_windows(spark, memory):
+    rng = random.Random(3)
+    passage = [f"w{i}" for i in range(40)]
+    items = [(1, "same " * 500), (2, "same " * 13), (3, " ".join(passage)), (3, " ".join(passage)), (4, "Word")]
+    long = [f"x{rng.randrange(1000)}" for _ in range(50_000)]
+    docs = [(1, " ".join(long[:30_000] + passage + long[30_000:])), (2, "same " * 300), (3, "word " * 3), (4, "y" * 500_000), (4, " ".join(passage[5:30])), (5, "Ä" * 3)]
+    got = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), memory=memory)
+    wanted = [(1, 50_040, 40, "3", False), (2, 300, 300, "1,2", True), (3, 3, 3, "4", True), (4, 1, 0, "", False), (4, 25, 25, "3", True), (5, 1, 0, "", False)]
+    wanted = [(i, n, h, len(s.split(",")) if s else 0, hashlib.sha256(s.encode()).hexdigest(), c) for i, n, h, s, c in wanted]
+    assert sorted([tuple(r) for r in got.collect()], key=str) == sorted(wanted, key=str)
+
+
+def test_a_set_is_small_and_bounded():
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(1000))) for i in range(300)]
+    whole = list(decontaminate.blocks(iter(items), 13, 1 << 30))
+    assert len(whole) == 1 and whole[0].size() < 30 * 300_000 + 200 * 20_000
+    parts = list(decontaminate.blocks(iter(items), 13, whole[0].size() // 4))
+    assert 4 <= len(parts) <= 16 and sum(len(h) for p in parts for h, _ in p.windows.values()) == 300 * 988
+
+
 def test_items_without_an_id(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(None, passage), (None, "some other words"), (7, passage)], "item_id long, text string")
     docs = spark.createDataFrame([(1, passage), (2, "some other words"), (3, "clean")], "doc_id long, text string")
-    for block in (10, 1 << 20):
-        got = {r["doc_id"]: r for r in decontaminate.report(docs, items, block_bytes=block).collect()}
+    for memory in (10, 1 << 20):
+        got = {r["doc_id"]: r for r in decontaminate.report(docs, items, memory=memory).collect()}
         assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(20, 2, True), (3, 1, True), (0, 0, False)]
         assert [got[i]["items_sha256"] for i in (1, 2)] == [hashlib.sha256(s).hexdigest() for s in (b"7", b"")]
-        assert [r["doc_id"] for r in decontaminate.clean(docs, items, block_bytes=block).collect()] == [3]
+        assert [r["doc_id"] for r in decontaminate.clean(docs, items, memory=memory).collect()] == [3]
