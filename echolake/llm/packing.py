@@ -4,14 +4,15 @@ Tokens.  A document is its ids plus one end id; only longer ones than ``capacity
 first are full.  Full pieces are sequences of their own.  What is left is one piece of at most ``capacity`` tokens per
 document at most, and these (a number and a length each) are what is packed.
 
-Packing.  Pieces are dealt evenly by a hash to groups of bounded size.  Each group runs best-fit decreasing and
-certifies its number of sequences against lower bounds from dual feasible functions.  A group whose number meets its
-bound is done.  A group with a gap gives the documents of its emptiest sequences back, four for each sequence over
-the bound and four more; those of all groups are dealt anew and best-fit decreasing runs again.  The last round, in one
-group if little is left, keeps all it packs.
-
-Defined cases: a null or empty text is the end id alone; repeated rows, ids included, are packed each; an empty table
-gives no rows; a text of any length is cut into as many pieces as it needs; extra columns are ignored.
+Packing.  Pieces are dealt evenly by a hash to as few groups of bounded size as hold them.  Each group runs best-fit
+decreasing and certifies its number of sequences against lower bounds from dual feasible functions.  The same bounds on
+the histogram of all lengths certify the whole.  While the whole needs more than its bound, every group gives the documents
+of its emptiest sequences back, four for each sequence over its own bound and four more; those of all groups are dealt
+anew and best-fit decreasing runs again.  The last round, in one group if little is left, keeps all it packs.
+
+Defined cases: a null or empty text is the end id alone; repeated rows, ids included, are packed each; pieces of equal
+length are packed in the order of their rows; an empty table gives no rows; a text of any length is cut into as many
+pieces as it needs; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import materialize, slices, tidy
+from echolake.llm.base import discard, materialize, slices, tidy
 
 CAPACITY = 2048
 END = 0
 GROUP = 65_536  # most pieces that one task packs
-LEAST_GROUPS = 8  # even small inputs are packed in so many groups
-ONE_GROUP = 256  # so few pieces that are left go to one last group
 ROUNDS = 4
 
 #: Words that each Python worker remembers the ids of, and how long they may be; others are encoded each time.
@@ -122,10 +121,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Sequences that ``sizes`` need at least: the best of several dual feasible functions, evaluated on the histogram."""
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    """Sequences that ``sizes`` need at least."""
+    return bound_of(np.bincount(sizes, minlength=capacity + 1), capacity) if len(sizes) else 0
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """Sequences that a histogram of sizes (from 0 to ``capacity``) needs at least: the best of several dual feasible functions."""
+    count = count.astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     above, weight = np.cumsum(count[::-1])[::-1], np.cumsum((count * x)[::-1])[::-1]
@@ -169,51 +171,61 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, places, np.array(free, dtype=np.int64)
 
 
-_PLACED = "row long, length long, sequence_id long, place long, sequences long, bound long"
+_PLACED = "row long, length long, sequence_id long, place long, given boolean"
+
 
+def _round(items: DataFrame, groups: int, number: int, capacity: int) -> DataFrame:
+    """Where each item goes, and whether its sequence is among the emptiest, which the group would give back."""
 
-def _round(items: DataFrame, groups: int, number: int, capacity: int, last: bool) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable")
         sizes = pdf["length"].to_numpy()
         bins, places, free = best_fit_decreasing(sizes, capacity)
-        bound = lower_bound(sizes, capacity)
+        emptiest = np.argsort(-free, kind="stable")[: 4 * (len(free) - lower_bound(sizes, capacity)) + 4]
         ids = (number << 52) + (int(pdf["group"].iloc[0]) << 24) + bins
-        held = np.ones(len(sizes), dtype=bool)
-        if not last and len(free) > bound:
-            emptiest = np.argsort(-free, kind="stable")[: 4 * (len(free) - bound) + 4]
-            held = ~np.isin(bins, emptiest)
-        ids = pd.array(np.where(held, ids, 0), dtype="Int64")
-        ids[~held] = pd.NA
-        return pd.DataFrame({"row": pdf["row"], "length": sizes, "sequence_id": ids, "place": places, "sequences": len(free), "bound": bound})
+        return pd.DataFrame({"row": pdf["row"], "length": sizes, "sequence_id": ids, "place": places, "given": np.isin(bins, emptiest)})
 
     return items.withColumn("group", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(groups))).groupBy("group").applyInPandas(run, _PLACED)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, least_groups: int = LEAST_GROUPS, rounds: int = ROUNDS) -> DataFrame:
-    """``row``, ``sequence_id``, ``place`` of every (row, length) in ``items``, and what its group used and certified."""
+def certificate(lengths: DataFrame, capacity: int = CAPACITY) -> int:
+    """Sequences that all rows of ``lengths`` (column ``length``) need at least; a row per length comes to the driver."""
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in lengths.groupBy("length").agg(F.count("*")).collect():
+        count[length] = n
+    return bound_of(count, capacity)
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS, spent: list | None = None) -> DataFrame:
+    """``row``, ``sequence_id`` and ``place`` of every (row, length) in ``items``; ``spent`` gets the stored tables that hold them."""
     items = items.select("row", "length")
-    done, left = None, items.count()
+    done, used, left, bound = None, 0, items.count(), certificate(items, capacity)
     for number in range(rounds):
-        groups = 1 if number and left <= ONE_GROUP else max(least_groups, -(-left // group))
-        last = groups == 1 or number == rounds - 1
-        placed = materialize(_round(items, groups, number, capacity, last), f"packing{number}")
-        kept = placed.where("sequence_id is not null")
+        groups = max(1, -(-left // group))
+        placed = materialize(_round(items, groups, number, capacity), f"packing{number}")
+        if spent is not None:
+            spent.append(placed)
+        # places begin at 0 in every sequence, once
+        first = placed.where("place = 0").agg(F.count("*"), F.count(F.when(~F.col("given"), 1))).first()
+        last = groups == 1 or number == rounds - 1 or used + first[0] == bound
+        kept = placed if last else placed.where("not given")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        items = placed.where("sequence_id is null").select("row", "length")
+        items, used = placed.where("given").select("row", "length"), used + first[1]
         left = items.count()
-        if not left:
-            break
-    return done
+    return done.select("row", "sequence_id", "place")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, **options) -> DataFrame:
     """Every piece of every document with its sequence and its place there; places of a sequence leave no gap."""
     cut = materialize(pieces(docs, path, capacity, end), "pieces")
-    places = pack(cut.where("full_id is null"), capacity, **options).select("row", F.lit(0).cast("long").alias("piece"), "sequence_id", "place")
+    spent: list[DataFrame] = []
+    places = pack(cut.where("full_id is null"), capacity, spent=spent, **options).select("row", F.lit(0).cast("long").alias("piece"), "sequence_id", "place")
     short = cut.where("full_id is null").join(places, ["row", "piece"])
     full = cut.where("full_id is not null").withColumns({"sequence_id": F.col("full_id"), "place": F.lit(0).cast("long")})
     both = short.select(*full.columns).unionByName(full)
-    return both.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", F.col("place").alias("offset"))
+    out = both.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", F.col("place").alias("offset"))
+    out = materialize(out, "packed")
+    discard(cut, *spent)
+    return out
