@@ -1,21 +1,27 @@
 """WARC revisit resolution.
 
 Headers (record id, digest and length of the payload) are shuffled by payload digest, which finds for every digest the
-original response; content is joined with that and written as archives whose headers are made afresh: one ``response``
-per payload and a ``revisit`` (identical-payload-digest) for every other record of it.
+original response; archives are then written whose headers are made afresh: one ``response`` per payload and a ``revisit``
+(identical-payload-digest) for every other record of it.  Content is not shuffled: revisits have none, and a response is
+written where its content was read, by a Bloom filter of the revisits.  Only the few responses that the filter takes for
+revisits are joined with their content.
 
-Archives are WARC/1.1.  A record ends with two line ends, which is just what Spark's text sink puts after every row, so
-the sink's commit protocol makes the write atomic and repeatable in any file system.  With ``compression="gzip"`` a
-file is one gzip stream; ``"none"`` gives plain archives.
+Archives are WARC/1.1, each of about ``ARCHIVE_BYTES`` at most, or of one larger record.  A row is an archive for Spark's text
+sink, with a file for each row, so its commit protocol makes the write atomic and repeatable in any file system.  The sink
+ends a row with a line separator.  With ``compression="none"`` that is the end of the last record.  With ``"gzip"`` every
+record is a member of its own, and a member's last byte is nought for records under 16 MiB, so that byte is the separator;
+a larger record is followed by an empty member.
 
 Defined cases: a null html is the empty payload, a null url an empty target; records with equal payload and equal
 smallest id are all responses; a record without an id never is the original while one with an id exists, and where all
-lack one, each is a response; an empty table gives an archive without records; extra columns are ignored.
+lack one, each is a response; payloads of any length are read whole; an empty table gives no archive; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import io
@@ -26,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import fresh_path, materialize, tidy
+from echolake.llm.base import delete, discard, fresh_path, materialize, maybe_in, tidy
 
 CRLF = "\r\n"
-PER_FILE = 10_000  # most records of an archive: one is read back as a whole
+ARCHIVE_BYTES = 32 << 20  # of an archive before compression: one is read back as a whole
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -57,10 +63,11 @@ def urn_id(urn: str) -> int | None:
 
 
 def headers(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes and payload_digest of every row."""
+    """page_id, url, html, payload_bytes and payload_digest of every row, and ``key``, a hash of a record's id and payload."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
-    return rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.col("html").cast("binary"))})
+    rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.col("html").cast("binary"))})
+    return rows.withColumn("key", F.xxhash64("page_id", "payload_digest", "payload_bytes"))
 
 
 def originals(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -74,15 +81,28 @@ def originals(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
     return materialize(many.where("n > 1 and original is not null").drop("n"), "warc-originals")
 
 
-def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One column, ``value``: the text of each record without its two closing line ends."""
+def records(pages: DataFrame, least_bytes: int = 0, date: str | None = None, spent: list | None = None) -> DataFrame:
+    """One column, ``value``: the text of each record without its two closing line ends.  ``date``: when the archives are made;
+    ``spent`` gets the stored tables that can go when the records are written."""
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = headers(pages)
-    # the aggregate reads ids and digests only; nothing of the content is in its shuffle
-    known = heads.join(originals(heads, least_bytes), ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    known = originals(heads, least_bytes)
+    # what has no content is small, so a hot digest's rows are split at run time like any skewed join
+    again = heads.drop("html").join(known, ["payload_digest", "payload_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("original")))
+    again = materialize(again.select("key", "page_id", "url", "payload_bytes", "payload_digest", "original"), "warc-revisits")
+    discard(known)
+    whole = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
+    sure = maybe_in(heads, "key", again.select("key"), keep=False).select(*whole)
+    doubtful = maybe_in(heads.drop("html"), "key", again.select("key"))
+    wrong = materialize(doubtful.join(again.select("key").distinct(), "key", "left_anti").select("key").distinct(), "warc-wrong")
+    if spent is not None:
+        spent += [again, wrong]
+    rest = maybe_in(heads, "key", wrong).join(wrong, "key", "left_semi").select(*whole)
+    rows = sure.union(rest).withColumn("original", F.lit(None).cast("long")).unionByName(again.drop("key").withColumn("html", F.lit(None).cast("string")))
+
     uri = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     http = F.concat_ws(CRLF, F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.col("payload_bytes")), F.lit(""), F.lit(""))
-    block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "html"))
+    revisit = F.col("html").isNull()
     warc = F.concat_ws(
         CRLF,
         F.lit("WARC/1.1"),
@@ -94,16 +114,49 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:0
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record_urn(F.col("original")))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
         F.lit("Content-Type: application/http;msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length("block")),
+        F.concat(F.lit("Content-Length: "), F.octet_length("http") + F.coalesce(F.octet_length("html"), F.lit(0))),
         F.lit(""),
         F.lit(""),
     )
-    return known.withColumn("http", http).withColumn("block", block).select(F.concat(warc, F.col("block")).alias("value"))
+    return rows.withColumn("http", http).select(F.concat(warc, F.col("http"), F.coalesce("html", F.lit(""))).alias("value"))
+
+
+_EMPTY = gzip.compress(b"", mtime=0)
 
 
-def write_archives(pages: DataFrame, path: str, compression: str = "gzip", **options) -> None:
+def _archives(compress: bool, most: int):
+    """Rows of records to rows of archives without the byte or bytes that the sink's separator adds."""
+    end = CRLF.encode() * 2
+
+    def packed(held: list[bytes]) -> pa.RecordBatch:
+        whole = b"".join(held)
+        if compress:
+            whole = (whole if whole.endswith(b"\0") else whole + _EMPTY).removesuffix(b"\0")
+        return pa.RecordBatch.from_arrays([pa.array([whole if compress else whole.removesuffix(end)], pa.large_binary()).cast(pa.binary())], names=["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for value in b.column(0):
+                record = value.as_buffer().to_pybytes() + end
+                if held and size + len(record) > most:
+                    yield packed(held)
+                    held, size = [], 0
+                held.append(gzip.compress(record, 6, mtime=0) if compress else record)
+                size += len(record)
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, compression: str = "gzip", archive_bytes: int = ARCHIVE_BYTES, **options) -> None:
     """Write the resolved records of ``pages`` as archives under ``path``."""
-    records(pages, **options).write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", PER_FILE).text(path)
+    compress = {"gzip": True, "none": False}[compression]
+    spent: list[DataFrame] = []
+    made = records(pages, spent=spent, **options).mapInArrow(tidy(_archives(compress, archive_bytes)), "value binary").select(F.col("value").cast("string").alias("value"))
+    made.write.option("lineSep", "\0" if compress else CRLF * 2).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    discard(*spent)
 
 
 class Record(NamedTuple):
@@ -144,8 +197,9 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 def read_archives(spark, path: str) -> DataFrame:
     """One row per record of the archives under ``path``; every response's payload is checked against its digest."""
 
+    types, names = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()], [x.split()[0] for x in _READ.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for b in batches:
             for content in b.column(0):
                 raw = io.BytesIO(content.as_buffer())
@@ -154,18 +208,22 @@ def read_archives(spark, path: str) -> DataFrame:
                 for record in parse(stream):
                     rows.append(_read(record))
                     if len(rows) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _READ.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _READ.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(tidy(run), _READ)
 
 
 def resolve(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """Write the archives of ``pages`` (to ``path``, else to the shared folder) and read them back."""
+    """Write the archives of ``pages`` (to ``path``, else to the shared folder, from where they go again) and read them back."""
     spark = pages.sparkSession
-    path = path or fresh_path(spark, "warc")
-    write_archives(pages, path, **options)
-    return read_archives(spark, path)
+    at = path or fresh_path(spark, "warc")
+    write_archives(pages, at, **options)
+    if path:
+        return read_archives(spark, at)
+    got = materialize(read_archives(spark, at), "warc-read")
+    delete(spark, at)
+    return got

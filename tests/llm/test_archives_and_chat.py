@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import base64
+import datetime
+import gzip
 import hashlib
 import io
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -57,6 +60,42 @@ def test_hot_payload(spark):
     assert sorted([tuple(r)[:5] for r in got.collect()], key=str) == brute_force(rows)
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_archives_are_bounded_by_bytes(spark, tmp_path, compression):
+    rows = [(i, f"http://{i}", f"<p>{i}</p>" * (30_000 if i % 10 else 3), "", 0) for i in range(60)]
+    rows += [(100, "http://big", "y" * (17 << 20), "", 0), (101, "http://big", "y" * (17 << 20), "", 0), (102, "http://end", "z", "", 0)]
+    df = spark.createDataFrame(rows, PAGES).coalesce(2)
+    path = tmp_path / "w"
+    warc.write_archives(df, str(path), compression=compression, archive_bytes=1 << 20)
+    sizes = []
+    for p in path.glob("part-*"):
+        raw = p.read_bytes()
+        whole = gzip.decompress(raw) if compression == "gzip" else raw
+        sizes.append((len(whole), whole.count(b"WARC/1.1\r\n")))
+        if compression == "gzip":  # each record is a member
+            members = 0
+            while raw:
+                d = zlib.decompressobj(31)
+                members += bool(d.decompress(raw))
+                raw = d.unused_data
+            assert members == sizes[-1][1]
+    assert len(sizes) > 5 and all(size <= 1 << 20 or n == 1 for size, n in sizes)
+    assert sorted([tuple(r)[:5] for r in warc.read_archives(spark, str(path)).collect()], key=str) == brute_force(rows)
+
+
+def test_dates_are_of_the_writing(spark, tmp_path):
+    before = datetime.datetime.now(datetime.UTC).replace(microsecond=0)
+    warc.write_archives(spark.createDataFrame(ROWS[:1], PAGES), str(tmp_path / "w"), compression="none")
+    (record,) = [r for p in (tmp_path / "w").glob("part-*") for r in warc.parse(io.BytesIO(p.read_bytes()))]
+    assert before <= datetime.datetime.fromisoformat(record.headers["warc-date"]) <= datetime.datetime.now(datetime.UTC)
+
+
+def test_one_id_with_several_payloads(spark):
+    rows = [(1, "a", "x", "", 0), (1, "a", "y", "", 0), (2, "b", "y", "", 0), (2, "b", "x", "", 0), (0, "c", "z", "", 0)]
+    got = warc.resolve(spark.createDataFrame(rows, PAGES))
+    assert sorted([tuple(r)[:5] for r in got.collect()], key=str) == brute_force(rows)
+
+
 def test_no_pages(spark):
     assert warc.resolve(spark.createDataFrame([], PAGES)).count() == 0
 
