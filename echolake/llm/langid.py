@@ -1,15 +1,19 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-One- to three-character n-grams of the lower-cased text (other characters than letters become single spaces) are hashed
-to ``CELLS`` cells.  Inverse document frequencies are counted over every document of the training folds.  The weights
+One- to three-character n-grams of the lower-cased text (other characters than letters become single spaces) are features
+by themselves, without hashing: those that occur in at least ``LEAST`` documents of the training sample, of which the
+``FEATURES`` most frequent.  Inverse document frequencies are counted over every document of the training folds.  The weights
 are learnt by follow-the-regularised-leader with elastic-net penalties (the first keeps weights at nought, the second
 shrinks them) and a temperature, fitted on a part of the sample, calibrates the probabilities.
 
-The training sample is bounded: at most ``SAMPLE`` documents with a language, those with the smallest hashes of their
-ids.  Every document is predicted from its whole text.
+The training sample is bounded: about ``SAMPLE`` documents, of each language its share of them and ``RARE`` at least (all, if it
+has fewer), those with the smallest hashes of their ids.  Every document is predicted from its whole text.
 
-Defined cases: texts that are null or have no letter are ``und`` with score 0, as are all where nothing could be learnt;
-a sample in one language predicts it with score 1; rows that share an id are predicted each; extra columns are ignored.
+Defined cases: texts that are null, empty or have no letter are ``und`` with score 0, as are all where nothing could be
+learnt; a text with none of the features gets equal probabilities and the first language of these; a sample in one
+language predicts it with score 1; rows that share an id are predicted each, and of a sampled id the smallest language and
+text are learnt from; texts of any length are read whole, in pieces that overlap; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,16 +23,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echolake.llm.base import discard, fold, materialize, slices, tidy
-from echolake.llm.texts import sample_ids
+from echolake.llm.base import discard, fold, slices, tidy
+from echolake.llm.texts import sample_texts
 
 SAMPLE = 6_000
-BITS = 15
-CELLS = 1 << BITS
-CHUNK = 1 << 20  # characters hashed at once
+RARE = 200
+LEAST = 2
+FEATURES = 1 << 17
+CHUNK = 1 << 20  # characters at once
 UNKNOWN = "und"
 
 
@@ -37,80 +42,166 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def _hashed(one: np.ndarray, n: int) -> np.ndarray:
-    """Counts of the n-grams that begin at the first ``n`` places."""
-    two = one[:-1] * np.uint32(0x01000193) + one[1:]
-    three = two[:-1] * np.uint32(0x01000193) + one[2:]
-    one, two, three = one[:n], two[:n], three[:n]
-    mixed = np.concatenate([(one + np.uint32(7)) * np.uint32(0x9E3779B1), (two ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B), (three ^ (three >> np.uint32(15))) * np.uint32(0xC2B2AE35)])
-    return np.bincount(mixed >> np.uint32(32 - BITS), minlength=CELLS)
-
-
-def counts(text: str) -> np.ndarray | None:
-    """How often each hashed n-gram occurs; None for a text without letters."""
+def _letter_runs(text: str) -> np.ndarray | None:
+    """Code points of the lower-cased text with a single space around and between runs of letters; None without letters."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
     letter = np.empty(len(codes) + 2, dtype=bool)
     letter[0] = letter[-1] = False
     letter[1:-1] = _letters()[codes]
     if not letter.any():
         return None
-    padded = np.full(len(codes) + 2, 32, dtype=np.uint32)
+    padded = np.full(len(codes) + 2, 32, dtype=np.uint64)
     np.copyto(padded[1:-1], codes, where=letter[1:-1])
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one space after a word
     keep[0] = True
-    one = padded[keep]
-    total = _hashed(one[: CHUNK + 2], CHUNK)
-    for i in range(CHUNK, len(one), CHUNK):  # n-grams are counted where they begin, so pieces overlap by two
-        total += _hashed(one[i : i + CHUNK + 2], CHUNK)
-    return total
+    return padded[keep]
+
+
+def ngrams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of one, two and three characters as numbers, 21 bits a character, in pieces; nothing for a text without letters."""
+    one = _letter_runs(text)
+    for i in range(0, 0 if one is None else len(one), CHUNK):  # n-grams belong where they begin, so pieces overlap by two
+        part = one[i : i + CHUNK + 2]
+        two = part[:-1] << np.uint64(21) | part[1:]
+        three = two[:-1] << np.uint64(21) | part[2:]
+        yield np.concatenate([part[:CHUNK], two[:CHUNK], three[:CHUNK]])
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = keys * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Features:
+    """Numbers of n-grams: a table with open addresses, searched for many at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.table, self.number = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int32)
+        waiting, at = np.arange(len(keys)), _slot(self.keys, self.bits)
+        while True:
+            if not len(waiting) or int(at.max()) >= len(self.table) - 1:  # the last place stays free
+                self.table, self.number = np.append(self.table, np.zeros(64, dtype=np.uint64)), np.append(self.number, np.zeros(64, dtype=np.int32))
+            if not len(waiting):
+                break
+            free = self.table[at] == 0
+            place, first = np.unique(at[free], return_index=True)  # of several for a place the first gets it
+            took = waiting[free][first]
+            self.table[place], self.number[place] = self.keys[took], took
+            left = ~np.isin(waiting, took)
+            waiting, at = waiting[left], at[left] + 1
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each, or the number of features for what is none."""
+        at = _slot(keys, self.bits)
+        held = self.table[at]
+        found = np.where(held == keys, self.number[at], len(self)).astype(np.int32)
+        rest = np.flatnonzero((held != keys) & (held != 0))
+        at = at[rest]
+        while len(rest):
+            at = at + 1
+            held = self.table[at]
+            same = held == keys[rest]
+            found[rest[same]] = self.number[at[same]]
+            on = ~same & (held != 0)
+            rest, at = rest[on], at[on]
+        return found
+
+    def counts(self, text: str) -> np.ndarray | None:
+        """How often each feature occurs; None for a text without letters."""
+        total = None
+        for keys in ngrams(text):
+            n = np.bincount(self.find(keys), minlength=len(self) + 1)[: len(self)]
+            total = n if total is None else total + n
+        return total
+
+
+def choose(sample: DataFrame, most: int = FEATURES, least: int = LEAST) -> np.ndarray:
+    """The n-grams of the most documents of a sample, counted by its tasks; ties to the smaller number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        for b in slices(batches):
+            for text in b.column(0):
+                parts = [np.unique(k) for k in ngrams(text.as_py() or "")]
+                if parts:
+                    both = np.concatenate([keys, np.unique(np.concatenate(parts))])
+                    keys, which = np.unique(both, return_inverse=True)
+                    n = np.bincount(which, np.concatenate([n, np.ones(len(both) - len(n), dtype=np.int64)]), len(keys)).astype(np.int64)
+        for i in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].astype(np.int64)), pa.array(n[i : i + 50_000])], names=["key", "n"])
 
+    found = sample.select("text").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = found.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
+    return top.column(0).to_numpy().astype(np.uint64)
 
-_PASS = "cell int, n long, doc_id long, lang string, counts binary"
 
+def frequencies(docs: DataFrame, features: Features) -> tuple[int, np.ndarray]:
+    """How many rows of ``docs`` have letters, and how many have each feature: all rows, added up in each task."""
+    held = docs.sparkSession.sparkContext.broadcast(features)
 
-def corpus_pass(docs: DataFrame, ids: DataFrame) -> tuple[int, np.ndarray, list[tuple[int, str, np.ndarray]]]:
-    """Documents with letters, in how many of them each cell occurs, and (id, language, cells and counts) of the sample.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(held.value) + 1, dtype=np.int64)
+        for b in slices(batches):
+            for text in b.column(0):
+                c = held.value.counts(text.as_py() or "")
+                if c is not None:
+                    total[:-1] += c > 0
+                    total[-1] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["feature", "n"])
 
-    One scan of ``docs`` gives both; frequencies are of all its rows, added up in each task before they are shuffled.
-    """
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    found = rows.mapInArrow(tidy(run), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(len(features) + 1, dtype=np.int64)
+    total[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return int(total[-1]), total[:-1]
+
+
+def examples(sample: DataFrame, features: Features) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+    """doc_id, language, features and their counts of the documents of a sample that have letters."""
+    held = sample.sparkSession.sparkContext.broadcast(features)
+    names = ["doc_id", "lang", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(CELLS, dtype=np.int64)
-        schema = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        names = [x.split()[0] for x in _PASS.split(", ")]
         for b in slices(batches):
             out = []
-            for doc_id, text, lang in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                c = counts(text.as_py() or "")
+            for doc_id, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                c = held.value.counts(text.as_py() or "")
                 if c is not None:
-                    n += 1
-                    df += c > 0
-                    if lang is not None:
-                        cells = np.flatnonzero(c)
-                        out.append((None, None, doc_id, lang, np.stack([cells, np.minimum(c[cells], 2**31 - 1)]).astype("<i4").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema)], names=names)
-        cells = np.append(np.flatnonzero(df), CELLS)
-        none = [pa.nulls(len(cells), t) for t in schema[2:]]
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.append(df, n)[cells], pa.int64()), *none], names=names)
-
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left").select("doc_id", "text", "lang")
-    both = materialize(rows.mapInArrow(tidy(run), _PASS), "languages")
-    found = both.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    sample = both.where("cell is null").select("doc_id", "lang", "counts").dropDuplicates(["doc_id"]).toArrow().to_pylist()
-    discard(both)
-    all_cells = np.zeros(CELLS + 1, dtype=np.int64)
-    all_cells[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return int(all_cells[CELLS]), all_cells[:CELLS], [(r["doc_id"], r["lang"], np.frombuffer(r["counts"], dtype="<i4").reshape(2, -1)) for r in sample]
+                    at = np.flatnonzero(c)
+                    out.append((doc_id, lang, at.astype("<i4").tobytes(), np.minimum(c[at], 2**31 - 1).astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.string(), pa.binary(), pa.binary()])], names=names)
+
+    got = sample.select("doc_id", "lang", "text").mapInArrow(tidy(run), "doc_id long, lang string, at binary, n binary").toArrow().to_pylist()
+    return [(r["doc_id"], r["lang"], np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["n"], dtype="<i4")) for r in got]
+
+
+def sample_of(rows: DataFrame, sample: int = SAMPLE, rare: int = RARE) -> DataFrame:
+    """doc_id and lang of the training sample, from rows of (doc_id, lang)."""
+    rows = rows.where("doc_id is not null and lang is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    total = max(1, sum(sizes.values()))
+    quotas = [(lang, quota, 2.0 * quota / n + 100 / n) for lang, n in sizes.items() for quota in [max(min(rare, n), sample * n // total)]]
+    quotas = rows.sparkSession.createDataFrame(quotas, "lang string, quota long, part double")
+    place = F.xxhash64("doc_id", F.lit(31))
+    # about twice the quota passes the first test, so that no language's rows meet in one task
+    few = rows.join(F.broadcast(quotas), "lang").where(F.pmod(place, F.lit(1 << 30)) < F.col("part") * (1 << 30))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id")))
+    return ranked.where("rank <= quota").groupBy("doc_id").agg(F.min("lang").alias("lang"))
 
 
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader for several classes."""
 
-    def __init__(self, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.02):
+    def __init__(self, features: int, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.02):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros((CELLS, classes)), np.zeros((CELLS, classes))
+        self.z, self.n = np.zeros((features, classes)), np.zeros((features, classes))
 
     def weights(self, cells=slice(None)) -> np.ndarray:
         z, n = self.z[cells], self.n[cells]
@@ -132,19 +223,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Languages:
-    def __init__(self, names: list[str], idf: np.ndarray | None = None, weights: np.ndarray | None = None, temperature: float = 1.0):
-        self.names, self.idf, self.weights, self.temperature = names, idf, weights, temperature
+    def __init__(self, names: list[str], features: Features | None = None, idf: np.ndarray | None = None, weights: np.ndarray | None = None, temperature: float = 1.0):
+        self.names, self.features, self.idf, self.weights, self.temperature = names, features, idf, weights, temperature
 
     def predict(self, text: str) -> tuple[str, float]:
-        c = counts(text) if self.names else None
+        if not self.names or len(self.names) == 1:
+            return (self.names[0], 1.0) if self.names and _letter_runs(text) is not None else (UNKNOWN, 0.0)
+        c = self.features.counts(text)
         if c is None:
             return UNKNOWN, 0.0
-        if len(self.names) == 1:
-            return self.names[0], 1.0
-        x = c * self.idf
-        cells = np.flatnonzero(x)
-        x = x[cells]
-        p = softmax(x @ self.weights[cells] / (np.linalg.norm(x) * self.temperature))
+        at = np.flatnonzero(c)
+        x = c[at] * self.idf[at]
+        p = softmax(x @ self.weights[at] / (max(float(np.linalg.norm(x)), 1e-12) * self.temperature))
         k = int(p.argmax())
         return self.names[k], float(p[k])
 
@@ -152,28 +242,30 @@ class Languages:
 def train(docs: DataFrame, held_out_fold: int = 2, modulus: int = 4, sample: int = SAMPLE, epochs: int = 3) -> Languages:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = docs.where(fold(F.col("doc_id"), modulus) != held_out_fold)
-    # of rows that share an id, the smallest language counts
-    ids = sample_ids(rows.select("doc_id", "lang"), F.col("lang").isNotNull(), sample, 31).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    n, df, texts = corpus_pass(rows.drop("lang"), ids)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    names, examples = sorted({lang for _, lang, _ in texts}), []
-    for _, lang, (cells, c) in sorted(texts, key=lambda t: (t[0] * 2654435761 % 2**32, t[0])):
-        x = c * idf[cells]
-        examples.append((cells, x / np.linalg.norm(x), names.index(lang)))
+    texts = sample_texts(rows, sample_of(rows.select("doc_id", "lang"), sample), "language-sample")
+    features = Features(choose(texts))
+    found = examples(texts, features)
+    discard(texts)
+    names, drawn = sorted({lang for _, lang, _, _ in found}), []
     if len(names) < 2:
         return Languages(names)
-    model = Ftrl(len(names))
-    test = examples[::5] if len(examples) >= 50 else []
-    for _ in range(epochs if len(examples) > 2000 else 4 * epochs):
-        for k, (cells, x, label) in enumerate(examples):
+    n, df = frequencies(rows, features)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    for _, lang, at, c in sorted(found, key=lambda t: (t[0] * 2654435761 % 2**32, t[0])):
+        x = c * idf[at]
+        drawn.append((at, x / max(float(np.linalg.norm(x)), 1e-12), names.index(lang)))
+    model = Ftrl(len(features), len(names))
+    test = drawn[::5] if len(drawn) >= 50 else []
+    for _ in range(epochs if len(drawn) > 2000 else 4 * epochs):
+        for k, (at, x, label) in enumerate(drawn):
             if not test or k % 5:
-                model.learn(cells, x, label)
+                model.learn(at, x, label)
     weights, temperature = model.weights(), 1.0
     if test:
-        z, y = np.array([x @ weights[cells] for cells, x, _ in test]), np.array([label for *_, label in test])
+        z, y = np.array([x @ weights[at] for at, x, _ in test]), np.array([label for *_, label in test])
         grid = np.geomspace(0.02, 10, 80)
         temperature = float(grid[np.argmin([-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid])])
-    return Languages(names, idf, weights.astype(np.float64), temperature)
+    return Languages(names, features, idf, weights, temperature)
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

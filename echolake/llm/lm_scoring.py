@@ -1,15 +1,21 @@
 """Cross-entropy difference: how much better a target model predicts a document than a matched background model.
 
 Both are interpolated bigram models of the same order, smoothing and vocabulary; the vocabulary is the ``VOCABULARY``
-most frequent words of the target texts, any other word is one unknown word.  Counts are taken over all documents:
-those of the target condition for the target model, all others for the background.  Bigrams are counted exactly, in a
-stored table that grows with the corpus.  Those of the highest counts, at most ``FREQUENT``, are broadcast with the word
-counts; occurrences of all others are joined to the table, so that every token has its own count.  The score is the mean over a document's tokens of
-the target model's loss minus the background model's: the lower, the more it is like the target.
+most frequent words of the target texts, any other word is one unknown word.  Counts are exact and of all documents:
+those of the target condition for the target model, all others for the background.  The score is the mean over a document's
+tokens of the target model's loss minus the background model's: the lower, the more it is like the target.
+
+Texts are read once: their word numbers are stored in chunks of about ``CHUNK`` tokens.  A chunk sends each bigram it has, with
+its counts, to the bucket of that bigram (a hash; there are so many buckets that each gets the bigrams of about ``BUCKET``
+tokens).  A bucket adds up what all chunks sent and answers each with the totals of just the bigrams that it sent, in the
+order that it sent them.  So a chunk has the counts of all its bigrams in an array beside it; nothing that grows with the
+corpus is broadcast or collected, a frequent bigram costs an entry a chunk, and every step moves bytes in proportion to the
+corpus.  Counts of words, of bounded size, are added up by a tree of tasks and broadcast.
 
 Defined cases: a null or word-less text has no tokens and a null score; a target without texts gives an empty
-vocabulary, so that all documents score alike; a null condition is background; rows that share an id are scored each;
-extra columns are ignored; empty tables give no rows.
+vocabulary, so that all documents score alike; a null condition is background; rows that share an id are scored each; of
+words that are equally frequent the smaller bytes come first; a text of any length is one document of one chunk, which
+then is as long as the text; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,16 +26,19 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import materialize, slices, tidy
+from echolake.llm.base import discard, materialize, slices, tidy
 
 VOCABULARY = 50_000
-FREQUENT = 2_000_000  # bigrams that are broadcast; others are joined
 BIGRAM, UNIGRAM = 0.7, 0.9  # weights of the bigram estimate, and of the unigram one against the uniform one
 FLUSH = 500_000  # distinct words after which a task passes its counts on
-PENDING = 4_000_000  # bigrams that a task gathers before it passes their counts on
+CHUNK = 1_000_000  # tokens
+BUCKET = 8_000_000  # tokens for each bucket of bigrams
+ENTRIES = 16_384  # bigrams in a row of what is sent, at most
+FAN = 32  # partial sums that one task adds up
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -59,148 +68,238 @@ def vocabulary(target: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     return [bytes(r["word"]) for r in top.select("word").collect()]
 
 
-def token_ids(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    ws = words(text)
-    return np.fromiter(map(ids.get, ws, repeat(0)), dtype=np.uint64, count=len(ws))
+class Chunk:
+    """Documents one after another: their word numbers (0 is unknown), how many words each has, and which are of the target."""
 
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, is_target: np.ndarray, kinds: int):
+        self.now, self.lengths, self.is_target, self.kinds = ids.astype(np.int64), lengths.astype(np.int64), is_target, kinds
 
-def _cells(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """A key of its own for every bigram."""
-    return (before << np.uint64(32) | now).astype(np.int64)
+    @property
+    def before(self) -> np.ndarray:
+        """The word before each; the last kind stands before a document's first."""
+        before = np.empty_like(self.now)
+        before[1:] = self.now[:-1]
+        before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = self.kinds - 1
+        return before
 
+    @property
+    def of_target(self) -> np.ndarray:
+        return np.repeat(self.is_target, self.lengths)
 
-class Bigrams:
-    """The counts of one side in the stored table, looked up by key."""
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct bigrams as numbers, in ascending order, and which of them each token is."""
+        return np.unique(self.before * self.kinds + self.now, return_inverse=True)
 
-    def __init__(self, counts: DataFrame, side: str):
-        self.counts, self.side = counts, side
+    def words(self) -> np.ndarray:
+        """Counts by side (target first) of words, then of words as contexts."""
+        out = []
+        for side in (True, False):
+            mine = self.of_target == side
+            out += [np.bincount(self.now[mine], minlength=self.kinds), np.bincount(self.before[mine], minlength=self.kinds)]
+        return np.stack(out)
 
-    def __getitem__(self, key: int) -> int:
-        return sum(r[self.side] for r in self.counts.where(F.col("key") == int(key)).select(self.side).collect())
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % buckets
 
-class Model:
-    """Counts of one side: of words (0 is unknown), of words as contexts (the last one is a text's start), and of bigrams."""
 
-    def __init__(self, unigrams: np.ndarray, contexts: np.ndarray, bigrams: Bigrams | None):
-        self.unigrams, self.contexts, self.bigrams = unigrams.astype(np.float64), contexts.astype(np.float64), bigrams
-        self.total, self.kinds = float(unigrams.sum()), len(unigrams)
+class Model:
+    """Counts of one side: of words (0 is unknown) and of words as contexts (the last one is a text's start)."""
 
-    def words_only(self) -> Model:
-        """The part of bounded size."""
-        return Model(self.unigrams, self.contexts, None)
+    def __init__(self, unigrams: np.ndarray, contexts: np.ndarray):
+        self.unigrams, self.contexts = unigrams.astype(np.float64), contexts.astype(np.float64)
+        self.total, self.kinds = float(unigrams.sum()), len(unigrams) - 1  # nothing is the start
 
     def losses(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The loss of each bigram, which occurs ``counts`` times on this side."""
-        before, now = keys >> 32, keys & 0xFFFFFFFF
+        before, now = np.divmod(keys, self.kinds + 1)
         p1 = UNIGRAM * self.unigrams[now] / max(self.total, 1) + (1 - UNIGRAM) / self.kinds
         c = self.contexts[before]
         return -np.log(np.where(c > 0, BIGRAM * counts / np.maximum(c, 1) + (1 - BIGRAM) * p1, p1))
 
 
-def _steps(ids: np.ndarray, start: int) -> np.ndarray:
-    return np.concatenate([np.array([start], dtype=np.uint64), ids[:-1]])
-
+def chunks(docs: DataFrame, target: Column, ids: dict[bytes, int], columns: list[str], chunk: int = CHUNK) -> DataFrame:
+    """``docs`` as word numbers, a row a chunk, stored; ``rows`` has the ``columns`` of its documents."""
+    held, width = docs.sparkSession.sparkContext.broadcast(ids), "<u2" if len(ids) + 2 <= 1 << 16 else "<u4"
 
-def train(docs: DataFrame, target: Column, size: int = VOCABULARY) -> tuple[dict[bytes, int], Model, Model]:
-    """The shared vocabulary (ids from 1), the target model and the background model, from all of ``docs``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(target, F.lit(False)).alias("is_target"), F.col("text").cast("string").alias("text"))
-    ids = {w: k for k, w in enumerate(vocabulary(rows.where("is_target").select("text"), size), 1)}
-    held, start = spark.sparkContext.broadcast(ids), len(ids) + 1
-    kinds = start + 1
-
-    def counted(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for side in (0, 1):
-            if parts := [x for k, x in held if k == side]:
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield from batched(keys, [n, np.zeros_like(n)] if side == 0 else [np.zeros_like(n), n])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        parts, lengths, targets, rows, size, number = [], [], [], [], 0, 0
 
-    def batched(keys: np.ndarray, n) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (keys, *n)], names=["key", "good", "back"])
+        def done() -> pa.RecordBatch:
+            whole = pa.concat_arrays(rows)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
+            values = [b"".join(parts), np.array(lengths, dtype="<u4").tobytes(), np.array(targets, dtype=bool).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), *[pa.array([v], pa.binary()) for v in values], listed], names=["chunk", "ids", "lengths", "targets", "rows"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 2 * kinds), dtype=np.int64)  # words, contexts
-        pending, size = [], 0
         for b in slices(batches):
-            for is_target, text in zip(b.column(0).to_pylist(), b.column(1)):
-                now = token_ids(text.as_py(), held.value)
-                if len(now):
-                    before, side = _steps(now, start), int(not is_target)
-                    np.add.at(tables[side], np.concatenate([now.astype(np.int64), before.astype(np.int64) + kinds]), 1)
-                    pending.append((side, _cells(before, now)))
-                    size += len(now)
-                    if size >= PENDING:
-                        yield from counted(pending)
-                        pending, size = [], 0
-        yield from counted(pending)
-        at = np.flatnonzero(tables.any(0))
-        yield from batched(-1 - at, tables[:, at])  # keys of words and contexts are negative
-
-    found = rows.mapInArrow(tidy(run), "key long, good long, back long").groupBy("key").agg(F.sum("good").alias("good"), F.sum("back").alias("back"))
-    counts = materialize(found, "lm-counts")
-    got = counts.where("key < 0").toArrow()  # at most 2 * vocabulary rows
-    tables = np.zeros((2, 2 * kinds), dtype=np.int64)
-    for k, side in enumerate(("good", "back")):
-        tables[k, -1 - got.column("key").to_numpy()] = got.column(side).to_numpy()
-    models = [Model(t[: kinds - 1], t[kinds:], Bigrams(counts, side)) for t, side in zip(tables, ("good", "back"))]
-    return ids, models[0], models[1]
-
-
-def _frequent(bigrams: DataFrame, most: int) -> int:
-    """The least count such that at most ``most`` bigrams have it or a higher one."""
-    seen, least = 0, None
-    for r in bigrams.groupBy((F.col("good") + F.col("back")).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect():
-        seen += r["rows"]
-        if seen > most:
-            break
-        least = r["n"]
-    return (1 << 62) if least is None else least
-
-
-def score(docs: DataFrame, target: Column, columns: list[str] | None = None, size: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
+            start = 0
+            for i, (is_target, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+                ws = words(text.as_py())
+                parts.append(np.fromiter(map(held.value.get, ws, repeat(0)), dtype=width, count=len(ws)).tobytes())
+                lengths.append(len(ws))
+                targets.append(is_target)
+                size += len(ws)
+                if size >= chunk or len(lengths) >= chunk // 16 + 1:
+                    rows.append(b.column(2).slice(start, i + 1 - start))
+                    yield done()
+                    start, number = i + 1, number + 1
+                    parts, lengths, targets, rows, size = [], [], [], [], 0
+            if start < b.num_rows:
+                rows.append(b.column(2).slice(start))
+        if lengths:
+            yield done()
+
+    rows = docs.select(F.coalesce(target, F.lit(False)).alias("is_target"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]).alias("row"))
+    schema = rows.select(F.lit(0).cast("long").alias("chunk"), *[F.lit(b"").alias(c) for c in ("ids", "lengths", "targets")], F.array("row").alias("rows")).schema
+    return materialize(rows.mapInArrow(tidy(run), schema), "lm-chunks")
+
+
+def _read(ids: bytes, lengths: bytes, targets: bytes, kinds: int) -> Chunk:
+    n = np.frombuffer(lengths, dtype="<u4")
+    return Chunk(np.frombuffer(ids, dtype="<u2" if kinds <= 1 << 16 else "<u4"), n, np.frombuffer(targets, dtype=bool), kinds)
+
+
+def word_counts(stored: DataFrame, kinds: int, tasks: int) -> tuple[Model, Model]:
+    """The target's model and the background's; ``tasks`` at most read ``stored``."""
+
+    def batch(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, kinds), dtype=np.int64)
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                total += _read(*row, kinds).words()
+        yield batch(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, kinds), dtype=np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(x.as_py(), dtype=np.int64).reshape(4, kinds)
+        yield batch(total)
+
+    sums = stored.select("ids", "lengths", "targets").mapInArrow(tidy(leaf), "counts binary")
+    while tasks > 4:
+        tasks = -(-tasks // FAN)
+        sums = sums.repartition(tasks).mapInArrow(tidy(add), "counts binary")
+    total = sum((np.frombuffer(bytes(r["counts"]), dtype=np.int64).reshape(4, kinds) for r in sums.collect()), np.zeros((4, kinds), dtype=np.int64))
+    return Model(total[0], total[1]), Model(total[2], total[3])
+
+
+def _packed(rows: Iterator[tuple], names: list[str], types: list) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for r in rows:
+        held.append(r)
+        size += 64 + sum(len(x) for x in r if isinstance(x, bytes))
+        if size > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+
+def totals(stored: DataFrame, kinds: int, buckets: int, entries: int = ENTRIES) -> DataFrame:
+    """``chunk``, ``bucket``, ``part``, ``good``, ``back`` and ``wide`` (numbers of 64 bits): of each chunk's distinct bigrams by bucket, in ascending order, how often
+    they occur in all documents of the target and in all others."""
+
+    short = "<u4" if kinds <= 1 << 16 else "<u8"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for number, *row in zip(*[c.to_pylist() for c in b.columns]):
+                    c = _read(*row, kinds)
+                    keys, which = c.bigrams()
+                    good = np.bincount(which[c.of_target], minlength=len(keys))
+                    back = np.bincount(which, minlength=len(keys)) - good
+                    place = bucket_of(keys, buckets)
+                    order = np.argsort(place, kind="stable")
+                    keys, good, back, place = keys[order], good[order], back[order], place[order]
+                    starts = np.flatnonzero(np.diff(place, prepend=-1)).tolist()
+                    for lo, hi in zip(starts, [*starts[1:], len(place)]):
+                        for part, i in enumerate(range(lo, hi, entries)):
+                            j = min(i + entries, hi)
+                            yield int(place[i]), number, part, keys[i:j].astype(short).tobytes(), good[i:j].astype("<u4").tobytes(), back[i:j].astype("<u4").tobytes()
+
+        yield from _packed(rows(), ["bucket", "chunk", "part", "keys", "good", "back"], [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def replies(bucket: int, held: list[tuple]):
+            keys, which = np.unique(np.concatenate([k for _, _, k, _, _ in held]), return_inverse=True)
+            sums = []
+            for side in (3, 4):
+                total = np.zeros(len(keys), dtype=np.int64)
+                np.add.at(total, which, np.concatenate([h[side] for h in held]).astype(np.int64))
+                sums.append(total)
+            wide, at = "<u8" if max(int(s.max()) for s in sums) >> 32 else "<u4", 0
+            for chunk, part, k, *_ in held:
+                mine = which[at : at + len(k)]
+                yield chunk, bucket, part, *[s[mine].astype(wide).tobytes() for s in sums], wide == "<u8"
+                at += len(k)
+
+        def rows():
+            last, held = None, []
+            for b in batches:
+                for bucket, chunk, part, keys, good, back in zip(*[c.to_pylist() for c in b.columns]):
+                    if bucket != last:
+                        if held:
+                            yield from replies(last, held)
+                        last, held = bucket, []
+                    held.append((chunk, part, np.frombuffer(keys, dtype=short), np.frombuffer(good, dtype="<u4"), np.frombuffer(back, dtype="<u4")))
+            if held:
+                yield from replies(last, held)
+
+        yield from _packed(rows(), ["chunk", "bucket", "part", "good", "back", "wide"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()])
+
+    sent = stored.select("chunk", "ids", "lengths", "targets").mapInArrow(tidy(send), "bucket long, chunk long, part long, keys binary, good binary, back binary")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(tidy(answer), "chunk long, bucket long, part long, good binary, back binary, wide boolean")
+
+
+def score(docs: DataFrame, target: Column, columns: list[str] | None = None, size: int = VOCABULARY, chunk: int = CHUNK, bucket_tokens: int = BUCKET, entries: int = ENTRIES) -> DataFrame:
     """``columns`` (default: doc_id), n_tokens, both cross-entropies in nats a token, and their difference as ``score``."""
-    columns = columns or ["doc_id"]
-    ids, good, back = train(docs, target, size)
-    spark, n = docs.sparkSession, len(columns)
-    bigrams = good.bigrams.counts.where("key >= 0")
-    least = F.lit(_frequent(bigrams, frequent))
-    total = F.col("good") + F.col("back")
-    top = bigrams.where(total >= least).toArrow().sort_by("key")
-    keys = top.column("key").to_numpy()
-    good, back = good.words_only(), back.words_only()
-    known = [m.losses(keys, top.column(c).to_numpy()) for m, c in ((good, "good"), (back, "back"))]
-    held, words_held = spark.sparkContext.broadcast((ids, keys, *known)), spark.sparkContext.broadcast((good, back))
-    names = [*columns, "_row", "n_tokens", "_good", "_back", "_rest"]
+    columns, spark = columns or ["doc_id"], docs.sparkSession
+    is_target = F.coalesce(target, F.lit(False))
+    ids = {w: k for k, w in enumerate(vocabulary(docs.where(is_target), size), 1)}
+    kinds = len(ids) + 2  # the unknown word and a text's start
+    stored = chunks(docs, target, ids, columns, chunk)
+    tokens, many = stored.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)), F.count("*")).first()
+    buckets = max(1, -(-tokens // ((2 if kinds <= 1 << 16 else 4) * bucket_tokens)))
+    models = spark.sparkContext.broadcast(word_counts(stored, kinds, many))
+    names = ["rows", "n_tokens", "good", "back"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, a, z = held.value
-        for b in slices(batches):
-            out = []
-            for text in b.column(n + 1):
-                now = token_ids(text.as_py(), ids)
-                if not len(now):
-                    out.append((0, 0.0, 0.0, []))
-                    continue
-                mine = _cells(_steps(now, len(ids) + 1), now)
-                at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-                there = keys[at] == mine if len(keys) else np.zeros(len(mine), dtype=bool)
-                at = at[there]
-                out.append((len(now), float(a[at].sum()), float(z[at].sum()), mine[~there]))
-            made = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())])]
-            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], *made], names=names)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replies: list[tuple] = []
         for b in batches:
-            k, *counts = [c.to_numpy() for c in b.columns]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(m.losses(k, c)) for m, c in zip(words_held.value, counts)]], names=["key", "a", "z"])
-
-    schema = docs.select(*columns, *[F.lit(0).cast("long").alias(c) for c in names[n : n + 2]], *[F.lit(0.0).alias(c) for c in names[n + 2 : n + 4]], F.lit(None).cast("array<long>").alias("_rest")).schema
-    rows = docs.select(*columns, F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("_text"))
-    parts = materialize(rows.mapInArrow(tidy(run), schema), "lm-parts")  # stored, so that _row stays
-    others = bigrams.where(total < least).select("key", "good", "back").mapInArrow(tidy(rare), "key long, a double, z double")
-    sums = parts.select("_row", F.explode("_rest").alias("key")).join(others, "key").groupBy("_row").agg(F.sum("a").alias("_a"), F.sum("z").alias("_z"))
-    both = parts.drop("_rest").join(sums, "_row", "left")
-    mean = {c: F.when(F.col("n_tokens") > 0, (F.col(x) + F.coalesce(y, F.lit(0.0))) / F.col("n_tokens")) for c, x, y in (("target_loss", "_good", "_a"), ("background_loss", "_back", "_z"))}
-    return both.select(*columns, "n_tokens", *[e.alias(c) for c, e in mean.items()]).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+            for i, (bucket, good, back, wide, ids, lengths, targets) in enumerate(zip(*[b.column(k).to_pylist() for k in range(2, 9)])):
+                if bucket is not None:  # what a chunk was answered sorts before the chunk
+                    replies.append((good, back, "<u8" if wide else "<u4"))
+                    continue
+                c = _read(ids, lengths, targets, kinds)
+                keys, which = c.bigrams()
+                order = np.argsort(bucket_of(keys, buckets), kind="stable")
+                sums = []
+                for side, model in enumerate(models.value):
+                    counts = np.empty(len(keys), dtype=np.int64)
+                    counts[order] = np.concatenate([np.empty(0, dtype=np.int64), *[np.frombuffer(r[side], dtype=r[2]).astype(np.int64) for r in replies]])
+                    some, total = c.lengths > 0, np.zeros(len(c.lengths))
+                    if some.any():
+                        total[some] = np.add.reduceat(model.losses(keys, counts)[which], (np.cumsum(c.lengths) - c.lengths)[some])
+                    sums.append(total)
+                replies = []
+                values = b.column(9).slice(i, 1).flatten()
+                yield pa.RecordBatch.from_arrays([values, pa.array(c.lengths), *[pa.array(s) for s in sums]], names=names)
+
+    whole = stored.select("chunk", F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "long"), ("good", "binary"), ("back", "binary"), ("wide", "boolean"))], "ids", "lengths", "targets", "rows", F.lit(0).cast("long").alias("part"))
+    answers = totals(stored, kinds, buckets, entries).select("chunk", F.lit(0).alias("kind"), "bucket", "good", "back", "wide", *[F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in ("ids", "lengths", "targets", "rows")], "part")
+    dealt = answers.union(whole).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket", "part")
+    schema = stored.select(F.col("rows")[0].alias("rows"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("good"), F.lit(0.0).alias("back")).schema
+    found = materialize(dealt.mapInArrow(tidy(run), schema), "lm-scores")
+    discard(stored)
+    loss = {c: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens")) for c, x in (("target_loss", "good"), ("background_loss", "back"))}
+    out = found.select(*[F.col(f"rows.c{k}").alias(c) for k, c in enumerate(columns)], "n_tokens", *[e.alias(c) for c, e in loss.items()])
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

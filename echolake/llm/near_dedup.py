@@ -225,7 +225,8 @@ def pivot_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs (a < b) of an open region's row with the most links and each row of another component."""
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
     ranked = rows.join(degree, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    pivots = ranked.groupBy("area").agg(F.max(F.struct("degree", "rep", "component")).alias("p"))
+    # stored, so that the join has plain scans on both sides and splits a hot region's rows at run time
+    pivots = materialize(ranked.groupBy("area").agg(F.max(F.struct("degree", "rep", "component")).alias("p")), "near-tops")
     pairs = rows.join(pivots, "area").where(F.col("component") != F.col("p.component"))
     return pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
 

@@ -20,7 +20,9 @@ from __future__ import annotations
 import base64
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -75,7 +77,12 @@ class Encoder:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def part(self, word: str) -> bytes:
-        return np.array(self.short(word), dtype="<u4").tobytes() if self.short else self.whole(word)
+        if not self.short:
+            return self.whole(word)
+        ids = array("I", self.short(word))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(w in text for w in _WHITE) or text.endswith(" ") or "<|" in text or _RARE.search(text):

@@ -32,7 +32,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], conversations.schema)
-    return chat.read_back(chat.expand(conversations.union(control)))
+    return chat.write_and_read(conversations.union(control))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from echolake.llm import chat, warc
 
@@ -146,22 +147,32 @@ def digests(rows):
     return sorted(out, key=str)
 
 
-def test_prefix_targets(spark):
-    df = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")
-    examples = chat.expand(df)
+@pytest.mark.parametrize("base", [chat.BASE, 40])
+def test_prefix_targets(spark, base):
+    df = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string").withColumn("example", F.lit("clash"))
+    examples = chat.expand(df, base)
     assert sorted([tuple(r) for r in chat.read_back(examples).collect()], key=str) == digests(CONVERSATIONS)
-    full = {(r["conv_id"], r["example"]): r for r in chat.render(examples).collect()}
-    one = full[1, 1]
-    assert one["text"].startswith(full[1, 0]["text"]) and one["trainable"]
-    assert chat.unescape(one["text"][one["loss_start"] : one["loss_end"]]) == "second &lt;| <|im_end|>"
-    assert not full[1, 2]["trainable"] and full[1, 2]["loss_start"] == full[1, 2]["loss_end"]
-
-
-def test_long_conversation_stays_linear(spark):
-    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(600)]
-    examples = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    assert sum(len(r["delta"]) for r in examples.collect()) == sum(len(chat.format_turn(r, t)) for _, _, r, t in rows)
-    assert [tuple(r) for r in chat.read_back(examples).collect()] == digests(rows)
+    rows = examples.collect()
+    full = {}
+    for r in rows:
+        if r["example"] is not None:
+            before = "".join(p["text"] for p in sorted((p for p in rows if p["conv_id"] == r["conv_id"] and p["base"] is not None), key=lambda p: p["base"]))[: r["base_chars"]]
+            full[r["conv_id"], r["example"]] = (before + r["text"], r)
+    (first, _), (text, one) = full[1, 0], full[1, 1]
+    assert text.startswith(first) and one["trainable"] and not one["last"] and list(chat.parse_turns(text)) == [("user", "hello"), ("assistant", "first"), ("assistant", "second &lt;| <|im_end|>")]
+    assert chat.unescape(text[one["loss_start"] : one["loss_end"]]) == "second &lt;| <|im_end|>"
+    closing = full[1, 2][1]
+    assert not closing["trainable"] and closing["last"] and closing["loss_start"] == closing["loss_end"]
+    assert sum(r["last"] for r in rows) == len({c for c, *_ in CONVERSATIONS})
+
+
+def test_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(600)] + [(2, t, "user", "x" * 50) for t in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for base in (chat.BASE, 1000):
+        assert sorted(tuple(r) for r in chat.write_and_read(df, base).collect()) == digests(rows)
+    written = [len(r["text"]) for r in chat.expand(df, 1000).collect()]
+    assert max(written) < 1100 and sum(written) < 400 * 1100  # bases bound what an example repeats
 
 
 def test_no_conversations(spark):
