@@ -148,6 +148,13 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sampled(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """At most ``n`` rows of ``df``, those with the smallest hashes: a bounded sample that does not depend on layout."""
-    return df.orderBy(*order).limit(n)
+def sampled(df: DataFrame, n: int, place: Column, *order: Column, total: int | None = None) -> DataFrame:
+    """At most ``n`` rows of ``df``, those with the smallest ``place`` (a 64-bit hash): a bounded sample that does not depend on layout.
+
+    Rows are counted first (unless ``total`` is known), and only about twice as many as wanted pass a test of their hash, so
+    that not every task sends ``n`` rows to where they are ordered.
+    """
+    total = df.count() if total is None else total
+    wanted = 2 * n + 1000
+    some = df if total <= wanted else df.where(place < -(1 << 63) + (1 << 64) * wanted // total)
+    return some.orderBy(place, *order).limit(n)

@@ -13,8 +13,8 @@ corpus is broadcast or collected, a frequent bigram costs an entry a chunk, and
 corpus.  Counts of words, of bounded size, are added up by a tree of tasks and broadcast.
 
 Defined cases: a null or word-less text has no tokens and a null score; a target without texts gives an empty
-vocabulary, so that all documents score alike; a null condition is background; rows that share an id are scored each; of
-words that are equally frequent the smaller bytes come first; a text of any length is one document of one chunk, which
+vocabulary, so that all documents score alike; a null condition is background; rows that share an id are scored each; words
+that are equally frequent are all in the vocabulary or all out; a text of any length is one document of one chunk, which
 then is as long as the text; extra columns are ignored; empty tables give no rows.
 """
 
@@ -36,7 +36,7 @@ VOCABULARY = 50_000
 BIGRAM, UNIGRAM = 0.7, 0.9  # weights of the bigram estimate, and of the unigram one against the uniform one
 FLUSH = 500_000  # distinct words after which a task passes its counts on
 CHUNK = 1_000_000  # tokens
-BUCKET = 8_000_000  # tokens for each bucket of bigrams
+BUCKET = 2_000_000  # tokens for each bucket of bigrams
 ENTRIES = 16_384  # bigrams in a row of what is sent, at most
 FAN = 32  # partial sums that one task adds up
 
@@ -48,7 +48,10 @@ def words(text: str | None) -> list[bytes]:
 
 
 def vocabulary(target: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` most frequent words of all texts in ``target``; ties by the word."""
+    """The most frequent words of all texts in ``target``, ``size`` at most; words that are equally frequent are all in or all out.
+
+    So they are found by how many words have each count, and no task orders all words.
+    """
 
     def batch(c: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
@@ -64,8 +67,27 @@ def vocabulary(target: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         yield batch(c)
 
     found = target.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "word binary, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(r["word"]) for r in top.select("word").collect()]
+    counts = materialize(found.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+    def least(rows: DataFrame, key: Column, room: int) -> tuple[int, int]:
+        """The least key from which on there are at most ``room`` rows, and how many there are."""
+        many = sorted(((r["key"], r["n"]) for r in rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).collect()), reverse=True)
+        total, at = 0, None
+        for k, n in many:
+            if total + n > room:
+                break
+            total, at = total + n, k
+        return (1 << 62 if at is None else at), total
+
+    # by powers of two first, then by counts within the power where the room ends, of which there are few
+    power = F.floor(F.log2("n")).cast("int")
+    from_power, taken = least(counts, power, size)
+    inside, edge = (counts.where(power == min(from_power, 63) - 1), from_power) if from_power < 1 << 62 else (counts.where(power == (counts.agg(F.max(power)).first()[0] or 0)), None)
+    from_count, _ = least(inside, F.col("n"), size - taken)
+    kept = counts.where((F.col("n") >= from_count) | (F.lit(False) if edge is None else power >= edge))
+    out = sorted(kept.collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+    discard(counts)
+    return [bytes(r["word"]) for r in out]
 
 
 class Chunk:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echolake.llm.base import discard, materialize, slices, tidy
+from echolake.llm.base import discard, materialize, sampled, slices, tidy
 
 PAGE = 256
 BLOCK = 16_384
@@ -198,7 +198,8 @@ def _routes(rows: DataFrame, blocks: dict[int, int]) -> dict[int, Routes]:
     tops = {r["dim"]: r["top"] for r in rows.where("not large").groupBy("dim").agg(F.max("norm").alias("top")).collect()}
     found = {}
     for dim, top in tops.items():
-        some = rows.where((F.col("dim") == dim) & ~F.col("large")).orderBy(F.xxhash64("v"), "row").limit(min(PIVOTS, blocks[dim])).select("v").collect()
+        own = rows.where((F.col("dim") == dim) & ~F.col("large"))
+        some = sampled(own, min(PIVOTS, blocks[dim]), F.xxhash64("v"), F.col("row")).select("v").collect()
         found[dim] = Routes(top, np.array([r["v"] for r in some]))
     return found
 

@@ -320,6 +320,14 @@ def test_cross_entropy_difference(spark):
     assert lm_scoring.score(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 4, 5, 6, 7, 100])
+def test_vocabulary_takes_ties_together(spark, size):
+    count = {"a": 9, "b": 8, "c": 8, "d": 5, "e": 1, "f": 1, "g": 1}
+    df = spark.createDataFrame([(" ".join([w] * n),) for w, n in count.items()], "text string")
+    fits = [w for w, n in count.items() if sum(m >= n for m in count.values()) <= size]
+    assert lm_scoring.vocabulary(df, size) == [w.encode() for w in fits]
+
+
 def test_counts_are_of_all_documents(spark):
     df = spark.createDataFrame([(i, "x y", "", "t" if i < 30 else "b", "") for i in range(100)] + [(200, None, "", "t", "")], DOCS).repartition(5)
     ids = {w: k for k, w in enumerate(lm_scoring.vocabulary(df.where("source = 't'")), 1)}
@@ -340,7 +348,9 @@ def test_losses_are_of_exact_bigram_counts(spark, chunk, bucket_tokens, entries)
     rows += [(300, rows[7][1], "", "t", ""), (301, rows[7][1], "", "t", ""), (301, "w1", "", "b", ""), (None, "w1 w2", "", None, ""), (302, None, "", "t", ""), (303, "É-é W1", "", "b", "")]
     got = lm_scoring.score(spark.createDataFrame(rows, DOCS), F.col("source") == "t", chunk=chunk, bucket_tokens=bucket_tokens, entries=entries, size=900).collect()
     count = Counter(w for _, t, _, source, _ in rows if source == "t" for w in (t or "").split())
-    known = {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0].encode()))[:900]}
+    cut = min(n for n in set(count.values()) if sum(m >= n for m in count.values()) <= 900)
+    known = {w for w, n in count.items() if n >= cut}
+    assert 0 < len(known) < len(count)
     texts = [([w if w in known else "" for w in (t or "").lower().replace("-", " ").split()], source == "t") for _, t, _, source, _ in rows]
     kinds = len(known) + 1
     losses = []
