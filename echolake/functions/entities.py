@@ -14,15 +14,17 @@ def entity_tokens(text: Column) -> Column:
     Digits only make a number, digits and letters an identifier, capitals only an acronym; other runs are dropped and
     everything else, non-ASCII included, separates.
     """
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    t = F.coalesce(text, F.lit(""))
 
-    def kind(pattern: str) -> Column:
-        return F.array_sort(F.array_distinct(F.filter(runs, lambda x: x.rlike(pattern))))
+    def kind(run: str) -> Column:
+        # possessive runs between borders: a run of another kind is passed over without backtracking
+        found = F.regexp_extract_all(t, F.lit(f"(?<![A-Za-z0-9]){run}(?![A-Za-z0-9])"), F.lit(0))
+        return F.array_sort(F.array_distinct(found))
 
     return F.struct(
-        kind("^[0-9]+$").alias("numbers"),
-        kind("^[A-Z]+$").alias("acronyms"),
-        kind("^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$").alias("identifiers"),
+        kind("[0-9]++").alias("numbers"),
+        kind("[A-Z]++").alias("acronyms"),
+        kind("(?:[A-Za-z]++[0-9]|[0-9]++[A-Za-z])[A-Za-z0-9]*+").alias("identifiers"),
     )
 
 
@@ -40,11 +42,3 @@ def entity_missing(query: Column, candidate: Column) -> Column:
     for k in KINDS:
         out = out | (F.size(F.array_except(query[k], candidate[k])) > 0)
     return out
-
-
-def is_subset(a: Column, b: Column) -> Column:
-    return F.size(F.array_except(a, b)) == 0
-
-
-def same_set(a: Column, b: Column) -> Column:
-    return is_subset(a, b) & is_subset(b, a)

@@ -108,8 +108,15 @@ def annotate_status(body: Column, status: Column) -> Column:
     return F.when(_is_object(parsed), F.concat(inner, comma, F.lit('"_cache":"'), status, F.lit('"}'))).otherwise(body)
 
 
-def upstream_status(status: Column) -> Column:
-    return F.when(status > 0, status).otherwise(F.lit(502))
+def upstream_status(status: Column, timed_out: Column | None = None) -> Column:
+    """What a caller is told: the upstream's status where there is one, else 504 for a timeout and 502 for any other failure."""
+    failed = F.lit(502) if timed_out is None else F.when(F.coalesce(timed_out, F.lit(False)), 504).otherwise(502)
+    return F.when(status > 0, status).otherwise(failed)
+
+
+def passes_through(status: Column, content_type: Column) -> Column:
+    """Whether a reply is relayed piece by piece: only an event stream of a 2xx status is, all else is held as a whole."""
+    return F.coalesce(status.between(200, 299) & F.lower(content_type).contains("text/event-stream"), F.lit(False))
 
 
 def classify(requests: DataFrame, body: str = "body") -> DataFrame:

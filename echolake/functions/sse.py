@@ -9,6 +9,7 @@ BOUNDARY = r"(?>\r\n|\n|\r){2,}"  # a line end of two characters counts once
 DONE_EVENT = "data: [DONE]\n\n"
 HIT_COMMENT = ": cache hit\n\n"
 CAPTURE_LIMIT = 2 << 20
+LINE_LIMIT = 16_384
 
 
 def events(text: Column) -> Column:
@@ -48,8 +49,14 @@ def has_done(text: Column) -> Column:
 
 
 def usage(text: Column) -> Column:
-    """``struct<prompt_tokens, completion_tokens, seen>`` from data lines with a ``usage`` key; the last value wins."""
-    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.startswith(x, F.lit("data:")) & x.contains('"usage"'))
+    """``struct<prompt_tokens, completion_tokens, seen>`` from whole data lines with a ``usage`` key; the last value wins.
+
+    A line without its end, or of more than LINE_LIMIT bytes, does not count.
+    """
+    lines = F.split(text, "\n")
+    lines = F.transform(F.slice(lines, 1, F.size(lines) - 1), lambda x: F.regexp_replace(x, "\r$", ""))
+    lines = F.filter(lines, lambda x: F.octet_length(x) <= LINE_LIMIT)
+    lines = F.filter(lines, lambda x: F.startswith(x, F.lit("data:")) & x.contains('"usage"'))
 
     def last(key: str) -> Column:
         found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, f'"{key}"\\s*:\\s*(-?[0-9]+)', 1)), lambda x: x != "")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,12 +44,13 @@ def basic_tokens(text: Column, lower: bool = True) -> Column:
 
 
 def wordpiece(vocabulary: dict[str, int]) -> Callable[[Column], Column]:
-    """A column function: arrays of words to arrays of ids, greedily by the longest known piece."""
+    """A column function: arrays of words to arrays of ids, greedily by the longest known piece.
 
-    @F.pandas_udf("array<int>")
-    def run(words: pd.Series) -> pd.Series:
-        known: dict[str, list[int]] = {}
+    Arrow arrays come and go as they are; of each batch every distinct word is cut up once, and ids are gathered by arrays.
+    """
 
+    @F.arrow_udf("array<int>")
+    def run(words: pa.Array) -> pa.Array:
         def ids(word: str) -> list[int]:
             if len(word) > MAX_WORD:
                 return [UNK]
@@ -63,19 +66,31 @@ def wordpiece(vocabulary: dict[str, int]) -> Callable[[Column], Column]:
                     return [UNK]
             return out
 
-        def one(ws) -> list[int]:
-            out: list[int] = []
-            for w in () if ws is None else ws:
-                if w not in known:
-                    known[w] = ids(w)
-                out += known[w]
-            return out
-
-        return words.map(one) if len(words) else pd.Series([], dtype=object)
+        lengths = np.array(pa.compute.fill_null(pa.compute.list_value_length(words), 0), dtype=np.int64)
+        coded = pa.compute.fill_null(words.flatten(), "").dictionary_encode()
+        pieces = [ids(w) for w in coded.dictionary.to_pylist()]
+        counts = np.array([len(p) for p in pieces], dtype=np.int64)
+        values, starts = np.array([i for p in pieces for i in p], dtype=np.int32), np.cumsum(counts) - counts
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = counts[which]
+        at = np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lengths)])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[at], pa.int32()))
 
     return run
 
 
+def first_words(words: Column, limit: int = MAX_TOKENS) -> Column:
+    """As many words as :func:`encode` can keep; every word has an id at least."""
+    return F.slice(words, 1, limit - 2)
+
+
+def decode_bytes(raw: Column) -> Column:
+    """Text of bytes that may be no valid UTF-8: every invalid sequence becomes a replacement character, which
+    :func:`clean_text` drops."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def encode(ids: Column, limit: int = MAX_TOKENS) -> Column:
     """Start mark, at most ``limit - 2`` ids, end mark."""
     return F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, limit - 2), F.array(F.lit(SEP)))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolake.functions.entities import entity_mismatch, entity_tokens
-from echolake.functions.keys import same_namespace
 from echolake.functions.vectors import cosine
 
 SEMANTIC = 0.95
@@ -31,10 +30,23 @@ def _overlapping(requests: DataFrame, on: list[str], extra: list[str], width: fl
 def merge_exact(requests: DataFrame, width: float) -> DataFrame:
     """request_id and the earliest request with the same key in whose flight it began.
 
-    ``requests`` has request_id, key, started and ended (seconds).
+    ``requests`` has request_id, key, started and ended (seconds).  A flight is put in every time slice of ``width``
+    seconds that it lasts, so that a key is swept slice by slice and no pairs arise.  In a slice, by start, only a flight
+    that outlasts all before it can lead: of these both starts and ends rise, so a request's leader is the one that ends
+    next after the request began.
     """
-    pairs = _overlapping(requests, ["key"], [], width, F.lit(True))
-    return pairs.groupBy(F.col("b_request_id").alias("request_id")).agg(F.min_by("a_request_id", F.struct("a_started", "a_request_id")).alias("leader_id"))
+    rows = requests.select("request_id", "key", "started", "ended").where("started is not null")
+    last = rows.agg(F.max("started").alias("last"))  # one row
+    flights = rows.where("started < ended").crossJoin(F.broadcast(last))
+    flights = flights.withColumn("slice", F.explode(F.sequence(F.floor(F.col("started") / width), F.floor(F.least("ended", "last") / width))))
+    before = Window.partitionBy("key", "slice").orderBy("started", "request_id").rowsBetween(Window.unboundedPreceding, -1)
+    leads = flights.withColumn("longest", F.max("ended").over(before)).where(F.col("longest").isNull() | (F.col("ended") > F.col("longest")))
+    ends = leads.select("key", "slice", F.col("ended").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["request_id"].dataType).alias("request_id"), F.struct("request_id", "started").alias("lead"))
+    asks = rows.select("key", F.floor(F.col("started") / width).alias("slice"), F.col("started").alias("at"), F.lit(1).alias("kind"), "request_id", F.lit(None).cast(ends.schema["lead"].dataType).alias("lead"))
+    # an end at the very time of a request sorts before it and so does not lead it
+    after = Window.partitionBy("key", "slice").orderBy("at", "kind", "request_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    got = ends.unionByName(asks).withColumn("next", F.first("lead", ignorenulls=True).over(after))
+    return got.where((F.col("kind") == 1) & (F.col("next.started") < F.col("at"))).select("request_id", F.col("next.request_id").alias("leader_id"))
 
 
 def merge_semantic(requests: DataFrame, width: float, threshold: float = SEMANTIC, veto: bool = True) -> DataFrame:
@@ -56,6 +68,3 @@ def merge(requests: DataFrame, width: float, threshold: float = SEMANTIC) -> Dat
     semantic = merge_semantic(requests, width, threshold).withColumnRenamed("leader_id", "semantic")
     both = requests.select("request_id").join(exact, "request_id", "left").join(semantic, "request_id", "left")
     return both.select("request_id", F.coalesce("exact", "semantic").alias("leader_id"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("semantic").isNotNull(), "semantic").alias("merged_by"))
-
-
-__all__ = ["merge", "merge_exact", "merge_semantic", "same_namespace"]

@@ -68,7 +68,7 @@ def cost(prompt: Column, completion: Column, prompt_price: float, completion_pri
     return prompt * prompt_price / 1000.0 + completion * completion_price / 1000.0
 
 
-def tokens_saved(log: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+def tokens_saved(log: DataFrame, order: list[str], bucket: Column | None = None) -> DataFrame:
     """Every hit with what it is estimated to save: all tokens spent so far by the misses so far, in whole numbers.
 
     The split in prompt and completion tokens divides each on its own, and before the first miss nothing is saved.

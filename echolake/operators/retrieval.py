@@ -120,6 +120,12 @@ def missing_from(store: DataFrame, index: DataFrame, key: str = "key") -> DataFr
     return store.join(index.select(key), key, "left_anti")
 
 
+def key_differences(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
+    """Keys that one table has more often than the other, and which: ``a`` or ``b``; a row for each surplus one."""
+    x, y = a.select(key), b.select(key)
+    return x.exceptAll(y).withColumn("only", F.lit("a")).unionByName(y.exceptAll(x).withColumn("only", F.lit("b")))
+
+
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Per query the share of the true k nearest that were found; both frames have query_id, vec_id and rank."""
     t = truth.where(F.col("rank") <= k)

@@ -6,12 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], bucket: Column) -> DataFrame:
+RANGES = 200
+
+
+def ranges(df: DataFrame, column: str, parts: int = RANGES) -> Column:
+    """The number of the range that a row's ``column`` (a number or a timestamp) falls in, of ``parts`` with about as many rows each.
+
+    The borders are approximate quantiles, so no range grows with how rows crowd in time; a value that is a
+    third of all rows is a range by itself.  Null comes first, as it sorts.
+    """
+    x = F.unix_micros(F.col(column).cast("timestamp")) if dict(df.dtypes)[column].startswith("timestamp") else F.col(column).cast("double")
+    cuts = df.agg(F.percentile_approx(x.cast("double"), [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"]
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return F.lit(0)
+    # a search by halves in nested conditions, made by code generation
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x.cast("double") > cuts[mid], place(mid + 1, hi)).otherwise(place(lo, mid))
+
+    return place(0, len(cuts))
+
+
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], bucket: Column | None = None) -> DataFrame:
     """``df`` with the sum of each of ``sums`` over all rows up to and including this one in ``order``.
 
-    ``bucket`` must not fall as ``order`` rises (a time slice, a range of numbers); it is what rows are dealt by.  Sums of
-    whole buckets are added up over one row a bucket, and within a bucket a window runs on its own.
+    ``bucket`` must not fall as ``order`` rises (a time slice, a range of numbers); it is what rows are dealt by.  By default
+    it is one of :data:`RANGES` ranges of the first column of ``order`` with about as many rows each.  Sums of whole buckets
+    are added up over one row a bucket, and within a bucket a window runs on its own.
     """
+    bucket = ranges(df, order[0]) if bucket is None else bucket
     rows = df.withColumn("_bucket", bucket).withColumns({f"_v_{n}": c for n, c in sums.items()})
     whole = rows.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from echolake.config import Config
 from echolake.functions.entities import entity_mismatch, entity_tokens
 from echolake.functions.keys import lookup_key
-from echolake.functions.requests import classify, upstream_status
+from echolake.functions.requests import cacheable, classify, upstream_status
 from echolake.functions.screen import screen_input, screen_output
 from echolake.functions.sse import content, fill_eligible, has_done, replay, usage
 from echolake.functions.vectors import cosine_batch
@@ -24,15 +24,15 @@ def prepare(requests: DataFrame, config: Config, embed) -> DataFrame:
     f = config.filter
     rows = classify(requests).withColumn("screen", screen_input(F.col("all_text"), block_urls=f.block_urls, keywords=f.blocked_keywords, max_bytes=f.max_input_bytes))
     rows = rows.withColumn("text", F.when(F.col("screen.action") == "truncate", screen_input(F.col("user_text"), max_bytes=f.max_input_bytes)["sanitized"]).otherwise(F.col("user_text")))
-    can = (F.col("screen.action") != "reject") & ~F.col("is_tool") & (F.col("text") != "") & F.lit(config.cache.enabled)
+    can = (F.col("screen.action") != "reject") & cacheable(F.lit(config.cache.enabled), F.col("is_tool"), F.col("text"))
     return rows.withColumn("cacheable", can).withColumn("embedding", F.when(F.col("cacheable"), embed(F.col("text"))))
 
 
 def serve(requests: DataFrame, entries: DataFrame, replies: DataFrame, config: Config, embed, now: int) -> DataFrame:
     """request_id, status, http_status and reply of every request against one version of the entries.
 
-    ``entries`` has vec_id besides the columns of the cache table; ``replies`` (request_id, status, reply) is what the
-    upstream would answer.  Lookups without a vector fall back to the exact text.
+    ``entries`` has vec_id besides the columns of the cache table; ``replies`` (request_id, status, reply, and timed_out
+    if known) is what the upstream would answer.  Lookups without a vector fall back to the exact text.
     """
     q = prepare(requests, config, embed).withColumnRenamed("request_id", "query_id")
     store = live(entries, now, config.cache.ttl_seconds)
@@ -40,7 +40,8 @@ def serve(requests: DataFrame, entries: DataFrame, replies: DataFrame, config: C
     near = retrieval.knn(asked.where("embedding is not null"), store, config.cache.top_k)
     hits = retrieval.judge(near, asked.select("query_id", "namespace", "text"), store, threshold=config.cache.threshold, veto=config.cache.veto).where("is_hit").select("query_id", F.col("value").alias("semantic"))
     exact = retrieval.exact_lookup(asked.where("embedding is null").select("query_id", lookup_key(F.col("namespace"), F.col("text")).alias("lookup")), store.withColumn("recency", F.col("last_access"))).where("value is not null").select("query_id", F.col("value").alias("exact"))
-    up = replies.select(F.col("request_id").alias("query_id"), upstream_status(F.col("status")).alias("up_status"), "reply")
+    timed_out = F.col("timed_out") if "timed_out" in replies.columns else None
+    up = replies.select(F.col("request_id").alias("query_id"), upstream_status(F.col("status"), timed_out).alias("up_status"), "reply")
     all_ = q.select("query_id", "screen", "is_tool", "cacheable").join(hits, "query_id", "left").join(exact, "query_id", "left").join(up, "query_id", "left")
     hit = F.coalesce("semantic", "exact")
     status = F.when(F.col("screen.action") == "reject", "rejected").when(F.col("is_tool"), "bypass").when(hit.isNotNull(), "hit").otherwise("miss")
@@ -74,3 +75,16 @@ def evaluate_pairs(pairs: DataFrame, embed, thresholds=evaluation.THRESHOLDS, se
     scored = scored.withColumn("similarity", cosine_batch(F.col("a"), F.col("b"))).withColumn("differs", entity_mismatch(entity_tokens(F.col("sentence1")), entity_tokens(F.col("sentence2"))))
     both = scored.select("is_match", "similarity", "differs", F.explode(F.array(F.lit(False), F.lit(True))).alias("veto"))
     return evaluation.sweep(both, thresholds, ["veto"], vetoed=F.col("veto") & F.col("differs")).withColumn("setting", F.lit(setting))
+
+
+def compare_settings(pairs: DataFrame, embedders: dict[tuple[str, str], object], threshold: float = 0.80) -> DataFrame:
+    """Match quality of several ways to make vectors, by (case, pooling): a row for each, one for each case and each pooling alone,
+    and one for all, which add up the counts."""
+    parts = None
+    for (case, pooling), embed in embedders.items():
+        scored = pairs.withColumns({"a": embed(F.col("sentence1")), "b": embed(F.col("sentence2"))})
+        part = scored.select("is_match", cosine_batch(F.col("a"), F.col("b")).alias("similarity"), F.lit(case).alias("case"), F.lit(pooling).alias("pooling"))
+        parts = part if parts is None else parts.unionByName(part)
+    both = parts.withColumn("side", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c in (True, False) for p in (True, False)])))
+    both = both.select("is_match", "similarity", F.when(F.col("side.c"), F.col("case")).alias("case"), F.when(F.col("side.p"), F.col("pooling")).alias("pooling"))
+    return evaluation.sweep(both, (threshold,), ["case", "pooling"])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolake.config import Config
 from echolake.functions import entities, hashing, keys, requests, screen, sse, vectors, wordpiece
-from echolake.operators import cache_table, evaluation, merging, metrics, retrieval
+from echolake.operators import ann, cache_table, evaluation, merging, metrics, replay, retrieval
 from echolake.operators.running import running_sums
 from echolake.plans import requests as plans
-from echolake.sources import datasets, reports
+from echolake.sources import datasets, reports, snapshot
 from echolake.streaming import sse_stream
 
 QUERIES: dict = {}
@@ -27,7 +29,12 @@ def query(sql: str | None = None, uses: tuple[str, ...] = ()):
         QUERIES[f.__name__] = f
         if sql:
             ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in uses)
-            SQL[f.__name__] = (f"WITH {ctes} " if ctes else "") + sql
+            text = sql.strip()
+            if ctes and text.startswith("WITH RECURSIVE"):
+                text = f"WITH RECURSIVE {ctes}, {text.removeprefix('WITH RECURSIVE')}"
+            elif ctes:
+                text = f"WITH {ctes} {text}"
+            SQL[f.__name__] = text
         return f
 
     return register
@@ -48,7 +55,7 @@ _PROBES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in P
 VIEWS["probes"] = _PROBES_SQL
 
 _INJECTION_SQL = "(" + " OR ".join(f"contains(lower({{t}}), '{p.lower()}')" for p in screen.INJECTION_PHRASES) + ")"
-_URL_SQL = "regexp_matches({t}, '(?i)(https?://|ftp://|www\\.)[^\\s<>\"'']+')"
+_URL_SQL = "regexp_matches({t}, '" + screen.URL_PATTERN.replace("'", "''") + "')"
 
 #: A fixed mapping of event types to outcomes, and of values and props to latencies and tokens.
 OUTCOME = {"view": "hit", "click": "miss", "purchase": "bypass", "signup": "merge", "error": "stream_miss"}
@@ -65,10 +72,6 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", "user_id", outcome.alias("outcome"), F.floor(F.col("value") * 10).cast("long").alias("latency_ms"), k.alias("prompt_tokens"), (k * 2).alias("completion_tokens"))
 
 
-def _slice(seconds: int = 86_400):
-    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))
-
-
 VIEWS["store"] = """
     SELECT vec_id, embedding::DOUBLE[] AS e, label, CASE WHEN label % 3 = 0 THEN '' ELSE 'ns' || label END AS namespace,
            CASE WHEN label % 3 = 0 THEN '' ELSE 'ns' || label || ':' END || 'msg:' || vec_id AS key,
@@ -215,8 +218,8 @@ def injection_probe(spark, sf_dir):
     return p.select(F.col("id").cast("long").alias("id"), screen.contains_injection(F.col("text")).alias("injection"))
 
 
-_SCREENED = """SELECT id, CASE WHEN {injection} THEN 'reject' WHEN {url} THEN 'reject' WHEN contains(text, 'rates') THEN 'reject' WHEN strlen(text) > 1000 THEN 'truncate' ELSE 'pass' END AS action,
-    CASE WHEN {injection} THEN 'Request rejected: potential injection detected' WHEN {url} THEN 'Request rejected: URLs are not allowed' WHEN contains(text, 'rates') THEN 'Request rejected: blocked content' END AS reason
+_SCREENED = f"""SELECT id, CASE WHEN {{injection}} THEN 'reject' WHEN {{url}} THEN 'reject' WHEN contains(text, 'rates') THEN 'reject' WHEN strlen(text) > 1000 THEN 'truncate' ELSE 'pass' END AS action,
+    CASE WHEN {{injection}} THEN '{screen.REASONS["injection"]}' WHEN {{url}} THEN '{screen.REASONS["url_in"]}' WHEN contains(text, 'rates') THEN '{screen.REASONS["keyword"]}' END AS reason
     FROM (SELECT * FROM probes UNION ALL SELECT 1000000 + page_id, html FROM pages)"""
 
 
@@ -276,10 +279,39 @@ def neighbour_distances(spark, sf_dir):
     return e.join(b, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(vectors.l2(F.col("embedding"), F.col("other")), 6).alias("l2"))
 
 
-@query("SELECT vec_id, true AS same FROM embeddings")
+_FLOAT_BITS = """
+    SELECT vec_id, i, CASE WHEN x < 0 THEN 2147483648 ELSE 0 END + CASE WHEN a = 0 THEN 0 WHEN a < pow(2.0, -126) THEN CAST(a * pow(2.0, 149) AS BIGINT)
+           ELSE (e + 127) * 8388608 + CAST((a / pow(2.0, e) - 1) * 8388608 AS BIGINT) END AS b
+    FROM (SELECT *, CASE WHEN a > 0 THEN CAST(floor(log2(a)) AS INTEGER) + CASE WHEN pow(2.0, floor(log2(a))) > a THEN -1 WHEN pow(2.0, floor(log2(a)) + 1) <= a THEN 1 ELSE 0 END END AS e
+          FROM (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x, abs(CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)))"""
+
+
+@query(f"SELECT vec_id, base64(unhex(string_agg(printf('%02x%02x%02x%02x', b & 255, (b >> 8) & 255, (b >> 16) & 255, (b >> 24) & 255), '' ORDER BY i))) AS text FROM ({_FLOAT_BITS}) GROUP BY vec_id")
 def vector_base64(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").withColumn("text", vectors.encode_vector(F.col("embedding")))
-    return e.select("vec_id", (vectors.decode_vector(F.col("text"), F.size("embedding")) == F.col("embedding")).alias("same"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", vectors.encode_vector(F.col("embedding")).alias("text"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def vector_from_base64(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", vectors.decode_vector(vectors.encode_vector(F.col("embedding")), F.size("embedding")).alias("v"))
+    return e.select("vec_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-12), 6) AS first, round(embedding[64]::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-12), 6) AS last FROM embeddings")
+def normalised_vectors(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", vectors.normalise(F.col("embedding")).alias("v"))
+    return e.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+
+
+@query("""
+    SELECT vec_id, round((embedding[1]::DOUBLE + embedding[17]::DOUBLE + CASE WHEN vec_id % 2 = 0 THEN embedding[33]::DOUBLE ELSE 0 END) / (2 + (1 - vec_id % 2)), 6) AS mean, round(embedding[1]::DOUBLE, 6) AS cls FROM embeddings""")
+def pooled_vectors(spark, sf_dir):
+    """Each vector as four tokens of 16 numbers, of which the first two count, and the third one for even ids."""
+    e = _t(spark, sf_dir, "embeddings")
+    hidden = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, 16))
+    mask = F.array(F.lit(1), F.lit(1), (1 - F.col("vec_id") % 2).cast("int"), F.lit(0))
+    got = e.withColumn("hidden", hidden).withColumn("mask", mask)
+    return got.select("vec_id", F.round(F.element_at(vectors.mean_pool(F.col("hidden"), F.col("mask")), 1), 6).alias("mean"), F.round(F.element_at(vectors.cls_pool(F.col("hidden")), 1).cast("double"), 6).alias("cls"))
 
 
 # Retrieval ------------------------------------------------------------------------------------------------------------
@@ -348,17 +380,62 @@ def recall_at_3(spark, sf_dir):
     return retrieval.recall_at_k(_knn(spark, sf_dir, partition_by=["namespace"]), _knn(spark, sf_dir), 3)
 
 
+VIEWS["knn_all"] = """
+    SELECT q.vec_id AS query_id, s.vec_id, q.namespace AS q_namespace, s.namespace AS s_namespace,
+           round((list_dot_product(q.e, s.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(s.e, s.e)) + 1e-8)), 6) AS similarity FROM store q, store s"""
+
+
 @query(
     f"""
-    SELECT avg(r.recall) AS mean_recall, CAST(0 AS DOUBLE) AS self_first_rate, CAST(0 AS BIGINT) AS empty FROM (
-        SELECT t.query_id, CAST(count(f.vec_id) AS DOUBLE) / count(*) AS recall FROM (SELECT *, {_TOP3} AS rank FROM knn_pairs) t
-        LEFT JOIN (SELECT query_id, vec_id FROM (SELECT *, {_TOP3} AS rank FROM knn_pairs) WHERE rank <= 2) f ON f.query_id = t.query_id AND f.vec_id = t.vec_id
-        WHERE t.rank <= 2 GROUP BY t.query_id) r""",
-    ("store", "knn_pairs"),
+    SELECT round(avg(r.recall), 9) AS mean_recall, round(avg(CASE WHEN r.query_id = g.vec_id THEN 1.0 ELSE 0.0 END), 9) AS self_first_rate, count(*) FILTER (g.vec_id IS NULL) AS empty FROM (
+        SELECT t.query_id, CAST(count(f.vec_id) AS DOUBLE) / count(*) AS recall FROM (SELECT *, {_TOP3} AS rank FROM knn_all) t
+        LEFT JOIN (SELECT query_id, vec_id FROM (SELECT *, {_TOP3} AS rank FROM knn_all WHERE q_namespace = s_namespace AND vec_id % 4 <> 0) WHERE rank <= 2) f ON f.query_id = t.query_id AND f.vec_id = t.vec_id
+        WHERE t.rank <= 2 GROUP BY t.query_id) r
+    LEFT JOIN (SELECT query_id, vec_id FROM (SELECT *, {_TOP3} AS rank FROM knn_all WHERE q_namespace = s_namespace AND vec_id % 4 <> 0) WHERE rank = 1) g USING (query_id)""",
+    ("store", "knn_all"),
 )
 def recall_summary(spark, sf_dir):
-    found = _knn(spark, sf_dir)
-    return evaluation.recall_report(retrieval.recall_at_k(found, found, 2), found)
+    """An index that lacks every fourth vector and searches a query's namespace only, against exact search of all."""
+    store = entry_store(spark, sf_dir)
+    asked = store.withColumnRenamed("vec_id", "query_id")
+    found = retrieval.knn(asked, store.where("vec_id % 4 != 0"), 2, partition_by=["namespace"])
+    got = evaluation.recall_report(retrieval.recall_at_k(found, retrieval.knn(asked, store, 2), 2), found)
+    return got.withColumns({c: F.round(c, 9) for c in ("mean_recall", "self_first_rate")})
+
+
+@query(f"SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_TOP3} AS rank FROM knn_pairs) WHERE rank <= 3", ("store", "knn_pairs"))
+def ann_all_cells_top3(spark, sf_dir):
+    """The approximate index with all its cells searched, which is exact."""
+    store = entry_store(spark, sf_dir).select("vec_id", "embedding")
+    c = ann.centres(store, 16)
+    return ann.search(store.withColumnRenamed("vec_id", "query_id"), ann.build(store, c), c, 3, len(c), exclude_self=True)
+
+
+@query()
+def ann_recall(spark, sf_dir):
+    """Cells, how many of them a query must search for a recall of 0.9, and the recall measured."""
+    store = entry_store(spark, sf_dir).select("vec_id", "embedding")
+    c = ann.centres(store, 32)
+    probes, recall = ann.tune(store.withColumnRenamed("vec_id", "query_id"), ann.build(store, c), c, 3, 0.9, exclude_self=True)
+    return spark.createDataFrame([(len(c), probes, recall)], "cells int, probes int, recall double")
+
+
+@query("SELECT key, CASE WHEN vec_id % 3 = 0 THEN 'a' ELSE 'b' END AS only FROM store WHERE (vec_id % 3 = 0) <> (vec_id % 5 = 0)", ("store",))
+def key_differences(spark, sf_dir):
+    store = entry_store(spark, sf_dir)
+    return retrieval.key_differences(store.where("vec_id % 3 = 0"), store.where("vec_id % 5 = 0"))
+
+
+@query(
+    """
+    SELECT a.vec_id AS a_id, b.vec_id AS b_id, CASE WHEN b.namespace = '' THEN NOT regexp_matches(a.key, '^ns[0-9a-f]{16}:') ELSE starts_with(a.key, b.namespace || ':') END AS same,
+           b.namespace = '' OR starts_with(a.key, b.namespace || ':') AS one_sided FROM store a JOIN store b ON b.vec_id = a.vec_id + 1""",
+    ("store",),
+)
+def namespace_modes(spark, sf_dir):
+    s = entry_store(spark, sf_dir)
+    b = s.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b_id"), F.col("namespace").alias("asked"))
+    return s.join(b, "vec_id").select(F.col("vec_id").alias("a_id"), "b_id", keys.same_namespace(F.col("key"), F.col("asked")).alias("same"), keys.in_namespace(F.col("key"), F.col("asked")).alias("one_sided"))
 
 
 # Merging --------------------------------------------------------------------------------------------------------------
@@ -433,7 +510,7 @@ VIEWS["spent"] = f"""
 @query("SELECT event_id, CAST(coalesce((p + c) // nullif(m, 0), 0) AS BIGINT) AS saved, CAST(coalesce(p // nullif(m, 0), 0) AS BIGINT) AS saved_prompt, CAST(coalesce(c // nullif(m, 0), 0) AS BIGINT) AS saved_completion FROM spent WHERE outcome = 'hit'", ("log", "spent"))
 def tokens_saved_running(spark, sf_dir):
     log = request_log(spark, sf_dir)
-    return metrics.tokens_saved(log, ["ts", "event_id"], _slice()).select("event_id", "saved", "saved_prompt", "saved_completion")
+    return metrics.tokens_saved(log, ["ts", "event_id"]).select("event_id", "saved", "saved_prompt", "saved_completion")
 
 
 @query("SELECT outcome, count(*) AS samples, " + ", ".join(f"list_sort(list(latency_ms))[CAST(floor({p} / 100.0 * (count(*) - 1)) AS BIGINT) + 1] AS p{p}" for p in (50, 95, 99)) + " FROM log GROUP BY outcome", ("log",))
@@ -457,7 +534,7 @@ def ring_1024(spark, sf_dir):
 
 @query("SELECT event_id, CAST(sum(latency_ms) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM log", ("log",))
 def running_latency(spark, sf_dir):
-    return running_sums(request_log(spark, sf_dir), ["ts", "event_id"], {"total": F.col("latency_ms")}, _slice()).select("event_id", "total")
+    return running_sums(request_log(spark, sf_dir), ["ts", "event_id"], {"total": F.col("latency_ms")}).select("event_id", "total")
 
 
 @query("SELECT event_id FROM log WHERE event_id % 100 = 0", ("log",))
@@ -470,6 +547,28 @@ def ghost_rate(spark, sf_dir):
     return metrics.ghost_rate(request_log(spark, sf_dir).withColumn("is_ghost", F.col("prompt_tokens") < 10), ["user_id"])
 
 
+#: crc32 of text g: a step for each byte and eight for its bits.
+_CRC = """
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(range(1, octet_length(encode(g)) + 1), lambda i: list_prepend(CAST(('0x' || hex(encode(g))[2 * i - 1 : 2 * i])::UINTEGER AS UBIGINT), [256::UBIGINT, 256, 256, 256, 256, 256, 256, 256])))),
+        lambda h, b: CASE WHEN b < 256 THEN xor(h, b) WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384::UBIGINT) ELSE h >> 1 END), 4294967295::UBIGINT)"""
+
+
+def _hashed_sql(texts: str) -> str:
+    """id and e, the vector of 64 numbers that the hashing embedder makes of each text of ``texts`` (id, text)."""
+    return f"""
+    SELECT id, list_transform(range(64), lambda d: CAST(coalesce(m[d], 0) / (norm + 1e-12) AS FLOAT)::DOUBLE) AS e FROM (
+        SELECT id, map_from_entries(list((d, v))) AS m, sqrt(sum(v * v)) AS norm FROM (
+            SELECT id, CAST(h % 64 AS BIGINT) AS d, CAST(sum(n * CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM (SELECT id, g, count(*) AS n FROM (
+                SELECT id, unnest(list_prepend(w, list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: w[i : i + 2]))) AS g FROM (
+                    SELECT id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM ({texts}))) GROUP BY id, g)
+            JOIN (SELECT g, {_CRC} AS h FROM (SELECT DISTINCT unnest(list_prepend(w, list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: w[i : i + 2]))) AS g FROM (
+                    SELECT unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM ({texts})))) USING (g)
+            GROUP BY id, d) GROUP BY id)"""
+
+
+VIEWS["hashed_sources"] = _hashed_sql("SELECT vec_id AS id, source AS text FROM store WHERE vec_id % 4 = 0")
+
+
 # Cache tables ---------------------------------------------------------------------------------------------------------
 
 
@@ -504,18 +603,78 @@ def upserted_entries(spark, sf_dir):
     return cache_table.upsert(e.where("last_access % 2 = 0"), e.where("last_access % 2 = 1")).select("key", "value", "source")
 
 
-@query("SELECT vec_id, 64 AS dim FROM store WHERE 1400 - ctime < 300", ("store",))
+@query("SELECT vec_id, CAST(len(e) AS INTEGER) AS dim, round(list_sum(e), 6) AS total FROM (SELECT s.vec_id, CASE WHEN s.vec_id % 4 <> 0 THEN s.e ELSE h.e END AS e FROM store s LEFT JOIN hashed_sources h ON h.id = s.vec_id WHERE 1400 - ctime < 300)", ("store", "hashed_sources"))
 def rebuilt_index(spark, sf_dir):
+    """Every fourth entry lacks its vector, which is made again from its source; the others keep theirs."""
     s = entry_store(spark, sf_dir).withColumn("embedding", F.when(F.col("vec_id") % 4 != 0, F.col("embedding")))
-    return cache_table.rebuild(s, wordpiece.hashing_embedder(64), 1400, 300, 64).select("vec_id", F.size("embedding").alias("dim"))
+    got = cache_table.rebuild(s, wordpiece.hashing_embedder(64), 1400, 300, 64)
+    return got.select("vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
 
 
-@query("SELECT vec_id AS query_id, key, vec_id % 5 = 0 AS is_ghost FROM store", ("store",))
+@query("SELECT q.vec_id AS query_id, q.key, NOT EXISTS (SELECT 1 FROM store s WHERE s.key = q.key AND s.vec_id % 5 <> 0) AS is_ghost FROM store q", ("store",))
 def ghost_lookups(spark, sf_dir):
     s = entry_store(spark, sf_dir)
     return cache_table.ghosts(s.select(F.col("vec_id").alias("query_id"), "key"), s.where("vec_id % 5 != 0"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where this session's executors can write."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, name: str):
+    """A function that writes a table and reads it back, which cuts its lineage."""
+
+    def run(df: DataFrame) -> DataFrame:
+        path = _scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return run
+
+
+def _saved(spark, sf_dir, wanted: str) -> DataFrame:
+    path = _scratch(spark, "snapshot")
+    store = entry_store(spark, sf_dir).withColumns({"sse": F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("data: "), "value")), "embedding": F.when(F.col("vec_id") % 4 != 0, F.col("embedding"))})
+    snapshot.write_snapshot(store, path, "made this way", 1400, 300)
+    got = snapshot.read_snapshot(spark, path, wanted, dim=64)
+    return got.select("key", "value", "source", "sse", "ctime", "last_access", F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
+
+
+_SAVED = "SELECT key, value, source, CASE WHEN vec_id % 2 = 0 THEN 'data: ' || value END AS sse, ctime, last_access, {total} AS total FROM store WHERE 1400 - ctime < 300"
+
+
+@query(_SAVED.format(total="CASE WHEN vec_id % 4 <> 0 THEN round(list_sum(e), 6) END"), ("store",))
+def snapshot_roundtrip(spark, sf_dir):
+    return _saved(spark, sf_dir, "made this way")
+
+
+@query(_SAVED.format(total="CAST(NULL AS DOUBLE)"), ("store",))
+def fingerprint_mismatch(spark, sf_dir):
+    """A snapshot whose vectors were made another way: texts stay, vectors go."""
+    return _saved(spark, sf_dir, "made that way")
+
+
+@query(
+    f"""
+    WITH RECURSIVE near AS (SELECT b.vec_id AS id, list(a.vec_id) AS earlier FROM store a JOIN store b ON a.vec_id < b.vec_id AND a.namespace = b.namespace AND NOT {_MISMATCH}
+                                WHERE round((list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-8)), 6) >= 0.2 GROUP BY b.vec_id),
+                   nodes AS (SELECT s.vec_id AS id, coalesce(earlier, []) AS earlier, row_number() OVER (ORDER BY s.vec_id) AS k FROM store s LEFT JOIN near ON near.id = s.vec_id),
+                   walk(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+                                     SELECT n.k, CASE WHEN list_has_any(w.kept, n.earlier) THEN w.kept ELSE list_append(w.kept, n.id) END FROM walk w JOIN nodes n ON n.k = w.k + 1)
+    SELECT r AS round, id AS seq, CASE WHEN r = 2 OR NOT list_contains(kept, id) THEN 'hit' ELSE 'miss' END AS status FROM nodes, (SELECT arg_max(kept, k) AS kept FROM walk), (VALUES (1), (2)) AS t(r)""",
+    ("store",),
+)
+def replay_two_rounds(spark, sf_dir):
+    """The entries as requests, twice: the second round meets the cache that the first one filled."""
+    s = entry_store(spark, sf_dir)
+    text = F.concat("source", F.lit(" #"), F.col("vec_id").cast("string"))
+    # texts differ, so that no two are one; their entities are those of the source
+    rows = s.select(F.col("vec_id").alias("seq"), "namespace", F.col("source").alias("plain"), text.alias("text"), "embedding", F.lit(True).alias("cacheable"))
+    return replay.replay(rows.drop("plain").withColumn("text", F.regexp_replace("text", "#.*", "")).withColumn("text", F.concat("text", F.repeat(F.lit(" "), F.col("seq").cast("int")))), 0.2, _stored(spark, "replay"))
+
+
 # Evaluation -----------------------------------------------------------------------------------------------------------
 
 THRESHOLDS = (0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50)
@@ -604,20 +763,30 @@ def sse_usage(spark, sf_dir):
 
 
 VIEWS["chunks"] = """
-    SELECT conv_id AS stream_id, turn AS seq, 'data: ' || CASE WHEN conv_id % 3 = 0 AND turn = 2 THEN 'see www.example.org' ELSE 'turn ' || turn END || chr(10) || chr(10) AS chunk FROM conversations"""
+    SELECT conv_id AS stream_id, turn AS seq, t, 'data: ' || to_json({'choices': [{'delta': {'content': t}}]}) || chr(10) || chr(10) AS chunk FROM (
+        SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN text || ' see http' WHEN conv_id % 3 = 0 AND turn = 2 THEN 's://x.example ' || text ELSE text END AS t FROM conversations WHERE text IS NOT NULL)"""
 
 
 def _chunks(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations")
-    text = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 2), F.lit("see www.example.org")).otherwise(F.concat(F.lit("turn "), F.col("turn").cast("string")))
-    return c.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), text, F.lit("\n\n")).alias("chunk"))
+    """An event per turn; in every third conversation a URL begins in one event and goes on in the next."""
+    c = _t(spark, sf_dir, "conversations").where("text is not null")
+    third = F.col("conv_id") % 3 == 0
+    text = F.when(third & (F.col("turn") == 1), F.concat("text", F.lit(" see http"))).when(third & (F.col("turn") == 2), F.concat(F.lit("s://x.example "), "text")).otherwise(F.col("text"))
+    delta = F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("delta"))).alias("choices")))
+    return c.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), delta, F.lit("\n\n")).alias("chunk"))
+
+
+_PART = "(contains({t}, 'http') OR contains({t}, 'www.') OR contains({t}, 'ftp'))"
+VIEWS["judged_chunks"] = f"""
+    SELECT *, {_URL_SQL.format(t="rtrim(chunk, chr(10))")} OR (({_PART.format(t="t")} OR {_PART.format(t="win")}) AND {_URL_SQL.format(t="win || t")}) AS bad FROM (
+        SELECT *, right(coalesce(string_agg(t, '') OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 512) AS win FROM chunks)"""
 
 
 @query(
     """
     SELECT CAST(c.stream_id AS VARCHAR) AS stream_id, CAST(count(*) FILTER (b.at IS NULL OR seq < b.at) AS INTEGER) AS events, coalesce(string_agg(chunk, '' ORDER BY seq) FILTER (b.at IS NULL OR seq < b.at), '') AS passed, bool_or(b.at IS NOT NULL) AS rejected
-    FROM chunks c LEFT JOIN (SELECT stream_id, min(seq) AS at FROM chunks WHERE contains(chunk, 'www.') GROUP BY stream_id) b USING (stream_id) GROUP BY c.stream_id""",
-    ("chunks",),
+    FROM chunks c LEFT JOIN (SELECT stream_id, min(seq) AS at FROM judged_chunks WHERE bad GROUP BY stream_id) b USING (stream_id) GROUP BY c.stream_id""",
+    ("chunks", "judged_chunks"),
 )
 def sse_screen_sticky(spark, sf_dir):
     return sse_stream.screen_batch(_chunks(spark, sf_dir)).select("stream_id", "events", "passed", "rejected")
@@ -625,12 +794,59 @@ def sse_screen_sticky(spark, sf_dir):
 
 @query(
     """
-    SELECT CAST(stream_id AS VARCHAR) AS stream_id, CAST(count(*) AS INTEGER) AS events, CAST(max(reached) AS BIGINT) AS accepted_bytes, max(reached) >= 40 AS truncated FROM (
-        SELECT *, sum(strlen(chunk)) OVER (PARTITION BY stream_id ORDER BY seq) AS reached FROM chunks) WHERE reached - strlen(chunk) < 40 GROUP BY stream_id""",
+    SELECT CAST(stream_id AS VARCHAR) AS stream_id, CAST(count(*) AS INTEGER) AS events, CAST(max(reached) AS BIGINT) AS accepted_bytes, max(reached) >= 900 AS truncated FROM (
+        SELECT *, sum(strlen(chunk)) OVER (PARTITION BY stream_id ORDER BY seq) AS reached FROM chunks) WHERE reached - strlen(chunk) < 900 GROUP BY stream_id""",
     ("chunks",),
 )
 def sse_output_cap(spark, sf_dir):
-    return sse_stream.screen_batch(_chunks(spark, sf_dir), block_urls=False, cap=40).select("stream_id", "events", "accepted_bytes", "truncated")
+    return sse_stream.screen_batch(_chunks(spark, sf_dir), block_urls=False, cap=900).select("stream_id", "events", "accepted_bytes", "truncated")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(sum(length(text)) AS BIGINT) AS prompt_tokens, count(*) AS completion_tokens, true AS seen, true AS done FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING max(strlen(text)) < 8000")
+def sse_usage_online(spark, sf_dir):
+    """The usage of whole streams that arrive in pieces of 37 characters, cut anywhere."""
+    pieces = sse_streams(spark, sf_dir).select("stream_id", "sse", F.explode(F.sequence(F.lit(0), F.expr("(char_length(sse) - 1) div 37"))).alias("seq"))
+    got = sse_stream.usage_batch(pieces.select("stream_id", "seq", F.expr("substring(sse, 37 * seq + 1, 37)").alias("chunk")))
+    longest = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("stream_id")).agg(F.max(F.octet_length("text")).alias("n"))
+    return got.join(longest.where("n < 8000"), "stream_id").drop("n")
+
+
+@query("SELECT stream_id, strlen(sse) <= 2097152 AND content <> '' AND stream_id % 4 <> 0 AS fills FROM sse JOIN (SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS content FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) USING (stream_id)", ("sse",))
+def stream_fills(spark, sf_dir):
+    got = plans.relay(sse_streams(spark, sf_dir).withColumn("aborted", F.col("stream_id") % 4 == 0))
+    return got.select("stream_id", "fills")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'filter' WHEN event_id % 3 = 0 THEN 'upstream_idle' WHEN event_id % 5 = 0 THEN 'deadline' WHEN event_id % 7 = 0 THEN 'client' ELSE 'unknown' END AS reason FROM events")
+def abort_reasons(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", sse.abort_reason(*[F.col("event_id") % n == 0 for n in (2, 3, 5, 7)]).alias("reason"))
+
+
+@query(f"SELECT conv_id, turn, {_PART.format(t='text')} AS suspicious FROM conversations WHERE text IS NOT NULL")
+def suspicious_fragments(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", screen.looks_suspicious(F.col("text")).alias("suspicious"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN s > 0 THEN s WHEN event_type = 'click' THEN 504 ELSE 502 END AS status, s BETWEEN 200 AND 299 AND event_type IN ('view', 'click') AS passes
+    FROM (SELECT *, CAST(CASE event_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 500 WHEN 2 THEN 0 ELSE 204 END AS INTEGER) AS s FROM events)""")
+def upstream_replies(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("s", F.element_at(F.array(*map(F.lit, (200, 500, 0, 204))), (F.col("event_id") % 4 + 1).cast("int")))
+    kind = F.when(F.col("event_type").isin("view", "click"), "Text/Event-Stream; charset=utf-8").when(F.col("event_type") == "error", F.lit(None)).otherwise("application/json")
+    return e.select("event_id", requests.upstream_status(F.col("s"), F.col("event_type") == "click").alias("status"), requests.passes_through(F.col("s"), kind).alias("passes"))
+
+
+@query("SELECT conv_id, '{\"id\":' || conv_id || CASE WHEN conv_id % 2 = 0 THEN '' ELSE ',\"x\":[1]' END || ',\"_cache\":\"hit\"}' AS body FROM (SELECT DISTINCT conv_id FROM conversations)")
+def annotated_bodies(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").select("conv_id").distinct()
+    body = F.concat(F.lit('{"id":'), F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 2 == 0, "").otherwise(',"x":[1]'), F.lit("}"))
+    return c.select("conv_id", requests.annotate_status(body, F.lit("hit")).alias("body"))
+
+
+@query("SELECT conv_id, conv_id % 6 <> 0 AND coalesce(arg_max(text, turn) FILTER (role = 'user'), '') <> '' AS cacheable FROM conversations GROUP BY conv_id")
+def cacheable_requests(spark, sf_dir):
+    got = requests.classify(chat_bodies(spark, sf_dir))
+    return got.select(F.col("request_id").alias("conv_id"), requests.cacheable(F.lit(True), F.col("is_tool"), F.col("user_text")).alias("cacheable"))
 
 
 @query(
@@ -662,9 +878,9 @@ def exported_questions(spark, sf_dir):
     return datasets.export_questions(_t(spark, sf_dir, "conversations")).select("conv_id", "q")
 
 
-def _exposition_sql(cells: list[tuple[str, str, str]]) -> str:
+def _exposition_sql(cells: list[tuple[str, str, str, str]]) -> str:
     number = "CASE WHEN CAST({c} AS DOUBLE) = floor(CAST({c} AS DOUBLE)) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE printf('%.6f', CAST({c} AS DOUBLE)) END"
-    parts = [f"SELECT {2 * k} AS place, '# TYPE cache_{m} {t}' AS line FROM snapshot UNION ALL SELECT {2 * k + 1}, 'cache_{m} ' || {number.format(c=c)} FROM snapshot" for k, (m, t, c) in enumerate(cells)]
+    parts = [f"SELECT {3 * k} AS place, '# HELP cache_{m} {h}' AS line FROM snapshot UNION ALL SELECT {3 * k + 1}, '# TYPE cache_{m} {t}' FROM snapshot UNION ALL SELECT {3 * k + 2}, 'cache_{m} ' || {number.format(c=c)} FROM snapshot" for k, (m, t, c, h) in enumerate(cells)]
     return " UNION ALL ".join(parts)
 
 
@@ -698,13 +914,33 @@ def small_vocabulary() -> dict[str, int]:
     return vocabulary
 
 
-@query()
+def _pieces_sql() -> str:
+    ids = ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', {v})" for k, v in small_vocabulary().items())
+    whole = sorted((k for k in small_vocabulary() if len(k) > 1 and not k.startswith(("##", "["))), key=len, reverse=True)
+    more = sorted((k[2:] for k in small_vocabulary() if len(k) > 3 and k.startswith("##")), key=len, reverse=True)
+    pattern = f"^(?:{'|'.join(whole)}|(?s:.))|{'|'.join(more)}|(?s:.)"
+    return f"""
+    WITH ids(piece, id) AS (VALUES {ids}),
+         words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM (
+             SELECT doc_id, regexp_extract_all(translate(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\p{{P}}$+<=>^`|~]|[^ \\p{{P}}$+<=>^`|~]+', 0)[:510] AS w FROM documents)),
+         kinds AS (SELECT word, CASE WHEN length(word) > 100 OR count(*) <> count(id) THEN [100] ELSE list(id ORDER BY k) END AS ids FROM (
+             SELECT word, k, CASE WHEN k = 0 THEN p ELSE '##' || p END AS piece FROM (SELECT word, unnest(p) AS p, unnest(range(len(p))) AS k FROM (SELECT DISTINCT word, regexp_extract_all(word, '{pattern}') AS p FROM words)))
+             LEFT JOIN ids USING (piece) GROUP BY word)
+    SELECT doc_id, list_concat([101], coalesce(list_slice(flatten(list(ids ORDER BY place) FILTER (WHERE ids IS NOT NULL)), 1, 510), []), [102])::INTEGER[] AS ids FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN kinds USING (word) GROUP BY doc_id"""
+
+
+@query(f"SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ({_pieces_sql()})")
 def wordpiece_ids(spark, sf_dir):
-    ids = wordpiece.wordpiece(small_vocabulary())(wordpiece.basic_tokens(F.col("text")))
-    return _t(spark, sf_dir, "documents").select("doc_id", wordpiece.encode(ids).alias("ids"))
+    ids = wordpiece.wordpiece(small_vocabulary())(wordpiece.first_words(wordpiece.basic_tokens(F.col("text"))))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(wordpiece.encode(ids).cast("array<string>"), " ").alias("ids"))
 
 
-@query()
+@query(
+    f"""
+    WITH v AS ({_hashed_sql("SELECT item_id AS id, text FROM benchmark")})
+    SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_TOP3} AS rank FROM (
+        SELECT q.id AS query_id, s.id AS vec_id, round((list_dot_product(q.e, s.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(s.e, s.e)) + 1e-8)), 6) AS similarity FROM v q, v s)) WHERE rank <= 3"""
+)
 def hash_embed_knn(spark, sf_dir):
     b = _t(spark, sf_dir, "benchmark").select("item_id", wordpiece.hashing_embedder(64)(F.col("text")).alias("embedding"))
     return retrieval.knn(b.withColumnRenamed("item_id", "query_id"), b.withColumnRenamed("item_id", "vec_id"), 3)

@@ -5,36 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: metric, type, column; ratios and prices are gauges.
+#: metric, type, column, help; ratios and prices are gauges.
 METRICS = (
-    ("requests_total", "counter", "requests"),
-    ("cache_hits_total", "counter", "hits"),
-    ("cache_misses_total", "counter", "misses"),
-    ("cache_hit_ratio", "gauge", "hit_rate"),
-    ("cache_bypassed_total", "counter", "bypassed"),
-    ("cache_merged_total", "counter", "merged"),
-    ("tokens_prompt_total", "counter", "prompt_tokens"),
-    ("tokens_completion_total", "counter", "completion_tokens"),
-    ("tokens_saved_total", "counter", "tokens_saved"),
-    ("cost_total", "counter", "cost"),
-    ("cost_saved_total", "counter", "cost_saved"),
-    ("latency_avg_milliseconds", "gauge", "avg_latency_ms"),
-    ("latency_min_milliseconds", "gauge", "min_latency_ms"),
-    ("latency_max_milliseconds", "gauge", "max_latency_ms"),
-    ("latency_milliseconds{quantile=\"0.5\"}", "gauge", "p50"),
-    ("latency_milliseconds{quantile=\"0.95\"}", "gauge", "p95"),
-    ("latency_milliseconds{quantile=\"0.99\"}", "gauge", "p99"),
-    ("bypass_latency_avg_milliseconds", "gauge", "bypass_avg_latency_ms"),
-    ("streams_total", "counter", "streams"),
-    ("streams_aborted_total", "counter", "streams_aborted"),
-    ("streams_without_usage_total", "counter", "streams_without_usage"),
-    ("stream_cache_hits_total", "counter", "stream_hits"),
-    ("cache_writes_total", "counter", "cache_writes"),
-    ("index_ready", "gauge", "index_ready"),
-    ("index_building", "gauge", "index_building"),
-    ("index_vectors", "gauge", "index_vectors"),
-    ("cache_degraded_searches_total", "counter", "degraded_searches"),
-    ("uptime_seconds", "gauge", "uptime_seconds"),
+    ("requests_total", "counter", "requests", "Cacheable requests: hits and misses."),
+    ("cache_hits_total", "counter", "hits", "Requests answered from the cache."),
+    ("cache_misses_total", "counter", "misses", "Requests sent upstream."),
+    ("cache_hit_ratio", "gauge", "hit_rate", "Hits by requests."),
+    ("cache_bypassed_total", "counter", "bypassed", "Requests that are never cached."),
+    ("cache_merged_total", "counter", "merged", "Requests that joined one in flight."),
+    ("tokens_prompt_total", "counter", "prompt_tokens", "Prompt tokens spent upstream."),
+    ("tokens_completion_total", "counter", "completion_tokens", "Completion tokens spent upstream."),
+    ("tokens_saved_total", "counter", "tokens_saved", "Tokens that hits are estimated to save."),
+    ("cost_total", "counter", "cost", "Estimated cost."),
+    ("cost_saved_total", "counter", "cost_saved", "Estimated cost that hits save."),
+    ("price_input_per_1k", "gauge", "input_per_1k", "Price of 1,000 prompt tokens."),
+    ("price_output_per_1k", "gauge", "output_per_1k", "Price of 1,000 completion tokens."),
+    ("latency_avg_milliseconds", "gauge", "avg_latency_ms", "Mean latency of the main pool."),
+    ("latency_min_milliseconds", "gauge", "min_latency_ms", "Least latency of the main pool."),
+    ("latency_max_milliseconds", "gauge", "max_latency_ms", "Greatest latency of the main pool."),
+    ("latency_milliseconds{quantile=\"0.5\"}", "gauge", "p50", "Latency of the main pool's last requests."),
+    ("latency_milliseconds{quantile=\"0.95\"}", "gauge", "p95", "Latency of the main pool's last requests."),
+    ("latency_milliseconds{quantile=\"0.99\"}", "gauge", "p99", "Latency of the main pool's last requests."),
+    ("latency_samples", "gauge", "samples", "Requests in the main pool's window."),
+    ("bypass_latency_avg_milliseconds", "gauge", "bypass_avg_latency_ms", "Mean latency of the bypass pool."),
+    ("bypass_latency_milliseconds{quantile=\"0.5\"}", "gauge", "bypass_p50", "Latency of the bypass pool's last requests."),
+    ("bypass_latency_milliseconds{quantile=\"0.95\"}", "gauge", "bypass_p95", "Latency of the bypass pool's last requests."),
+    ("bypass_latency_samples", "gauge", "bypass_samples", "Requests in the bypass pool's window."),
+    ("streams_total", "counter", "streams", "Streams that ended, whole or not."),
+    ("streams_aborted_total", "counter", "streams_aborted", "Streams that ended early."),
+    ("streams_without_usage_total", "counter", "streams_without_usage", "Whole streams without usage."),
+    ("stream_cache_hits_total", "counter", "stream_hits", "Streams replayed from the cache."),
+    ("cache_writes_total", "counter", "cache_writes", "Entries written."),
+    ("index_ready", "gauge", "index_ready", "Whether the index answers searches."),
+    ("index_building", "gauge", "index_building", "Whether an index is being built."),
+    ("index_vectors", "gauge", "index_vectors", "Vectors in the index."),
+    ("cache_degraded_searches_total", "counter", "degraded_searches", "Searches without the index."),
+    ("uptime_seconds", "gauge", "uptime_seconds", "Seconds since the start."),
 )
 #: Left out where negative: not measured.
 OPTIONAL = frozenset({"index_ready", "index_building", "index_vectors", "degraded_searches", "uptime_seconds"})
@@ -47,21 +53,21 @@ def format_number(v: Column) -> Column:
 
 
 def exposition(snapshot: DataFrame, prefix: str = "cache") -> DataFrame:
-    """``place`` and ``line``: a type line before the first sample of each metric, then the samples.
+    """``place`` and ``line``: help and type lines before the first sample of each metric, once per name, then the samples.
 
     ``snapshot`` has one row; columns it lacks, and optional ones that are negative, are left out.
     """
-    known = [(m, t, c) for m, t, c in METRICS if c in snapshot.columns]
+    known = [x for x in METRICS if x[2] in snapshot.columns]
     cells = []
-    for k, (m, t, c) in enumerate(known):
+    for k, (m, t, c, help_) in enumerate(known):
         name = m.split("{")[0]
         value = F.col(c).cast("double")
         if c in OPTIONAL:
             value = F.when(value >= 0, value)
-        new = all(o.split("{")[0] != name for o, _, _ in known[:k])
-        cells.append(F.struct(F.lit(k).alias("k"), F.lit(f"# TYPE {prefix}_{name} {t}" if new else None).cast("string").alias("head"), F.lit(f"{prefix}_{m}").alias("metric"), value.alias("value")))
+        new = all(o.split("{")[0] != name for o, *_ in known[:k])
+        cells.append(F.struct(F.lit(k).alias("k"), F.lit(f"# HELP {prefix}_{name} {help_}" if new else None).cast("string").alias("help"), F.lit(f"# TYPE {prefix}_{name} {t}" if new else None).cast("string").alias("head"), F.lit(f"{prefix}_{m}").alias("metric"), value.alias("value")))
     rows = snapshot.select(F.explode(F.array(*cells)).alias("m")).select("m.*").where("value is not null")
-    lines = F.array(F.struct((F.col("k") * 2).alias("place"), F.col("head").alias("line")), F.struct((F.col("k") * 2 + 1).alias("place"), F.concat_ws(" ", "metric", format_number(F.col("value"))).alias("line")))
+    lines = F.array(F.struct((F.col("k") * 3).alias("place"), F.col("help").alias("line")), F.struct((F.col("k") * 3 + 1).alias("place"), F.col("head").alias("line")), F.struct((F.col("k") * 3 + 2).alias("place"), F.concat_ws(" ", "metric", format_number(F.col("value"))).alias("line")))
     return rows.select(F.explode(lines).alias("l")).select("l.place", "l.line").where("line is not null")
 
 

@@ -104,7 +104,8 @@ def maintain(entries_path: str, changes: DataFrame, checkpoint: str, now, ttl: i
     """Apply a stream of changes to the table of entries: each micro-batch writes its next version and expired rows go.
 
     Versions are folders ``v=<batch>`` under ``entries_path``; a batch that is repeated writes its version again, so a
-    restart changes nothing.  ``now`` is a function of the batch's number, ``upsert`` merges entries and changes.
+    restart changes nothing; only the version that a repeated batch would read is kept beside the new one.  ``now`` is a
+    function of the batch's number, ``upsert`` merges entries and changes.
     Without ``interval`` all that is there is taken, in as many batches as needed, and the query ends.
     """
     from echolake.operators.cache_table import live
@@ -114,11 +115,33 @@ def maintain(entries_path: str, changes: DataFrame, checkpoint: str, now, ttl: i
         at = f"{entries_path}/v={number - 1}"
         before = spark.read.schema(batch.schema).parquet(at) if number else batch.limit(0)
         live(upsert(before, batch), now(number), ttl).write.mode("overwrite").parquet(f"{entries_path}/v={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{entries_path}/v={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def tick(entries: DataFrame, log: DataFrame, searches: DataFrame, embed, now: int, ttl: int, dim: int, snapshot_path: str, fingerprint: str) -> dict:
+    """One round of maintenance: the report of ``log``, whether the share of ghosts among ``searches`` (is_ghost) calls for a new
+    index, and the live entries, with vectors made again if so, saved as a snapshot.
+
+    Returns ``line`` (null without traffic), ``ghost_percent``, ``rebuild``, ``purged`` and ``kept``: a few numbers.
+    """
+    from echolake.operators.cache_table import live, rebuild
+    from echolake.operators.metrics import counters, ghost_rate
+    from echolake.sources.reports import summary
+    from echolake.sources.snapshot import write_snapshot
+
+    line, ghosts = summary(counters(log)).first(), ghost_rate(searches).first()
+    before, after = entries.count(), live(entries, now, ttl).count()
+    due = bool(ghosts["rebuild"]) or after < before  # what was purged is still in the index
+    if after:
+        write_snapshot(rebuild(entries, embed, now, ttl, dim) if due else live(entries, now, ttl), snapshot_path, fingerprint, now, ttl)
+    return {"line": line and line["line"], "ghost_percent": ghosts["ghost_percent"], "rebuild": due, "purged": before - after, "kept": after}
+
+
 def windowed_counts(log: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """An extension: outcomes by event-time window, with a watermark for late rows."""
     return log.withWatermark("ts", late).groupBy(F.window("ts", width), "outcome").agg(F.count("*").alias("n"), F.sum("latency_ms").alias("latency_ms"))

@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from echolake.functions.screen import URL_PATTERN
-from echolake.functions.sse import BOUNDARY, DONE_EVENT
+from echolake.functions.sse import BOUNDARY, DONE_EVENT, LINE_LIMIT
 
 WINDOW_BYTES = 512
 _URL = re.compile(URL_PATTERN)
 _BOUNDARY = re.compile(BOUNDARY)
+_PROMPT, _COMPLETION = (re.compile(f'"{k}"\\s*:\\s*(-?[0-9]+)') for k in ("prompt_tokens", "completion_tokens"))
 
 
 def event_text(event: str) -> str:
@@ -59,6 +60,7 @@ class Screen:
     events: int = 0
     block_urls: bool = field(default=True)
     cap: int = field(default=0)
+    searched: int = 0  # of pending: no event ends before
 
     def _rejects(self, event: str) -> bool:
         if self.block_urls and _URL.search(event):
@@ -75,11 +77,11 @@ class Screen:
         if self.rejected or self.truncated:
             return ""
         self.pending += chunk
-        while m := _BOUNDARY.search(self.pending):
+        while m := _BOUNDARY.search(self.pending, self.searched):
             if m.end() == len(self.pending) and not final:
                 if self.pending.endswith("\r"):  # a line feed may belong to it
                     break
-            event, whole = self.pending[: m.start()], self.pending[: m.end()]
+            event, whole, self.searched = self.pending[: m.start()], self.pending[: m.end()], 0
             if self._rejects(event):
                 self.rejected, self.pending = True, ""
                 return "".join(out)
@@ -90,6 +92,7 @@ class Screen:
             if self.cap > 0 and self.accepted >= self.cap:
                 self.truncated, self.pending = True, ""
                 return "".join([*out, DONE_EVENT])
+        self.searched = len(self.pending.rstrip("\r\n"))  # an end may have begun with what follows
         if final and self.pending:
             if self._rejects(self.pending):
                 self.rejected = True
@@ -101,6 +104,88 @@ class Screen:
         return "".join(out)
 
 
+@dataclass
+class Usage:
+    """Token counts and the end mark of one stream, from chunks that may be cut anywhere.
+
+    What is carried from chunk to chunk is bounded: a line without its end, of at most LINE_LIMIT bytes, and a few
+    characters in which an end mark may have begun.
+    """
+
+    line: str = ""
+    skipping: bool = False  # the line at hand is too long
+    tail: str = ""
+    prompt_tokens: int = 0
+    completion_tokens: int = 0
+    seen: bool = False
+    done: bool = False
+
+    def feed(self, chunk: str) -> None:
+        self.done = self.done or "[DONE]" in self.tail + chunk
+        self.tail = (self.tail + chunk)[-5:]
+        *whole, rest = chunk.split("\n")
+        for x in whole:
+            if not self.skipping:
+                self._line(self.line + x)
+            self.line, self.skipping = "", False
+        if not self.skipping:
+            self.line += rest
+            if len(self.line.encode()) > LINE_LIMIT + 1:  # with a carriage return
+                self.line, self.skipping = "", True
+
+    def _line(self, line: str) -> None:
+        line = line.removesuffix("\r")
+        if not line.startswith("data:") or '"usage"' not in line or len(line.encode()) > LINE_LIMIT:
+            return
+        for name, found in (("prompt_tokens", _PROMPT.search(line)), ("completion_tokens", _COMPLETION.search(line))):
+            if found and -(1 << 63) <= (n := int(found[1])) < 1 << 63:
+                setattr(self, name, n)
+                self.seen = True
+
+
+_USAGE = "stream_id string, prompt_tokens long, completion_tokens long, seen boolean, done boolean"
+
+
+def usage_batch(chunks: DataFrame) -> DataFrame:
+    """One row per stream of ``chunks`` (stream_id, seq, chunk), which are streamed in order: its usage and whether it ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = [x.split()[0] for x in _USAGE.split(", ")], [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+        last, u = None, None
+        for b in batches:
+            rows = []
+            for stream, chunk in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if u is None or stream != last:
+                    if u is not None:
+                        rows.append((last, u.prompt_tokens, u.completion_tokens, u.seen, u.done))
+                    last, u = stream, Usage()
+                u.feed(chunk or "")
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        if u is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((last, u.prompt_tokens, u.completion_tokens, u.seen, u.done), types)], names=names)
+
+    rows = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("string").alias("chunk"))
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(run, _USAGE)
+
+
+def usage_stream(chunks: DataFrame) -> DataFrame:
+    """As :func:`usage_batch` for a streaming frame: what is known of a stream after each micro-batch; its state goes when it ends."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        u = Usage(*state.get) if state.exists else Usage()
+        for chunk in pd.concat(list(frames)).sort_values("seq", kind="stable")["chunk"]:
+            u.feed(chunk or "")
+        if u.done:
+            state.remove()
+        else:
+            state.update(tuple(asdict(u).values()))
+        yield pd.DataFrame({"stream_id": [key[0]], "prompt_tokens": [u.prompt_tokens], "completion_tokens": [u.completion_tokens], "seen": [u.seen], "done": [u.done]})
+
+    held = "line string, skipping boolean, tail string, prompt_tokens long, completion_tokens long, seen boolean, done boolean"
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, _USAGE, held, "append", GroupStateTimeout.NoTimeout)
+
+
 _OUT = "stream_id string, passed string, events int, accepted_bytes long, rejected boolean, truncated boolean"
 
 
