@@ -2,7 +2,8 @@
 
 Trusted positives and unlabelled web text are all that is learnt from; negative labels are never used.  The class prior
 is estimated from how far a positive-against-unlabelled classifier's scores can be explained by positives alone.  A small
-network then minimises the non-negative unbiased risk ``pi*R_p(+) + max(0, R_u(-) - pi*R_p(-))`` with the sigmoid loss.
+network over dense features of whole texts (shares of kinds of characters, words and lines, repetition, and how much of a
+text is made of the words that most trusted positives share) then minimises the non-negative unbiased risk ``pi*R_p(+) + max(0, R_u(-) - pi*R_p(-))`` with the sigmoid loss.
 
 The training sample is bounded: at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents, those with the smallest
 hashes of their ids.  Every document is scored on its whole text.
@@ -16,18 +17,23 @@ ignored; empty tables give no rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from itertools import islice
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import discard, fold
+from echolake.llm.base import discard, fold, slices, tidy
 from echolake.llm.texts import measured, sample_ids, sample_texts, score_texts
 
 SAMPLE = 8_000
+COMMON = 300  # words that the most trusted positives have
 
+_EDGE = ".,;:!?\"'()[]{}<>*_-|"
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:'\"-()", b"!?", b"|", b"#$%&*+=~^@", b"<>{}[]\\/_`"]
 _MEMBER = np.zeros((256, len(_CLASSES) + 1), dtype=np.float64)
 for _k, _c in enumerate(_CLASSES):
@@ -35,8 +41,22 @@ for _k, _c in enumerate(_CLASSES):
 _MEMBER[128:, -1] = 1
 
 
-def features(text: str) -> list[float]:
-    """Dense features of a whole text: shares of byte classes, word and line statistics, repetition."""
+def common_words(sample: DataFrame, most: int = COMMON) -> frozenset[str]:
+    """The lower-cased words that the most documents of a bounded sample have; ties to the smaller word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in slices(batches):
+            for text in b.column(0):
+                seen.update({w for t in (text.as_py() or "").lower().split() if (w := t.strip(_EDGE))})
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    found = sample.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r["word"] for r in found.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def features(text: str, common: frozenset[str] = frozenset()) -> list[float]:
+    """Dense features of a whole text: shares of byte classes, word and line statistics, repetition, shared words."""
     raw = text.encode()
     n = max(len(raw), 1)
     shares = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) @ _MEMBER / n
@@ -46,6 +66,7 @@ def features(text: str) -> list[float]:
     lines = [x for x in text.split("\n") if x]
     k = max(len(lines), 1)
     letters = max(shares[0] + shares[1] + shares[-1], 1e-9)
+    known = sum(w.strip(_EDGE) in common for w in text.lower().split()) if common else 0
     return [
         *shares.tolist(),
         *np.sqrt(shares).tolist(),
@@ -60,6 +81,7 @@ def features(text: str) -> list[float]:
         shares[1] / letters,
         shares[8] * n / m,
         float(not words),
+        known / m,
     ]
 
 
@@ -136,11 +158,11 @@ def _contrast(zp: np.ndarray, zu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Quality:
     """Scores texts; ``net`` None means that there was nothing to learn from."""
 
-    def __init__(self, net: Net | None, prior: float = 0.5):
-        self.net, self.prior = net, prior
+    def __init__(self, net: Net | None, prior: float = 0.5, common: frozenset[str] = frozenset()):
+        self.net, self.prior, self.common = net, prior, common
 
     @classmethod
-    def learn(cls, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Quality:
+    def learn(cls, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, common: frozenset[str] = frozenset()) -> Quality:
         if not len(positive) or not len(unlabelled):
             return cls(None)
         both = np.vstack([positive, unlabelled])
@@ -156,12 +178,12 @@ class Quality:
         _train(net, xp, xu, _contrast, 5, 0.01, 2)
         _train(net, xp, xu, _pu_slopes(prior), max(60, min(600, 400_000 // len(both))), 0.01, 3)
         net.m = net.v = None
-        return cls(net, prior)
+        return cls(net, prior, common)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.net is None or not texts:
             return np.full(len(texts), 0.5)
-        return _sigmoid(self.net.forward(self.net.scaled(np.array([features(t) for t in texts])))[1])
+        return _sigmoid(self.net.forward(self.net.scaled(np.array([features(t, self.common) for t in texts])))[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, modulus: int = 3, sample: int = SAMPLE) -> Quality:
@@ -171,12 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, modulus: i
     unlabelled = sample_ids(docs.select("doc_id"), learn, sample, 12).select("doc_id", F.lit(0).alias("positive"), F.lit(1).alias("unlabelled"))
     ids = positive.union(unlabelled).groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
     texts = sample_texts(docs, ids, "quality-sample")
-    got = measured(texts, lambda doc_id, p, u, text: features(text), ["doc_id", "positive", "unlabelled"]).toArrow().to_pylist()
+    common = common_words(texts.where("positive = 1"))
+    got = measured(texts, lambda doc_id, p, u, text: features(text, common), ["doc_id", "positive", "unlabelled"]).toArrow().to_pylist()
     discard(texts)
     got.sort(key=lambda r: r["doc_id"])
     x = np.array([r["features"] for r in got], dtype=np.float64).reshape(len(got), -1 if got else 0)
     side = lambda name: x[np.array([r[name] == 1 for r in got], dtype=bool)]
-    return Quality.learn(side("positive"), side("unlabelled"))
+    return Quality.learn(side("positive"), side("unlabelled"), common=common)
 
 
 def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
