@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from echolake.llm import decontaminate, near_dedup, packing, quality, toxicity
-from echolake.llm.base import delete, fresh_path, table
+from echolake.llm.base import delete, fresh_path, swept, table
 from echolake.llm.texts import filter_texts
 
 
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with swept(spark, path):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if last:
             delete(spark, last)

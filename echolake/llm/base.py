@@ -7,6 +7,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_written: set[str] = set()  # folders that this process asked for and has not removed
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+@contextmanager
+def swept(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Removes at its end what operators stored since its start, but for ``keep``: for callers that have written the result."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in _written - before - set(keep):
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -60,6 +78,7 @@ def discard(*tables: DataFrame) -> None:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Remove an intermediate folder in whatever file system holds it."""
+    _written.discard(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
@@ -139,8 +158,10 @@ def maybe_in(df: DataFrame, column: str, ids: DataFrame, keep: bool = True, most
                 inside &= (held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
             yield pa.RecordBatch.from_arrays(b.columns[: len(columns)], names=columns).filter(pa.array(inside if keep else ~inside))
 
-    c = F.col(column).cast("long")
-    return df.select("*", c.alias("_c"), *[x.alias(f"_p{k}") for k, x in enumerate(places(c))]).mapInArrow(tidy(run), df.schema)
+    # numbered names, so that no column of df clashes with the places
+    plain = df.toDF(*[f"c{k}" for k in range(len(columns))])
+    c = F.col(f"c{columns.index(column)}").cast("long")
+    return plain.select("*", c.alias("id"), *[x.alias(f"p{k}") for k, x in enumerate(places(c))]).mapInArrow(tidy(run), df.schema)
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

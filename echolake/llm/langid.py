@@ -6,8 +6,8 @@ by themselves, without hashing: those that occur in at least ``LEAST`` documents
 are learnt by follow-the-regularised-leader with elastic-net penalties (the first keeps weights at nought, the second
 shrinks them) and a temperature, fitted on a part of the sample, calibrates the probabilities.
 
-The training sample is bounded: about ``SAMPLE`` documents, of each language its share of them and ``RARE`` at least (all, if it
-has fewer), those with the smallest hashes of their ids.  Every document is predicted from its whole text.
+The training sample is bounded: ``SAMPLE`` documents in expectation, of each language its share of them and ``RARE`` at least (all,
+if it has fewer), those whose ids hash below the language's share.  Every document is predicted from its whole text.
 
 Defined cases: texts that are null, empty or have no letter are ``und`` with score 0, as are all where nothing could be
 learnt; a text with none of the features gets equal probabilities and the first language of these; a sample in one
@@ -23,7 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolake.llm.base import discard, fold, slices, tidy
@@ -183,17 +183,14 @@ def examples(sample: DataFrame, features: Features) -> list[tuple[int, str, np.n
 
 
 def sample_of(rows: DataFrame, sample: int = SAMPLE, rare: int = RARE) -> DataFrame:
-    """doc_id and lang of the training sample, from rows of (doc_id, lang)."""
+    """doc_id and lang of the training sample, from rows of (doc_id, lang): of each language those whose ids hash below its share."""
     rows = rows.where("doc_id is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     total = max(1, sum(sizes.values()))
-    quotas = [(lang, quota, 2.0 * quota / n + 100 / n) for lang, n in sizes.items() for quota in [max(min(rare, n), sample * n // total)]]
-    quotas = rows.sparkSession.createDataFrame(quotas, "lang string, quota long, part double")
-    place = F.xxhash64("doc_id", F.lit(31))
-    # about twice the quota passes the first test, so that no language's rows meet in one task
-    few = rows.join(F.broadcast(quotas), "lang").where(F.pmod(place, F.lit(1 << 30)) < F.col("part") * (1 << 30))
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id")))
-    return ranked.where("rank <= quota").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    parts = [(lang, min(1.0, max(min(rare, n), sample * n // total) / n)) for lang, n in sizes.items()]
+    parts = rows.sparkSession.createDataFrame(parts, "lang string, part double")
+    few = rows.join(F.broadcast(parts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) < F.col("part") * (1 << 30))
+    return few.groupBy("doc_id").agg(F.min("lang").alias("lang"))
 
 
 class Ftrl:

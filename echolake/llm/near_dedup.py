@@ -425,4 +425,4 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     # ids that occur once, which are nearly all, are not shuffled for the sake of the others
     place = F.struct("text", *[c for c, t in left.dtypes if c != "text" and "map<" not in t and t != "variant"])
     one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*left.columns), place).alias("row"))
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns]))
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

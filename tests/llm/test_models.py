@@ -293,7 +293,7 @@ def test_rare_languages_are_learnt(spark):
     rows += [(9000 + i, " ".join(rng.choice(LANGUAGES["fr"].split()) for _ in range(12)), "fr", "s", "") for i in range(12)]
     df = spark.createDataFrame(rows, DOCS)
     chosen = langid.sample_of(df.select("doc_id", "lang"), 300, 50).collect()
-    assert sum(r["lang"] == "fr" for r in chosen) == 12 and 290 <= sum(r["lang"] == "en" for r in chosen) <= 300
+    assert sum(r["lang"] == "fr" for r in chosen) == 12 and 230 <= sum(r["lang"] == "en" for r in chosen) <= 370
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
     assert all(got[9000 + i] == "fr" for i in range(12))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_packing_and_benchmark import brute_force as contaminated
 from test_search_and_dedup import brute_force as components
 
@@ -57,6 +59,8 @@ def test_packing(spark):
         lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
         fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     assert lengths == {i: len(encode.whole(t or "")) // 4 + 1 for i, t in documents(spark)}
+    bound = packing.lower_bound(np.array([r["length"] for r in rows]), 2048)
+    assert bound <= len(fill) <= bound + 1
     for held in fill.values():
         assert [o for o, _ in sorted(held)] == [sum(n for _, n in sorted(held)[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 2048
 
@@ -84,6 +88,43 @@ def test_pipeline_against_brute_force(spark):
     assert sum(r["length"] for r in got) == sum(len(encode.whole(t or "")) // 4 + 1 for _, t in rows)
 
 
+def odd_documents(spark):
+    """Documents with nulls, empty, repeated and very long texts, repeated and missing ids, and columns that clash with the operators' own."""
+    some = table(spark, DATA, "documents").limit(60)
+    near = " ".join(f"word{i}" for i in range(80))
+    passage = table(spark, DATA, "benchmark").first()["text"]
+    rows = [(9001, None), (9002, ""), (9003, near), (9004, near + " more"), (9003, near), (9005, near), (None, near), (None, None), (9006, "long words here " * 40_000), (9007, passage), (9008, " \n ")]
+    extra = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], some.schema)
+    clash = {c: F.lit(None).cast(t) for c, t in {"score": "string", "_row": "long", "component_id": "double", "hits": "string", "items": "long", "n_words": "string", "kept": "int", "row": "string", "length": "string"}.items()}
+    return some.union(extra).withColumns(clash | {"held": F.create_map(F.lit("k"), F.col("doc_id")), "_c": F.array("text")})
+
+
+def test_stages_take_odd_rows(spark):
+    docs = odd_documents(spark)
+    total = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.dtypes == docs.dtypes, name
+        rows = got.collect()
+        ids = [r["doc_id"] for r in rows]
+        assert 0 < len(rows) <= total
+        if name == "near-dedup":
+            assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and {9001, 9002, 9003, 9008} <= set(ids) and not {9004, 9005} & set(ids)
+        if name == "decontamination":
+            assert 9007 not in ids and {9001, 9002, 9006, None} <= set(ids)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert packed.select("doc_id", "piece").count() >= total
+
+
+def test_nothing_is_left_behind(spark):
+    from echolake.llm import base
+
+    before = set(base._written)
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert len(base._written - before) == 1  # the result
+
+
 def test_stages_keep_the_columns(spark):
     docs = table(spark, DATA, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near-dedup", "decontamination", "packing"]
