@@ -22,7 +22,7 @@ def exact_cache(requests: DataFrame, capacity: int, ttl: int = 0) -> DataFrame:
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = OrderedDict(json.loads(state.get[0])) if state.exists else OrderedDict()
+        held = OrderedDict(zip(*state.get)) if state.exists else OrderedDict()
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         out = []
         for k, now in zip(rows["key"], rows["now"].tolist()):
@@ -36,10 +36,10 @@ def exact_cache(requests: DataFrame, capacity: int, ttl: int = 0) -> DataFrame:
             while len(held) >= capacity:
                 held.popitem(last=False)
             held[k] = now
-        state.update((json.dumps(list(held.items())),))
+        state.update((list(held.keys()), list(held.values())))
         yield pd.DataFrame({"namespace": key[0], "seq": rows["seq"].to_numpy(), "key": rows["key"].to_numpy(), "outcome": out})
 
-    return requests.groupBy("namespace").applyInPandasWithState(run, "namespace string, seq long, key string, outcome string", "cache string", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("namespace").applyInPandasWithState(run, "namespace string, seq long, key string, outcome string", "keys array<string>, born array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 class Singleflight:
@@ -100,24 +100,52 @@ def singleflight(operations: DataFrame, threshold: float = 0.95) -> DataFrame:
     return operations.groupBy("namespace").applyInPandasWithState(run, "namespace string, seq long, request_id long, outcome string, leader_id long, merged_by string", "flights string", "append", GroupStateTimeout.NoTimeout)
 
 
-def maintain(entries_path: str, changes: DataFrame, checkpoint: str, now, ttl: int, upsert, interval: str | None = None):
-    """Apply a stream of changes to the table of entries: each micro-batch writes its next version and expired rows go.
+COMPACT = 32  # micro-batches between two full versions of a maintained table
 
-    Versions are folders ``v=<batch>`` under ``entries_path``; a batch that is repeated writes its version again, so a
-    restart changes nothing; only the version that a repeated batch would read is kept beside the new one.  ``now`` is a
-    function of the batch's number, ``upsert`` merges entries and changes.
-    Without ``interval`` all that is there is taken, in as many batches as needed, and the query ends.
+
+def _folders(spark, path: str, kind: str) -> list[int]:
+    """Numbers of the folders ``<kind>=<number>`` that are complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(at) if fs.exists(at) else []
+    names = [f.getPath().getName() for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+
+
+def current(spark, entries_path: str, schema, upsert, before: int | None = None) -> DataFrame:
+    """The entries of a maintained table: its last full version and the changes since, merged as they are read.
+
+    ``before`` leaves out full versions from that number on.
+    """
+    whole = [n for n in _folders(spark, entries_path, "whole") if before is None or n < before]
+    since = [n for n in _folders(spark, entries_path, "changes") if not whole or n > whole[-1]]
+    base = spark.read.schema(schema).parquet(f"{entries_path}/whole={whole[-1]}") if whole else spark.createDataFrame([], schema)
+    return upsert(base, spark.read.schema(schema).parquet(*[f"{entries_path}/changes={n}" for n in since])) if since else base
+
+
+def maintain(entries_path: str, changes: DataFrame, checkpoint: str, now, ttl: int, upsert, interval: str | None = None, compact: int = COMPACT):
+    """Apply a stream of changes to the table of entries, which :func:`current` reads.
+
+    A micro-batch writes its own changes only (``changes=<batch>``), so it costs what it brings; every ``compact`` batches a
+    full version (``whole=<batch>``) is written from the one before and the changes since, without what has expired, and
+    what neither it nor its predecessor needs goes.  A batch that is repeated writes its folders again, so a restart changes
+    nothing.  ``now`` is a function of the batch's number, ``upsert`` merges entries and changes.  Without ``interval`` all that
+    is there is taken, in as many batches as needed, and the query ends.
     """
     from echolake.operators.cache_table import live
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        at = f"{entries_path}/v={number - 1}"
-        before = spark.read.schema(batch.schema).parquet(at) if number else batch.limit(0)
-        live(upsert(before, batch), now(number), ttl).write.mode("overwrite").parquet(f"{entries_path}/v={number}")
-        if number > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{entries_path}/v={number - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        batch.write.mode("overwrite").parquet(f"{entries_path}/changes={number}")
+        if number % compact != compact - 1:
+            return
+        last = [n for n in _folders(spark, entries_path, "whole") if n < number][-1:]
+        live(current(spark, entries_path, batch.schema, upsert, before=number), now(number), ttl).write.mode("overwrite").parquet(f"{entries_path}/whole={number}")
+        for n in last:  # readers may still be at the last version
+            old = [f"whole={k}" for k in _folders(spark, entries_path, "whole") if k < n] + [f"changes={k}" for k in _folders(spark, entries_path, "changes") if k <= n]
+            for name in old:
+                gone = spark._jvm.org.apache.hadoop.fs.Path(f"{entries_path}/{name}")
+                gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -186,6 +186,7 @@ def usage_stream(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream_id").applyInPandasWithState(run, _USAGE, held, "append", GroupStateTimeout.NoTimeout)
 
 
+_SCREEN = "pending string, window string, accepted long, rejected boolean, truncated boolean, events int, block_urls boolean, cap long, searched int"
 _OUT = "stream_id string, passed string, events int, accepted_bytes long, rejected boolean, truncated boolean"
 
 
@@ -226,7 +227,7 @@ def screen_stream(chunks: DataFrame, block_urls: bool = True, cap: int = 0, idle
     schema = "stream_id string, passed string, events int, accepted_bytes long, rejected boolean, truncated boolean, ended boolean, idle boolean"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = Screen(**json.loads(state.get[0])) if state.exists else Screen(block_urls=block_urls, cap=cap)
+        s = Screen(*state.get) if state.exists else Screen(block_urls=block_urls, cap=cap)
         idle = state.hasTimedOut
         out, ended = "", idle
         if not idle:
@@ -237,13 +238,13 @@ def screen_stream(chunks: DataFrame, block_urls: bool = True, cap: int = 0, idle
         if ended:
             state.remove()
         else:
-            state.update((json.dumps(asdict(s)),))
+            state.update(tuple(asdict(s).values()))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"stream_id": [key[0]], "passed": [out], "events": [s.events], "accepted_bytes": [s.accepted], "rejected": [s.rejected], "truncated": [s.truncated], "ended": [ended], "idle": [idle]})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, schema, "screen string", "append", timeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, schema, _SCREEN, "append", timeout)
 
 
 def idle_gaps(chunks: DataFrame, limit_seconds: float) -> DataFrame:

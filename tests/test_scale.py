@@ -195,13 +195,18 @@ def test_tick(spark, tmp_path):
     assert {r["key"]: r["embedding"] is None for r in snapshot.read_snapshot(spark, str(tmp_path / "t"), "fp").collect()} == {"msg:2": True, "msg:3": False}
 
 
-def test_old_versions_go(spark, tmp_path):
+def test_maintained_table_is_compacted(spark, tmp_path):
     from echolake.operators import cache_table
 
     schema = "key string, value string, source string, ctime long, last_access long"
-    for i in range(4):
-        spark.createDataFrame([(f"k{i}", str(i), None, i, i)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    at = str(tmp_path / "t")
+    for i in range(7):
+        spark.createDataFrame([(f"k{i % 5}", str(i), "s" if i == 1 else None, i, i)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    cache_stream.maintain(str(tmp_path / "t"), source, str(tmp_path / "ck"), lambda n: 10, 0, cache_table.upsert).awaitTermination(120)
-    assert sorted(p.name for p in (tmp_path / "t").glob("v=*")) == ["v=2", "v=3"]
-    assert spark.read.parquet(str(tmp_path / "t" / "v=3")).count() == 4
+    cache_stream.maintain(at, source, str(tmp_path / "ck"), lambda n: n, 5, cache_table.upsert, compact=2).awaitTermination(120)
+    names = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert names == ["changes=4", "changes=5", "changes=6", "whole=3", "whole=5"]
+    assert {r["key"]: r["value"] for r in spark.read.parquet(f"{at}/whole=5").collect()} == {"k0": "5", "k1": "1", "k2": "2", "k3": "3", "k4": "4"}
+    rows = {r["key"]: (r["value"], r["source"]) for r in cache_stream.current(spark, at, schema, cache_table.upsert).collect()}
+    assert rows == {"k0": ("5", None), "k1": ("6", "s"), "k2": ("2", None), "k3": ("3", None), "k4": ("4", None)}
+    assert cache_stream.current(spark, str(tmp_path / "none"), schema, cache_table.upsert).count() == 0

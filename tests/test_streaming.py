@@ -88,5 +88,5 @@ def test_maintained_table(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     cache_stream.maintain(str(tmp_path / "t"), source, str(tmp_path / "ck"), lambda n: 99 + n, 100, cache_table.upsert).awaitTermination(120)
-    rows = {r["key"]: (r["value"], r["source"]) for r in spark.read.parquet(str(tmp_path / "t" / "v=1")).collect()}
+    rows = {r["key"]: (r["value"], r["source"]) for r in cache_stream.current(spark, str(tmp_path / "t"), schema, cache_table.upsert).collect()}
     assert rows == {"a": ("2", "s"), "b": ("1", None)}
