@@ -80,11 +80,11 @@ def vocabulary(target: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         return (1 << 62 if at is None else at), total
 
     # by powers of two first, then by counts within the power where the room ends, of which there are few
-    power = F.floor(F.log2("n")).cast("int")
+    power = F.floor(F.log2("n")).cast("long")
     from_power, taken = least(counts, power, size)
-    inside, edge = (counts.where(power == min(from_power, 63) - 1), from_power) if from_power < 1 << 62 else (counts.where(power == (counts.agg(F.max(power)).first()[0] or 0)), None)
-    from_count, _ = least(inside, F.col("n"), size - taken)
-    kept = counts.where((F.col("n") >= from_count) | (F.lit(False) if edge is None else power >= edge))
+    edge = counts.where(power < from_power).agg(F.max(power)).first()[0]
+    from_count, _ = least(counts.where(power == (-1 if edge is None else edge)), F.col("n"), size - taken)
+    kept = counts.where((F.col("n") >= from_count) | (power >= from_power))
     out = sorted(kept.collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     discard(counts)
     return [bytes(r["word"]) for r in out]
