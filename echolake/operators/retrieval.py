@@ -49,8 +49,10 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 3, *, partition_by: list[
     left = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"), group.alias("g"), F.size("embedding").alias("dim"))
     right = store.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), group.alias("g"), F.size("embedding").alias("dim"))
     spark = queries.sparkSession
-    n = blocks or max(-(-right.count() // block), spark.sparkContext.defaultParallelism)
-    m = max(1, -(-left.count() // block))
+    # both counts in one job, of one row each
+    asked, held = left.agg(F.count("*").alias("asked")).crossJoin(right.agg(F.count("*").alias("held"))).first()
+    n = blocks or max(-(-held // block), spark.sparkContext.defaultParallelism)
+    m = max(1, -(-asked // block))
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
     left = left.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(m))).withColumn("sb", every(n))
     right = right.withColumn("sb", F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn("qb", every(m))

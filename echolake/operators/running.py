@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-RANGES = 200
+RANGES = 200  # at most
+LEAST_ROWS = 25_000  # of a range, about
 
 
-def ranges(df: DataFrame, column: str, parts: int = RANGES) -> Column:
-    """The number of the range that a row's ``column`` (a number or a timestamp) falls in, of ``parts`` with about as many rows each.
+def ranges(df: DataFrame, column: str, parts: int = RANGES, least: int = LEAST_ROWS) -> Column:
+    """The number of the range that a row's ``column`` (a number or a timestamp) falls in, of at most ``parts`` with about as many
+    rows each, and about ``least`` at least.
 
     The borders are approximate quantiles, so no range grows with how rows crowd in time; a value that is a
     third of all rows is a range by itself.  Null comes first, as it sorts.
     """
     x = F.unix_micros(F.col(column).cast("timestamp")) if dict(df.dtypes)[column].startswith("timestamp") else F.col(column).cast("double")
-    cuts = df.agg(F.percentile_approx(x.cast("double"), [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
+    n, cuts = df.agg(F.count("*"), F.percentile_approx(x.cast("double"), [k / parts for k in range(1, parts)], 10 * parts)).first()
+    step = -(-parts // max(1, min(parts, n // least)))
+    cuts = sorted(set((cuts or [])[step - 1 :: step]))
     if not cuts:
         return F.lit(0)
     # a search by halves in nested conditions, made by code generation
