@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolake.llm import chat, decontaminate, langid, lm_scoring, mtree, near_dedup, packing, quality, toxicity, warc
+from echolake.llm import chat, decontaminate, filter_audit, langid, lm_scoring, mtree, near_dedup, packing, quality, toxicity, warc
 from echolake.llm.base import table
 
 TARGET_SOURCE = "src1"  # the target domain of op3
@@ -56,6 +56,10 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_of(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -112,6 +116,29 @@ _SQL = {
              e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
              r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, e.b FROM r JOIN e ON r.c = e.a)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM s JOIN r ON r.id = doc_id GROUP BY doc_id, s""",
+    "op11_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             m AS (SELECT doc_id, part, CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+                          + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS INTEGER)
+                          + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+                          + 16 * CAST(coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS INTEGER) AS mask FROM d),
+             l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+             f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+             o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+                   WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+             s AS (SELECT filter_order, k AS step, 1 << (ascii(filter_order[k]) - 65) AS bit,
+                          coalesce(list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0) AS earlier FROM o, range(1, 6) AS r(k)),
+             c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+             e AS (SELECT part, filter_order, step, bit,
+                          sum(n) FILTER (mask & (earlier | bit) = 0) AS kept, sum(n) FILTER (mask & earlier = 0 AND mask & bit <> 0) AS removed,
+                          sum(n) FILTER (mask & earlier <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+                          sum(good) FILTER (mask & earlier = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & earlier = 0 AND mask & bit <> 0) AS toxic_lost
+                   FROM c, s GROUP BY part, filter_order, step, bit, earlier)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+        FROM e""",
     "op8_mtree_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
              s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score

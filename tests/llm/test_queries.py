@@ -22,7 +22,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations", "embeddings", "documents", "benchmark"):
+    for t in ("pages", "conversations", "embeddings", "documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     df = queries.queries()[name](spark, DATA)
     columns = sorted(df.columns)
