@@ -56,7 +56,7 @@ def swept(spark: SparkSession, *keep: str) -> Iterator[None]:
             delete(spark, path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs a re-read and not a recomputation, and it gives later joins a
@@ -64,7 +64,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     got = spark.read.schema(df.schema).parquet(path)
     got._stored_at = path
     return got

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolake.llm import chat, decontaminate, filter_audit, langid, lm_scoring, mtree, near_dedup, packing, quality, toxicity, warc
+from echolake.llm import alignment, chat, decontaminate, filter_audit, langid, lm_scoring, mtree, near_dedup, packing, quality, toxicity, vector_packing, warc
 from echolake.llm.base import table
 
 TARGET_SOURCE = "src1"  # the target domain of op3
@@ -60,6 +60,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path())
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), packing.tokenizer_path(), alignment.piece_path())
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
