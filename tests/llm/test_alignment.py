@@ -27,6 +27,11 @@ def tokenizers():
     return full, SentencePieceProcessor(model_file=B), alignment.byte_level(A)
 
 
+@functools.cache
+def word_encoders():
+    return alignment.Pieces(B), alignment.Plain(A)
+
+
 def plain_tokens(text):
     full, model, table = tokenizers()
     a = [(i, table[i]) for i in full.encode(" " + text, add_special_tokens=False).ids]
@@ -150,8 +155,7 @@ def test_full_tables_are_sent_in_between(spark, monkeypatch):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(list("ab  .'\n\té▁漢1") + ["<|endoftext|>", "the ", "don't "]), min_size=1, max_size=40).map("".join))
 def test_words_by_themselves(text):
-    pieces = test_words_by_themselves.__dict__.setdefault("pieces", alignment.Pieces(B))
-    plain = test_words_by_themselves.__dict__.setdefault("plain", alignment.Plain(A))
+    pieces, plain = word_encoders()
     assert pieces(text) == pieces.whole(text)
     assert plain(" " + text) == plain.whole(" " + text)
 
