@@ -32,7 +32,8 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + F.lit(1e-12)))
+    # a one-element transform, so that the norm is computed once and not for every number
+    return F.transform(F.array(norm(a) + F.lit(1e-12)), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def cls_pool(hidden: Column) -> Column:

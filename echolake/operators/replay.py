@@ -21,21 +21,25 @@ def similar_pairs(rows: DataFrame, threshold: float, by: list[str] = (), block:
     kept = rows.where("embedding is not null").select(F.col("seq").cast("long").alias("seq"), F.col("embedding").cast("array<float>").alias("embedding"), group.alias("g"), F.size("embedding").alias("dim"))
     n = max(-(-kept.count() // block), rows.sparkSession.sparkContext.defaultParallelism)
     own = F.pmod(F.xxhash64("seq"), F.lit(n)).cast("long")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    a = kept.withColumn("i", own).withColumn("j", other)
+    # every two blocks meet once: a row is in its block's pairs with itself and all after it on one side, all before it on the other
+    a = kept.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1).cast("long"))))
     # columns of its own, as both sides are one table
-    b = kept.select(*[F.col(c).alias(c) for c in kept.columns]).withColumn("j", own).withColumn("i", other)
+    b = kept.select(*[F.col(c).alias(c) for c in kept.columns]).withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j"))))
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]]
         if len(left) and len(right):
             x, y = (_matrix(t.column("embedding").combine_chunks()) for t in (left, right))
             p, q = left.column("seq").to_numpy(), right.column("seq").to_numpy()
+            one = left.column("i")[0] == left.column("j")[0]
             nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
             for s in range(0, len(x), 1024):
                 sim = np.round(np.clip(x[s : s + 1024] @ y.T / (nx[s : s + 1024, None] * ny[None] + 1e-8), -1, 1), DECIMALS)
-                at, to = np.nonzero((sim >= threshold) & (p[s : s + 1024, None] < q[None]))
-                for held, v in zip(out, (p[s + at], q[to], sim[at, to])):
+                good = sim >= threshold
+                if one:
+                    good &= p[s : s + 1024, None] < q[None]
+                at, to = np.nonzero(good)
+                for held, v in zip(out, (np.minimum(p[s + at], q[to]), np.maximum(p[s + at], q[to]), sim[at, to])):
                     held.append(v)
         return pa.table(dict(zip(("a_seq", "b_seq", "similarity"), map(np.concatenate, out))))
 

@@ -92,12 +92,14 @@ def judge(candidates: DataFrame, queries: DataFrame, store: DataFrame, *, thresh
     ``candidates`` come from :func:`knn`; ``queries`` have query_id, namespace and text, ``store`` has vec_id, key,
     source and value (live entries only).  ``namespaces``: ``post`` tests the key's prefix and lets a query without a
     namespace match any, ``symmetric`` keeps such a query to keys without one.
-    Entities are extracted once a row, before the join.
+    Entities are extracted once a row, and of the store for candidates over the threshold only.
     """
     test = {"post": in_namespace, "symmetric": same_namespace}[namespaces]
     q = queries.select("query_id", "namespace", entity_tokens(F.col("text")).alias("q_entities"))
-    s = store.select("vec_id", "key", "value", entity_tokens(F.regexp_replace("source", r"^ns[0-9a-f]{16}:", "")).alias("s_entities"))
-    kept = candidates.where(F.col("similarity") >= threshold).join(q, "query_id").join(s, "vec_id").where(test(F.col("key"), F.col("namespace")))
+    near = candidates.where(F.col("similarity") >= threshold)
+    wanted = store.select("vec_id", "key", "value", "source").join(near.select("vec_id").distinct(), "vec_id", "left_semi")
+    s = wanted.select("vec_id", "key", "value", entity_tokens(F.regexp_replace("source", r"^ns[0-9a-f]{16}:", "")).alias("s_entities"))
+    kept = near.join(q, "query_id").join(s, "vec_id").where(test(F.col("key"), F.col("namespace")))
     if veto:
         kept = kept.where(~entity_mismatch(F.col("q_entities"), F.col("s_entities")))
     first = kept.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "key", "value", "similarity"), "rank").alias("hit"))
@@ -107,14 +109,15 @@ def judge(candidates: DataFrame, queries: DataFrame, store: DataFrame, *, thresh
 def exact_lookup(queries: DataFrame, store: DataFrame, lookup: str = "lookup") -> DataFrame:
     """Per query the most recently used entry whose key or source is the looked-up text.
 
-    ``store`` has key, source, value and ``recency`` (higher: later).  Two equi-joins in place of an OR.
+    ``store`` has key, source, value and ``recency`` (higher: later).  Two equi-joins in place of an OR; before them the newest entry
+    of every key and of every source is picked, so that a source of many entries gives one row, and those that look it up one each.
     """
     q = queries.select("query_id", F.col(lookup).alias("x"))
-    by_key = q.join(store.withColumn("x", F.col("key")), "x")
-    by_source = q.join(store.where("source is not null and source != key").withColumn("x", F.col("source")), "x")
-    best = by_key.select("query_id", "key", "value", "recency").unionByName(by_source.select("query_id", "key", "value", "recency"))
-    first = best.groupBy("query_id").agg(F.max_by(F.struct("key", "value"), F.struct("recency", "key")).alias("hit"))
-    return q.join(first, "query_id", "left").select("query_id", F.col("x").alias(lookup), "hit.key", "hit.value")
+    entry = F.struct("recency", "key", "value").alias("entry")
+    by_key = store.where("key is not null").groupBy(F.col("key").alias("x")).agg(F.max(entry).alias("entry"))
+    by_source = store.where("source is not null").groupBy(F.col("source").alias("x")).agg(F.max(entry).alias("entry"))
+    newest = by_key.unionByName(by_source).groupBy("x").agg(F.max("entry").alias("hit"))
+    return q.join(newest, "x", "left").select("query_id", F.col("x").alias(lookup), "hit.key", "hit.value")
 
 
 def missing_from(store: DataFrame, index: DataFrame, key: str = "key") -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolake import storage
 from echolake.config import Config
 from echolake.functions import entities, hashing, keys, requests, screen, sse, vectors, wordpiece
-from echolake.operators import ann, cache_table, evaluation, merging, metrics, replay, retrieval
+from echolake.operators import ann, cache_table, evaluation, merging, metrics, replay, retrieval, stack_distance
 from echolake.operators.running import running_sums
 from echolake.plans import requests as plans
 from echolake.sources import datasets, reports, snapshot
@@ -25,11 +24,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """``columns`` of a table whose texts cost more to work on than to move: rows of fewer files than there are cores are dealt
-    anew, since a file of one row group is one task.  Tables of many files are read as they lie."""
+    """``columns`` of a table whose texts cost more to work on than to move: one that Spark reads in fewer tasks than there are
+    cores, and that so is small (``spark.sql.files.maxPartitionBytes`` a task), is dealt over them; others are read as they lie."""
     df = _t(spark, sf_dir, name).select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def query(sql: str | None = None, uses: tuple[str, ...] = ()):
@@ -540,6 +539,17 @@ def ring_1024(spark, sf_dir):
     return metrics.percentiles(metrics.ring(request_log(spark, sf_dir), ["ts", "event_id"]), "latency_ms", ["pool"], [50, 95, 99])
 
 
+@query(
+    "SELECT event_id, pool, " + ", ".join(f"list_sort(l)[CAST(floor({p} / 100.0 * (len(l) - 1)) AS BIGINT) + 1] AS p{p}" for p in (50, 95, 99)) + """ FROM (
+        SELECT event_id, pool, list(latency_ms) OVER (PARTITION BY pool ORDER BY ts, event_id ROWS BETWEEN 1023 PRECEDING AND CURRENT ROW) AS l FROM (
+            SELECT *, CASE WHEN outcome = 'bypass' THEN 'bypass' ELSE 'main' END AS pool FROM log))""",
+    ("log",),
+)
+def ring_running(spark, sf_dir):
+    """The percentiles of the last 1,024 latencies as they stood after every request."""
+    return metrics.running_ring(request_log(spark, sf_dir), ["ts", "event_id"], [50, 95, 99]).select("event_id", "pool", "p50", "p95", "p99")
+
+
 @query("SELECT event_id, CAST(sum(latency_ms) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM log", ("log",))
 def running_latency(spark, sf_dir):
     return running_sums(request_log(spark, sf_dir), ["ts", "event_id"], {"total": F.col("latency_ms")}).select("event_id", "total")
@@ -590,13 +600,30 @@ def lru_contents(spark, sf_dir):
     return cache_table.contents(_t(spark, sf_dir, "events"), 40, "user_id", "event_id").select(F.col("user_id").alias("key"), "last_access", "place")
 
 
+def _accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as accesses of caches: a cache a type, the user as the key."""
+    return _t(spark, sf_dir, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
+
+
 @query("""
     WITH a AS (SELECT event_type AS cache, event_id AS seq, user_id AS key, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS before FROM events),
          d AS (SELECT a.cache, a.seq, count(DISTINCT b.key) AS others FROM a LEFT JOIN a b ON b.cache = a.cache AND b.seq > a.before AND b.seq < a.seq GROUP BY a.cache, a.seq)
     SELECT a.cache, a.seq, CASE WHEN a.before IS NOT NULL AND d.others < 60 THEN 'hit' ELSE 'miss' END AS outcome FROM a JOIN d USING (cache, seq)""")
 def lru_stack_hits(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.lit(0).alias("now"))
-    return cache_table.simulate(e, 60).select("cache", "seq", "outcome")
+    """Which accesses a cache of 60 entries hits: those with fewer distinct keys since the last access of their own."""
+    d = stack_distance.distances(_accesses(spark, sf_dir), ["cache"], ["seq"])
+    return d.select("cache", "seq", F.when(F.col("distance") < 60, "hit").otherwise("miss").alias("outcome"))
+
+
+@query("""
+    WITH a AS (SELECT event_type AS cache, event_id AS seq, user_id AS key, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS before FROM events),
+         d AS (SELECT a.cache, a.seq, a.before, count(DISTINCT b.key) AS others FROM a LEFT JOIN a b ON b.cache = a.cache AND b.seq > a.before AND b.seq < a.seq GROUP BY a.cache, a.seq, a.before),
+         n AS (SELECT cache, count(*) AS accesses FROM d GROUP BY cache)
+    SELECT DISTINCT cache, others + 1 AS capacity, count(*) OVER (PARTITION BY cache ORDER BY others) AS hits, accesses, round(1 - hits / accesses, 9) AS miss_ratio FROM d JOIN n USING (cache) WHERE before IS NOT NULL""")
+def miss_ratio_curve(spark, sf_dir):
+    """What a cache of every capacity would have hit, at each capacity that makes a difference."""
+    got = stack_distance.miss_ratio_curve(_accesses(spark, sf_dir), ["cache"], ["seq"])
+    return got.withColumn("miss_ratio", F.round("miss_ratio", 9))
 
 
 @query("SELECT 1 + max(vec_id) AS next_id FROM store WHERE 1400 - ctime < 200", ("store",))
@@ -625,29 +652,14 @@ def ghost_lookups(spark, sf_dir):
     return cache_table.ghosts(s.select(F.col("vec_id").alias("query_id"), "key"), s.where("vec_id % 5 != 0"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where this session's executors can write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _stored(spark: SparkSession, name: str):
-    """A function that writes a table and reads it back, which cuts its lineage."""
-
-    def run(df: DataFrame) -> DataFrame:
-        path = _scratch(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return run
-
-
 def _saved(spark, sf_dir, wanted: str) -> DataFrame:
-    path = _scratch(spark, "snapshot")
+    path = storage.fresh_path(spark, "snapshot")
     store = entry_store(spark, sf_dir).withColumns({"sse": F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("data: "), "value")), "embedding": F.when(F.col("vec_id") % 4 != 0, F.col("embedding"))})
     snapshot.write_snapshot(store, path, "made this way", 1400, 300)
     got = snapshot.read_snapshot(spark, path, wanted, dim=64)
-    return got.select("key", "value", "source", "sse", "ctime", "last_access", F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
+    got = storage.checkpointed(got.select("key", "value", "source", "sse", "ctime", "last_access", F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 6).alias("total")))
+    storage.remove(spark, path)
+    return got
 
 
 _SAVED = "SELECT key, value, source, CASE WHEN vec_id % 2 = 0 THEN 'data: ' || value END AS sse, ctime, last_access, {total} AS total FROM store WHERE 1400 - ctime < 300"
@@ -679,7 +691,7 @@ def replay_two_rounds(spark, sf_dir):
     one without changing its entities."""
     text = F.concat("source", F.repeat(F.lit(" "), F.col("vec_id").cast("int")))
     rows = entry_store(spark, sf_dir).select(F.col("vec_id").alias("seq"), "namespace", text.alias("text"), "embedding", F.lit(True).alias("cacheable"))
-    return replay.replay(rows, 0.2, _stored(spark, "replay"))
+    return replay.replay(rows, 0.2, storage.checkpointed)
 
 
 # Evaluation -----------------------------------------------------------------------------------------------------------
@@ -809,13 +821,11 @@ def sse_output_cap(spark, sf_dir):
     return sse_stream.screen_batch(_chunks(spark, sf_dir), block_urls=False, cap=900).select("stream_id", "events", "accepted_bytes", "truncated")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(sum(length(text)) AS BIGINT) AS prompt_tokens, count(*) AS completion_tokens, true AS seen, true AS done FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING max(strlen(text)) < 8000")
+@query("SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(sum(length(text)) AS BIGINT) AS prompt_tokens, count(*) AS completion_tokens, true AS seen, true AS done FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def sse_usage_online(spark, sf_dir):
     """The usage of whole streams that arrive in pieces of 37 characters, cut anywhere."""
     pieces = sse_streams(spark, sf_dir).select("stream_id", "sse", F.explode(F.sequence(F.lit(0), F.expr("(char_length(sse) - 1) div 37"))).alias("seq"))
-    got = sse_stream.usage_batch(pieces.select("stream_id", "seq", F.expr("substring(sse, 37 * seq + 1, 37)").alias("chunk")))
-    longest = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("stream_id")).agg(F.max(F.octet_length("text")).alias("n"))
-    return got.join(longest.where("n < 8000"), "stream_id").drop("n")
+    return sse_stream.usage_batch(pieces.select("stream_id", "seq", F.expr("substring(sse, 37 * seq + 1, 37)").alias("chunk")))
 
 
 @query("SELECT stream_id, strlen(sse) <= 2097152 AND content <> '' AND stream_id % 4 <> 0 AS fills FROM sse JOIN (SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS content FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) USING (stream_id)", ("sse",))
