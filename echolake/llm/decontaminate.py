@@ -7,7 +7,7 @@ of a whole text.  Words that no item has become 0, and only runs without a 0 are
 hits is verified on the full word sequence.
 
 The benchmark side is broadcast only in blocks whose built set takes at most ``MEMORY`` bytes by count of its words and
-windows: sorted hashes, and where in the block's word numbers each window begins.  One block is the rule.  A larger
+windows: sorted hashes of distinct windows, where in the block's word numbers each begins, and the items that have it.  One block is the rule.  A larger
 benchmark takes a pass a block over the documents, which are then stored once with row numbers; a pass writes what it
 hits, and only rows that may have a hit are joined with that, so results do not depend on the number of blocks.
 
@@ -34,7 +34,7 @@ from echolake.llm.base import materialize, maybe_in, slices, tidy
 
 SIZE = 13
 MEMORY = 384 << 20  # bytes of a block's set, in each worker
-PER_WORD, PER_WINDOW = 160, 24  # bytes of a distinct word (text, number, entry), and of a window with its word
+PER_WORD, PER_WINDOW, PER_ITEM = 160, 24, 64  # bytes of a distinct word (text, number, entry), of a window with its word and item, and of an item
 SHARE = 20  # contaminated: hit words are at least one in SHARE
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -63,34 +63,45 @@ class NgramSet:
 
     def size(self) -> int:
         """About how many bytes this takes in memory."""
-        return PER_WORD * len(self.ids) + PER_WINDOW * self.words
+        return PER_WORD * len(self.ids) + PER_WINDOW * self.words + PER_ITEM * len(self.items)
 
     def sealed(self) -> NgramSet:
         lengths = np.array([len(p) for p in self.parts], dtype=np.int64)
         self.ends = np.cumsum(lengths)
         self.sequence = np.concatenate([*self.parts, np.empty(0, dtype=np.uint32)])
         del self.parts
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # by length, of each distinct window: its hash, a place of it, and where its items begin among all items of windows
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         per = np.minimum(lengths, self.window)
         for n in np.unique(per).tolist():
             mine = np.flatnonzero(per == n)
             many = lengths[mine] - n + 1
             first = np.repeat(self.ends[mine] - lengths[mine] - np.cumsum(many) + many, many)
             at, item = first + np.arange(len(first)), np.repeat(mine, many)
-            h = self._hash([self.sequence[at + j].astype(np.uint64) for j in range(n)])
+            h = self._hash(self.sequence[at + j].astype(np.uint64) for j in range(n))
             order = np.lexsort((item, h))
+            if not self._same(at[order], h[order], n)[h[order][1:] == h[order][:-1]].all():  # windows share a hash: their words part them
+                order = np.lexsort((item, *[self.sequence[at + j] for j in reversed(range(n))], h))
             h, at, item = h[order], at[order], item[order]
-            # of equal windows of an item one is enough
-            again = np.zeros(len(h), dtype=bool)
-            again[1:] = (h[1:] == h[:-1]) & (item[1:] == item[:-1])
-            for j in range(n):
-                again[1:] &= self.sequence[at[1:] + j] == self.sequence[at[:-1] + j]
-            self.windows[n] = (h[~again], at[~again])
+            same = np.concatenate([[False], self._same(at, h, n)])
+            # an item that has a window several times counts once
+            once = ~(same & np.concatenate([[False], item[1:] == item[:-1]]))
+            begins = np.flatnonzero(~same)
+            counts = np.add.reduceat(once.astype(np.int64), begins)
+            # a block has far fewer than 2**31 words
+            self.windows[n] = (h[begins], *(x.astype(np.int32) for x in (at[begins], np.concatenate([[0], np.cumsum(counts)]), item[once])))
         return self
 
+    def _same(self, at: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+        """Whether each window but the first is equal to the one before it."""
+        same = h[1:] == h[:-1]
+        for j in range(n):
+            same &= self.sequence[at[1:] + j] == self.sequence[at[:-1] + j]
+        return same
+
     @staticmethod
-    def _hash(columns) -> np.ndarray:
-        h = np.zeros(len(columns[0]), dtype=np.uint64)
+    def _hash(columns: Iterator[np.ndarray]) -> np.ndarray:
+        h = np.uint64(0)
         for c in columns:
             h = (h + c) * np.uint64(_MULTIPLIER)
             h ^= h >> np.uint64(29)
@@ -104,23 +115,28 @@ class NgramSet:
         ids = np.fromiter(map(self.ids.get, ws, repeat(0)), dtype=np.uint64, count=len(ws))
         known = np.zeros(len(ws) + 1, dtype=np.int64)
         np.cumsum(ids != 0, out=known[1:])
-        for n, (hashes, places) in self.windows.items():
+        for n, (hashes, places, starts, of) in self.windows.items():
             at = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(at):
                 continue
-            h = self._hash([ids[at + j] for j in range(n)])
+            h = self._hash(ids[at + j] for j in range(n))
             near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            there = hashes[near] == h
-            at, h, near = at[there], h[there], near[there]
-            for i, lo, hi in zip(at.tolist(), near.tolist(), np.searchsorted(hashes, h, side="right").tolist()):
-                begins = places[lo:hi]
+            while len(at):  # once, but for windows that share a hash
+                there = hashes[near] == h
+                at, h, near = at[there], h[there], near[there]
+                equal = np.ones(len(at), dtype=bool)
                 for j in range(n):
-                    begins = begins[self.sequence[begins + j] == ids[i + j]]
-                if len(begins):
-                    items.update(self.items[k] for k in np.unique(np.searchsorted(self.ends, begins, side="right")).tolist())
+                    equal &= self.sequence[places[near] + j] == ids[at + j]
+                if equal.any():
                     if hit is None:
                         hit = np.zeros(len(ws), dtype=bool)
-                    hit[i : i + n] = True
+                    for j in range(n):
+                        hit[at[equal] + j] = True
+                    # each distinct window brings its items once a text
+                    for k in np.unique(near[equal]).tolist():
+                        items.update(map(self.items.__getitem__, of[starts[k] : starts[k + 1]].tolist()))
+                rest = ~equal & (near + 1 < len(hashes))
+                at, h, near = at[rest], h[rest], near[rest] + 1
         return hit, items
 
 
