@@ -2,7 +2,8 @@
 
 Both are interpolated bigram models of the same order, smoothing and vocabulary; the vocabulary is the ``VOCABULARY``
 most frequent words of the target texts, any other word is one unknown word.  Counts are exact and of all documents:
-those of the target condition for the target model, all others for the background.  The score is the mean over a document's
+those of the target condition for the target model, all others for the background.  A document's own counts are left out of the
+model that it is part of, so that members of either side are judged as strangers are.  The score is the mean over a document's
 tokens of the target model's loss minus the background model's: the lower, the more it is like the target.
 
 Texts are read once: their word numbers are stored in chunks of about ``CHUNK`` tokens.  A chunk sends each bigram it has, with
@@ -13,9 +14,10 @@ corpus is broadcast or collected, a frequent bigram costs an entry a chunk, and
 corpus.  Counts of words, of bounded size, are added up by a tree of tasks and broadcast.
 
 Defined cases: a null or word-less text has no tokens and a null score; a target without texts gives an empty
-vocabulary, so that all documents score alike; a null condition is background; rows that share an id are scored each; words
-that are equally frequent are all in the vocabulary or all out; a text of any length is one document of one chunk, which
-then is as long as the text; extra columns are ignored; empty tables give no rows.
+vocabulary, so that all documents score alike; a null condition is background; rows that share an id are scored each, and what
+one leaves out are the counts of its own row alone; of words that are equally frequent at the vocabulary's border those of the
+smallest hashes are in; a side of one document is an even distribution to that document; a text of any length is one
+document of one chunk, which then is as long as the text; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolake.llm.base import discard, materialize, slices, tidy
+from echolake.llm.base import discard, materialize, sampled, slices, tidy
 
 VOCABULARY = 50_000
 BIGRAM, UNIGRAM = 0.7, 0.9  # weights of the bigram estimate, and of the unigram one against the uniform one
@@ -48,9 +50,10 @@ def words(text: str | None) -> list[bytes]:
 
 
 def vocabulary(target: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words of all texts in ``target``, ``size`` at most; words that are equally frequent are all in or all out.
+    """The ``size`` most frequent words of all texts in ``target``, or all; of words that are equally frequent those of the smallest hashes.
 
-    So they are found by how many words have each count, and no task orders all words.
+    They are found by how many words have each count, and then how many of the last count have each leading part of a hash, so
+    that no task orders all words.
     """
 
     def batch(c: Counter) -> pa.RecordBatch:
@@ -83,9 +86,15 @@ def vocabulary(target: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     power = F.floor(F.log2("n")).cast("long")
     from_power, taken = least(counts, power, size)
     edge = counts.where(power < from_power).agg(F.max(power)).first()[0]
-    from_count, _ = least(counts.where(power == (-1 if edge is None else edge)), F.col("n"), size - taken)
-    kept = counts.where((F.col("n") >= from_count) | (power >= from_power))
-    out = sorted(kept.collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+    edge = counts.where(power == (-1 if edge is None else edge))
+    from_count, more = least(edge, F.col("n"), size - taken)
+    kept = counts.where((F.col("n") >= from_count) | (power >= from_power)).collect()
+    # the words of the next count fill what room is left, by hash
+    last = edge.where(F.col("n") < from_count).agg(F.max("n")).first()[0]
+    if (room := size - taken - more) > 0 and last is not None:
+        tied = edge.where(F.col("n") == last)
+        kept += sampled(tied, room, F.xxhash64("word", F.lit(31)), F.col("word")).collect()
+    out = sorted(kept, key=lambda r: (-r["n"], bytes(r["word"])))
     discard(counts)
     return [bytes(r["word"]) for r in out]
 
@@ -112,6 +121,17 @@ class Chunk:
         """Distinct bigrams as numbers, in ascending order, and which of them each token is."""
         return np.unique(self.before * self.kinds + self.now, return_inverse=True)
 
+    def own(self) -> tuple[np.ndarray, ...]:
+        """Of each token how often its document has its bigram, its word and its context, and how many words the document has."""
+        document = np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+        def often(of: np.ndarray, kinds: int) -> np.ndarray:
+            _, which, n = np.unique(document * kinds + of, return_inverse=True, return_counts=True)
+            return n[which]
+
+        keys, which = self.bigrams()
+        return often(which, max(1, len(keys))), often(self.now, self.kinds), often(self.before, self.kinds), np.repeat(self.lengths, self.lengths)
+
     def words(self) -> np.ndarray:
         """Counts by side (target first) of words, then of words as contexts."""
         out = []
@@ -133,12 +153,15 @@ class Model:
         self.unigrams, self.contexts = unigrams.astype(np.float64), contexts.astype(np.float64)
         self.total, self.kinds = float(unigrams.sum()), len(unigrams) - 1  # nothing is the start
 
-    def losses(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The loss of each bigram, which occurs ``counts`` times on this side."""
-        before, now = np.divmod(keys, self.kinds + 1)
-        p1 = UNIGRAM * self.unigrams[now] / max(self.total, 1) + (1 - UNIGRAM) / self.kinds
-        c = self.contexts[before]
-        return -np.log(np.where(c > 0, BIGRAM * counts / np.maximum(c, 1) + (1 - BIGRAM) * p1, p1))
+    def losses(self, c: Chunk, counts: np.ndarray, own: tuple[np.ndarray, ...]) -> np.ndarray:
+        """The loss of each token of a chunk, whose bigram occurs ``counts`` times on this side; ``own`` are a token's document's
+        counts of its bigram, word and context, and its length, as far as it is part of this side."""
+        bigram, word, context, length = own
+        total = np.maximum(self.total - length, 0)
+        p1 = UNIGRAM * (self.unigrams[c.now] - word) / np.maximum(total, 1) + (1 - UNIGRAM) / self.kinds
+        p1 = np.where(total > 0, p1, 1 / self.kinds)
+        seen = self.contexts[c.before] - context
+        return -np.log(np.where(seen > 0, BIGRAM * (counts - bigram) / np.maximum(seen, 1) + (1 - BIGRAM) * p1, p1))
 
 
 def chunks(docs: DataFrame, target: Column, ids: dict[bytes, int], columns: list[str], chunk: int = CHUNK) -> DataFrame:
@@ -304,13 +327,15 @@ def score(docs: DataFrame, target: Column, columns: list[str] | None = None, siz
                 c = _read(ids, lengths, targets, kinds)
                 keys, which = c.bigrams()
                 order = np.argsort(bucket_of(keys, buckets), kind="stable")
-                sums = []
+                sums, own = [], c.own()
                 for side, model in enumerate(models.value):
+                    member = c.of_target == (side == 0)
                     counts = np.empty(len(keys), dtype=np.int64)
                     counts[order] = np.concatenate([np.empty(0, dtype=np.int64), *[np.frombuffer(r[side], dtype=r[2]).astype(np.int64) for r in replies]])
                     some, total = c.lengths > 0, np.zeros(len(c.lengths))
                     if some.any():
-                        total[some] = np.add.reduceat(model.losses(keys, counts)[which], (np.cumsum(c.lengths) - c.lengths)[some])
+                        losses = model.losses(c, counts[which], tuple(x * member for x in own))
+                        total[some] = np.add.reduceat(losses, (np.cumsum(c.lengths) - c.lengths)[some])
                     sums.append(total)
                 replies = []
                 values = b.column(9).slice(i, 1).flatten()
