@@ -4,7 +4,8 @@ One- to three-character n-grams of the lower-cased text (other characters than l
 by themselves, without hashing: those that occur in at least ``LEAST`` documents of the training sample, of which the
 ``FEATURES`` most frequent.  Inverse document frequencies are counted over every document of the training folds.  The weights
 are learnt by follow-the-regularised-leader with elastic-net penalties (the first keeps weights at nought, the second
-shrinks them) and a temperature, fitted on a part of the sample, calibrates the probabilities.
+shrinks them) in ``EPOCHS`` passes.  A temperature calibrates the probabilities: each half of the sample is predicted by a
+model of the other half, and the temperature is that of the least loss over both.
 
 The training sample is bounded: ``SAMPLE`` documents in expectation, of each language its share of them and ``RARE`` at least (all,
 if it has fewer), those whose ids hash below the language's share.  Every document is predicted from its whole text.
@@ -33,6 +34,7 @@ SAMPLE = 6_000
 RARE = 200
 LEAST = 2
 FEATURES = 1 << 17
+EPOCHS = 4  # passes over the sample, whatever its size
 CHUNK = 1 << 20  # characters at once
 UNKNOWN = "und"
 
@@ -236,7 +238,7 @@ class Languages:
         return self.names[k], float(p[k])
 
 
-def train(docs: DataFrame, held_out_fold: int = 2, modulus: int = 4, sample: int = SAMPLE, epochs: int = 3) -> Languages:
+def train(docs: DataFrame, held_out_fold: int = 2, modulus: int = 4, sample: int = SAMPLE, epochs: int = EPOCHS) -> Languages:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = docs.where(fold(F.col("doc_id"), modulus) != held_out_fold)
     texts = sample_texts(rows, sample_of(rows.select("doc_id", "lang"), sample), "language-sample")
@@ -251,18 +253,24 @@ def train(docs: DataFrame, held_out_fold: int = 2, modulus: int = 4, sample: int
     for _, lang, at, c in sorted(found, key=lambda t: (t[0] * 2654435761 % 2**32, t[0])):
         x = c * idf[at]
         drawn.append((at, x / max(float(np.linalg.norm(x)), 1e-12), names.index(lang)))
-    model = Ftrl(len(features), len(names))
-    test = drawn[::5] if len(drawn) >= 50 else []
-    for _ in range(epochs if len(drawn) > 2000 else 4 * epochs):
-        for k, (at, x, label) in enumerate(drawn):
-            if not test or k % 5:
+
+    def learnt(some: list) -> np.ndarray:
+        model = Ftrl(len(features), len(names))
+        for _ in range(epochs):
+            for at, x, label in some:
                 model.learn(at, x, label)
-    weights, temperature = model.weights(), 1.0
-    if test:
-        z, y = np.array([x @ weights[at] for at, x, _ in test]), np.array([label for *_, label in test])
-        grid = np.geomspace(0.02, 10, 80)
-        temperature = float(grid[np.argmin([-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid])])
-    return Languages(names, features, idf, weights, temperature)
+        return model.weights()
+
+    z, y = [], []
+    for side in (0, 1):
+        weights = learnt(drawn[1 - side :: 2])
+        z += [x @ weights[at] for at, x, _ in drawn[side::2]]
+        y += [label for *_, label in drawn[side::2]]
+    z, y, grid = np.array(z), np.array(y), np.geomspace(0.02, 10, 80)
+    loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+    # of equal losses, as where a half had nothing to tell, the mildest temperature
+    temperature = float(grid[np.lexsort((np.abs(np.log(grid)), np.round(loss, 9)))[0]])
+    return Languages(names, features, idf, learnt(drawn), temperature)
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
