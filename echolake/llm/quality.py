@@ -6,7 +6,7 @@ network over dense features of whole texts (shares of kinds of characters, words
 text is made of the words that most trusted positives share) then minimises the non-negative unbiased risk ``pi*R_p(+) + max(0, R_u(-) - pi*R_p(-))`` with the sigmoid loss.
 
 The training sample is bounded: at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents, those with the smallest
-hashes of their ids.  Every document is scored on its whole text.
+hashes of their ids.  Training takes ``STEPS`` steps.  Every document is scored on its whole text.
 
 Defined cases: null and empty texts get the score of a text without words; without a positive or an unlabelled document
 every score is 0.5; a document with conflicting labels is no trusted positive; rows that share an id are scored each, and
@@ -31,6 +31,7 @@ from echolake.llm.base import discard, fold, slices, tidy
 from echolake.llm.texts import measured, sample_ids, sample_texts, score_texts
 
 SAMPLE = 8_000
+STEPS = 1_900  # of the descent along the PU risk, whatever the sample's size
 COMMON = 300  # words that the most trusted positives have
 
 _EDGE = ".,;:!?\"'()[]{}<>*_-|"
@@ -116,10 +117,14 @@ class Net:
             p -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
+def _batches(xp: np.ndarray, xu: np.ndarray) -> int:
+    return max(1, min(len(xp), len(xu)) // 256)
+
+
 def _train(net: Net, xp: np.ndarray, xu: np.ndarray, slopes, epochs: int, rate: float, seed: int) -> None:
     """slopes: (scores of positives, of unlabelled) -> derivative of the risk by each score."""
     rng = np.random.default_rng(seed)
-    batches = max(1, min(len(xp), len(xu)) // 256)
+    batches = _batches(xp, xu)
     for e in range(epochs):
         op, ou = np.array_split(rng.permutation(len(xp)), batches), np.array_split(rng.permutation(len(xu)), batches)
         for ip, iu in zip(op, ou):
@@ -132,12 +137,14 @@ def class_prior(sp: np.ndarray, su: np.ndarray) -> float:
     """The share of positives among the unlabelled: the least ratio of the two groups' upper tails.
 
     Where scores are so high that only positives have them, the unlabelled tail is the prior times the positive tail.
-    Thresholds with a thin positive tail are left out, and a deviation is added to each ratio.
+    Thresholds with a thin positive tail are left out, and a deviation is added to each ratio.  It is at least what one more
+    unlabelled document would be, and at most the rest.
     """
     cuts = np.quantile(sp, np.linspace(0.02, 0.8, 60))
     tail_p, tail_u = (sp[None] >= cuts[:, None]).mean(1), (su[None] >= cuts[:, None]).mean(1)
     slack = np.sqrt(tail_u * (1 - tail_u) / len(su) + tail_p * (1 - tail_p) / len(sp))
-    return float(np.clip(np.min((tail_u + slack) / np.maximum(tail_p, 1e-9)), 0.05, 0.98))
+    least = 1 / (len(su) + 1)
+    return float(np.clip(np.min((tail_u + slack) / np.maximum(tail_p, 1e-9)), least, 1 - least))
 
 
 def _pu_slopes(prior: float):
@@ -176,7 +183,7 @@ class Quality:
         net = Net(mean, scale)
         xp, xu = net.scaled(positive), net.scaled(unlabelled)
         _train(net, xp, xu, _contrast, 5, 0.01, 2)
-        _train(net, xp, xu, _pu_slopes(prior), max(60, min(600, 400_000 // len(both))), 0.01, 3)
+        _train(net, xp, xu, _pu_slopes(prior), -(-STEPS // _batches(xp, xu)), 0.01, 3)
         net.m = net.v = None
         return cls(net, prior, common)
 
