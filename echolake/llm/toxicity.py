@@ -30,8 +30,8 @@ from echolake.llm.base import discard, fold, slices, tidy
 from echolake.llm.texts import measured, sample_ids, sample_texts, score_texts
 
 SAMPLE = 10_000
-TERMS = 20_000  # most lexicon terms
 PREFIXES = range(3, 8)
+MOSTLY = 0.8  # the share of a term's documents that are toxic, at least
 CACHE, CACHED_CHARS = 100_000, 32  # tokens that a worker remembers the marks of, and how long they may be
 
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur youre du dich dir dein deine deinen deiner ihr euch euer tu toi ton ta tes vous votre vos te ti tú tus usted ustedes vosotros vuestro".split())
@@ -209,12 +209,17 @@ class Toxicity:
         return 0.998 * np.interp(z, *self.knots) + 0.002 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _least(toxic: float) -> float:
+    """How many toxic documents a term of the lexicon is in at least, of so many."""
+    return max(3, 0.01 * toxic)
+
+
 def _chosen(counts: list[tuple], toxic: int, columns: tuple[int, ...]) -> list[str]:
-    least = max(3, 0.01 * toxic)
+    least = _least(toxic)
     out = []
     for term, *c in counts:
         n, t = sum(c[2 * k] for k in columns), sum(c[2 * k + 1] for k in columns)
-        if t >= least and t >= 0.8 * n:
+        if t >= least and t >= MOSTLY * n:
             out.append(term)
     return out
 
@@ -224,9 +229,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, modulus: i
     ids = sample_ids(known, fold(F.col("doc_id"), modulus) != held_out_fold, sample, 21).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(2)).cast("int"))
     ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)  # bounded by sample
     texts = sample_texts(docs, ids, "toxicity-sample")
-    counts = lexicon_counts(texts).where("t0 + t1 >= 3 and t0 + t1 >= 0.6 * (n0 + n1)").orderBy(F.desc(F.col("t0") + F.col("t1")), "term").limit(TERMS)
-    counts = [tuple(r) for r in counts.collect()]
     toxic = ids.where("toxic = 1").count()
+    # what no lexicon can take stays out: a term is in at least this share of a half's toxic documents, so there are
+    # at most 200 times as many as such a document has terms
+    least, most = _least(toxic / 2), f"{MOSTLY} * n"
+    counts = lexicon_counts(texts).where(f"(t0 >= {least} and t0 >= {most}0) or (t1 >= {least} and t1 >= {most}1) or (t0 + t1 >= {_least(toxic)} and t0 + t1 >= {MOSTLY} * (n0 + n1))")
+    counts = [tuple(r) for r in counts.collect()]
     lexicons = [Lexicon(_chosen(counts, toxic / 2, (1,))), Lexicon(_chosen(counts, toxic / 2, (0,)))]
     rows = measured(texts, lambda doc_id, toxic, half, text: lexicons[half].features(text), ["doc_id", "toxic", "half"]).toArrow().to_pylist()
     discard(texts)
