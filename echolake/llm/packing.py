@@ -8,7 +8,8 @@ Packing.  Pieces are dealt evenly by a hash to as few groups of bounded size as
 decreasing and certifies its number of sequences against lower bounds from dual feasible functions.  The same bounds on
 the histogram of all lengths certify the whole.  While the whole needs more than its bound, every group gives the documents
 of its emptiest sequences back, four for each sequence over its own bound and four more; those of all groups are dealt
-anew and best-fit decreasing runs again.  The last round, in one group if little is left, keeps all it packs.
+anew and best-fit decreasing runs again.  Rounds end when the bound is reached or a round saves no sequence, whose
+predecessor then stands.
 
 Defined cases: a null or empty text is the end id alone; repeated rows, ids included, are packed each; pieces of equal
 length are packed in the order of their rows; an empty table gives no rows; a text of any length is cut into as many
@@ -24,6 +25,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import count
 from pathlib import Path
 
 import numpy as np
@@ -37,7 +39,6 @@ from echolake.llm.base import discard, materialize, slices, tidy
 CAPACITY = 2048
 END = 0
 GROUP = 65_536  # most pieces that one task packs
-ROUNDS = 4
 
 #: Words that each Python worker remembers the ids of, and how long they may be; others are encoded each time.
 CACHE, CACHED_CHARS = 200_000, 32
@@ -203,25 +204,31 @@ def certificate(lengths: DataFrame, capacity: int = CAPACITY) -> int:
     return bound_of(count, capacity)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS, spent: list | None = None) -> DataFrame:
-    """``row``, ``sequence_id`` and ``place`` of every (row, length) in ``items``; ``spent`` gets the stored tables that hold them."""
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int | None = None, spent: list | None = None) -> DataFrame:
+    """``row``, ``sequence_id`` and ``place`` of every (row, length) in ``items``; ``spent`` gets the stored tables that hold them.
+
+    ``rounds`` sets an end to the exchange; by default it goes on as long as a round saves sequences.
+    """
     items = items.select("row", "length")
     done, used, left, bound = None, 0, items.count(), certificate(items, capacity)
-    for number in range(rounds):
+    before, least = None, None  # the round before, and how many sequences there are in all after it
+    for number in count():
         groups = max(1, -(-left // group))
         placed = materialize(_round(items, groups, number, capacity), f"packing{number}")
         if spent is not None:
             spent.append(placed)
         # places begin at 0 in every sequence, once
         first = placed.where("place = 0").agg(F.count("*"), F.count(F.when(~F.col("given"), 1))).first()
-        last = groups == 1 or number == rounds - 1 or used + first[0] == bound
-        kept = placed if last else placed.where("not given")
-        done = kept if done is None else done.unionByName(kept)
-        if last:
-            break
-        items, used = placed.where("given").select("row", "length"), used + first[1]
-        left = items.count()
-    return done.select("row", "sequence_id", "place")
+        if least is not None and used + first[0] >= least:
+            placed = before.where("given")  # nothing was saved: the documents stay where they were
+        elif used + first[0] > bound and number + 1 != rounds:
+            kept = placed.where("not given")
+            done = kept if done is None else done.unionByName(kept)
+            before, least = placed, used + first[0]
+            items, used = placed.where("given").select("row", "length"), used + first[1]
+            left = items.count()
+            continue
+        return (placed if done is None else done.unionByName(placed)).select("row", "sequence_id", "place")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, **options) -> DataFrame:
