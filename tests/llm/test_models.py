@@ -323,11 +323,19 @@ def test_cross_entropy_difference(spark):
 
 
 @pytest.mark.parametrize("size", [0, 1, 2, 3, 4, 5, 6, 7, 8, 100])
-def test_vocabulary_takes_ties_together(spark, size):
+def test_vocabulary_settles_ties_by_hash(spark, size):
     count = {"a": 70, "b": 8, "c": 8, "d": 7, "e": 6, "f": 1, "g": 1, "h": 1}
     df = spark.createDataFrame([(" ".join([w] * n),) for w, n in count.items()], "text string")
-    fits = [w for w, n in count.items() if sum(m >= n for m in count.values()) <= size]
-    assert lm_scoring.vocabulary(df, size) == [w.encode() for w in fits]
+    got = [w.decode() for w in lm_scoring.vocabulary(df, size)]
+    assert len(got) == min(size, len(count)) and got == sorted(got, key=lambda w: (-count[w], w))
+    assert all(count[w] >= count[v] for w in got for v in set(count) - set(got))
+    assert set(lm_scoring.vocabulary(df.repartition(7), size)) == {w.encode() for w in got}
+
+
+@pytest.mark.parametrize("many", [50_000, 50_001])
+def test_vocabulary_of_words_that_are_all_as_frequent(spark, many):
+    df = spark.range(0, many, 1, 8).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    assert len(set(lm_scoring.vocabulary(df))) == 50_000
 
 
 def test_counts_are_of_all_documents(spark):
@@ -350,9 +358,8 @@ def test_losses_are_of_exact_bigram_counts(spark, chunk, bucket_tokens, entries)
     rows += [(300, rows[7][1], "", "t", ""), (301, rows[7][1], "", "t", ""), (301, "w1", "", "b", ""), (None, "w1 w2", "", None, ""), (302, None, "", "t", ""), (303, "É-é W1", "", "b", "")]
     got = lm_scoring.score(spark.createDataFrame(rows, DOCS), F.col("source") == "t", chunk=chunk, bucket_tokens=bucket_tokens, entries=entries, size=900).collect()
     count = Counter(w for _, t, _, source, _ in rows if source == "t" for w in (t or "").split())
-    cut = min(n for n in set(count.values()) if sum(m >= n for m in count.values()) <= 900)
-    known = {w for w, n in count.items() if n >= cut}
-    assert 0 < len(known) < len(count)
+    known = {w.decode() for w in lm_scoring.vocabulary(spark.createDataFrame(rows, DOCS).where("source = 't'"), 900)}
+    assert len(known) == 900 < len(count)
     texts = [([w if w in known else "" for w in (t or "").lower().replace("-", " ").split()], source == "t") for _, t, _, source, _ in rows]
     kinds = len(known) + 1
     losses = []
@@ -363,15 +370,55 @@ def test_losses_are_of_exact_bigram_counts(spark, chunk, bucket_tokens, entries)
                 one.update(t)
                 two.update(zip([None, *t], t))
                 first.update([None, *t[:-1]] if t else [])
-        total = sum(one.values())
         losses.append([])
-        for t, _ in texts:
+        for t, mine in texts:
             loss = 0.0
+            # without the document's own counts
+            a = Counter(t if mine == side else [])
+            ab = Counter(zip([None, *t], t) if mine == side else [])
+            aa = Counter([None, *t[:-1]] if t and mine == side else [])
+            total = sum(one.values()) - sum(a.values())
             for b, w in zip([None, *t], t):
-                p = 0.9 * one[w] / total + 0.1 / kinds
-                loss -= math.log(0.7 * two[b, w] / first[b] + 0.3 * p if first[b] else p)
+                p = 0.9 * (one[w] - a[w]) / total + 0.1 / kinds
+                n = first[b] - aa[b]
+                loss -= math.log(0.7 * (two[b, w] - ab[b, w]) / n + 0.3 * p if n else p)
             losses[-1].append(loss / len(t) if t else None)
     key = lambda r: (str(r[0]), r[1], r[2] or 0)
     wanted = sorted(((r[0], len(t), a, z, a if a is None else a - z) for r, (t, _), a, z in zip(rows, texts, *losses)), key=key)
     for g, w in zip(sorted([tuple(r) for r in got], key=key), wanted, strict=True):
         assert g[:2] == w[:2] and g[2:4] == (pytest.approx(w[2:4], rel=1e-9) if w[2] is not None else (None, None)) and (g[4] is None if w[4] is None else abs(g[4] - w[4]) < 1e-8)
+
+
+def test_a_member_is_judged_as_a_stranger_is(spark):
+    # a text of the target and its like elsewhere get the same score where they are the only ones of their kind
+    rows = [(i, f"common words {i % 3} of all", "", "t" if i % 2 else "b", "") for i in range(40)]
+    rows += [(100, "rare turn of phrase", "", "t", ""), (200, "odd turn of speech", "", "b", "")]
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(rows, DOCS), F.col("source") == "t").collect()}
+    assert got[100]["target_loss"] >= got[1]["target_loss"]
+    alone = spark.createDataFrame([(1, "only one here", "", "t", ""), (2, "b c", "", "b", "")], DOCS)
+    one = {r["doc_id"]: r for r in lm_scoring.score(alone, F.col("source") == "t").collect()}
+    assert one[1]["target_loss"] == pytest.approx(math.log(4)) and one[2]["background_loss"] == pytest.approx(math.log(4))
+
+
+def test_small_priors_are_not_raised():
+    rng = np.random.default_rng(0)
+    positive, other = rng.normal(6, 1, 4000), rng.normal(0, 1, 19_800)
+    unlabelled = np.concatenate([other, rng.normal(6, 1, 200)])
+    assert quality.class_prior(positive, unlabelled) == pytest.approx(0.01, rel=0.4)
+    assert quality.class_prior(positive, rng.normal(6, 1, 400)) > 0.9
+
+
+def test_lexicons_have_no_cap(spark):
+    many = [f"{chr(97 + k % 26)}{k:05d}" for k in range(20_001)]
+    rows = [(i, " ".join(many), 1) for i in range(40)] + [(100 + i, "plain words", 0) for i in range(40)]
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, None, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    assert len(toxicity.train(docs, labels).lexicon.words) == 20_001
+
+
+@pytest.mark.parametrize("many", [8, 49, 50, 120])
+def test_calibration_of_samples_of_any_size(spark, many):
+    texts = {"en": "the house and the garden of the king", "fr": "la maison et le jardin du roi des"}
+    rows = [(i, " ".join(texts[lang].split()[i % 5 :]), lang) for i in range(many) for lang in (("en", "fr")[i % 2],)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == ["en", "fr"] and 0.02 <= model.temperature <= 10
+    assert [model.predict(t)[0] for t in texts.values()] == ["en", "fr"]

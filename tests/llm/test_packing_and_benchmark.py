@@ -104,7 +104,7 @@ def test_groups_exchange_until_the_whole_is_certified(spark, group):
     rng = random.Random(2)
     rows = [(i, rng.choice([rng.randrange(1, 200), rng.randrange(1, 2049)])) for i in range(1500)]
     items = spark.createDataFrame(rows, "row long, length long")
-    got = packing.pack(items, group=group, rounds=12).join(items, "row").collect()
+    got = packing.pack(items, group=group).join(items, "row").collect()
     assert sorted(r["row"] for r in got) == [i for i, _ in rows]
     by: dict = {}
     for r in got:
@@ -198,7 +198,7 @@ def test_a_set_is_small_and_bounded():
     whole = list(decontaminate.blocks(iter(items), 13, 1 << 30))
     assert len(whole) == 1 and whole[0].size() < 30 * 300_000 + 200 * 20_000
     parts = list(decontaminate.blocks(iter(items), 13, whole[0].size() // 4))
-    assert 4 <= len(parts) <= 16 and sum(len(h) for p in parts for h, _ in p.windows.values()) == 300 * 988
+    assert 4 <= len(parts) <= 16 and sum(len(h) for p in parts for h, *_ in p.windows.values()) == 300 * 988
 
 
 def test_items_without_an_id(spark):
@@ -210,3 +210,32 @@ def test_items_without_an_id(spark):
         assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(20, 2, True), (3, 1, True), (0, 0, False)]
         assert [got[i]["items_sha256"] for i in (1, 2)] == [hashlib.sha256(s).hexdigest() for s in (b"7", b"")]
         assert [r["doc_id"] for r in decontaminate.clean(docs, items, memory=memory).collect()] == [3]
+
+
+def test_equal_windows_are_visited_once(spark):
+    import time
+
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit("the").alias("text"))
+    docs = spark.createDataFrame([(1, "the " * 100_000), (2, "other"), (3, "x the y")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in decontaminate.report(docs, items).collect()}
+    assert time.time() - began < 60
+    digest = hashlib.sha256(",".join(sorted(map(str, range(100_000)))).encode()).hexdigest()
+    assert [(got[i]["n_hit"], got[i]["n_items"]) for i in (1, 2, 3)] == [(100_000, 100_000), (0, 0), (1, 100_000)] and got[1]["items_sha256"] == got[3]["items_sha256"] == digest
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+def test_windows_that_share_a_hash(monkeypatch, bits):
+    plain = decontaminate.NgramSet._hash
+    monkeypatch.setattr(decontaminate.NgramSet, "_hash", staticmethod(lambda columns: plain(columns) & np.uint64((1 << bits) - 1)))
+    rng = random.Random(bits)
+    say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, say(rng.randrange(0, 9))) for i in range(40)] + [(None, "a b")]
+    docs = [(i, say(rng.randrange(0, 30))) for i in range(60)]
+    held = decontaminate.NgramSet(4)
+    for i, t in items:
+        held.add(i, t)
+    held.sealed()
+    for (_, text), wanted in zip(docs, sorted(brute_force(docs, items, 4), key=lambda r: r[0])):
+        hit, found = held.find(decontaminate.words(text))
+        assert (0 if hit is None else int(hit.sum()), len(found)) == wanted[2:4]
