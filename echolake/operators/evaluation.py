@@ -19,14 +19,20 @@ def confusion(pairs: DataFrame, by: list[str] = (), similarity: str = "similarit
     """Counts and rates of predicting a match where the similarity reaches the threshold and nothing vetoes it."""
     veto = F.coalesce(vetoed, F.lit(False)) if vetoed is not None else F.lit(False)
     near = F.col(similarity) >= (threshold if threshold is not None else F.col("threshold"))
-    hit, match = near & ~veto, F.col(truth)
-    got = pairs.groupBy(*by).agg(
-        F.count_if(hit & match).alias("tp"),
-        F.count_if(hit & ~match).alias("fp"),
-        F.count_if(~hit & ~match).alias("tn"),
-        F.count_if(~hit & match).alias("fn"),
-        F.count_if(near & veto & match).alias("vetoed_match"),
-        F.count_if(near & veto & ~match).alias("vetoed_other"),
+    return _matrix(pairs, by, near, veto, F.col(truth), F.lit(1))
+
+
+def _matrix(rows: DataFrame, by: list[str], near: Column, veto: Column, match: Column, n: Column) -> DataFrame:
+    """The counts of rows that stand for ``n`` pairs each, and the rates that follow."""
+    hit = near & ~veto
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+    got = rows.groupBy(*by).agg(
+        of(hit & match).alias("tp"),
+        of(hit & ~match).alias("fp"),
+        of(~hit & ~match).alias("tn"),
+        of(~hit & match).alias("fn"),
+        of(near & veto & match).alias("vetoed_match"),
+        of(near & veto & ~match).alias("vetoed_other"),
     )
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     return got.withColumns(
@@ -40,10 +46,21 @@ def confusion(pairs: DataFrame, by: list[str] = (), similarity: str = "similarit
     )
 
 
-def sweep(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, by: list[str] = (), **options) -> DataFrame:
-    """:func:`confusion` for every threshold: rows are multiplied by their number, nothing is joined."""
-    each = pairs.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    return confusion(each, [*by, "threshold"], **options)
+def sweep(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, by: list[str] = (), similarity: str = "similarity", truth: str = "is_match", vetoed: Column | None = None, both: bool = False) -> DataFrame:
+    """:func:`confusion` for every threshold, in one pass over the pairs; with ``both`` also without the veto (column ``veto``).
+
+    Pairs are counted by how many thresholds they reach; what a threshold accepts is what reaches it and all below it, so the
+    matrix at every threshold is a sum over these few counts.
+    """
+    cuts = sorted(set(thresholds))
+    reached = sum(((F.col(similarity) >= c).cast("int") for c in cuts), F.lit(0))
+    veto = F.coalesce(vetoed, F.lit(False)) if vetoed is not None else F.lit(False)
+    counts = pairs.groupBy(*by, reached.alias("_reached"), F.col(truth).alias("_match"), veto.alias("_veto")).agg(F.count("*").alias("_n"))
+    each = counts.withColumn("_t", F.explode(F.array(*[F.struct(F.lit(float(c)).alias("threshold"), F.lit(k).alias("k")) for k, c in enumerate(cuts)]))).withColumn("threshold", F.col("_t.threshold"))
+    if both:
+        each = each.withColumn("veto", F.explode(F.array(F.lit(False), F.lit(True))))
+    applied = F.col("_veto") & F.col("veto") if both else F.col("_veto")
+    return _matrix(each, [*by, *(["veto"] if both else []), "threshold"], F.col("_reached") > F.col("_t.k"), applied, F.col("_match"), F.col("_n"))
 
 
 def replay_report(log: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from echolake import storage
 from echolake.config import Config
-from echolake.functions import entities, hashing, keys, requests, screen, sse, vectors, wordpiece
-from echolake.operators import ann, cache_table, evaluation, merging, metrics, replay, retrieval, stack_distance
+from echolake.functions import entities, hashing, keys, keywords, requests, screen, sse, vectors, wordpiece
+from echolake.operators import ann, cache_table, evaluation, graph, merging, metrics, replay, retrieval, stack_distance
 from echolake.operators.running import running_sums
 from echolake.plans import requests as plans
 from echolake.sources import datasets, reports, snapshot
@@ -219,6 +219,18 @@ def keyword_docs(spark, sf_dir):
     return d.where(screen.contains_keyword(F.col("text"), ["tion"]) & screen.contains_keyword(F.col("text"), ["moron", "Apache"])).select("doc_id")
 
 
+@query("""
+    WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+         k AS (SELECT DISTINCT array_to_string(w[i : i + 3], ' ') AS k FROM w, unnest(range(1, len(w) - 2)) AS t(i))
+    SELECT doc_id, EXISTS (SELECT 1 FROM k WHERE contains(text, k)) AS hit FROM documents WHERE text IS NOT NULL""")
+def listed_keyword_docs(spark, sf_dir):
+    """Which documents have any keyword of a long list: all runs of four words of the benchmark."""
+    w = F.split("text", " ")
+    runs = _t(spark, sf_dir, "benchmark").where(F.size(w) >= 4).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i, 4), " "))).alias("k"))
+    hit = keywords.keyword_matcher(spark, [r["k"] for r in runs.distinct().toLocalIterator()])
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select("doc_id", hit("text").alias("hit"))
+
+
 @query(f"SELECT id, {_INJECTION_SQL.format(t='text')} AS injection FROM probes UNION ALL SELECT 1000000 + doc_id, {_INJECTION_SQL.format(t='text')} FROM documents", ("probes",))
 def injection_probe(spark, sf_dir):
     p = spark.createDataFrame(PROBES, "id int, text string").unionByName(_texts(spark, sf_dir, "documents", "doc_id", "text").select((F.col("doc_id") + 1_000_000).alias("id"), "text"))
@@ -418,6 +430,22 @@ def ann_all_cells_top3(spark, sf_dir):
     return ann.search(store.withColumnRenamed("vec_id", "query_id"), ann.build(store, c), c, 3, len(c), exclude_self=True)
 
 
+@query("SELECT count(*) AS queries, true AS recall_reached, true AS self_first FROM embeddings WHERE embedding IS NOT NULL")
+def graph_recall(spark, sf_dir):
+    """Every vector asks the graph for its three nearest, itself included: whether at least 0.9 of the true ones are found, and
+    whether at least 98 of 100 find themselves first."""
+    store = checkpointed_vectors(spark, sf_dir)
+    asked = store.withColumnRenamed("vec_id", "query_id")
+    found = storage.checkpointed(graph.search(asked, graph.build(store), 3))
+    recall = retrieval.recall_at_k(found, retrieval.knn(asked, store, 3), 3)
+    own = found.where("rank = 1").select("query_id", (F.col("query_id") == F.col("vec_id")).alias("own"))
+    return recall.join(own, "query_id", "left").agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_reached"), (F.avg(F.coalesce("own", F.lit(False)).cast("int")) >= 0.98).alias("self_first"))
+
+
+def checkpointed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.checkpointed(_t(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding"))
+
+
 @query()
 def ann_recall(spark, sf_dir):
     """Cells, how many of them a query must search for a recall of 0.9, and the recall measured."""
@@ -726,8 +754,7 @@ def threshold_sweep(spark, sf_dir):
 
 @query(_sweep_sql("false", "false AS veto,") + " UNION ALL " + _sweep_sql("differs", "true AS veto,"), ("eval_pairs", "thresholds"))
 def veto_before_after(spark, sf_dir):
-    pairs = eval_pairs(spark, sf_dir).withColumn("veto", F.explode(F.array(F.lit(False), F.lit(True))))
-    return evaluation.sweep(pairs, THRESHOLDS, ["veto"], vetoed=F.col("veto") & F.col("differs"))
+    return evaluation.sweep(eval_pairs(spark, sf_dir), THRESHOLDS, vetoed=F.col("differs"), both=True)
 
 
 VIEWS["replay_log"] = """
