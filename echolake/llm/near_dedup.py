@@ -412,17 +412,41 @@ def components_of(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHO
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates: that of the smallest id, and of its repeats the smallest text."""
+    """One row of ``docs`` for each group of near duplicates: that of the smallest id.
+
+    Rows that share an id but not their text are judged each: all but the smallest text of such an id come after all ids of
+    the table, so that they go only where they are copies of something that stays.  Of equal rows one stays.
+    """
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-again")
+    if again.isEmpty():
+        return _without(docs, _gone(docs, **options))
+    # ids that occur once, which are nearly all, are not shuffled for the sake of the others
+    once = maybe_in(docs, "doc_id", again, keep=False).union(maybe_in(docs, "doc_id", again).join(again, "doc_id", "left_anti").select(*docs.columns))
+    several = maybe_in(docs, "doc_id", again).join(again, "doc_id", "left_semi").select(*docs.columns)
+    top = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0)).alias("top")).first()[0]
+    texts = several.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).distinct()
+    least = texts.groupBy("id").agg(F.min("t").alias("least"))
+    # those of one table are stored, since numbers are given as they are written
+    nodes = materialize(texts.join(least, "id").select("id", "t", F.when(F.col("t") == F.col("least"), F.col("id")).otherwise(top + 1 + F.monotonically_increasing_id()).alias("node")), "near-nodes")
+    judged = once.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).union(nodes.select(F.col("node").cast("long"), "t"))
+    gone = _gone(judged, **options)
+    kept = nodes.join(gone.withColumnRenamed("doc_id", "node"), "node", "left_anti")
+    # a row for each text that stays, with all its columns
+    place = F.struct("text", *[c for c, t in docs.dtypes if c != "text" and "map<" not in t and t != "variant"])
+    first = several.groupBy(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).agg(F.min_by(F.struct(*docs.columns), place).alias("row"))
+    rest = first.join(kept, (F.col("_id") == F.col("id")) & (F.col("_t") == F.col("t")), "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return _without(once, gone).union(rest)
+
+
+def _gone(docs: DataFrame, **options) -> DataFrame:
+    """The ids that go, stored."""
     judged = components_of(docs, **options)
     gone = materialize(judged.where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
     discard(judged)
-    # most rows are surely not among the gone and need no shuffle
+    return gone
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``gone``; most rows are surely not among them and need no shuffle."""
     doubtful = maybe_in(docs, "doc_id", gone).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    left = maybe_in(docs, "doc_id", gone, keep=False).union(doubtful)
-    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-again")
-    if again.isEmpty():
-        return left
-    # ids that occur once, which are nearly all, are not shuffled for the sake of the others
-    place = F.struct("text", *[c for c, t in left.dtypes if c != "text" and "map<" not in t and t != "variant"])
-    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*left.columns), place).alias("row"))
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+    return maybe_in(docs, "doc_id", gone, keep=False).union(doubtful)
