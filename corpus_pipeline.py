@@ -6,7 +6,7 @@ costs a re-read at most; what the next one has read goes.  All stages but the la
 Defined cases, of all stages: an empty table, or one of which nothing is left, gives no rows; columns beyond those of
 ``documents``, whatever their names, pass through all stages but the last; rows without an id are kept by the judgement of
 their text alone; a null text counts as the empty one; texts of any length are judged whole; rows that share an id are
-judged each, until near-dedup keeps one of them.
+judged each, by their texts, and of equal ones near-dedup keeps one.
 """
 
 from __future__ import annotations
