@@ -5,7 +5,7 @@ An inner product is turned into a metric: with M the largest norm of all vectors
 nearest vectors are those of the highest products.
 
 The upper level of the tree is a table: every vector goes to the nearest of some routing vectors, of which there are at
-most ``PIVOTS``; a routing vector with more than ``BLOCK`` vectors has several blocks.  Of each block the tree is built once
+most ``PIVOTS``; a routing vector with more than ``BLOCK`` vectors, or ``BYTES`` of them, has several blocks.  Of each block the tree is built once
 and stored, with its covering radius.  Below, an M-tree of paged nodes holds for every entry a routing vector, its covering
 radius and its distance to the parent.
 
@@ -17,8 +17,9 @@ in a task.  Bounds are floating point with a margin; products themselves are exa
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part, nor do those without an
 id; vectors meet only those of their own length; a query is a row, and all rows but itself are its candidates, repeated
-ids included; components of any finite size count, by integers of any length where they are too large for exact products
-otherwise, and a returned score that no long holds is an error; extra columns are ignored; an empty table gives no rows.
+ids included; components of up to 1.75e305 count, by integers of any length where they are too large for exact products
+otherwise; a larger finite component is an error, as is a returned score that no long holds; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,13 +38,15 @@ from pyspark.sql import functions as F
 from echolake.llm.base import discard, materialize, sampled, slices, tidy
 
 PAGE = 256
-BLOCK = 16_384
+BLOCK, BYTES = 16_384, 16 << 20  # most vectors of a block, and bytes of their numbers
+SENT = 8 << 20  # bytes of queries that a routing task sends on at once
 PIVOTS = 2_048  # most routing vectors of a length, which are broadcast
 QUERY_BLOCK = 65_536
 LEAST_BLOCKS = 12
 MODULUS = 100
 _LONG = 1 << 63
 _LARGE = 1e140  # squares of larger components could not be added up
+_FINITE = 1.7976931348623157e308 / 1024  # 1024 times more is no double
 
 
 class Node:
@@ -170,13 +173,19 @@ def augment(x: np.ndarray, top: float) -> np.ndarray:
 def _vectors(df: DataFrame) -> DataFrame:
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(ok)
-    scaled = F.transform("embedding", lambda x: F.lit(1024.0) * x.cast("double"))
+    beyond = F.raise_error(F.lit("a component times 1024 exceeds a double")).cast("double")
+    scaled = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) <= _FINITE, F.lit(1024.0) * x.cast("double")).otherwise(beyond))
     # a component of 2^53 and more is whole; floor() would make it a long
     whole = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), F.size("embedding").alias("dim")).where("dim > 0")
     return rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).withColumn("large", F.exists("v", lambda x: F.abs(x) > _LARGE))
 
 
+def _rows(dim: int, block: int) -> int:
+    """How many vectors of ``dim`` numbers a block holds at most."""
+    return max(1, min(block, BYTES // (8 * dim)))
+
+
 class Routes:
     """Of one length: the largest squared norm, the routing vectors, and how many blocks each has."""
 
@@ -209,7 +218,7 @@ def top_k(embeddings: DataFrame, k: int = 10, modulus: int = MODULUS, block: int
     spark = embeddings.sparkSession
     rows = materialize(_vectors(embeddings), "mtree-rows")  # stored, so that row numbers stay
     sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    blocks = {dim: max(least_blocks, -(-n // block)) for dim, n in sizes.items()}
+    blocks = {dim: max(least_blocks, -(-n // _rows(dim, block))) for dim, n in sizes.items()}
     routes = spark.sparkContext.broadcast(_routes(rows, blocks))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +233,8 @@ def top_k(embeddings: DataFrame, k: int = 10, modulus: int = MODULUS, block: int
 
     placed = materialize(rows.mapInArrow(tidy(nearest), "row long, vec_id long, v array<double>, dim int, pivot long"), "mtree-placed")
     counts = placed.groupBy("dim", "pivot").agg(F.count("*").alias("n"))
-    parts = counts.select("dim", "pivot", F.ceil(F.col("n") / block).alias("parts"))  # one row a routing vector at most
+    held = F.greatest(F.lit(1), F.least(F.lit(block), F.lit(BYTES) / (8 * F.col("dim"))).cast("long"))
+    parts = counts.select("dim", "pivot", F.ceil(F.col("n") / held).alias("parts"))  # one row a routing vector at most
     own = placed.join(F.broadcast(parts), ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -245,9 +255,13 @@ def top_k(embeddings: DataFrame, k: int = 10, modulus: int = MODULUS, block: int
     queries = rows.where(F.col("vec_id") % modulus == 0).select("row", "vec_id", "v", "dim", "large")
 
     def routed(first: bool):
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            part = list(zip(*out)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64()])], names=["block", "row", "vec_id", "v", "low"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                out = []
+                out, size = [], 0
                 lows = b.column(5).to_pylist()
                 for row, vec_id, v, dim, large, low in zip(*[c.to_pylist() for c in b.columns[:5]], lows):
                     ids, pivots, radius = areas.value[dim]
@@ -260,10 +274,13 @@ def top_k(embeddings: DataFrame, k: int = 10, modulus: int = MODULUS, block: int
                         most = np.where(regular, half - np.maximum(apart, 0) ** 2 / 2 + 1e-9 * (half + 1) + 1e-6, np.inf)
                         order = np.argsort(apart, kind="stable")
                     chosen = order[:1] if first else [i for i in order[1:].tolist() if low is None or most[i] >= low]
-                    out += [(int(ids[i]), row, vec_id, v, low) for i in chosen]
-                for i in range(0, max(len(out), 1), 4096):
-                    part = list(zip(*out[i : i + 4096])) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64()])], names=["block", "row", "vec_id", "v", "low"])
+                    for i in chosen:  # a query that reaches many blocks leaves in pieces
+                        out.append((int(ids[i]), row, vec_id, v, low))
+                        size += 8 * dim + 32
+                        if size >= SENT:
+                            yield packed(out)
+                            out, size = [], 0
+                yield packed(out)
 
         return run
 
