@@ -33,12 +33,12 @@ def pool() -> Column:
     return F.when(_is(*_MAIN), "main").when(_is(*_BYPASS), "bypass")
 
 
-def counters(log: DataFrame, by: list[str] = ()) -> DataFrame:
-    """All counters in one aggregation."""
+def counter_columns() -> list[Column]:
+    """The aggregates that :func:`counters` is made of; each adds up, or is a least or a greatest value, over parts of a log."""
     n = lambda *o: F.count_if(_is(*o))
     spent = lambda c: F.coalesce(F.sum(F.when(_is(*_SPENT), F.col(c))), F.lit(0))
     latency = lambda o, f: f(F.when(_is(*o), F.col("latency_ms")))
-    got = log.groupBy(*by).agg(
+    return [
         n(*_HITS, *_MISSES).alias("requests"),
         n(*_HITS).alias("hits"),
         n(*_MISSES).alias("misses"),
@@ -57,8 +57,17 @@ def counters(log: DataFrame, by: list[str] = ()) -> DataFrame:
         latency(_MAIN, F.max).alias("max_latency_ms"),
         F.coalesce(latency(_BYPASS, F.sum), F.lit(0)).alias("_bypass_sum"),
         n(*_BYPASS).alias("_bypass_n"),
-    )
-    return got.withColumns(
+    ]
+
+
+def counters(log: DataFrame, by: list[str] = ()) -> DataFrame:
+    """All counters in one aggregation."""
+    return finished(log.groupBy(*by).agg(*counter_columns()))
+
+
+def finished(sums: DataFrame) -> DataFrame:
+    """Rates and means from the aggregates of :func:`counter_columns`."""
+    return sums.withColumns(
         {
             "hit_rate": F.coalesce(F.try_divide("hits", "requests"), F.lit(0.0)),
             "avg_latency_ms": F.expr("if(_n = 0, 0, _sum div _n)"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from echolake import storage
 from echolake.config import Config
 from echolake.functions import entities, hashing, keys, keywords, requests, screen, sse, vectors, wordpiece
-from echolake.operators import ann, cache_table, evaluation, graph, merging, metrics, replay, retrieval, stack_distance
+from echolake.operators import ann, cache_table, evaluation, graph, index_table, merging, metrics, replay, retrieval, stack_distance
 from echolake.operators.running import running_sums
 from echolake.plans import requests as plans
 from echolake.sources import datasets, reports, snapshot
@@ -520,6 +520,63 @@ def outcome_counts(spark, sf_dir):
     return metrics.counters(request_log(spark, sf_dir))
 
 
+#: Outcomes of both kinds of requests, told apart by whether a request's k is even.
+STREAMED = {"view": ("stream_hit", "hit"), "click": ("stream_miss", "miss"), "purchase": ("stream", "bypass"), "signup": ("merge", "cache_write"), "error": ("stream_abort", "stream_no_usage")}
+VIEWS["streamed"] = (
+    "SELECT event_id, user_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN CASE WHEN j % 2 = 0 THEN '{a}' ELSE '{b}' END" for k, (a, b) in STREAMED.items()) + " END AS outcome, latency_ms, j AS prompt_tokens, 2 * j AS completion_tokens"
+    " FROM (SELECT *, CAST(floor(value * 10) AS BIGINT) AS latency_ms, CAST(json_extract(props, '$.k') AS BIGINT) AS j FROM events)"
+)
+
+
+def streamed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    outcome = F.coalesce(*[F.when(F.col("event_type") == t, F.when(F.col("k") % 2 == 0, a).otherwise(b)) for t, (a, b) in STREAMED.items()])
+    return e.select("event_id", "user_id", outcome.alias("outcome"), F.floor(F.col("value") * 10).cast("long").alias("latency_ms"), F.col("k").alias("prompt_tokens"), (F.col("k") * 2).alias("completion_tokens"))
+
+
+_MAIN_SQL = "outcome IN ('miss', 'hit', 'merge', 'stream_hit', 'stream_miss')"
+
+
+@query(
+    f"""
+    SELECT user_id, count(*) FILTER (outcome IN ('hit', 'stream_hit', 'miss', 'stream_miss')) AS requests, count(*) FILTER (outcome IN ('hit', 'stream_hit')) AS hits, count(*) FILTER (outcome IN ('miss', 'stream_miss')) AS misses,
+           count(*) FILTER (outcome = 'merge') AS merged, count(*) FILTER (outcome IN ('bypass', 'stream')) AS bypassed, count(*) FILTER (outcome IN ('stream', 'stream_hit', 'stream_miss')) AS streams,
+           count(*) FILTER (outcome = 'stream_hit') AS stream_hits, count(*) FILTER (outcome = 'stream_abort') AS streams_aborted, count(*) FILTER (outcome = 'stream_no_usage') AS streams_without_usage, count(*) FILTER (outcome = 'cache_write') AS cache_writes,
+           CAST(coalesce(sum(prompt_tokens) FILTER (outcome IN ('miss', 'bypass', 'stream', 'stream_miss')), 0) AS BIGINT) AS prompt_tokens,
+           CAST(coalesce(sum(completion_tokens) FILTER (outcome IN ('miss', 'bypass', 'stream', 'stream_miss')), 0) AS BIGINT) AS completion_tokens,
+           min(latency_ms) FILTER ({_MAIN_SQL}) AS min_latency_ms, max(latency_ms) FILTER ({_MAIN_SQL}) AS max_latency_ms,
+           coalesce(count(*) FILTER (outcome IN ('hit', 'stream_hit')) / nullif(count(*) FILTER (outcome IN ('hit', 'stream_hit', 'miss', 'stream_miss')), 0), 0.0) AS hit_rate,
+           CAST(coalesce(sum(latency_ms) FILTER ({_MAIN_SQL}) // nullif(count(*) FILTER ({_MAIN_SQL}), 0), 0) AS BIGINT) AS avg_latency_ms,
+           CAST(coalesce(sum(latency_ms) FILTER (outcome IN ('bypass', 'stream')) // nullif(count(*) FILTER (outcome IN ('bypass', 'stream')), 0), 0) AS BIGINT) AS bypass_avg_latency_ms
+    FROM streamed GROUP BY user_id""",
+    ("streamed",),
+)
+def stream_outcome_counts(spark, sf_dir):
+    """Every counter with outcomes of both kinds of requests: streams that hit, miss, pass by, break off or report no usage, and writes."""
+    return metrics.counters(streamed_log(spark, sf_dir), ["user_id"])
+
+
+@query("SELECT key, CASE WHEN vec_id % 3 = 0 THEN 2 * vec_id ELSE vec_id END AS place FROM store WHERE vec_id % 5 <> 0 OR vec_id % 7 = 0", ("store",))
+def index_versions(spark, sf_dir):
+    """An index that is built, changed while it is made anew, and changed again: its last version."""
+    store = storage.checkpointed(entry_store(spark, sf_dir).select("vec_id", "key", F.array(F.col("vec_id").cast("float")).alias("embedding")))
+    path, schema = storage.fresh_path(spark, "index"), store.select("key", "embedding").schema
+    change = lambda rows, deleted: rows.select("key", "embedding", F.lit(deleted).alias("deleted"), F.lit(0).cast("long").alias("seq"))
+
+    def anew(entries):
+        index_table.apply(path, change(store.where("vec_id % 5 = 0"), True))  # comes while the index is made
+        return entries
+
+    index_table.rebuild(spark, path, schema, lambda _: store.where("vec_id % 3 != 0"))
+    index_table.apply(path, change(store.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float"))), False))
+    index_table.rebuild(spark, path, schema, anew)
+    back = store.where("vec_id % 35 = 0").withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: (x * 2).cast("float"))).otherwise(F.col("embedding")))
+    index_table.apply(path, change(back, False))
+    got = storage.checkpointed(index_table.read(spark, path, schema).select("key", F.element_at("embedding", 1).cast("long").alias("place")))
+    storage.remove(spark, path)
+    return got
+
+
 @query(f"SELECT user_id, {_COUNTERS} FROM log GROUP BY user_id", ("log",))
 def outcome_counts_by_user(spark, sf_dir):
     return metrics.counters(request_log(spark, sf_dir), ["user_id"])
