@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # Ids of special tokens, limits, and the blocks of ideographs.
 CLS, SEP, UNK = 101, 102, 100
 MAX_TOKENS, MAX_WORD = 512, 100
+KNOWN = 200_000  # words that a task remembers the ids of
 _CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,32 +44,59 @@ def basic_tokens(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(ascii_lower(t) if lower else t, F.lit(f"[{_PUNCTUATION}]|[^ {_PUNCTUATION}]+"), F.lit(0))
 
 
+def _tries(vocabulary: dict[str, int]) -> tuple[dict, dict]:
+    """The pieces that begin a word and those that follow, character by character; the empty one stands for a piece's id."""
+    tries: tuple[dict, dict] = ({}, {})
+    for piece, i in vocabulary.items():
+        for node, text in ((tries[0], piece), (tries[1], piece.removeprefix("##") if piece.startswith("##") else "")):
+            for c in text:
+                node = node.setdefault(c, {})
+            if text:
+                node[""] = i
+    return tries
+
+
 def wordpiece(vocabulary: dict[str, int]) -> Callable[[Column], Column]:
     """A column function: arrays of words to arrays of ids, greedily by the longest known piece.
 
-    Arrow arrays come and go as they are; of each batch every distinct word is cut up once, and ids are gathered by arrays.
+    Arrow arrays come and go as they are; of each batch every distinct word is cut up once, and ids are gathered by arrays.  A
+    word is walked down tries of the pieces, one for its beginning and one for what follows, so that each step is a look at one
+    character; a task remembers the words that it has met.
     """
+    begins, follows = _tries(vocabulary)
+    known: dict[str, list[int]] = {}
+
+    def ids(word: str) -> list[int]:
+        out, at, n = [], 0, len(word)
+        if n > MAX_WORD:
+            return [UNK]
+        while at < n:
+            node, found, end = follows if at else begins, None, at
+            for k in range(at, n):
+                node = node.get(word[k])
+                if node is None:
+                    break
+                if "" in node:
+                    found, end = node[""], k + 1
+            if found is None:
+                return [UNK]
+            out.append(found)
+            at = end
+        return out
+
+    def remembered(word: str) -> list[int]:
+        found = known.get(word)
+        if found is None:
+            found = ids(word)
+            if len(known) < KNOWN:
+                known[word] = found
+        return found
 
     @F.arrow_udf("array<int>")
     def run(words: pa.Array) -> pa.Array:
-        def ids(word: str) -> list[int]:
-            if len(word) > MAX_WORD:
-                return [UNK]
-            out, at = [], 0
-            while at < len(word):
-                for end in range(len(word), at, -1):
-                    found = vocabulary.get(("##" if at else "") + word[at:end])
-                    if found is not None:
-                        out.append(found)
-                        at = end
-                        break
-                else:
-                    return [UNK]
-            return out
-
         lengths = np.array(pa.compute.fill_null(pa.compute.list_value_length(words), 0), dtype=np.int64)
         coded = pa.compute.fill_null(words.flatten(), "").dictionary_encode()
-        pieces = [ids(w) for w in coded.dictionary.to_pylist()]
+        pieces = [remembered(w) for w in coded.dictionary.to_pylist()]
         counts = np.array([len(p) for p in pieces], dtype=np.int64)
         values, starts = np.array([i for p in pieces for i in p], dtype=np.int32), np.cumsum(counts) - counts
         which = coded.indices.to_numpy(zero_copy_only=False)

@@ -131,3 +131,30 @@ def test_wordpiece(spark):
     assert got[0]["ids"] == [101, 1, 2, 3, 4, 5, 6, 100, 102]
     assert got[1]["ids"] == [101, 100, 102]
     assert got[2]["w"] == ["tab", "andzero"]
+
+
+def test_pieces_by_tries_equal_the_longest_known_piece(spark):
+    import random
+
+    from echolake.functions import wordpiece
+
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("abé#") for _ in range(n))
+    vocabulary = {p: i for i, p in enumerate({*"ab", "##a", "##b", "##", "#", *(say(rng.randrange(1, 5)) for _ in range(20)), *("##" + say(rng.randrange(1, 5)) for _ in range(25))}, 200)}
+    words = [say(rng.randrange(0, 9)) for _ in range(400)] + ["a" * 100, "a" * 101, "##a", "###"]
+
+    def plain(word):
+        out, at = [], 0
+        while at < len(word) <= wordpiece.MAX_WORD:
+            for end in range(len(word), at, -1):
+                if (found := vocabulary.get(("##" if at else "") + word[at:end])) is not None:
+                    out.append(found)
+                    at = end
+                    break
+            else:
+                return [wordpiece.UNK]
+        return out if len(word) <= wordpiece.MAX_WORD else [wordpiece.UNK]
+
+    df = spark.createDataFrame([(i, words[i : i + 7]) for i in range(0, len(words), 7)], "id long, words array<string>")
+    got = {r["id"]: r["ids"] for r in df.select("id", wordpiece.wordpiece(vocabulary)("words").alias("ids")).collect()}
+    assert got == {i: [x for w in words[i : i + 7] for x in plain(w)] for i in range(0, len(words), 7)}
