@@ -86,15 +86,18 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str | None = None, spe
     ``spent`` gets the stored tables that can go when the records are written."""
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = headers(pages)
-    known = originals(heads, least_bytes)
+    # what has no content is read many times: it is stored, and content is read twice in all, here and where it is written
+    light = materialize(heads.drop("html"), "warc-headers")
+    known = originals(light, least_bytes)
     # what has no content is small, so a hot digest's rows are split at run time like any skewed join
-    again = heads.drop("html").join(known, ["payload_digest", "payload_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("original")))
+    again = light.join(known, ["payload_digest", "payload_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("original")))
     again = materialize(again.select("key", "page_id", "url", "payload_bytes", "payload_digest", "original"), "warc-revisits")
     discard(known)
     whole = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
     sure = maybe_in(heads, "key", again.select("key"), keep=False).select(*whole)
-    doubtful = maybe_in(heads.drop("html"), "key", again.select("key"))
+    doubtful = maybe_in(light, "key", again.select("key"))
     wrong = materialize(doubtful.join(again.select("key").distinct(), "key", "left_anti").select("key").distinct(), "warc-wrong")
+    discard(light)
     if spent is not None:
         spent += [again, wrong]
     rest = maybe_in(heads, "key", wrong).join(wrong, "key", "left_semi").select(*whole)
