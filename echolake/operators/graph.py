@@ -15,6 +15,8 @@ Searching.  A query begins at the best of the smallest sample and holds a beam o
 asks for the neighbours of the best of these that it has not asked yet; one join answers all queries.  When it has asked for all
 of its beam it goes on in the graph below, where the beam is its beginning.
 
+An outlier that no vector names is not found; how many there are shows in the recall, which is to be measured.
+
 No task holds more than a cell's block or a vector's neighbours, whose numbers are parameters: of those that name a popular
 vector the nearest are heard.
 """
@@ -213,8 +215,6 @@ def search(queries: DataFrame, graph: Graph, k: int = 3, *, beam: int = BEAM, wi
             found = ahead.mapInArrow(answer, met).withColumn("open", F.lit(True))
             both = marked.select("query_id", "vec_id", "similarity", (F.col("open") & ~F.col("now")).alias("open")).unionByName(found)
             one = both.groupBy("query_id", "vec_id").agg(F.max("similarity").alias("similarity"), F.bool_and("open").alias("open"))
-            # above the last layer a beam as wide as a round is enough to find the way
-            many = beam if layer is graph.layers[0] else width
-            state = checkpointed(one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= many).drop("place"))
+            state = checkpointed(one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= beam).drop("place"))
     rows = state.where("query_id != vec_id") if exclude_self else state
     return top_k(rows.select("query_id", "vec_id", "similarity"), ["query_id"], [F.desc("similarity"), F.col("vec_id")], k)

@@ -14,16 +14,16 @@ from echolake.operators import evaluation, graph, retrieval
 def test_graph_search_finds_nearly_all(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 24))
-    x = [base[i % 12] + rng.normal(size=24) * (0.4 if i % 2 else 2.0) for i in range(900)]
+    x = [base[i % 12] + rng.normal(size=24) * (0.6 if i % 2 else 1.0) for i in range(900)]
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     rows += [(2000 + i, [0.5] * 24) for i in range(60)]  # copies, more than a vector has neighbours
     rows += [(3000, None), (3001, []), (3002, [1.0, 2.0])]
     store = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    built = graph.build(store, degree=16, cell=64, entries=20)  # a few doors, so that the graphs are what leads there
+    built = graph.build(store, cell=64, entries=20)  # a few doors, so that the graphs are what leads there
     assert len(built.layers) == 3 and built.doors.count() == 20
     held = {r["vec_id"]: r["neighbours"] for r in built.layers[0].collect()}
     assert set(held) == {i for i, v in rows if v and len(v) == 24}
-    assert all(len(n) <= 16 and len(set(n)) == len(n) and i not in n for i, n in held.items())
+    assert all(len(n) <= graph.DEGREE and len(set(n)) == len(n) and i not in n for i, n in held.items())
     asked = store.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
     found = graph.search(asked, built, 3, beam=64, width=16).persist()
     exact = retrieval.knn(asked.where(F.size("embedding") == 24), store.where(F.size("embedding") == 24), 3)
