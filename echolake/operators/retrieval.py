@@ -12,6 +12,7 @@ from echolake.functions.keys import in_namespace, same_namespace
 from echolake.functions.vectors import EPSILON, cosine
 
 BLOCK = 16_384
+CELLS = 1 << 20  # similarities that a task holds at once
 DECIMALS = 6  # similarities are compared and shown rounded, so that ties do not depend on the order of additions
 
 
@@ -21,19 +22,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, store: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the places of its k most similar rows of ``store``, and the similarities."""
-    norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(store, axis=1)[None] + EPSILON
-    sim = np.round(np.clip(queries @ store.T / norms, -1, 1), DECIMALS)
-    if len(ids) > k:  # all rows as good as the k-th stay, so that ties are settled by id
-        cut = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(sim >= cut)
-    else:
-        rows, cols = np.nonzero(np.ones_like(sim, dtype=bool))
-    order = np.lexsort((ids[cols], -sim[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    kept = rank < k
-    return np.stack([rows[kept], cols[kept]]), sim[rows[kept], cols[kept]]
+    """For each query the places of its k most similar rows of ``store``, and the similarities; of :data:`CELLS` pairs at a time."""
+    lengths, own = np.linalg.norm(store, axis=1)[None], np.linalg.norm(queries, axis=1)[:, None]
+    step = max(1, CELLS // max(1, len(store)))
+    found = [(np.empty((2, 0), dtype=np.int64), np.empty(0))]
+    for i in range(0, len(queries), step):
+        far = queries[i : i + step] @ store.T  # becomes the similarity with its sign turned
+        far /= -(own[i : i + step] * lengths + EPSILON)
+        if len(ids) > k:  # all rows that are as good as the k-th when rounded stay, so that ties are settled by id
+            rows, cols = np.nonzero(far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k] + 2 * 10.0**-DECIMALS)
+        else:
+            rows, cols = np.nonzero(np.ones_like(far, dtype=bool))
+        sim = np.round(np.clip(-far[rows, cols], -1, 1), DECIMALS)
+        order = np.lexsort((ids[cols], -sim, rows))
+        rows, cols, sim = rows[order], cols[order], sim[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        found.append((np.stack([rows[kept] + i, cols[kept]]), sim[kept]))
+    return np.concatenate([at for at, _ in found], axis=1), np.concatenate([sim for _, sim in found])
 
 
 def knn(queries: DataFrame, store: DataFrame, k: int = 3, *, partition_by: list[str] = (), exclude_self: bool = False, block: int = BLOCK, blocks: int | None = None) -> DataFrame:

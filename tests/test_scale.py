@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -213,3 +214,18 @@ def test_maintained_table_is_compacted(spark, tmp_path):
     rows = {r["key"]: (r["value"], r["source"]) for r in cache_stream.current(spark, at, schema, cache_table.upsert).collect()}
     assert rows == {"k0": ("5", None), "k1": ("6", "s"), "k2": ("2", None), "k3": ("3", None), "k4": ("4", None)}
     assert cache_stream.current(spark, str(tmp_path / "none"), schema, cache_table.upsert).count() == 0
+
+
+def test_a_block_product_is_held_in_parts():
+    rng = np.random.default_rng(5)
+    queries, store = rng.integers(-2, 3, size=(3_000, 4)).astype(float), rng.integers(-2, 3, size=(6_000, 4)).astype(float)  # of many ties
+    ids = rng.permutation(6_000)
+    tracemalloc.start()
+    (rows, cols), sim = retrieval._best(queries, store, ids, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # the whole product alone is 144 MB
+    for i in range(0, 3_000, 211):
+        all_ = np.round(np.clip(store @ queries[i] / (np.linalg.norm(store, axis=1) * np.linalg.norm(queries[i]) + 1e-8), -1, 1), 6)
+        wanted = np.lexsort((ids, -all_))[:3]
+        assert cols[rows == i].tolist() == wanted.tolist() and np.allclose(sim[rows == i], all_[wanted], atol=2e-6)
