@@ -4,68 +4,75 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echolake.functions.entities import entity_mismatch, entity_tokens
-from echolake.operators.retrieval import BLOCK, DECIMALS, _matrix
+from echolake.functions.entities import entity_tokens
+from echolake.functions.vectors import EPSILON
+from echolake.operators.retrieval import BLOCK, CELLS, DECIMALS, _matrix
 
 
-def similar_pairs(rows: DataFrame, threshold: float, by: list[str] = (), block: int = BLOCK) -> DataFrame:
-    """Pairs (a_seq < b_seq) of rows that agree in ``by`` and whose vectors are at least so similar, with the similarity.
+def stored_first(nodes: DataFrame, threshold: float, by: list[str], checkpoint, block: int = BLOCK) -> DataFrame:
+    """seq and ``stored``: in order of seq, a node is stored unless an earlier stored one that agrees in ``by`` is so similar.
 
-    Rows have seq and embedding.  They are dealt to blocks; a pair of blocks is one matrix product, of which only
-    pairs over the threshold leave the task, a slice of rows at a time.
+    Nodes have seq (one row each) and embedding.  In rounds, the first ``block`` undecided nodes of every group are decided by one
+    task, one after the other against those it has stored; then all others of the group meet what was stored, dealt to parts of
+    bounded size, and those that are similar are out.  So no pairs are written, and work is nodes times stored ones.
+    ``checkpoint`` stores a table and reads it back.
     """
-    group = F.concat_ws("\u0001", F.lit(""), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
-    kept = rows.where("embedding is not null").select(F.col("seq").cast("long").alias("seq"), F.col("embedding").cast("array<float>").alias("embedding"), group.alias("g"), F.size("embedding").alias("dim"))
-    n = max(-(-kept.count() // block), rows.sparkSession.sparkContext.defaultParallelism)
-    own = F.pmod(F.xxhash64("seq"), F.lit(n)).cast("long")
-    # every two blocks meet once: a row is in its block's pairs with itself and all after it on one side, all before it on the other
-    a = kept.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1).cast("long"))))
-    # columns of its own, as both sides are one table
-    b = kept.select(*[F.col(c).alias(c) for c in kept.columns]).withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j"))))
+    group = F.concat_ws("\u0001", F.size("embedding").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+    rows = nodes.where("embedding is not null").select(F.col("seq").cast("long").alias("seq"), F.col("embedding").cast("array<float>").alias("embedding"), group.alias("g"))
+    done, left = None, checkpoint(rows)
+    while True:
+        place = F.row_number().over(Window.partitionBy("g").orderBy("seq"))
+        ahead = left.withColumn("place", place).where(F.col("place") <= block).drop("place")
+        now = checkpoint(ahead.groupBy("g").applyInArrow(lambda t: _decided(t, threshold), "seq long, embedding array<float>, g string, stored boolean"))
+        done = now.select("seq", "stored") if done is None else done.union(now.select("seq", "stored"))
+        rest = checkpoint(left.join(now.select("g", "seq"), ["g", "seq"], "left_anti"))
+        if rest.isEmpty():
+            return done
+        # a row a group that has more nodes than one round decides
+        parts = checkpoint(rest.groupBy("g").agg(F.ceil(F.count("*") / max(1, block // 4)).alias("parts")))
+        dealt = rest.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts"))).drop("parts")
+        every = now.where("stored").select("embedding", F.col("g").alias("to")).join(parts.withColumnRenamed("g", "to"), "to").select("to", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at"))
+        open_ = dealt.groupBy("g", "part").cogroup(every.groupBy("to", "at")).applyInArrow(lambda t, s: _not_like(t, s, threshold), "seq long, embedding array<float>, g string, out boolean")
+        met = checkpoint(open_)
+        done = done.union(met.where("out").select("seq", F.lit(False).alias("stored")))
+        left = met.where("not out").drop("out")
 
-    def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]]
-        if len(left) and len(right):
-            x, y = (_matrix(t.column("embedding").combine_chunks()) for t in (left, right))
-            p, q = left.column("seq").to_numpy(), right.column("seq").to_numpy()
-            one = left.column("i")[0] == left.column("j")[0]
-            nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-            for s in range(0, len(x), 1024):
-                sim = np.round(np.clip(x[s : s + 1024] @ y.T / (nx[s : s + 1024, None] * ny[None] + 1e-8), -1, 1), DECIMALS)
-                good = sim >= threshold
-                if one:
-                    good &= p[s : s + 1024, None] < q[None]
-                at, to = np.nonzero(good)
-                for held, v in zip(out, (np.minimum(p[s + at], q[to]), np.maximum(p[s + at], q[to]), sim[at, to])):
-                    held.append(v)
-        return pa.table(dict(zip(("a_seq", "b_seq", "similarity"), map(np.concatenate, out))))
 
-    keys = ["g", "dim", "i", "j"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(find, "a_seq long, b_seq long, similarity double")
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of ``x`` and ``y`` are so similar."""
+    lengths = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None] + EPSILON
+    return np.round(np.clip(x @ y.T / lengths, -1, 1), DECIMALS) >= threshold
 
 
-def stored_first(nodes: DataFrame, pairs: DataFrame, checkpoint) -> DataFrame:
-    """seq and ``stored``: in order of seq, a node is stored unless an earlier stored one is paired with it.
+def _decided(t: pa.Table, threshold: float) -> pa.Table:
+    """The nodes of one group with ``stored``; a few rows at a time meet what is stored and then each other."""
+    t = t.sort_by("seq")
+    x, stored = _matrix(t.column("embedding").combine_chunks()), np.zeros(len(t), dtype=bool)
+    step = max(16, CELLS // max(1, len(x)))
+    for i in range(0, len(x), step):
+        some = x[i : i + step]
+        open_ = np.flatnonzero(~_alike(some, x[:i][stored[:i]], threshold).any(axis=1))
+        each = _alike(some[open_], some[open_], threshold)
+        kept: list[int] = []
+        for k in range(len(open_)):
+            if not each[k, kept].any():
+                kept.append(k)
+        stored[i + open_[kept]] = True
+    return t.select(["seq", "embedding", "g"]).append_column("stored", pa.array(stored))
 
-    Nodes with no undecided earlier neighbour are stored, their later neighbours are not, and so on; a round decides
-    at least the first undecided node of every connected part.  ``checkpoint`` stores a table and reads it back.
-    """
-    done, open_ = None, pairs.select("a_seq", "b_seq")
-    left = nodes.select("seq")
-    while True:
-        stored = checkpoint(left.join(open_.select(F.col("b_seq").alias("seq")).distinct(), "seq", "left_anti"))
-        out = checkpoint(open_.join(stored.withColumnRenamed("seq", "a_seq"), "a_seq").select(F.col("b_seq").alias("seq")).distinct())
-        now = stored.withColumn("stored", F.lit(True)).union(out.withColumn("stored", F.lit(False)))
-        done = now if done is None else done.union(now)
-        decided = now.select("seq")
-        left = checkpoint(left.join(decided, "seq", "left_anti"))
-        if left.isEmpty():
-            return done
-        gone = decided.withColumnRenamed("seq", "a_seq")
-        open_ = checkpoint(open_.join(gone, "a_seq", "left_anti").join(decided.withColumnRenamed("seq", "b_seq"), "b_seq", "left_anti"))
+
+def _not_like(t: pa.Table, stored: pa.Table, threshold: float) -> pa.Table:
+    """The nodes of one part with ``out``: whether one of ``stored`` is so similar."""
+    out = np.zeros(len(t), dtype=bool)
+    if len(t) and len(stored):
+        x, y = (_matrix(side.column("embedding").combine_chunks()) for side in (t, stored))
+        step = max(1, CELLS // len(y))
+        for i in range(0, len(x), step):
+            out[i : i + step] = _alike(x[i : i + step], y, threshold).any(axis=1)
+    return t.select(["seq", "embedding", "g"]).append_column("out", pa.array(out))
 
 
 def replay(requests: DataFrame, threshold: float, checkpoint, rounds: int = 2, veto: bool = True) -> DataFrame:
@@ -77,12 +84,10 @@ def replay(requests: DataFrame, threshold: float, checkpoint, rounds: int = 2, v
     """
     rows = requests.withColumn("namespace", F.coalesce("namespace", F.lit("")))
     asked = rows.where(F.col("cacheable") & F.col("embedding").isNotNull())
-    nodes = checkpoint(asked.groupBy("namespace", "text").agg(F.min("seq").alias("seq"), F.min_by("embedding", "seq").alias("embedding")))
-    pairs = similar_pairs(nodes, threshold, ["namespace"])
-    if veto:
-        sides = [nodes.select(F.col("seq").alias(f"{s}_seq"), entity_tokens(F.col("text")).alias(f"{s}_e")) for s in "ab"]
-        pairs = pairs.join(sides[0], "a_seq").join(sides[1], "b_seq").where(~entity_mismatch(F.col("a_e"), F.col("b_e"))).select("a_seq", "b_seq")
-    stored = stored_first(nodes, checkpoint(pairs), checkpoint)
+    nodes = asked.groupBy("namespace", "text").agg(F.min("seq").alias("seq"), F.min_by("embedding", "seq").alias("embedding"))
+    # sets of entities are sorted, so equal ones are written alike
+    entities = F.to_json(entity_tokens(F.col("text"))) if veto else F.lit("")
+    stored = stored_first(nodes.withColumn("entities", entities), threshold, ["namespace", "entities"], checkpoint)
     first = rows.join(stored, "seq", "left").select("seq", F.when(~F.col("cacheable"), "bypass").when(F.col("embedding").isNull(), "miss").when(F.col("stored"), "miss").otherwise("hit").alias("status"))
     # after the first round every cacheable request with a vector finds itself or what answered it
     later = rows.select("seq", F.when(~F.col("cacheable"), "bypass").when(F.col("embedding").isNull(), "miss").otherwise("hit").alias("status"))

@@ -18,7 +18,7 @@ DECIMALS = 6  # similarities are compared and shown rounded, so that ties do not
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def _best(queries: np.ndarray, store: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -772,9 +772,9 @@ def fingerprint_mismatch(spark, sf_dir):
     ("store",),
 )
 def replay_two_rounds(spark, sf_dir):
-    """The entries as requests, twice: the second round meets the cache that the first one filled.  Blanks make every text another
-    one without changing its entities."""
-    text = F.concat("source", F.repeat(F.lit(" "), F.col("vec_id").cast("int")))
+    """The entries as requests, twice: the second round meets the cache that the first one filled.  Blanks, the id in
+    spaces and tabs, make every text another one without changing its entities."""
+    text = F.concat("source", F.translate(F.bin("vec_id"), "01", " \t"))
     rows = entry_store(spark, sf_dir).select(F.col("vec_id").alias("seq"), "namespace", text.alias("text"), "embedding", F.lit(True).alias("cacheable"))
     return replay.replay(rows, 0.2, storage.checkpointed)
 

@@ -229,3 +229,41 @@ def test_a_block_product_is_held_in_parts():
         all_ = np.round(np.clip(store @ queries[i] / (np.linalg.norm(store, axis=1) * np.linalg.norm(queries[i]) + 1e-8), -1, 1), 6)
         wanted = np.lexsort((ids, -all_))[:3]
         assert cols[rows == i].tolist() == wanted.tolist() and np.allclose(sim[rows == i], all_[wanted], atol=2e-6)
+
+
+def test_replay_in_rounds_without_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(9, 5))
+    rows = [(i, f"n{i % 2}", f"ask {i} words"[: 4 + i % 3], [float(v) for v in base[int(rng.integers(9))] + rng.normal(size=5) * 0.5]) for i in range(300)] + [(900, "n0", "ask", [])]
+    df = spark.createDataFrame(rows, "seq long, namespace string, text string, embedding array<float>")
+    got = {r["seq"]: r["stored"] for r in replay.stored_first(df, 0.8, ["namespace"], stored, block=16).collect()}
+    held: list = []
+    for i, n, _, v in rows:
+        x = np.array(v, dtype=np.float32).astype(float)
+        hit = any(m == n and len(x) == len(y) and round(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-8)), 6) >= 0.8 for m, y in held)
+        assert got[i] != hit, i
+        if not hit:
+            held.append((n, x))
+    alike = spark.createDataFrame([(i, "", "a" * (i + 1), [1.0, 0.001 * i]) for i in range(300)], "seq long, namespace string, text string, embedding array<float>").withColumn("cacheable", F.lit(True))
+    counts = []
+
+    def counted(t):
+        counts.append(t.count())
+        return stored(t)
+
+    assert replay.replay(alike, 0.8, counted).where("status = 'miss'").count() == 1
+    assert max(counts) <= 300  # not the 44,850 pairs
+
+
+def test_cells_that_spare_nothing_are_not_copied_to(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, "", "ask", [float(x) for x in rng.normal(size=32)], float(i), i + 40.0) for i in range(500)], "request_id long, namespace string, text string, embedding array<float>, started double, ended double")
+    made, celled = [], merging._celled
+
+    def seen(rows, centres, threshold, copies):
+        made.append(celled(rows, centres, threshold, copies))
+        return made[-1]
+
+    monkeypatch.setattr(merging, "_celled", seen)
+    got = merging.merge_semantic(df, 10.0, 0.1)
+    assert got.count() > 0 and made[1].count() <= 16 * 500  # every vector reaches nearly all of 64 cells
