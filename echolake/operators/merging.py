@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from echolake.functions.entities import entity_tokens
 from echolake.functions.vectors import EPSILON
-from echolake.operators.retrieval import _matrix
+from echolake.operators.retrieval import CELLS, _matrix
 
 SEMANTIC = 0.95
 PIVOTS = 64  # at most; broadcast
 SAMPLE = 5_000  # rows that pivots are chosen from
 BLOCK = 8_192  # rows of either side that one task compares
+ROWS = 256  # that a task copies to cells at a time
+SLICE = 4_096  # rows of a time slice, on average at least
 
 
 def merge_exact(requests: DataFrame, width: float) -> DataFrame:
@@ -53,8 +55,12 @@ def merge_exact(requests: DataFrame, width: float) -> DataFrame:
     return got.where(F.col("next.started") < F.col("at")).select("request_id", F.col("next.request_id").alias("leader_id"))
 
 
-def pivots(rows: DataFrame, many: int, sample: int = SAMPLE) -> np.ndarray:
-    """At most ``many`` unit vectors far apart, chosen one after the other from a sample of the vectors of the commonest length."""
+def pivots(rows: DataFrame, many: int, sample: int = SAMPLE, threshold: float | None = None) -> np.ndarray:
+    """At most ``many`` unit vectors far apart, chosen one after the other from a sample of the vectors of the commonest length.
+
+    With a ``threshold``, as many of the first of them as are worth the copies that a vector has in their cells: these are a quarter of
+    the cells at most, on the sample's average, or there is one cell.
+    """
     some = rows.where(F.size("embedding") > 0)
     common = some.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if common is None:
@@ -66,9 +72,22 @@ def pivots(rows: DataFrame, many: int, sample: int = SAMPLE) -> np.ndarray:
     while len(chosen) < min(many, len(x)) and nearest.max() > 1e-9:
         chosen.append(int(nearest.argmax()))
         nearest = np.minimum(nearest, np.linalg.norm(x - x[chosen[-1]], axis=1))
+    while threshold is not None and len(chosen) > 1 and 4 * _reached(x, x[chosen], threshold)[1].sum() > len(x) * len(chosen):
+        chosen = chosen[: len(chosen) // 2]
     return x[chosen]
 
 
+def _reached(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors, the cell of each and which cells can hold a vector so similar to it (see :func:`_celled`)."""
+    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    between = np.linalg.norm(c[:, None] - c[None], axis=2)
+    near = np.maximum(0, 2 - 2 * (x @ c.T)) + 1e-12
+    if (flat := np.linalg.norm(x, axis=1) < 0.5).any():
+        near[flat] = 1.0  # a vector of zeros is in every cell
+    own = near.argmin(1)
+    return own, near - near[np.arange(len(x)), own][:, None] <= 2 * between[own] * radius + 1e-6
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON)
 
@@ -81,29 +100,18 @@ def _celled(rows: DataFrame, centres: np.ndarray, threshold: float, copies: bool
     Vectors of another length than the pivots, or of none, are cells of their own.
     """
     held, at, dims = rows.sparkSession.sparkContext.broadcast(centres), rows.columns.index("embedding"), centres.shape[1] if len(centres) else -1
-    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     schema = rows.withColumn("cell", F.lit(0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
-        between = np.linalg.norm(c[:, None] - c[None], axis=2) if len(c) else np.zeros((0, 0))
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             sizes = pa.compute.fill_null(pa.compute.list_value_length(b.column(at)), -1).to_numpy()
             odd = np.flatnonzero(sizes != dims)
             row, cell = odd, -1 - sizes[odd].astype(np.int64)
             fits = np.flatnonzero(sizes == dims)
             if len(fits):
-                x = _unit(_matrix(b.column(at).take(pa.array(fits))))
-                near = np.maximum(0, 2 - 2 * (x @ c.T)) + 1e-12
-                if (flat := np.linalg.norm(x, axis=1) < 0.5).any():
-                    near[flat] = 1.0  # a vector of zeros is in every cell
-                own = near.argmin(1)
-                least = near[np.arange(len(fits)), own]
-                if copies:
-                    reach = near - least[:, None] <= 2 * between[own] * radius + 1e-6
-                    at_row, at_cell = np.nonzero(reach)
-                else:
-                    at_row, at_cell = np.arange(len(fits)), own
+                own, reach = _reached(_unit(_matrix(b.column(at).take(pa.array(fits)))), c, threshold)
+                at_row, at_cell = np.nonzero(reach) if copies else (np.arange(len(fits)), own)
                 row, cell = np.concatenate([row, fits[at_row]]), np.concatenate([cell, at_cell])
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, pa.array(cell.astype(np.int32))], names=schema.names)
 
@@ -114,7 +122,7 @@ def merge_semantic(requests: DataFrame, width: float, threshold: float = SEMANTI
     """As :func:`merge_exact` for similar texts of one namespace; the leader is the earliest, which settles ties.
 
     ``requests`` also has namespace, text and embedding.  Rows meet by namespace, by their entities (which must be equal, unless
-    ``veto`` is false), by time slices of ``width`` seconds and by the cells of pivots, so that only what can reach the threshold is
+    ``veto`` is false), by time slices of ``width`` seconds (or more) and by the cells of pivots, so that only what can reach the threshold is
     compared.  A flight is in its own cell and in all slices that it lasts; a request is in its own slice and in all cells
     that it can reach.  Crowded groups are dealt to parts of at most ``block`` rows of either side, whose products are
     matrices, and a part gives a request's earliest leader alone, never pairs.
@@ -122,10 +130,11 @@ def merge_semantic(requests: DataFrame, width: float, threshold: float = SEMANTI
     spark = requests.sparkSession
     entities = F.to_json(entity_tokens(F.col("text"))) if veto else F.lit("")
     rows = requests.where("embedding is not null and started is not null").select("request_id", F.coalesce("namespace", F.lit("")).alias("namespace"), entities.alias("entities"), F.col("started").cast("double").alias("started"), F.col("ended").cast("double").alias("ended"), F.col("embedding").cast("array<float>").alias("embedding"))
-    centres = pivots(rows, many)
-    # one row; slices are at least as wide as flights last on average, so that these are a few rows each, whatever ``ended`` says
-    last, lasting = rows.agg(F.max("started"), F.avg(F.when(F.col("started") < F.col("ended"), F.col("ended") - F.col("started")))).first()
-    width = max(width, min(lasting or 0.0, 1e300))
+    centres = pivots(rows, many, threshold=threshold)
+    # one row; slices are at least as wide as flights last on average, so that these are a few rows each, whatever ``ended`` says, and
+    # hold SLICE rows on average, as a group costs more than the pairs of few rows
+    first, last, many_rows, lasting = rows.agg(F.min("started"), F.max("started"), F.count("*"), F.avg(F.when(F.col("started") < F.col("ended"), F.col("ended") - F.col("started")))).first()
+    width = max(width, min(lasting or 0.0, 1e300), min(((last or 0.0) - (first or 0.0)) * SLICE / max(1, many_rows), 1e300))
     slice_of = lambda c: F.floor(c / width)
     early = rows.where("started < ended").withColumn("slice", F.explode(F.sequence(slice_of(F.col("started")), slice_of(F.least(F.col("ended"), F.lit(last))))))
     early = _celled(early, centres, threshold, False)
@@ -149,9 +158,10 @@ def merge_semantic(requests: DataFrame, width: float, threshold: float = SEMANTI
             x, y = (_matrix(t.column("embedding").combine_chunks()) for t in (asks, flights))
             at, begun, ended = (t.column(c).to_numpy() for t, c in ((asks, "started"), (flights, "started"), (flights, "ended")))
             nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-            for s in range(0, len(x), 1024):
-                now = at[s : s + 1024, None]
-                cosines = np.clip(x[s : s + 1024] @ y.T / (nx[s : s + 1024, None] * ny[None] + EPSILON), -1, 1)
+            step = max(1, CELLS // len(y))
+            for s in range(0, len(x), step):
+                now = at[s : s + step, None]
+                cosines = np.clip(x[s : s + step] @ y.T / (nx[s : s + step, None] * ny[None] + EPSILON), -1, 1)
                 good = (cosines >= threshold) & (begun[None] < now) & (now < ended[None])
                 found = np.flatnonzero(good.any(1))
                 out[0].extend((s + found).tolist())
