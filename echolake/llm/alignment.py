@@ -87,8 +87,12 @@ class Pieces:
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text), dtype="<u4").tobytes()
 
+    def splits(self, text: str) -> bool:
+        """Whether ``text``, which is not empty, is the concatenation of its words."""
+        return self.by_words and not ("  " in text or text[0] == " " or text[-1] == " " or SPACE in text)
+
     def __call__(self, text: str) -> bytes:
-        if not self.by_words or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+        if not self.splits(text):
             return self.whole(text)
         words = text.split(" ")
         out = list(map(self.cache.get, words))
@@ -127,17 +131,14 @@ class Aligner:
         self.bytes_a, self.bytes_b = byte_level(path_a), self.b.bytes
         self.sizes = [np.array(list(map(len, t)), dtype=np.int64) for t in (self.bytes_a, self.bytes_b)]
         # within a group, at the end of its A side, within its B side, at its end
+        self.words: dict[str, tuple] = {}
         self.written = [str(i).encode() + end for side, ends in ((self.bytes_a, b",|"), (self.bytes_b, b",;")) for end in (ends[:1], ends[1:]) for i in range(len(side))]
 
     def tokens(self, text: str | None) -> tuple[bytes, bytes]:
         if not text:
             return b"", b""
-        spelled = (" " + text).encode()
         a, b = self.a(" " + text), self.b(text)
-        for ids, table in ((a, self.bytes_a), (b, self.bytes_b)):
-            if b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) != spelled:
-                return b"", b""
-        return a, b
+        return (a, b) if self.spelled(a, b, (" " + text).encode()) else (b"", b"")
 
     def aligned(self, a: np.ndarray, b: np.ndarray) -> Alignment:
         """All links of two token sequences that spell the same bytes; those of several documents may be strung together."""
@@ -149,8 +150,57 @@ class Aligner:
         # the token of a stretch is that whose end comes next
         return Alignment(ends, np.cumsum(at_a) - at_a, np.cumsum(at_b) - at_b, at_a & at_b)
 
-    def groups(self, a: np.ndarray, b: np.ndarray, found: Alignment) -> tuple[int, str]:
-        """How many groups one document has, and the digest of them all."""
+    def document(self, text: str | None) -> tuple[bytes, bytes, int, str]:
+        """The tokens of both sides of a text, how many groups it has, and the digest of them all.
+
+        Where both sides are the concatenations of a text's words, so are the groups, and those of a word are remembered.
+        """
+        if text and self.b.splits(text) and self.a.by_words(" " + text):
+            words = text.split(" ")
+            found = list(map(self.words.get, words))
+            if None in found:
+                new = self.learnt([w for w, known in zip(words, found) if known is None])
+                found = [new[w] if known is None else known for w, known in zip(words, found)]
+            if all(found):
+                a, b, groups = map(b"".join, zip(*found))
+                return a, b, groups.count(b";"), hashlib.sha256(groups[:-1]).hexdigest()
+        a_ids, b_ids = self.tokens(text)
+        if not a_ids:
+            return b"", b"", 0, ""
+        groups = b"".join(self.pieces(a_ids, b_ids))
+        return a_ids, b_ids, groups.count(b";"), hashlib.sha256(groups[:-1]).hexdigest()
+
+    def learnt(self, words: list[str]) -> dict[str, tuple]:
+        """The tokens of both sides and the groups of space-led words; nothing where a side spells one otherwise."""
+        new = list(dict.fromkeys(words))
+        spelled = " " + " ".join(new)
+        # strung together they are a text that both sides split at its words, whose ends are ends of tokens
+        a, b, wanted = self.a.part(spelled), self.b.whole(spelled[1:]), spelled.encode()
+        ends = np.cumsum([len(w.encode()) + 1 for w in new])
+        made: dict[str, tuple] = {}
+        if self.spelled(a, b, wanted):
+            reached = [np.cumsum(size[np.frombuffer(ids, dtype="<u4")]) for size, ids in zip(self.sizes, (a, b))]
+            at = [np.searchsorted(r, ends) for r in reached]
+            if all((r[k] == ends).all() for r, k in zip(reached, at)):
+                written, (to_a, to_b) = self.pieces(a, b), ((k + 1).tolist() for k in at)
+                for w, i, j, k, m in zip(new, [0, *to_a], to_a, [0, *to_b], to_b):
+                    made[w] = a[4 * i : 4 * j], b[4 * k : 4 * m], b"".join(written[i + k : j + m])
+        if not made:
+            for w in new:
+                ids = self.a.part(" " + w), self.b.whole(w)
+                made[w] = (*ids, b"".join(self.pieces(*ids))) if self.spelled(*ids, (" " + w).encode()) else ()
+        for w, known in made.items():
+            if len(self.words) < CACHE and len(w) <= CACHED_CHARS:
+                self.words[w] = known
+        return made
+
+    def spelled(self, a: bytes, b: bytes, wanted: bytes) -> bool:
+        return all(b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())) == wanted for ids, table in ((a, self.bytes_a), (b, self.bytes_b)))
+
+    def pieces(self, a_ids: bytes, b_ids: bytes) -> list[bytes]:
+        """The tokens of both sides as they are written, group by group, each with what ends it."""
+        a, b = (np.frombuffer(x, dtype="<u4").astype(np.int64) for x in (a_ids, b_ids))
+        found = self.aligned(a, b)
         shut = np.flatnonzero(found.both)
         per_a, per_b = found.of_a[shut], found.of_b[shut]  # the last token of either side in each group
         n_a, n_b = len(self.bytes_a), len(self.bytes_b)
@@ -161,8 +211,7 @@ class Aligner:
         group_a, group_b = np.searchsorted(per_a, np.arange(len(a))), np.searchsorted(per_b, np.arange(len(b)))
         codes[np.arange(len(a)) + np.concatenate([[0], per_b + 1])[group_a]] = code_a
         codes[np.arange(len(b)) + (per_a + 1)[group_b]] = code_b
-        text = b"".join(map(self.written.__getitem__, codes.tolist()))
-        return len(shut), hashlib.sha256(text[:-1]).hexdigest()
+        return list(map(self.written.__getitem__, codes.tolist()))
 
 
 class Alignment(NamedTuple):
@@ -197,14 +246,7 @@ def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
         for b in _chunks(batches, lambda b: _lengths(b.column(1))):
-            out = []
-            for text in b.column(1):
-                a_ids, b_ids = aligner.tokens(text.as_py())
-                n, digest = 0, ""
-                if a_ids:
-                    a, b_ = (np.frombuffer(x, dtype="<u4").astype(np.int64) for x in (a_ids, b_ids))
-                    n, digest = aligner.groups(a, b_, aligner.aligned(a, b_))
-                out.append((a_ids, b_ids, n, digest))
+            out = [aligner.document(text.as_py()) for text in b.column(1)]
             made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["doc_id", "a", "b", "n_groups", "groups_sha256"])
 

@@ -85,8 +85,12 @@ class Encoder:
             ids.byteswap()
         return ids.tobytes()
 
+    def by_words(self, text: str) -> bool:
+        """Whether ``text`` is the concatenation of its space-led words."""
+        return not (any(w in text for w in _WHITE) or text.endswith(" ") or "<|" in text or _RARE.search(text))
+
     def __call__(self, text: str) -> bytes:
-        if any(w in text for w in _WHITE) or text.endswith(" ") or "<|" in text or _RARE.search(text):
+        if not self.by_words(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         out = list(map(self.cache.get, rest))

@@ -188,3 +188,16 @@ def test_elsewhere_than_a_mounted_folder(tmp_path, monkeypatch):
         assert not str(held).startswith(str(tmp_path))
     with pytest.raises(FileNotFoundError):
         open(held)
+
+
+def test_words_are_aligned_once_as_whole_texts_are():
+    import public_tokenizers
+
+    aligner = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), alignment.piece_path())
+    texts = ["Plain words, said twice: plain words.", "naïve café 12345 a\nb x_y_z", "été ﬁne ok", "don't stop", "日本語 and more", "  led by blanks", "a <|endoftext|> b", "x"]
+    for text in [*texts, *texts]:  # the second time from what is remembered
+        a, b = aligner.tokens(text)
+        groups = b"".join(aligner.pieces(a, b)) if a else b""
+        wanted = (a, b, groups.count(b";"), hashlib.sha256(groups[:-1]).hexdigest()) if a else (b"", b"", 0, "")
+        assert aligner.document(text) == wanted, text
+    assert aligner.words["words,"]
