@@ -12,13 +12,16 @@ Above the graph of all vectors are those of ever smaller samples, each a quarter
 lead between crowds of vectors whose nearest neighbours are all of the same crowd.
 
 Searching.  A query begins at the best of the smallest sample and holds a beam of the best vectors met so far.  In every round it
-asks for the neighbours of the best of these that it has not asked yet; one join answers all queries.  When it has asked for all
+asks for the neighbours of the best of these that it has not asked yet; one join by buckets of vectors answers all queries.  When it has asked for all
 of its beam it goes on in the graph below, where the beam is its beginning.
 
 An outlier that no vector names is not found; how many there are shows in the recall, which is to be measured.
 
-No task holds more than a cell's block or a vector's neighbours, whose numbers are parameters: of those that name a popular
-vector the nearest are heard.
+A fixed beam finds ever less of a growing store, so :func:`tune` measures on a sample of queries which one reaches the wanted recall.
+
+No task holds more than a cell's block, a vector's neighbours, or a bucket of vectors with their neighbours and about
+:data:`REQUESTS` requests to them: of those that name a popular vector the nearest are heard, and requests to a crowded bucket are
+dealt to parts.
 """
 
 from __future__ import annotations
@@ -28,12 +31,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolake.operators import ann
-from echolake.operators.retrieval import DECIMALS, _best, _matrix, top_k
+from echolake.operators.retrieval import DECIMALS, _best, _matrix, knn, recall_with_ties, top_k
 from echolake.storage import checkpointed
 
 DEGREE = 32  # neighbours of a vector
@@ -43,6 +45,9 @@ STILL = 0.01  # building ends when a round changes a smaller share of all neighb
 ENTRIES = 1_024  # vectors that a search may begin at; broadcast
 SHRINK = 4  # times as many vectors are in a layer as in the one above
 BEAM, WIDTH = 96, 24  # vectors that a query holds, and of how many it asks in a round
+BUCKET = 512  # vectors whose neighbours a task of a search holds at once, about
+REQUESTS = 1 << 16  # requests to them that it answers
+ASKED = 4_096  # of which so many at a time
 
 _EDGE = "node long, other long, similarity double"
 
@@ -193,28 +198,65 @@ def search(queries: DataFrame, graph: Graph, k: int = 3, *, beam: int = BEAM, wi
             at = np.repeat(np.arange(b.num_rows), best.shape[1])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ids[best.ravel()]), pa.array(s[at, best.ravel()])], names=["query_id", "vec_id", "similarity"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            many = pa.compute.list_value_length(b.column(2)).to_numpy()
-            if not many.sum():
-                continue
-            at = np.repeat(np.arange(b.num_rows), many)
-            s = np.einsum("ij,ij->i", _unit(b.column(1))[at], _unit(b.column(3).flatten()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).flatten(), pa.array(np.round(s, DECIMALS))], names=["query_id", "vec_id", "similarity"])
+    def answer(q: pa.Table, n: pa.Table) -> pa.Table:
+        if not len(q) or not len(n):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        q = q.sort_by("vec_id")
+        lists, ids, asked_of = n.column("neighbours").combine_chunks(), n.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
+        starts, others = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+        x = _unit(n.column("vectors").combine_chunks().flatten()) if len(others) else np.zeros((0, dims))
+        y, bar, own = _unit(q.column("embedding").combine_chunks()), q.column("bar").to_numpy(), q.column("query_id").to_numpy()
+        found = [(own[:0], others[:0], np.empty(0))]
+        for k, i, j in zip(range(len(ids)), np.searchsorted(asked_of, ids), np.searchsorted(asked_of, ids, "right")):
+            for m in range(i, j, ASKED):  # queries that ask for the neighbours of one vector are one product
+                at, to = slice(m, min(j, m + ASKED)), slice(starts[k], starts[k + 1])
+                s = np.round(y[at] @ x[to].T, DECIMALS)
+                rows, cols = np.nonzero(s >= bar[at, None])
+                found.append((own[at][rows], others[to][cols], s[rows, cols]))
+        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), map(np.concatenate, zip(*found)))))
 
     met = "query_id long, vec_id long, similarity double"
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    state = checkpointed(asked.mapInArrow(enter, met).withColumn("open", F.lit(True)))
-    next_ = F.row_number().over(Window.partitionBy("query_id", "open").orderBy(F.desc("similarity"), "vec_id"))
+    mine = Window.partitionBy("query_id")
+
+    def marked(rows: DataFrame, beam: int, width: int) -> DataFrame:
+        """The beam of every query: what is open in it, of what is asked now, and from which similarity on others may enter."""
+        held = rows.withColumn("place", F.row_number().over(mine.orderBy(F.desc("similarity"), "vec_id"))).where(F.col("place") <= beam)
+        bar = F.when(F.count("*").over(mine) >= beam, F.min("similarity").over(mine)).otherwise(F.lit(-2.0))
+        turn = F.sum(F.col("open").cast("int")).over(mine.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+        return checkpointed(held.select("query_id", "vec_id", "similarity", "open", (F.col("open") & (turn <= width)).alias("now"), bar.alias("bar")))
+
+    state = asked.mapInArrow(enter, met)
     for layer in reversed(graph.layers):
-        links = layer.select("vec_id", "neighbours", "vectors")
-        state = state.withColumn("open", F.lit(True))
-        while not state.where("open").isEmpty():
-            marked = state.withColumn("now", F.col("open") & (next_ <= width))
-            ahead = marked.where("now").select("query_id", "vec_id").join(asked, "query_id").join(links, "vec_id").select("query_id", "embedding", "neighbours", "vectors")
-            found = ahead.mapInArrow(answer, met).withColumn("open", F.lit(True))
-            both = marked.select("query_id", "vec_id", "similarity", (F.col("open") & ~F.col("now")).alias("open")).unionByName(found)
-            one = both.groupBy("query_id", "vec_id").agg(F.max("similarity").alias("similarity"), F.bool_and("open").alias("open"))
-            state = checkpointed(one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= beam).drop("place"))
+        wide = (beam, width) if layer is graph.layers[0] else (min(beam, BEAM), min(width, WIDTH))
+        state = marked(state.select("query_id", "vec_id", "similarity", F.lit(True).alias("open")), *wide)
+        bucket = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(max(1, -(-layer.count() // BUCKET))))
+        links = layer.select("vec_id", "neighbours", "vectors", bucket.alias("bucket"))
+        while most := state.where("now").groupBy(bucket.alias("bucket")).count().agg(F.max("count")).first()[0]:
+            parts = -(-most // REQUESTS)
+            ahead = state.where("now").select("query_id", "vec_id", "bar", bucket.alias("bucket"), F.pmod(F.xxhash64("query_id", F.lit(13)), F.lit(parts)).alias("part")).join(asked, "query_id")
+            dealt = links.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+            found = ahead.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInArrow(answer, met)
+            both = state.select("query_id", "vec_id", "similarity", (F.col("open") & ~F.col("now")).alias("open")).unionByName(found.withColumn("open", F.lit(True)))
+            one = both.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("similarity").alias("similarity"), F.bool_and("open").alias("open"))
+            state = marked(one, *wide)
     rows = state.where("query_id != vec_id") if exclude_self else state
     return top_k(rows.select("query_id", "vec_id", "similarity"), ["query_id"], [F.desc("similarity"), F.col("vec_id")], k)
+
+
+def tune(queries: DataFrame, store: DataFrame, graph: Graph, k: int, wanted: float, *, first: float = 0.0, sample: int = 2_000) -> int:
+    """The least beam, doubled from :data:`BEAM` on, with which a sample of ``queries`` finds the share ``wanted`` of the true k
+    nearest of ``store``, and of ``first`` queries the nearest; both by three standard errors.
+
+    A fixed beam finds ever less of a growing store.  One that holds all vectors is where it ends.
+    """
+    asked = checkpointed(queries.where("embedding is not null").orderBy(F.xxhash64("query_id", F.lit(7)), "query_id").limit(sample))
+    truth = checkpointed(knn(asked, store, k))
+    total, beam = graph.layers[0].count(), BEAM
+    sure = lambda c: F.avg(c) - 3 * F.coalesce(F.stddev_samp(c), F.lit(0.0)) / F.sqrt(F.count(c))
+    while beam < total:
+        got = recall_with_ties(search(asked, graph, k, beam=beam, width=beam // 4), truth, k)
+        least = got.agg(sure(F.col("recall")), sure(F.col("first").cast("double"))).first()
+        if least[0] is None or (least[0] >= wanted and least[1] >= first):
+            break
+        beam *= 2
+    return beam

@@ -143,3 +143,10 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def recall_with_ties(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """Per query of ``truth`` the share of its k nearest that were found, any vector as similar as the k-th being one of them, and
+    whether the ``first`` found is as similar as the true one; both frames have query_id, similarity and rank."""
+    near = truth.where(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("least"), F.max("similarity").alias("most"))
+    met = near.join(found.where(F.col("rank") <= k).select("query_id", F.col("similarity").alias("s")), "query_id", "left")
+    as_good = lambda c: F.col("s") >= F.col(c) - 2 * 10.0**-DECIMALS
+    return met.groupBy("query_id").agg(F.least(F.lit(1.0), F.count_if(as_good("least")) / F.first("n")).alias("recall"), F.coalesce(F.bool_or(as_good("most")), F.lit(False)).alias("first"))

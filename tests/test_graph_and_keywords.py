@@ -7,6 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from echolake import queries
 from echolake.functions import keywords
 from echolake.operators import evaluation, graph, retrieval
 
@@ -51,6 +52,25 @@ def test_a_step_of_the_search_is_one_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_the_beam_grows_with_what_is_hard_to_find(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BEAM", 6)
+    rng = np.random.default_rng(4)
+    store = spark.createDataFrame([(i, rng.normal(size=32).tolist()) for i in range(500)], "vec_id long, embedding array<float>").repartition(3)
+    asked, built = store.withColumnRenamed("vec_id", "query_id"), graph.build(store, degree=6, cell=64, entries=200)
+    exact = retrieval.knn(asked, store, 3).persist()
+    share = lambda beam: retrieval.recall_at_k(graph.search(asked, built, 3, beam=beam, width=max(1, beam // 4)), exact, 3).agg(F.avg("recall")).first()[0]
+    beam = graph.tune(asked, store, built, 3, 0.9, sample=200)
+    assert share(6) < 0.9 <= share(beam) and beam < 500
+    exact.unpersist()
+
+
+def test_copies_are_found_as_well_as_others(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(150)] + [(500 + i, [0.5] * 16) for i in range(60)] + [(900, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.graph_recall(spark, str(tmp_path)).collect() == [(210, True, True)]
+
+
 def test_long_keyword_lists(spark):
     rng = random.Random(3)
     say = lambda n: "".join(rng.choice("abé x") for _ in range(n))
