@@ -2,10 +2,11 @@
 
 A row of the graph is a vector with its neighbours' ids and vectors, so that a step of a search is one join.
 
-Building.  Vectors are dealt to cells of nearby ones, and each takes its nearest of its cell as first neighbours.  Then rounds improve
-them: the neighbours of a vector, those that name it included, are probably near each other, so every vector introduces all of
-them to each other, and each keeps the best it has met.  Rounds end when few neighbours change.  At last each vector's candidates are
-thinned out from the nearest on: one that is nearer to a neighbour kept before than to the vector itself is left out, for it is
+Building.  Each vector goes to the few cells that it is nearest to, and takes the nearest of all it meets there as first neighbours; of a
+cell, they are a matrix product.  How many of the true neighbours that finds is measured on a sample of vectors.  While it is too few,
+rounds improve them: the neighbours of a vector, those that name it included, are probably near each other, so every vector introduces
+all of them to each other, and each keeps the best it has met.  Rounds end when few neighbours change, too.  At last each vector's
+candidates are thinned out from the nearest on: one that is nearer to a neighbour kept before than to the vector itself is left out, for it is
 reached through that neighbour; free places are filled with the nearest of those.
 
 Above the graph of all vectors are those of ever smaller samples, each a quarter of the one below, down to a bounded one.  They
@@ -13,15 +14,16 @@ lead between crowds of vectors whose nearest neighbours are all of the same crow
 
 Searching.  A query begins at the best of the smallest sample and holds a beam of the best vectors met so far.  In every round it
 asks for the neighbours of the best of these that it has not asked yet; one join by buckets of vectors answers all queries.  When it has asked for all
-of its beam it goes on in the graph below, where the beam is its beginning.
+of its beam it goes on in the graph below, where the beam is its beginning.  A query is one row, with its beam in arrays, and so are
+what it asks of a bucket and the answer; queries that have asked for all take no part in further rounds.
 
 An outlier that no vector names is not found; how many there are shows in the recall, which is to be measured.
 
 A fixed beam finds ever less of a growing store, so :func:`tune` measures on a sample of queries which one reaches the wanted recall.
 
-No task holds more than a cell's block, a vector's neighbours, or a bucket of vectors with their neighbours and about
-:data:`REQUESTS` requests to them: of those that name a popular vector the nearest are heard, and requests to a crowded bucket are
-dealt to parts.
+No task holds more than a cell's block, a vector's neighbours, the lists or beams of a bounded number of vectors or queries, or a bucket
+of vectors with their neighbours and about :data:`REQUESTS` requests to them: of those that name a popular vector the nearest are heard,
+and requests to a crowded bucket are dealt to parts.
 """
 
 from __future__ import annotations
@@ -31,25 +33,30 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolake.operators import ann
-from echolake.operators.retrieval import DECIMALS, _best, _matrix, knn, recall_with_ties, top_k
+from echolake.operators.retrieval import CELLS, DECIMALS, _matrix, knn, recall_with_ties, top_k
 from echolake.storage import checkpointed
 
 DEGREE = 32  # neighbours of a vector
-CELL = 256  # vectors in a cell, about
+CELL = 16_384  # vectors in a cell, about
+MEET = 2  # cells that a vector goes to
+LISTS = 0.7  # share of the true neighbours that a sample must have, or rounds follow
+SAMPLE = 500  # vectors of that sample
 ROUNDS = 6  # at most
 STILL = 0.01  # building ends when a round changes a smaller share of all neighbours
-ENTRIES = 1_024  # vectors that a search may begin at; broadcast
+ENTRIES = 4_096  # vectors that a search may begin at; broadcast
 SHRINK = 4  # times as many vectors are in a layer as in the one above
 BEAM, WIDTH = 96, 24  # vectors that a query holds, and of how many it asks in a round
-BUCKET = 512  # vectors whose neighbours a task of a search holds at once, about
-REQUESTS = 1 << 16  # requests to them that it answers
+BUCKET = 2_048  # vectors whose neighbours a task of a search holds at once, about
+REQUESTS = 1 << 16  # queries that ask them, whom it answers
+HELD = 1 << 17  # neighbours, or members of beams, that a task merges at once, about
 ASKED = 4_096  # of which so many at a time
 
-_EDGE = "node long, other long, similarity double"
+_LIST = "node long, others array<long>, similarities array<double>"
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -57,6 +64,57 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists of a column, and of which row each is."""
+    column = column.combine_chunks()
+    return np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False)), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _lists(row: np.ndarray, many: int, *values: np.ndarray) -> list[pa.ListArray]:
+    """The opposite: ``many`` lists, of values sorted by row."""
+    offsets = pa.array(np.searchsorted(row, np.arange(many + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+
+
+def _ranked(row: np.ndarray, ids: np.ndarray, similarity: np.ndarray, new: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """The ``most`` most similar of each row, sorted; of an id that comes more than once the first is it."""
+    known, place = np.unique(ids, return_inverse=True)
+    key = row * len(known) + place
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    once = np.ones(len(key), dtype=bool)
+    once[1:] = key[1:] != key[:-1]
+    order = order[once]
+    far = np.rint((2 - similarity[order]) * 10.0**DECIMALS).astype(np.int64)  # whole, for similarities are rounded
+    order = order[np.argsort((row[order] << 23) + far, kind="stable")]
+    row = row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < most
+    order = order[kept]
+    return row[kept], ids[order], similarity[order], new[order]
+
+
+def _merged(lists: DataFrame, degree: int, nodes: int) -> DataFrame:
+    """One list a node, of the ``degree`` most similar of its lists, and how many of them are only in lists that are ``new``."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.sort_by("new")  # what a node has counts before what it meets
+        node, of = np.unique(t.column("node").to_numpy(), return_inverse=True)
+        at, others = _flat(t.column("others"))
+        new = t.column("new").to_numpy()[at]
+        row, others, similarity, new = _ranked(of[at], others, _flat(t.column("similarities"))[1], new, degree)
+        held = _lists(row, len(node), others, similarity)
+        return pa.table({"node": node, "others": held[0], "similarities": held[1], "fresh": np.bincount(row[new], minlength=len(node))})
+
+    block = F.pmod(F.xxhash64("node", F.lit(17)), F.lit(max(1, -(-nodes * 2 * degree // HELD))))
+    return lists.withColumn("block", block).groupBy("block").applyInArrow(merge, _LIST + ", fresh long")
+
+
+def _edges(lists: DataFrame) -> DataFrame:
+    """node, other and similarity."""
+    each = lists.select("node", F.explode(F.arrays_zip("others", "similarities")).alias("e"))
+    return each.select("node", F.col("e.others").alias("other"), F.col("e.similarities").alias("similarity"))
+
+
 def _grouped(df: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``work`` on all rows of each value of ``key``, of which there are few; a task streams through its groups."""
 
@@ -79,44 +137,64 @@ def _grouped(df: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.Rec
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def _edges(node: list, other: list, similarity: list) -> Iterator[pa.RecordBatch]:
-    if node:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(other)), pa.array(np.concatenate(similarity))], names=["node", "other", "similarity"])
-
-
 def _best_of(edges: DataFrame, degree: int, by: str = "node") -> DataFrame:
     """The ``degree`` most similar of each ``by``; the limit is applied before the shuffle too."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("similarity"), "node", "other"))
     return edges.withColumn("_place", place).where(F.col("_place") <= degree).drop("_place")
 
 
-def _first(nodes: DataFrame, degree: int, cell: int) -> DataFrame:
-    """The nearest of each vector within its cell, or within a part of a crowded one."""
-    n = nodes.count()
-    centres = ann.centres(nodes, max(1, n // cell))
-    celled = ann.build(nodes, centres).where("cell is not null")
+def _nearest(similarity: np.ndarray, many: int) -> np.ndarray:
+    return np.argpartition(similarity, similarity.shape[1] - max(1, many), axis=1)[:, similarity.shape[1] - many :]
+
+
+def _first(nodes: DataFrame, total: int, degree: int, cell: int) -> DataFrame:
+    """The nearest of all that each vector meets in the cells nearest to it, or in parts of crowded ones."""
+    held = nodes.sparkSession.sparkContext.broadcast(ann.centres(nodes, max(1, total * MEET // cell)))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = held.value
+        for b in batches:
+            if b.num_rows:
+                cells = _nearest(_unit(b.column(1)) @ c.T, min(MEET, len(c)))
+                each = b.take(pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1])))
+                yield pa.RecordBatch.from_arrays([*each.columns, pa.array(cells.ravel().astype(np.int32))], names=["vec_id", "embedding", "cell"])
+
+    celled = nodes.mapInArrow(route, "vec_id long, embedding array<float>, cell int")
     parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / (4 * cell)).alias("parts"))  # a row a cell
-    dealt = celled.join(F.broadcast(parts), "cell").select(F.concat_ws("-", "cell", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("parts"))).alias("part"), "vec_id", "embedding")
+    dealt = celled.join(F.broadcast(parts), "cell").select(F.concat_ws("-", "cell", F.pmod(F.xxhash64("vec_id", "cell", F.lit(5)), F.col("parts"))).alias("part"), "vec_id", "embedding")
 
     def near(t: pa.Table) -> pa.Table:
-        ids, x = t.column("vec_id").to_numpy(), _matrix(t.column("embedding").combine_chunks())
-        (rows, cols), similarity = _best(x, x, ids, degree + 1)
-        other = ids[rows] != ids[cols]
-        return pa.table({"node": ids[rows][other], "other": ids[cols][other], "similarity": similarity[other]})
+        ids, x = t.column("vec_id").to_numpy(), _unit(t.column("embedding").combine_chunks()).astype(np.float32)
+        many, step, others, similarity = min(degree, len(ids) - 1), max(1, CELLS // len(ids)), [], []
+        for i in range(0, len(ids), step):
+            s = x[i : i + step] @ x.T
+            s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
+            cols = _nearest(s, many)
+            others.append(ids[cols].ravel())
+            similarity.append(np.round(np.take_along_axis(s, cols, 1).ravel().astype(np.float64), DECIMALS))
+        lists = _lists(np.repeat(np.arange(len(ids)), many), len(ids), np.concatenate(others), np.concatenate(similarity))
+        return pa.table({"node": ids, "others": lists[0], "similarities": lists[1]})
+
+    return _merged(dealt.groupBy("part").applyInArrow(near, _LIST).withColumn("new", F.lit(False)), degree, total)
+
 
-    return _best_of(dealt.groupBy("part").applyInArrow(near, _EDGE), degree)
+def _had(lists: DataFrame, nodes: DataFrame, degree: int) -> float:
+    """The share of their true neighbours that a sample of vectors has, others as similar being as good."""
+    some = checkpointed(nodes.orderBy(F.xxhash64("vec_id", F.lit(19)), "vec_id").limit(SAMPLE).withColumnRenamed("vec_id", "query_id"))
+    has = _edges(lists.join(F.broadcast(some.select(F.col("query_id").alias("node"))), "node", "left_semi")).select(F.col("node").alias("query_id"), "similarity", F.lit(1).alias("rank"))
+    return recall_with_ties(has, knn(some, nodes, degree, exclude_self=True), degree).agg(F.avg("recall")).first()[0] or 0.0
 
 
 def _members(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
-    """``at``, vec_id and embedding: each vector with its neighbours and the nearest of those that name it."""
+    """The rows of ``nodes`` with ``at``: each vector with its neighbours and the nearest of those that name it."""
     back = _best_of(edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "similarity"), degree)
     known = edges.select("node", "other").union(back.select("node", "other")).distinct()
     both = known.union(nodes.select("vec_id", "vec_id")).toDF("at", "vec_id")
-    return both.join(nodes, "vec_id").select("at", "vec_id", "embedding")
+    return both.join(nodes, "vec_id")
 
 
 class Graph(NamedTuple):
-    layers: list[DataFrame]  # vec_id, embedding, neighbours (ids) and vectors (theirs); all vectors first
+    layers: list[DataFrame]  # vec_id, embedding, neighbours (ids) vectors (theirs, of length 1) and bucket; all vectors first
     doors: DataFrame  # vec_id and embedding of where searches begin
 
 
@@ -135,25 +213,31 @@ def build(store: DataFrame, degree: int = DEGREE, cell: int = CELL, rounds: int
 
 def _layer(nodes: DataFrame, degree: int, cell: int, rounds: int) -> DataFrame:
     """Every vector of ``nodes`` with its neighbours among them."""
-    edges = checkpointed(_first(nodes, degree, cell))
+    total = nodes.count()
+    buckets = max(1, -(-total // BUCKET))
+    lists = checkpointed(_first(nodes, total, degree, cell))
 
     def introduce(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, x = t.column("vec_id").to_numpy(), _unit(t.column("embedding").combine_chunks())
-        s = np.round(x @ x.T, DECIMALS)
+        ids, x = t.column("vec_id").to_numpy(), _unit(t.column("embedding").combine_chunks()).astype(np.float32)
+        s = np.round((x @ x.T).astype(np.float64), DECIMALS)
         np.fill_diagonal(s, -2)
-        many = min(degree, len(ids) - 1)
-        if many > 0:
-            cols = np.argpartition(-s, many - 1, axis=1)[:, :many].ravel()
-            at = np.repeat(np.arange(len(ids)), many)
-            yield from _edges([ids[at]], [ids[cols]], [s[at, cols]])
-
-    for _ in range(rounds):
-        met = _grouped(_members(edges, nodes, degree), "at", introduce, _EDGE)
-        all_ = edges.withColumn("new", F.lit(False)).unionByName(_best_of(met, 2 * degree).withColumn("new", F.lit(True)))
-        one = all_.groupBy("node", "other").agg(F.max("similarity").alias("similarity"), F.bool_and("new").alias("new"))
-        better = checkpointed(_best_of(one, degree))
-        changed, held = better.agg(F.count_if("new"), F.count("*")).first()
-        edges = better.drop("new")
+        s[s <= t.column("bar").to_numpy()[:, None]] = -2  # only what is better than what it has
+        if many := min(degree, len(ids) - 1):
+            cols = np.sort(_nearest(s, many), axis=1)
+            rows, at = np.nonzero(np.take_along_axis(s, cols, 1) > -2)
+            met, of = np.unique(rows, return_inverse=True)
+            if len(met):
+                cols = cols[rows, at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[met]), *_lists(of, len(met), ids[cols], s[rows, cols])], names=["node", "others", "similarities"])
+
+    while total > cell and rounds and _had(lists, nodes, degree) < LISTS:
+        rounds -= 1
+        bar = F.when(F.size("others") >= degree, F.array_min("similarities")).otherwise(F.lit(-2.0))
+        barred = nodes.join(lists.select(F.col("node").alias("vec_id"), bar.alias("bar")), "vec_id")
+        met = _grouped(_members(_edges(lists), barred, degree), "at", introduce, _LIST)
+        both = lists.drop("fresh").withColumn("new", F.lit(False)).unionByName(met.withColumn("new", F.lit(True)))
+        lists = checkpointed(_merged(both, degree, total))
+        changed, held = lists.agg(F.sum("fresh"), F.sum(F.size("others"))).first()
         if changed <= STILL * held:
             break
 
@@ -164,20 +248,53 @@ def _layer(nodes: DataFrame, degree: int, cell: int, rounds: int) -> DataFrame:
         own = int(np.flatnonzero(ids == at)[0])
         s = x @ x.T
         order = [k for k in np.lexsort((ids, -s[own])).tolist() if k != own]
-        kept, spare = [], []
+        kept, spare, reached = [], [], np.zeros(len(ids), dtype=bool)
         for k in order:
             if len(kept) == degree:
                 break
-            (spare if kept and (s[k, kept] > s[own, k]).any() else kept).append(k)
+            (spare if reached[k] else kept).append(k)
+            if not reached[k]:
+                reached |= s[k] > s[own]
         kept = (kept + spare)[:degree]
-        vectors = column.take(pa.array(kept, pa.int64()))
+        vectors = _lists(np.repeat(np.arange(len(kept)), x.shape[1]), len(kept), x[kept].astype(np.float32).ravel())[0]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([at]), column.slice(own, 1), pa.array([ids[kept].tolist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), vectors)],
-            names=["vec_id", "embedding", "neighbours", "vectors"],
+            [pa.array([at]), column.slice(own, 1), pa.array([ids[kept].tolist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), vectors), pa.array(_bucket(ids[own : own + 1], buckets))],
+            names=["vec_id", "embedding", "neighbours", "vectors", "bucket"],
         )
 
-    schema = "vec_id long, embedding array<float>, neighbours array<long>, vectors array<array<float>>"
-    return checkpointed(_grouped(_members(edges, nodes, degree), "at", thin, schema))
+    schema = "vec_id long, embedding array<float>, neighbours array<long>, vectors array<array<float>>, bucket int"
+    thinned = _grouped(_members(_edges(lists), nodes, degree), "at", thin, schema)
+    return checkpointed(thinned.repartition(buckets, "bucket"))  # as the rounds of a search read it
+
+
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+_BEAM = "query_id long, embedding array<float>, vec_ids array<long>, similarities array<double>, open array<boolean>, bar double, buckets array<int>, targets array<array<long>>"
+
+
+def _beams(queries: pa.Table, row: np.ndarray, ids: np.ndarray, similarity: np.ndarray, open_: np.ndarray, beam: int, width: int, buckets: int) -> pa.Table:
+    """The beam of every query, and of what it asks now: the best that are open in it, by buckets; ``bar`` is the similarity from which on others may enter."""
+    n = len(queries)
+    row, ids, similarity, open_ = _ranked(row, ids, similarity, open_, beam)
+    bar, last = np.full(n, -2.0), np.searchsorted(row, np.arange(n), "right") - 1
+    full = np.bincount(row, minlength=n) >= beam
+    bar[full] = similarity[last[full]]
+    waiting = np.flatnonzero(open_)
+    now = waiting[np.arange(len(waiting)) - np.searchsorted(row[waiting], row[waiting]) < width]
+    open_[now] = False
+    of, to = row[now], _bucket(ids[now], buckets)
+    order = np.lexsort((to, of))
+    of, to, asked = of[order], to[order], ids[now][order]
+    border = np.ones(len(of), dtype=bool)
+    border[1:] = (of[1:] != of[:-1]) | (to[1:] != to[:-1])
+    starts = np.flatnonzero(border)
+    each = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)), pa.int32()), pa.array(asked))
+    held = _lists(row, n, ids, similarity, open_)
+    at = pa.array(np.searchsorted(of[starts], np.arange(n + 1)), pa.int32())
+    columns = [queries.column("query_id"), queries.column("embedding"), *held, pa.array(bar), pa.ListArray.from_arrays(at, pa.array(to[starts])), pa.ListArray.from_arrays(at, each)]
+    return pa.table(columns, names=["query_id", "embedding", "vec_ids", "similarities", "open", "bar", "buckets", "targets"])
 
 
 def search(queries: DataFrame, graph: Graph, k: int = 3, *, beam: int = BEAM, width: int = WIDTH, exclude_self: bool = False) -> DataFrame:
@@ -187,60 +304,96 @@ def search(queries: DataFrame, graph: Graph, k: int = 3, *, beam: int = BEAM, wi
     doors = spark.sparkContext.broadcast((drawn.column("vec_id").to_numpy(), _unit(drawn.column("embedding").combine_chunks()) if len(drawn) else np.zeros((0, 0))))
     dims = doors.value[1].shape[1]
     asked = queries.where(F.size("embedding") == dims).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    found = "query_id long, vec_ids array<long>, similarities array<double>"
+    mine = ["query_id", "embedding", "vec_ids", "similarities", "open"]
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = doors.value
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
-            s = np.round(_unit(b.column(1)) @ x.T, DECIMALS)
-            best = np.argsort(-s, axis=1, kind="stable")[:, :width]
+            s = np.round((y := _unit(b.column(1))) @ x.T, DECIMALS)
+            best = _nearest(s, min(width, len(ids)))
             at = np.repeat(np.arange(b.num_rows), best.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ids[best.ravel()]), pa.array(s[at, best.ravel()])], names=["query_id", "vec_id", "similarity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_lists(np.repeat(np.arange(b.num_rows), dims), b.num_rows, y.astype(np.float32).ravel()), *_lists(at, b.num_rows, ids[best.ravel()], s[at, best.ravel()])], names=["query_id", "embedding", "vec_ids", "similarities"])
 
     def answer(q: pa.Table, n: pa.Table) -> pa.Table:
-        if not len(q) or not len(n):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        q = q.sort_by("vec_id")
-        lists, ids, asked_of = n.column("neighbours").combine_chunks(), n.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
-        starts, others = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
-        x = _unit(n.column("vectors").combine_chunks().flatten()) if len(others) else np.zeros((0, dims))
-        y, bar, own = _unit(q.column("embedding").combine_chunks()), q.column("bar").to_numpy(), q.column("query_id").to_numpy()
-        found = [(own[:0], others[:0], np.empty(0))]
-        for k, i, j in zip(range(len(ids)), np.searchsorted(asked_of, ids), np.searchsorted(asked_of, ids, "right")):
+        n = n.sort_by("vec_id")
+        ids, bar = n.column("vec_id").to_numpy(), q.column("bar").to_numpy()
+        y, x = (c.combine_chunks().flatten(recursive=True).to_numpy().reshape(-1, dims) for c in (q.column("embedding"), n.column("vectors")))
+        own, to = _flat(q.column("targets"))
+        to = np.searchsorted(ids, to)
+        order = np.argsort(to, kind="stable")
+        own, to = own[order], to[order]
+        of, others = _flat(n.column("neighbours"))
+        starts = np.searchsorted(of, np.arange(len(ids) + 1))
+        met = [(own[:0], others[:0], np.empty(0, dtype=np.float32))]
+        for v in np.unique(to).tolist():
+            i, j = np.searchsorted(to, (v, v + 1)).tolist()
+            here = slice(starts[v], starts[v + 1])
             for m in range(i, j, ASKED):  # queries that ask for the neighbours of one vector are one product
-                at, to = slice(m, min(j, m + ASKED)), slice(starts[k], starts[k + 1])
-                s = np.round(y[at] @ x[to].T, DECIMALS)
-                rows, cols = np.nonzero(s >= bar[at, None])
-                found.append((own[at][rows], others[to][cols], s[rows, cols]))
-        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), map(np.concatenate, zip(*found)))))
-
-    met = "query_id long, vec_id long, similarity double"
-    mine = Window.partitionBy("query_id")
-
-    def marked(rows: DataFrame, beam: int, width: int) -> DataFrame:
-        """The beam of every query: what is open in it, of what is asked now, and from which similarity on others may enter."""
-        held = rows.withColumn("place", F.row_number().over(mine.orderBy(F.desc("similarity"), "vec_id"))).where(F.col("place") <= beam)
-        bar = F.when(F.count("*").over(mine) >= beam, F.min("similarity").over(mine)).otherwise(F.lit(-2.0))
-        turn = F.sum(F.col("open").cast("int")).over(mine.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-        return checkpointed(held.select("query_id", "vec_id", "similarity", "open", (F.col("open") & (turn <= width)).alias("now"), bar.alias("bar")))
-
-    state = asked.mapInArrow(enter, met)
+                at = own[m : min(j, m + ASKED)]
+                s = y[at] @ x[here].T
+                rows, cols = np.nonzero(s >= bar[at, None] - 10.0**-DECIMALS)
+                met.append((at[rows], others[here][cols], s[rows, cols]))
+        row, other, similarity = map(np.concatenate, zip(*met))
+        order = np.argsort(row, kind="stable")
+        row, other, similarity = row[order], other[order], np.round(similarity[order].astype(np.float64), DECIMALS)
+        some, of = np.unique(row, return_inverse=True)
+        lists = _lists(of, len(some), other, similarity)
+        return pa.table({"query_id": q.column("query_id").to_numpy()[some], "vec_ids": lists[0], "similarities": lists[1]})
+
+    def steps(most: int, many: int, buckets: int) -> tuple[Callable, Callable]:
+        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                row, ids = _flat(t.column("vec_ids"))
+                yield from _beams(t, row, ids, _flat(t.column("similarities"))[1], np.ones(len(row), dtype=bool), most, many, buckets).combine_chunks().to_batches()
+
+        def merge(t: pa.Table) -> pa.Table:
+            q, f = t.filter(pc.is_valid(t.column("embedding"))), t.filter(pc.is_null(t.column("embedding")))
+            own = q.column("query_id").to_numpy()
+            order = np.argsort(own)
+            (row, ids), (at, others) = _flat(q.column("vec_ids")), _flat(f.column("vec_ids"))
+            at = order[np.searchsorted(own[order], f.column("query_id").to_numpy())][at]
+            similarity = np.concatenate([_flat(t.column("similarities"))[1] for t in (q, f)])
+            open_ = np.concatenate([_flat(q.column("open"))[1].astype(bool), np.ones(len(at), dtype=bool)])
+            return _beams(q, np.concatenate([row, at]), np.concatenate([ids, others]), similarity, open_, most, many, buckets)
+
+        return begin, merge
+
+    state = checkpointed(asked.mapInArrow(enter, "query_id long, embedding array<float>, vec_ids array<long>, similarities array<double>"))
+    total = state.count()
     for layer in reversed(graph.layers):
-        wide = (beam, width) if layer is graph.layers[0] else (min(beam, BEAM), min(width, WIDTH))
-        state = marked(state.select("query_id", "vec_id", "similarity", F.lit(True).alias("open")), *wide)
-        bucket = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(max(1, -(-layer.count() // BUCKET))))
-        links = layer.select("vec_id", "neighbours", "vectors", bucket.alias("bucket"))
-        while most := state.where("now").groupBy(bucket.alias("bucket")).count().agg(F.max("count")).first()[0]:
-            parts = -(-most // REQUESTS)
-            ahead = state.where("now").select("query_id", "vec_id", "bar", bucket.alias("bucket"), F.pmod(F.xxhash64("query_id", F.lit(13)), F.lit(parts)).alias("part")).join(asked, "query_id")
-            dealt = links.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-            found = ahead.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInArrow(answer, met)
-            both = state.select("query_id", "vec_id", "similarity", (F.col("open") & ~F.col("now")).alias("open")).unionByName(found.withColumn("open", F.lit(True)))
-            one = both.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("similarity").alias("similarity"), F.bool_and("open").alias("open"))
-            state = marked(one, *wide)
-    rows = state.where("query_id != vec_id") if exclude_self else state
-    return top_k(rows.select("query_id", "vec_id", "similarity"), ["query_id"], [F.desc("similarity"), F.col("vec_id")], k)
+        most, many = (beam, width) if layer is graph.layers[0] else (min(width, WIDTH),) * 2
+        buckets = max(1, -(-layer.count() // BUCKET))
+        blocks = max(1, -(-total * 4 * most // HELD))
+        begin, merge = steps(most, many, buckets)
+
+        links = layer.select("vec_id", "neighbours", "vectors", F.col("bucket").alias("slot"))
+        dealt = {1: links}
+        block = F.pmod(F.xxhash64("query_id", F.lit(23)), F.lit(blocks)).alias("block")
+        state, settled = checkpointed(state.mapInArrow(begin, _BEAM)), []
+        while load := state.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().agg(F.max("count")).first()[0]:
+            parts = -(-load // REQUESTS)
+            if parts not in dealt:
+                each = links.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+                dealt[parts] = checkpointed(each.select((F.col("slot") * parts + F.col("part")).alias("slot"), "vec_id", "neighbours", "vectors").repartition(buckets * parts, "slot"))
+            settled.append(state.where("size(buckets) = 0"))
+            still = state.where("size(buckets) > 0")
+            slot = F.col("ask.buckets") * parts + F.pmod(F.xxhash64("query_id", F.lit(13)), F.lit(parts)).cast("int")
+            ahead = still.select("query_id", "embedding", "bar", F.explode(F.arrays_zip("buckets", "targets")).alias("ask")).select(slot.alias("slot"), "query_id", "embedding", "bar", F.col("ask.targets").alias("targets"))
+            answers = ahead.groupBy("slot").cogroup(dealt[parts].groupBy("slot")).applyInArrow(answer, found)
+            # a union: sizes that Spark estimates of co-groups multiply, and beams from beams would square them in each round
+            both = still.select(*mine).unionByName(answers, allowMissingColumns=True).withColumn("block", block)
+            state = checkpointed(both.groupBy("block").applyInArrow(merge, _BEAM))
+        for s in settled:
+            state = state.unionByName(s)
+        state = state.select("query_id", "embedding", "vec_ids", "similarities").repartition("query_id")
+    head = [F.slice(c, 1, k + 1).alias(name) for c, name in (("vec_ids", "vec_id"), ("similarities", "similarity"))]
+    best = state.select("query_id", *head).select("query_id", F.explode(F.arrays_zip("vec_id", "similarity")).alias("e"))
+    rows = best.select("query_id", F.col("e.vec_id").alias("vec_id"), F.col("e.similarity").alias("similarity"))
+    return top_k(rows.where("query_id != vec_id") if exclude_self else rows, ["query_id"], [F.desc("similarity"), F.col("vec_id")], k)
 
 
 def tune(queries: DataFrame, store: DataFrame, graph: Graph, k: int, wanted: float, *, first: float = 0.0, sample: int = 2_000) -> int:

@@ -98,3 +98,24 @@ def test_sweep_equals_one_threshold_at_a_time(spark):
             for r in evaluation.confusion(df, ["g"], vetoed=F.col("differs") & F.lit(veto), threshold=F.lit(cut)).collect():
                 other = got[r["g"], veto, cut]
                 assert {c: other[c] for c in r.asDict()} == r.asDict()
+
+
+def test_first_neighbours_are_nearly_true(spark):
+    rng = np.random.default_rng(8)
+    store = spark.createDataFrame([(i, rng.normal(size=24).tolist()) for i in range(3000)], "vec_id long, embedding array<float>").repartition(3)
+    lists = graph._first(store, 3000, 16, 1500)
+    assert lists.count() == 3000 and graph._had(lists, store, 16) >= 0.75
+    built = graph.build(store, degree=16, cell=16, entries=4000)  # small cells, so that rounds must follow
+    found = graph.search(store.limit(300).withColumnRenamed("vec_id", "query_id"), built, 3, beam=48, width=12).persist()
+    exact = retrieval.knn(store.withColumnRenamed("vec_id", "query_id"), store, 3).join(found.select("query_id").distinct(), "query_id", "left_semi")
+    assert retrieval.recall_at_k(found, exact, 3).agg(F.avg("recall")).first()[0] >= 0.9
+    found.unpersist()
+
+
+def test_planned_sizes_of_a_search_grow_slowly(spark):
+    rng = np.random.default_rng(9)
+    store = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(400)], "vec_id long, embedding array<float>")
+    found = graph.search(store.withColumnRenamed("vec_id", "query_id"), graph.build(store, degree=4), 3, beam=40, width=2)
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size.bit_length() < 8_000  # bits; they doubled in each round when beams were co-grouped with beams
+    assert found.where("rank = 1 and query_id = vec_id").count() >= 390
